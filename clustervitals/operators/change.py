@@ -69,8 +69,8 @@ def changed_tables(state: DataFrame, current: DataFrame, ops: DataFrame | None =
     ``ops`` is given.
     """
     stored = state.groupBy("reloid").agg(
-        F.max_by(F.struct(F.col("modcount").alias("old_modcount"), F.col("last_checktime")), "last_checktime").alias("s")
-    ).select("reloid", "s.*")
+        F.max_by("modcount", "last_checktime").alias("old_modcount"), F.max("last_checktime").alias("last_checktime")
+    )
     known = F.col("last_checktime").isNotNull()
     moved = current.join(stored, "reloid", "left").filter(~known | (F.col("modcount") != F.col("old_modcount")))
     if ops is not None:

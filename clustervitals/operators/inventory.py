@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from .remediation import remediation_statements
 from .scope import not_system
-from .spread import spread_join
+from .spread import lookup_join
 
 
 def object_counts(rels: DataFrame, attributes: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def default_partition_rows(rows: DataFrame) -> DataFrame:
 def operation_history(ops: DataFrame, objects: DataFrame) -> DataFrame:
     """Operations logged on the given objects (reloid, relname), by name and time."""
     named = objects.select(F.col("reloid").alias("objid"), F.col("relname").alias("objname")).distinct()
-    return spread_join(ops, named, ["objid"]).orderBy("objname", "statime", "actionname")
+    return lookup_join(ops, named, ["objid"]).orderBy("objname", "statime", "actionname")
 
 
 def settings_report(settings: DataFrame) -> DataFrame:

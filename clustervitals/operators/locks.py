@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import instant, seconds_between, whole_minutes
 from ..functions.names import query_snippet
 from .scope import FIRST_USER_OID
-from .spread import running_total, spread_join
+from .spread import lookup_join, running_total
 
 SHARE_LOCK = "ShareLock"
 
@@ -74,7 +74,7 @@ def lock_waits(locks: DataFrame, as_of: datetime) -> DataFrame:
         for c, alias in (("query", "run_sql"), ("state", "run_state"))
         if c in locks.columns
     ]
-    return spread_join(blocked, _oldest_holder(locks), ["relation"]).select(
+    return lookup_join(blocked, _oldest_holder(locks), ["relation"]).select(
         F.col("relation").alias("lock_table"),
         F.col("lockmode").alias("wait_lockmode"),
         F.col("usename").alias("wait_user"),
@@ -128,7 +128,7 @@ def lock_wait_pairs(locks: DataFrame, as_of: datetime, waiters: DataFrame | None
 def longest_lock_wait(locks: DataFrame, as_of: datetime) -> DataFrame:
     """The longest wait in whole minutes with both parties; one row, 0 when nobody waits."""
     oldest = _oldest_holder(locks)
-    blocked = spread_join(_waiters(locks), oldest, ["relation"]).filter(F.col("run.xact_start") < F.col("xact_start"))
+    blocked = lookup_join(_waiters(locks), oldest, ["relation"]).filter(F.col("run.xact_start") < F.col("xact_start"))
     first = F.min(
         F.struct(
             F.col("xact_start").alias("wait_start"),

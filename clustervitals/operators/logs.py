@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import logline
 from ..functions.clock import instant
-from .spread import last_n_per_key, running_total, spread_join
+from ..sources.workspace import ensure_checkpoint_dir
+from .spread import last_n_per_key, lookup_join, running_total
 
 
 def panic_events(lines: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ _PROCESS = ["hostname", "logfilename", "pid"]
 
 def terminated_without_panic(terminated: DataFrame, panics: DataFrame) -> DataFrame:
     """Terminations whose process logged no PANIC in the same file."""
-    return spread_join(terminated, panics.select(*_PROCESS).distinct(), _PROCESS, "left_anti")
+    return lookup_join(terminated, panics.select(*_PROCESS).distinct(), _PROCESS, "left_anti")
 
 
 def session_log_tail(lines: DataFrame, sessions: DataFrame | None = None, n: int = 100) -> DataFrame:
@@ -60,7 +61,7 @@ def session_log_tail(lines: DataFrame, sessions: DataFrame | None = None, n: int
     parsed = lines.select(
         logline.session_id(line).alias("sess_id"), logline.log_ts(line).alias("ts"), line
     ).filter(F.col("sess_id") != "")
-    chosen = spread_join(parsed, sessions.select("sess_id").distinct(), ["sess_id"], "left_semi")
+    chosen = lookup_join(parsed, sessions.select("sess_id").distinct(), ["sess_id"], "left_semi")
     return last_n_per_key(chosen, ["sess_id"], [F.desc_nulls_last("ts"), F.desc("log_msg")], n, "line_no")
 
 
@@ -74,11 +75,14 @@ def process_log_tail(lines: DataFrame, terminations: DataFrame, n: int = 50) ->
     alone would form every (termination, earlier line) pair.
     """
     line = F.col("log_msg")
+    ensure_checkpoint_dir(lines.sparkSession)
+    # Read twice below; without the checkpoint each use would scan the logs for it.
     wanted = (
         terminations.select(*_PROCESS, "logtime")
         .withColumn("ts", F.substring_index("logtime", " ", 2).try_cast("timestamp_ntz"))
         .dropna(subset=[*_PROCESS, "ts"])
         .distinct()
+        .checkpoint()
     )
     parsed = lines.select(
         logline.hostname(line).alias("hostname"),
@@ -89,7 +93,7 @@ def process_log_tail(lines: DataFrame, terminations: DataFrame, n: int = 50) ->
     ).dropna(subset=["pid", "ts"])
     # Equal lines at one instant are kept as one row with a count.
     relevant = (
-        spread_join(parsed, wanted.select(*_PROCESS).distinct(), _PROCESS, "left_semi")
+        lookup_join(parsed, wanted.select(*_PROCESS).distinct(), _PROCESS, "left_semi")
         .groupBy(*_PROCESS, "ts", "log_msg")
         .agg(F.count("*").alias("copies"))
     )
@@ -182,10 +186,9 @@ def pattern_counts(
     found = by_host.groupBy("pattern").agg(
         F.sum("matches").alias("matches"), F.array_sort(F.collect_list("hostname")).alias("hosts")
     )
-    spark = lines.sparkSession
+    every = lines.sparkSession.range(1).select(F.explode(F.array(*[F.lit(p) for p in patterns])).alias("pattern"))
     return (
-        spark.createDataFrame([(p,) for p in patterns], "pattern string")
-        .join(found, "pattern", "left")
+        every.join(found, "pattern", "left")
         .select(
             "pattern",
             F.coalesce("matches", F.lit(0)).alias("matches"),

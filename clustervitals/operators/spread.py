@@ -11,6 +11,9 @@ from ..sources.workspace import ensure_checkpoint_dir
 
 SPLITS = 32
 
+# A lookup of this many short rows is tens of megabytes on each executor.
+BROADCAST_ROWS = 100_000
+
 
 def _split_of_task(splits: int) -> Column:
     # One split per input task: stable when a task is retried, and identical
@@ -18,15 +21,20 @@ def _split_of_task(splits: int) -> Column:
     return F.pmod(F.spark_partition_id(), F.lit(splits))
 
 
-def spread_join(
+def lookup_join(
     facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", splits: int = SPLITS
 ) -> DataFrame:
-    """Equi-join of a skewed fact side with a lookup side that is unique on ``on``.
+    """Equi-join of a large fact side with a lookup side that is unique on ``on``.
 
-    A hot key is shared by ``splits`` tasks; the lookup side is repeated once
-    per split.  ``how`` must keep the fact side: inner, left, left_semi or
-    left_anti.  The optimizer still broadcasts the lookup when its size allows.
+    ``how`` must keep the fact side: inner, left_semi or left_anti.  The lookup
+    is computed once and counted.  Up to ``BROADCAST_ROWS`` rows it is
+    broadcast and the facts are not shuffled at all.  Beyond that a hot key is
+    shared by ``splits`` tasks and the lookup repeated once per split.
     """
+    ensure_checkpoint_dir(facts.sparkSession)
+    lookup = lookup.checkpoint()
+    if lookup.count() <= BROADCAST_ROWS:
+        return facts.join(F.broadcast(lookup), list(on), how)
     left = facts.withColumn("_split", _split_of_task(splits))
     right = lookup.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     return left.join(right, [*on, "_split"], how).drop("_split")

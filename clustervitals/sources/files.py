@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +22,34 @@ PROCESS_SCHEMA = T.StructType(
 LISTING_TOTALS = ("total", "总用量")
 
 
-def _from_path(path: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
+_ENTRY = "path string, is_dir boolean, size_bytes long, modtime timestamp"
+
+
+def _list_entries(recursive: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Replace each directory by its entries; entries that are files pass through."""
+
+    def entries(path: str) -> Iterator[dict]:
+        uri = path if "://" in path else f"file://{path}"
+        system, inner = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+        prefix = uri[: uri.index("://") + 3] if "://" in path else ""
+        for info in system.get_file_info(fs.FileSelector(inner, recursive=recursive)):
+            if info.type == fs.FileType.File or not recursive:
+                yield {
+                    "path": prefix + info.path,
+                    "is_dir": info.type == fs.FileType.Directory,
+                    "size_bytes": info.size or 0,
+                    "modtime": info.mtime,
+                }
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[~batch["is_dir"]]
+            for directory in batch.loc[batch["is_dir"], "path"]:
+                listed = entries(directory)
+                while chunk := list(islice(listed, 10_000)):
+                    yield pd.DataFrame(chunk)
+
+    return run
 
 
 def file_inventory(
@@ -28,24 +57,32 @@ def file_inventory(
     paths: str | Sequence[str],
     host_pattern: str = r"/host=([^/]+)/",
     segment_pattern: str = r"/(?:segid=|gpseg)(-?\d+)/",
+    spread_levels: int = 2,
+    tasks: int | None = None,
 ) -> DataFrame:
     """One row per file: path, name, size, change time, and host and segment named by its path.
 
-    Only directory entries are read; file content is pruned from the scan.
+    Directories are listed by tasks: the top ``spread_levels`` one level at a
+    time, each spread over the cluster, the rest recursively.  Empty files are
+    included, which the built-in file sources leave out, and no listing is held
+    by the driver.
     """
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(paths if isinstance(paths, str) else list(paths))
-    )
+    # A fixed number of tasks: adaptive execution would merge these small rows into one.
+    n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    roots = [paths] if isinstance(paths, str) else list(paths)
+    found = spark.createDataFrame([(root.rstrip("/"), True, 0, None) for root in roots], _ENTRY)
+    for level in range(spread_levels + 1):
+        found = found.repartition(n, "path").mapInPandas(_list_entries(recursive=level == spread_levels), _ENTRY)
     path = F.col("path")
-    return listed.select(
+    host = F.nullif(F.regexp_extract(path, host_pattern, 1), F.lit(""))
+    segment = F.nullif(F.regexp_extract(path, segment_pattern, 1), F.lit("")).try_cast("int")
+    return found.filter(~F.col("is_dir")).select(
         "path",
         F.substring_index("path", "/", -1).alias("filename"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modtime"),
-        _from_path(path, host_pattern).alias("hostname"),
-        _from_path(path, segment_pattern).try_cast("int").alias("segid"),
+        "size_bytes",
+        "modtime",
+        host.alias("hostname"),
+        segment.alias("segid"),
     )
 
 

@@ -27,9 +27,10 @@ def stream_changed_tables(
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         newest = (
-            batch.groupBy("reloid")
-            .agg(F.max(F.struct("snapshot_ts", "modcount")).alias("s"))
-            .select("reloid", "s.modcount", F.col("s.snapshot_ts").alias("last_checktime"))
+            batch.groupBy("reloid", "snapshot_ts")
+            .agg(F.max("modcount").alias("modcount"))
+            .groupBy("reloid")
+            .agg(F.max_by("modcount", "snapshot_ts").alias("modcount"), F.max("snapshot_ts").alias("last_checktime"))
         )
         if batch_id > 0:
             state = spark.read.parquet(batch_dir(f"{out}/state", batch_id - 1))
