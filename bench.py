@@ -43,12 +43,15 @@ def main() -> None:
     )
     log_dir = os.environ.get("BENCH_EVENT_LOG")
     if log_dir:
-        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", log_dir)
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", log_dir).config(
+            "spark.eventLog.compress", "false"
+        )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
 
     timings = {}
     for name in names:
+        spark.sparkContext.setJobDescription(name)
         seconds = []
         for _ in range(runs + 1):
             start = time.perf_counter()

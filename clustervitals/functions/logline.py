@@ -17,38 +17,41 @@ INTERNAL_ERROR_MARK = "internal error"
 OUT_OF_MEMORY_MARK = "Out of memory"
 
 
-def _colon(line: Column, n: int) -> Column:
-    return F.split_part(line, F.lit(":"), F.lit(n))
-
-
-def _field(line: Column, n: int) -> Column:
-    return F.split_part(line, F.lit(","), F.lit(n))
+def _piece(text: Column, sep: str, n: int) -> Column:
+    """The n-th piece (n > 1), '' when there are fewer; touches only the text up to it."""
+    before = F.substring_index(text, sep, n - 1)
+    piece = F.substring_index(F.substring_index(text, sep, n), sep, -1)
+    return F.when(F.octet_length(before) < F.octet_length(text), piece).otherwise("")
 
 
 def hostname(line: Column) -> Column:
-    return _colon(line, 1)
+    return F.substring_index(line, ":", 1)
 
 
 def log_file(line: Column) -> Column:
-    return _colon(line, 2)
+    return _piece(line, ":", 2)
 
 
 def log_time(line: Column) -> Column:
-    """Timestamp text as logged, zone included."""
-    return F.split_part(F.concat_ws(":", _colon(line, 3), _colon(line, 4), _colon(line, 5)), F.lit(","), F.lit(1))
+    """Timestamp text as logged, zone included: the last two colons before the first comma are its own."""
+    return F.substring_index(F.substring_index(line, ",", 1), ":", -3)
 
 
 def log_ts(line: Column) -> Column:
     """Logged local time; null when the line does not carry one."""
-    return F.substring_index(log_time(line), " ", 2).try_cast("timestamp_ntz")
+    return time_of(log_time(line))
+
+
+def time_of(logtime: Column) -> Column:
+    return F.substring_index(logtime, " ", 2).try_cast("timestamp_ntz")
 
 
 def process_id(line: Column) -> Column:
-    return F.substr(_field(line, 4), F.lit(2)).try_cast("int")
+    return F.substr(_piece(line, ",", 4), F.lit(2)).try_cast("int")
 
 
 def session_id(line: Column) -> Column:
-    return _field(line, 10)
+    return _piece(line, ",", 10)
 
 
 def message(line: Column) -> Column:

@@ -36,27 +36,33 @@ def segment_age(dbs: DataFrame, n: int = 50) -> DataFrame:
     )
 
 
-def _oldest(ages: DataFrame, key: str, level: int) -> DataFrame:
-    return (
-        ages.filter((F.col("age_int") > level) & (F.col("age_int") != NEVER_FREEZES))
-        .groupBy(key)
-        .agg(F.max("age_int").alias("age_int"))
-    )
+def _over_age(ages: DataFrame, level: int, skip_never: bool) -> DataFrame:
+    over = ages.filter(F.col("age_int") > level)
+    return over.filter(F.col("age_int") != NEVER_FREEZES) if skip_never else over
 
 
 def high_age_relations(
-    rel_age: DataFrame, rels: DataFrame, leaves: bool = False, level: int = LEVEL, n: int = 8000
+    rel_age: DataFrame,
+    rels: DataFrame,
+    leaves: bool = False,
+    level: int = LEVEL,
+    n: int = 8000,
+    skip_never: bool = True,
 ) -> DataFrame:
     """Relations over ``level`` on any segment, oldest first.
 
     Roots and unpartitioned tables by default, leaf partitions with
     ``leaves``.  Ages are reduced to one per relation before the catalog join.
+    ``skip_never`` leaves out relations that never freeze; old servers counted
+    them.
     """
     leaf = names.is_leaf_name(F.col("relname"))
     wanted = (~F.col("relhassubclass") & leaf) if leaves else (F.col("relhassubclass") | ~leaf)
     tables = rels.filter((F.col("relkind") == "r") & (F.col("relstorage") != "x") & wanted)
     return (
-        _oldest(rel_age, "reloid", level)
+        _over_age(rel_age, level, skip_never)
+        .groupBy("reloid")
+        .agg(F.max("age_int").alias("age_int"))
         .join(tables.select("reloid", "schemaname", "relname"), "reloid")
         .select("reloid", "schemaname", "relname", "age_int")
         .orderBy(F.desc("age_int"), "reloid")
@@ -81,7 +87,7 @@ def high_age_auxiliary(
         ).alias("relkind", "auxoid"),
     )
     oldest = (
-        aux_age.filter((F.col("age_int") > level) & (F.col("age_int") != NEVER_FREEZES))
+        _over_age(aux_age, level, skip_never=True)
         .groupBy("auxoid", "relkind")
         .agg(F.max("age_int").alias("age_int"))
         .join(owners, ["auxoid", "relkind"])

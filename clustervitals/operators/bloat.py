@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from .scope import schema_scope
 
 # Page layout assumed by the heap estimate.
 TUPLE_HEADER = 27
@@ -20,12 +23,17 @@ HEAP_MIN_BLOAT = 2.0
 AO_MIN_BLOAT = 1.9
 
 
-def ao_bloat(visimap: DataFrame, min_bloat: float | None = None) -> DataFrame:
+def ao_bloat(
+    visimap: DataFrame, schemas: Sequence[str] | None = None, min_bloat: float | None = None
+) -> DataFrame:
     """Hidden share and bloat of append-only relations, summed over segments.
 
     Bloat is 100 / (100.1 - percent hidden): about 1 when clean, 1000 when
-    every row is hidden.  Only relations above ``min_bloat``, if given.
+    every row is hidden.  Only the listed ``schemas`` and relations above
+    ``min_bloat``, if given.
     """
+    if schemas is not None:
+        visimap = schema_scope(visimap, include=schemas)
     totals = visimap.groupBy("reloid", "schemaname", "tablename").agg(
         F.sum("hidden").alias("hidden"), F.sum("total").alias("total")
     )

@@ -111,6 +111,21 @@ def settings_report(settings: DataFrame) -> DataFrame:
     )
 
 
+def owner_settings(settings: DataFrame, databases: DataFrame, roles: DataFrame) -> DataFrame:
+    """Settings kept in one table for databases (setrole = 0) and roles (setdatabase = 0).
+
+    ``databases``: oid, datname.  ``roles``: oid, rolname.
+    """
+
+    def of(kind: str, rows: DataFrame, key: str, owners: DataFrame, name: str) -> DataFrame:
+        named = owners.select(F.col("oid").alias(key), F.col(name).alias("name"))
+        return settings_report(rows.join(named, key)).select(F.lit(kind).alias("kind"), "name", "setting")
+
+    on_database = of("database", settings.filter(F.col("setrole") == 0), "setdatabase", databases, "datname")
+    on_role = of("role", settings.filter(F.col("setdatabase") == 0), "setrole", roles, "rolname")
+    return on_database.unionByName(on_role)
+
+
 def maintenance_targets(rels: DataFrame, schema: str = "pg_catalog") -> DataFrame:
     """Plain tables of one schema with the statement that maintains each."""
     tables = rels.filter(

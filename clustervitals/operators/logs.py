@@ -58,10 +58,9 @@ def session_log_tail(lines: DataFrame, sessions: DataFrame | None = None, n: int
     line = F.col("log_msg")
     if sessions is None:
         sessions = panic_events(lines)
-    parsed = lines.select(
-        logline.session_id(line).alias("sess_id"), logline.log_ts(line).alias("ts"), line
-    ).filter(F.col("sess_id") != "")
-    chosen = lookup_join(parsed, sessions.select("sess_id").distinct(), ["sess_id"], "left_semi")
+    named = sessions.select("sess_id").filter(F.col("sess_id") != "").distinct()
+    keyed = lines.select(logline.session_id(line).alias("sess_id"), line)
+    chosen = lookup_join(keyed, named, ["sess_id"], "left_semi").select("sess_id", logline.log_ts(line).alias("ts"), line)
     return last_n_per_key(chosen, ["sess_id"], [F.desc_nulls_last("ts"), F.desc("log_msg")], n, "line_no")
 
 
@@ -79,21 +78,23 @@ def process_log_tail(lines: DataFrame, terminations: DataFrame, n: int = 50) ->
     # Read twice below; without the checkpoint each use would scan the logs for it.
     wanted = (
         terminations.select(*_PROCESS, "logtime")
-        .withColumn("ts", F.substring_index("logtime", " ", 2).try_cast("timestamp_ntz"))
+        .withColumn("ts", logline.time_of(F.col("logtime")))
         .dropna(subset=[*_PROCESS, "ts"])
         .distinct()
         .checkpoint()
     )
-    parsed = lines.select(
+    keyed = lines.select(
         logline.hostname(line).alias("hostname"),
         logline.log_file(line).alias("logfilename"),
         logline.process_id(line).alias("pid"),
-        logline.log_ts(line).alias("ts"),
         line,
-    ).dropna(subset=["pid", "ts"])
-    # Equal lines at one instant are kept as one row with a count.
+    )
+    # Times are parsed for lines of the wanted processes only.  Equal lines at
+    # one instant are kept as one row with a count.
     relevant = (
-        lookup_join(parsed, wanted.select(*_PROCESS).distinct(), _PROCESS, "left_semi")
+        lookup_join(keyed, wanted.select(*_PROCESS).distinct(), _PROCESS, "left_semi")
+        .withColumn("ts", logline.log_ts(line))
+        .dropna(subset=["ts"])
         .groupBy(*_PROCESS, "ts", "log_msg")
         .agg(F.count("*").alias("copies"))
     )

@@ -82,11 +82,11 @@ def tablespace_max_files(sizes: DataFrame) -> DataFrame:
     )
 
 
-def _largest(sizes: DataFrame, n: int, key: str = "tablename") -> DataFrame:
+def _largest(sizes: DataFrame, n: int, key: str = "tablename", storage_column: str = "relstorage") -> DataFrame:
     return (
-        sizes.groupBy(key, "relstorage")
+        sizes.groupBy(key, storage_column)
         .agg(F.sum("size_bytes").alias("size_bytes"))
-        .orderBy(F.desc("size_bytes"), key, "relstorage")
+        .orderBy(F.desc("size_bytes"), key, storage_column)
         .limit(n)
         .withColumn("size", names.pretty_size(F.col("size_bytes")))
     )
@@ -96,16 +96,41 @@ def _with_tablename(sizes: DataFrame) -> DataFrame:
     return sizes.withColumn("tablename", names.qualified_name(F.col("schemaname"), F.col("relname")))
 
 
-def top_relations(sizes: DataFrame, storage: Sequence[str] = APPEND_ONLY, n: int = 100) -> DataFrame:
-    """The n largest relations of the given storage classes."""
-    return _largest(_with_tablename(sizes.filter(F.col("relstorage").isin(*storage))), n)
+def with_root(sizes: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """Add ``root``, the table a relation's bytes count for, and ``is_leaf``.
+
+    Leaves are known by their name, or by the catalog when ``parents`` (reloid,
+    root_schema, root_name) is given.
+    """
+    own = names.qualified_name(F.col("schemaname"), F.col("relname"))
+    if parents is None:
+        return sizes.withColumn("root", names.partition_root(own)).withColumn(
+            "is_leaf", names.is_leaf_name(F.col("relname"))
+        )
+    roots = parents.select("reloid", names.qualified_name(F.col("root_schema"), F.col("root_name")).alias("_root"))
+    return (
+        sizes.join(roots, "reloid", "left")
+        .withColumn("root", F.coalesce(F.col("_root"), own))
+        .withColumn("is_leaf", F.col("_root").isNotNull())
+        .drop("_root")
+    )
+
+
+def top_relations(
+    sizes: DataFrame, storage: Sequence[str] = APPEND_ONLY, n: int = 100, storage_column: str = "relstorage"
+) -> DataFrame:
+    """The n largest relations of the given storage classes (codes, or access methods in another column)."""
+    return _largest(
+        _with_tablename(sizes.filter(F.col(storage_column).isin(*storage))), n, storage_column=storage_column
+    )
 
 
-def top_partitioned(sizes: DataFrame, n: int = 100) -> DataFrame:
+def top_partitioned(
+    sizes: DataFrame, n: int = 100, parents: DataFrame | None = None, storage: Sequence[str] = LOCAL_STORAGE
+) -> DataFrame:
     """The n largest partitioned tables: bytes of the leaves summed to their root."""
-    leaves = sizes.filter(F.col("relstorage").isin(*LOCAL_STORAGE) & names.is_leaf_name(F.col("relname")))
-    rooted = _with_tablename(leaves).withColumn("root_partition", names.partition_root(F.col("tablename")))
-    return _largest(rooted, n, "root_partition")
+    leaves = with_root(sizes.filter(F.col("relstorage").isin(*storage)), parents).filter(F.col("is_leaf"))
+    return _largest(leaves.withColumnRenamed("root", "root_partition"), n, "root_partition")
 
 
 def top_temp_relations(sizes: DataFrame, n: int = 50) -> DataFrame:

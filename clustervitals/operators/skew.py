@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from .scope import schema_scope
-from .size import relation_files
+from .size import relation_files, with_root
 
 GIB = 1 << 30
 
@@ -35,6 +35,7 @@ def skew_check(
     min_total: int = GIB,
     threshold: float = 0.5,
     keys: DataFrame | None = None,
+    parents: DataFrame | None = None,
     ordered: bool = True,
 ) -> DataFrame:
     """Large tables missing from some segments, or much heavier on one.
@@ -42,11 +43,11 @@ def skew_check(
     Skew is (max - avg) / avg over the segments that hold data, so a table on
     one segment has skew 0 and is reported for its segment count.  One pass:
     bytes per (root table, segment), then all figures of a table at once.
+    Leaves are rolled up by name, or by ``parents`` (see ``size.with_root``).
     """
-    root = names.partition_root(names.qualified_name(F.col("schemaname"), F.col("relname")))
     per_segment = (
-        sizes.filter(F.col("relstorage") != "x")
-        .groupBy(root.alias("tablename"), "segid")
+        with_root(sizes.filter(F.col("relstorage") != "x"), parents)
+        .groupBy(F.col("root").alias("tablename"), "segid")
         .agg(F.sum("size_bytes").alias("bytes"))
         .filter(F.col("bytes") > 0)
     )

@@ -247,6 +247,22 @@ DEFINITIONS = {
     "fx_proc_lines": """
         select concat('host', segid, ' 5432 u', pid % 10, ' db', pid % 3, ' 10.0.0.1(', pid % 50000, ') ', sessionid, ' seg', segid, ' slice', pid % 4) as proc_line from fx_proc
     """,
+    # setdatabase bigint, setrole bigint, setconfig array<string> : settings of databases and roles in one table
+    "fx_owner_settings": """
+        select case when s_suppkey % 2 = 0 then s_suppkey else 0 end as setdatabase, case when s_suppkey % 2 = 0 and s_suppkey % 6 <> 0 then 0 else s_suppkey end as setrole,
+          split(concat('a=', s_suppkey, ';b=', s_nationkey), ';') as setconfig from supplier
+    """,
+    # fx_rel_size with leaves named freely and known by the catalog only
+    "fx_leaf_size": """
+        select schemaname, concat('leaf', l_partkey % 200, 'x', l_linenumber) as relname, l_partkey % 200 * 10 + l_linenumber as reloid, segid, size_bytes, relstorage
+        from (select l_partkey, l_linenumber, concat('s', l_partkey % 5) as schemaname, cast(l_suppkey % 8 as int) as segid, cast(l_quantity * 1048576 as bigint) as size_bytes,
+          case when l_partkey % 2 = 0 then 'h' else 'a' end as relstorage from lineitem where not (l_partkey % 40 = 9 and l_suppkey % 8 < 2)) x
+    """,
+    # reloid bigint, root_schema string, root_name string : leaves and their partitioned tables
+    "fx_leaf_parent": """
+        select distinct l_partkey % 200 * 10 + l_linenumber as reloid, concat('s', l_partkey % 5) as root_schema, concat('t', l_partkey % 40) as root_name
+        from lineitem where l_partkey % 200 > 40
+    """,
     # reloid bigint, modcount bigint, snapshot_ts timestamp_ntz : counters in arrival order
     "fx_modcount_feed": """
         select reloid, modcount, timestamp '2000-01-01 00:00:00' as snapshot_ts from fx_modcount_old

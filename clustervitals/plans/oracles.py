@@ -139,6 +139,15 @@ SQL["top_partitioned"] = _top(
     "root_partition", _root(TABLE), "fx_rel_size",
     "relstorage in ('a', 'c', 'h') and instr(relname, '_1_prt_') > 0", 100,
 )
+_BY_CATALOG = """(select l.segid, l.size_bytes, l.relstorage, p.reloid is not null as is_leaf,
+        coalesce(p.root_schema, l.schemaname) as schemaname, coalesce(p.root_name, l.relname) as relname
+      from fx_leaf_size l left join fx_leaf_parent p on p.reloid = l.reloid) z"""
+SQL["top_partitioned_by_catalog"] = _top("root_partition", TABLE, _BY_CATALOG, "is_leaf", 100)
+SQL["top_by_access_method"] = f"""
+    select tablename, amname, b as size_bytes, {_pretty('b')} as size from (
+      select {TABLE} as tablename, 'ao_column' as amname, cast(sum(size_bytes) as bigint) as b from fx_rel_size
+      where relstorage = 'c' group by 1 order by b desc, 1 limit 50) x
+"""
 SQL["top_temp_relations"] = _top(
     "tablename", TABLE, "fx_temp_size", "relstorage in ('a', 'c', 'h') and starts_with(schemaname, 'pg_temp')", 50
 )
@@ -198,6 +207,7 @@ def _skew(source: str, min_total: int, threshold: float, keys: bool = False) ->
 
 
 SQL["skew_check"] = _skew("fx_rel_size", 1 << 30, 0.5, keys=True)
+SQL["skew_check_by_catalog"] = _skew(_BY_CATALOG, 1 << 20, 0.1)
 SQL["skew_report"] = _skew("fx_rel_size", 1 << 20, 0.02)
 SQL["skew_from_files"] = _skew(
     """(select r.schemaname, r.relname, r.relstorage, f.segid, f.size_bytes from fx_seg_rels r
@@ -314,6 +324,13 @@ SQL["operation_history"] = """
 SQL["settings_report"] = """
     select name, array_to_string(setconfig, ',') as setting from fx_settings where setconfig is not null
 """
+SQL["owner_settings"] = """
+    select 'database' as kind, s_name as name, array_to_string(setconfig, ',') as setting
+    from fx_owner_settings f join supplier s on s.s_suppkey = f.setdatabase where f.setrole = 0
+    union all
+    select 'role', s_name, array_to_string(setconfig, ',')
+    from fx_owner_settings f join supplier s on s.s_suppkey = f.setrole where f.setdatabase = 0
+"""
 SQL["maintenance_targets"] = f"""
     select schemaname, relname, concat('VACUUM ANALYZE ', {_quoted()}, ';') as statement
     from fx_rel where schemaname = 'pg_catalog' and relkind = 'r' and relstorage <> 'x'

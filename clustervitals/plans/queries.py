@@ -238,6 +238,17 @@ def top_partitioned(fx):
     return size.top_partitioned(fx.fx_rel_size)
 
 
+@query
+def top_partitioned_by_catalog(fx):
+    return size.top_partitioned(fx.fx_leaf_size, 100, fx.fx_leaf_parent)
+
+
+@query
+def top_by_access_method(fx):
+    method = F.when(F.col("relstorage") == "h", "heap").when(F.col("relstorage") == "c", "ao_column")
+    return size.top_relations(fx.fx_rel_size.withColumn("amname", method), ["ao_row", "ao_column"], 50, "amname")
+
+
 @query
 def top_temp_relations(fx):
     return size.top_temp_relations(fx.fx_temp_size)
@@ -277,6 +288,11 @@ def skew_check(fx):
     return skew.skew_check(fx.fx_rel_size, N_SEGMENTS, keys=_rel_keys(fx))
 
 
+@query
+def skew_check_by_catalog(fx):
+    return skew.skew_check(fx.fx_leaf_size, N_SEGMENTS, min_total=1 << 20, threshold=0.1, parents=fx.fx_leaf_parent)
+
+
 @query
 def distribution_key(fx):
     return skew.distribution_key(fx.fx_dk, fx.fx_attr)
@@ -384,6 +400,12 @@ def settings_report(fx):
     return inventory.settings_report(fx.fx_settings)
 
 
+@query
+def owner_settings(fx):
+    owners = fx.supplier.select(F.col("s_suppkey").alias("oid"), F.col("s_name").alias("datname"), F.col("s_name").alias("rolname"))
+    return inventory.owner_settings(fx.fx_owner_settings, owners, owners)
+
+
 @query
 def maintenance_targets(fx):
     return inventory.maintenance_targets(fx.fx_rel)

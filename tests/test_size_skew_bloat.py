@@ -118,7 +118,8 @@ def test_ao_bloat_extremes(spark):
     got = {r.tablename: (r.percent_hidden, r.bloat) for r in bloat.ao_bloat(df).collect()}
     assert got["empty"][0] == 0 and got["split"][0] == 33.33
     assert abs(got["all"][1] - 1000) < 1e-6 and abs(got["none"][1] - 100 / 100.1) < 1e-9
-    assert {r.tablename for r in bloat.ao_bloat(df, 1.9).collect()} == {"all"}
+    assert {r.tablename for r in bloat.ao_bloat(df, min_bloat=1.9).collect()} == {"all"}
+    assert bloat.ao_bloat(df, schemas=["other"]).isEmpty()
 
 
 def heap_inputs(spark, tuples, pages, null_frac=0.0, width=4):
