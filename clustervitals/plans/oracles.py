@@ -637,6 +637,39 @@ SQL["evaluate_alerts"] = f"""
 """
 
 
+def _metric(name: str, sql: str, value: str) -> str:
+    return f"select '{name}' as metric_name, cast({value} as varchar) as monitor_result from ({sql}) m"
+
+
+_METRICS = [
+    ("gpdb_segment_down", SQL["segments_down"], "result"),
+    ("gpdb_primary_mirror_sync_state", SQL["segments_out_of_sync"], "result"),
+    ("gpdb_segment_role_switch", SQL["role_switched"], "result"),
+    ("gpdb_workfile_usage_per_query", SQL["top_workfile"], "cast(workfile_gb as decimal(18, 2))"),
+    ("gpdb_check_lock_tables", SQL["longest_lock_wait"], "wait_minutes"),
+    ("gpdb_total_sql", SQL["active_sql"], "active_sql"),
+    ("gpdb_total_waiting_sql", SQL["waiting_sql"], "waiting_sql"),
+    ("gpdb_total_connections", SQL["connections"], "connections"),
+    ("gpdb_total_idle_in_transaction", SQL["idle_in_transaction"], "idle_in_transaction"),
+    ("gpdb_long_sql_running_time", SQL["longest_sql_minutes"], "longest_sql_minutes"),
+    ("gpdb_resource_group_running_sql", SQL["resource_group_totals"], "running"),
+    ("gpdb_resource_group_waiting_sql", SQL["resource_group_totals"], "queueing"),
+    ("gpdb_resource_queue_running_sql", SQL["resource_queue_counts"], "running"),
+    ("gpdb_resource_queue_waiting_sql", SQL["resource_queue_counts"], "waiting"),
+    ("gpdb_check_session_processes", SQL["session_process_skew_top"], "sess_proc_count"),
+    ("gpdb_check_master_panic", f"select * from ({SQL['pattern_counts']}) p where pattern = 'master_panic'", "matches"),
+    ("gpdb_check_segment_panic", f"select * from ({SQL['pattern_counts']}) p where pattern = 'segment_panic'", "matches"),
+    ("gpdb_check_internal_error", f"select * from ({SQL['pattern_counts']}) p where pattern = 'internal_error'", "matches"),
+    ("gpdb_check_oom", f"select * from ({SQL['pattern_counts']}) p where pattern = 'out_of_memory'", "matches"),
+    ("gpdb_check_master_age", SQL["database_age_top"], "age_int"),
+    ("gpdb_check_segment_age", SQL["segment_age"].replace("limit 50", "limit 1"), "age_int"),
+]
+SQL["metric_results"] = (
+    f"select {CLOCK} as ctime, metric_name, monitor_result, 2 as status from ("
+    + " union all ".join(_metric(*m) for m in _METRICS) + ") r"
+)
+
+
 def _decoded(item: str, flags: dict[str, str]) -> str:
     held = f"split_part(split_part({item}, '=', 2), '/', 1)"
     return "concat(" + ", ".join(f"case when contains({held}, '{f}') then '{w}' else '' end" for f, w in flags.items()) + ")"

@@ -22,6 +22,7 @@ from ..streaming import metrics as stream_metrics
 from ..streaming import sessions as stream_sessions
 from ..streaming import sinks as stream_sinks
 from .fixtures import Fixtures
+from .metrics import metric_results as collect_metrics
 from .report import health_report
 
 AS_OF = datetime(2024, 1, 31)
@@ -696,6 +697,26 @@ def evaluate_alerts(fx):
     return monitor.evaluate_alerts(monitor.latest_metrics(fx.fx_history), fx.fx_alert_setup)
 
 
+@query
+def metric_results(fx):
+    return collect_metrics(
+        {
+            "conf": fx.fx_segconf,
+            "workfiles": fx.fx_workfile,
+            "locks": fx.fx_locks,
+            "activity": fx.fx_activity,
+            "resource_groups": fx.fx_resgroup,
+            "resource_queues": fx.fx_resq,
+            "processes": fx.fx_proc,
+            "lines": fx.fx_log,
+            "dbs": fx.fx_db_age,
+        },
+        AS_OF,
+        LOG_SINCE,
+        ("host0",),
+    )
+
+
 @query
 def health(fx):
     return health_report(

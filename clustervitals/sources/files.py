@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .workspace import location_resolver
+
 PROCESS_SCHEMA = T.StructType(
     [
         T.StructField(name, T.StringType())
@@ -27,11 +29,11 @@ _ENTRY = "path string, is_dir boolean, size_bytes long, modtime timestamp"
 
 def _list_entries(recursive: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Replace each directory by its entries; entries that are files pass through."""
+    resolve = location_resolver()
 
     def entries(path: str) -> Iterator[dict]:
-        uri = path if "://" in path else f"file://{path}"
-        system, inner = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-        prefix = uri[: uri.index("://") + 3] if "://" in path else ""
+        system, inner = resolve(path)
+        prefix = path[: path.index("://") + 3] if "://" in path else ""
         for info in system.get_file_info(fs.FileSelector(inner, recursive=recursive)):
             if info.type == fs.FileType.File or not recursive:
                 yield {

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.monitor import latest_metrics
+from .workspace import location_resolver
 
 
 def save_report(df: DataFrame, path: str) -> None:
@@ -28,40 +31,31 @@ def append_history(df: DataFrame, path: str, mode: str = "append") -> None:
 def export_metric_text(history: DataFrame, out_dir: str) -> None:
     """Write the latest value of each metric to ``<out_dir>/<metric>.txt``.
 
-    Values are written to a staging directory and renamed, so a reader never
-    sees half a file.  The renames are one per metric, after aggregation.
+    A check that failed without a result leaves the earlier value in place.
+    After aggregation each task writes its metrics' files: to a temporary name
+    first, then renamed, so a reader never sees half a file and a repeated task
+    does no harm.
     """
-    spark = history.sparkSession
-    staging = f"{out_dir.rstrip('/')}/_staging"
-    (
-        latest_metrics(history)
-        .select(F.coalesce("monitor_result", F.lit("")).alias("value"), "metric_name")
-        .repartition("metric_name")
-        .write.mode("overwrite")
-        .partitionBy("metric_name")
-        .text(staging)
-    )
-    files, path = _file_system(spark, out_dir)
-    for entry in files.listStatus(path(staging)):
-        name = entry.getPath().getName()
-        if not name.startswith("metric_name="):
-            continue
-        metric = unquote(name.split("=", 1)[1])
-        target = path(f"{out_dir.rstrip('/')}/{metric}.txt")
-        part = next(f.getPath() for f in files.listStatus(entry.getPath()) if f.getPath().getName().startswith("part-"))
-        files.delete(target, False)
-        files.rename(part, target)
+    resolve = location_resolver()
+
+    def write(rows: Iterator[Row]) -> None:
+        system, root = resolve(out_dir)
+        system.create_dir(root, recursive=True)
+        for row in rows:
+            target = f"{root}/{quote(row.metric_name, safe='')}.txt"
+            partial = f"{target}.{uuid.uuid4().hex}.tmp"
+            with system.open_output_stream(partial) as out:
+                out.write(row.monitor_result.encode())
+            system.move(partial, target)
+
+    measured = history.filter(F.col("monitor_result") != "")
+    latest_metrics(measured).select("metric_name", "monitor_result").foreachPartition(write)
 
 
 def read_metric_text(spark: SparkSession, out_dir: str) -> DataFrame:
     """Exported metric values."""
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
     return spark.read.option("pathGlobFilter", "*.txt").text(out_dir, wholetext=True).select(
-        F.url_decode(name).alias("metric_name"), F.rtrim(F.regexp_replace("value", "\n$", "")).alias("monitor_result")
+        F.url_decode(F.url_decode(name)).alias("metric_name"), F.col("value").alias("monitor_result")
     )
 
-
-def _file_system(spark: SparkSession, location: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    return path(location).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a local one when none is configured (tests)."""
+    """The cluster's shared folder, or a local one when none is configured (local mode only)."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     local = tempfile.mkdtemp(prefix="run-")
     spark.sparkContext.setCheckpointDir(local)
     return local
@@ -26,3 +29,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def location_resolver() -> Callable:
+    """A function from a path or URI to (file system, path on it), for use inside tasks.
+
+    It is made here and captured by the task's own function, so tasks need no
+    import of this package.
+    """
+
+    def resolve(location: str):
+        from pyarrow import fs
+
+        uri = location if "://" in location else f"file://{location.removeprefix('file:')}"
+        return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+    return resolve

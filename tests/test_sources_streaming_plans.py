@@ -92,10 +92,11 @@ def test_report_is_replaced_and_history_appended(spark, tmp_path):
 
 def test_metric_text_is_replaced(spark, tmp_path):
     out = tmp_path / "text"
-    sinks.export_metric_text(history(spark, [(T0, "a", "1", 2), (T0 + timedelta(1), "a", "2", 2), (T0, "c", None, 3)]), str(out))
-    assert (out / "a.txt").read_text().strip() == "2" and (out / "c.txt").read_text().strip() == ""
-    sinks.export_metric_text(history(spark, [(T0, "a", "9", 2)]), str(out))
-    assert {r.metric_name: r.monitor_result for r in sinks.read_metric_text(spark, str(out)).collect()} == {"a": "9", "c": ""}
+    sinks.export_metric_text(history(spark, [(T0, "a", "1", 2), (T0 + timedelta(1), "a", "2", 2), (T0, "c", None, 3), (T0, "d", "", 3)]), str(out))
+    assert {f.name for f in out.iterdir()} == {"a.txt"} and (out / "a.txt").read_text() == "2"
+    sinks.export_metric_text(history(spark, [(T0, "a", "9", 2), (T0, "x/y z", "5", 2)]), str(out))
+    assert not list(out.glob("*.tmp"))
+    assert {r.metric_name: r.monitor_result for r in sinks.read_metric_text(spark, str(out)).collect()} == {"a": "9", "x/y z": "5"}
 
 
 def test_stream_log_alerts_over_three_files(spark, tmp_path):
@@ -121,6 +122,26 @@ def test_stream_log_alerts_over_three_files(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, batch)) and got
 
 
+def test_late_log_lines_are_dropped_by_a_stream_only(spark, tmp_path):
+    def text(minute):
+        return f'h:/f.csv:{T0 + timedelta(minutes=minute):%Y-%m-%d %H:%M:%S} UTC,"u","db",p1,th1,"h","1",t,0,con1,seg0,"Out of memory"\n'
+
+    src = tmp_path / "in"
+    src.mkdir()
+    for part, minutes in enumerate([(0, 60), (61,), (49, 62), (52, 3)]):
+        file = src / f"{part}.txt"
+        file.write_text("".join(text(m) for m in minutes))
+        os.utime(file, (1_700_000_000 + part, 1_700_000_000 + part))
+    stream = log_alerts.log_alerts(log_alerts.stream_log_lines(spark, str(src), max_files=1))
+    out = str(tmp_path / "out")
+    stream_sinks.run_updates(stream, out, str(tmp_path / "cp")).awaitTermination()
+    got = stream_sinks.read_updates(spark, out, ["window_start", "window_end", "hostname", "pattern"]).collect()
+    # The watermark of minute 60 drops lines from the second batch after it: 49 and 3 come too late, 52 does not.
+    assert {(r.window_start - T0).seconds // 60: r.matches for r in got} == {0: 1, 50: 1, 60: 3}
+    batch = log_alerts.log_alerts(spark.read.text(str(src)).withColumnRenamed("value", "log_msg"))
+    assert batch.agg(F.sum("matches")).first()[0] == 7
+
+
 def test_stream_latest_metrics_over_three_files(spark, tmp_path):
     rows = [(T0 + timedelta(hours=i), f"m{i % 3}", str(i), 2) for i in range(12)]
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
