@@ -6,11 +6,13 @@ Age tables are the coordinator's rows (segid = -1) stacked on all segments'.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from .remediation import remediation_statements
 
 LEVEL = 300_000_000
 # Fixed value: the age reported for relations that never freeze.
@@ -99,6 +101,24 @@ def high_age_auxiliary(
     return oldest.orderBy(F.desc("age_int"), "reloid").limit(n)
 
 
+def freeze_worklist(
+    rel_age: DataFrame, aux_age: DataFrame, links: DataFrame, rels: DataFrame, level: int = LEVEL
+) -> DataFrame:
+    """Relations to freeze, with their statement, as three lists.
+
+    Roots and unpartitioned tables, leaf partitions, and owners of auxiliary
+    relations, each oldest first and limited on its own.  A table may be on
+    more than one list.
+    """
+    lists = {
+        "tables": high_age_relations(rel_age, rels, level=level),
+        "partitions": high_age_relations(rel_age, rels, leaves=True, level=level),
+        "auxiliary": high_age_auxiliary(aux_age, links, rels, level=level),
+    }
+    labelled = [df.withColumn("list", F.lit(name)) for name, df in lists.items()]
+    return remediation_statements(reduce(DataFrame.unionByName, labelled), "freeze")
+
+
 def high_age_databases(dbs: DataFrame, names: Sequence[str] = MAINTENANCE_DATABASES, level: int = LEVEL) -> DataFrame:
     """Listed databases over ``level`` on the coordinator or any segment."""
     return dbs.filter((F.col("age_int") > level) & F.col("datname").isin(*names)).select("datname").distinct()

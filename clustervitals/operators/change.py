@@ -91,6 +91,23 @@ def stale_stats(rels: DataFrame, ops: DataFrame, as_of: datetime, max_age: timed
     )
 
 
+def analyze_worklist(
+    rels: DataFrame, ops: DataFrame, state: DataFrame, current: DataFrame, as_of: datetime,
+    max_age: timedelta = timedelta(days=3),
+) -> DataFrame:
+    """Tables whose statistics are due, with their statement.
+
+    Heap tables count by the age of their statistics, append-only tables by
+    their change counters.
+    """
+    stale = stale_stats(rels, ops, as_of, max_age).select("reloid", "schemaname", "relname", F.lit("stale").alias("reason"))
+    moved = changed_tables(state, current, ops).join(
+        rels.filter(F.col("relstorage").isin("a", "c")).select("reloid", "schemaname", "relname"), "reloid"
+    )
+    both = stale.unionByName(moved.select("reloid", "schemaname", "relname", "reason"))
+    return remediation_statements(both, "analyze")
+
+
 def refresh_state(state: DataFrame, checked: DataFrame, live: DataFrame, as_of: datetime) -> DataFrame:
     """The next stored state: checked tables replaced, dropped tables removed.
 

@@ -26,20 +26,25 @@ def lock_sessions(locks: DataFrame, activity: DataFrame, first_oid: int = FIRST_
     wanted = locks.filter(
         (F.col("locktype") == "relation") & (F.col("relation") > first_oid) & (F.col("segid") == -1)
     )
-    sessions = activity.select("pid", "usename", "state", "waiting", "xact_start", query_snippet(F.col("query")).alias("query"))
-    return wanted.select("relation", "pid", "lockmode", "granted").join(sessions, "pid")
+    sessions = activity.select("pid", "usename", "state", "waiting", "xact_start", "query")
+    return wanted.select("relation", "pid", "lockmode", "granted").join(_short(sessions), "pid")
+
+
+def _short(locks: DataFrame) -> DataFrame:
+    """Statement text cut to its report length, so rows stay small wherever they are sent."""
+    return locks.withColumn("query", query_snippet(F.col("query"))) if "query" in locks.columns else locks
 
 
 def _waiters(locks: DataFrame) -> DataFrame:
     waiting = ~F.col("granted") & (F.col("lockmode") != SHARE_LOCK)
     if "waiting" in locks.columns:
         waiting = waiting & F.col("waiting")
-    return locks.filter(waiting & F.col("relation").isNotNull() & F.col("xact_start").isNotNull())
+    return _short(locks).filter(waiting & F.col("relation").isNotNull() & F.col("xact_start").isNotNull())
 
 
 def _holders(locks: DataFrame) -> DataFrame:
     holding = F.col("granted") & (F.col("lockmode") != SHARE_LOCK)
-    return locks.filter(holding & F.col("relation").isNotNull() & F.col("xact_start").isNotNull())
+    return _short(locks).filter(holding & F.col("relation").isNotNull() & F.col("xact_start").isNotNull())
 
 
 def _oldest_holder(locks: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def distribution_key(policy: DataFrame, attributes: DataFrame) -> DataFrame:
         "attnum", F.col("attnum").cast("int")
     )
     named = positions.join(attributes.select("reloid", "attnum", "attname"), ["reloid", "attnum"], "left")
-    columns = F.array_sort(F.collect_list(F.when(F.col("attname").isNotNull(), F.struct("pos", "attname"))))
+    columns = F.array_sort(F.collect_set(F.when(F.col("attname").isNotNull(), F.struct("pos", "attname"))))
     return (
         named.groupBy("reloid", "tablename")
         .agg(columns.alias("key_columns"))

@@ -189,6 +189,7 @@ SQL["distribution_key"] = f"""
 
 
 def _skew(source: str, min_total: int, threshold: float, keys: bool = False) -> str:
+    # (max - avg) / avg rounded half up in whole numbers: a double average could fall either side of a half.
     dk = "d.dk" if keys else "cast(null as varchar)"
     join = f"left join ({_DK}) d on d.tablename = t.tablename" if keys else ""
     return f"""
@@ -200,7 +201,7 @@ def _skew(source: str, min_total: int, threshold: float, keys: bool = False) ->
     heaviest as (
       select tablename, segid, row_number() over (partition by tablename order by b desc, segid) as rn from per_seg)
     select t.tablename, 8 as sys_segcount, cast(t.n as int) as data_segcount, h.segid as maxsize_segid, t.top as maxsize_bytes,
-      {_pretty('t.top')} as maxsize, round((t.top - t.mean) / t.mean, 2) as skew, {dk} as dk
+      {_pretty('t.top')} as maxsize, (((cast(t.top as hugeint) * t.n - t.total) * 200 + t.total) // (2 * t.total)) / 100.0 as skew, {dk} as dk
     from per_table t join heaviest h on h.tablename = t.tablename and h.rn = 1 {join}
     where t.total > {min_total} and (t.n < 8 or (t.top - t.mean) / t.mean > {threshold})
 """
@@ -378,6 +379,13 @@ _STALE = """
       and (o.last_analyze is null or timestamp '2001-08-01 00:00:00' - o.last_analyze > interval '3' day)
 """
 SQL["stale_stats"] = _STALE
+SQL["analyze_worklist"] = f"""
+    select *, concat('ANALYZE ', {_quoted()}, ';') as statement from (
+      select reloid, schemaname, relname, 'stale' as reason from ({_STALE}) s
+      union all
+      select c.reloid, r.schemaname, r.relname, c.reason from ({_CHANGED}) c
+      join fx_rel r on r.reloid = c.reloid where r.relstorage in ('a', 'c')) x
+"""
 SQL["refresh_state"] = f"""
     select reloid, modcount, timestamp '2000-01-01 00:00:00' as last_checktime from fx_modcount_old o
     where o.reloid not in (select reloid from ({_CHANGED}) c)
@@ -418,6 +426,12 @@ SQL["high_age_auxiliary"] = """
         where a.age_int > 300000000 and a.age_int <> 2147483647) x
     join fx_rel r on r.reloid = x.relid group by 1, 2, 3 order by 4 desc, 1 limit 3000
 """
+SQL["freeze_worklist"] = f"""
+    select *, concat('VACUUM FREEZE ', {_quoted()}, ';') as statement from (
+      select *, 'tables' as list from ({SQL['high_age_relations']}) a
+      union all select *, 'partitions' from ({SQL['high_age_partitions']}) b
+      union all select *, 'auxiliary' from ({SQL['high_age_auxiliary']}) c) x
+"""
 SQL["high_age_databases"] = """
     select distinct datname from fx_db_age where age_int > 300000000 and datname in ('db0', 'db1', 'db2')
 """

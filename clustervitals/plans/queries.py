@@ -454,6 +454,11 @@ def stale_stats(fx):
     return change.stale_stats(fx.fx_rel, fx.fx_ops, OPS_AS_OF)
 
 
+@query
+def analyze_worklist(fx):
+    return change.analyze_worklist(fx.fx_rel, fx.fx_ops, _state(fx), fx.fx_modcount_new, OPS_AS_OF)
+
+
 @query
 def refresh_state(fx):
     done = change.changed_tables(_state(fx), fx.fx_modcount_new, fx.fx_ops)
@@ -499,6 +504,11 @@ def high_age_auxiliary(fx):
     return age.high_age_auxiliary(fx.fx_aux_age, fx.fx_aux_link, fx.fx_rel)
 
 
+@query
+def freeze_worklist(fx):
+    return age.freeze_worklist(fx.fx_rel_age, fx.fx_aux_age, fx.fx_aux_link, fx.fx_rel)
+
+
 @query
 def high_age_databases(fx):
     return age.high_age_databases(fx.fx_db_age, ["db0", "db1", "db2"])
