@@ -44,6 +44,9 @@ def terminated_events(lines: DataFrame) -> DataFrame:
 
 _PROCESS = ["hostname", "logfilename", "pid"]
 
+# Below, keys parsed from lines are made non-null: for a nullable key the join
+# adds a not-null filter, which would parse every line once more.
+
 
 def terminated_without_panic(terminated: DataFrame, panics: DataFrame) -> DataFrame:
     """Terminations whose process logged no PANIC in the same file."""
@@ -59,7 +62,7 @@ def session_log_tail(lines: DataFrame, sessions: DataFrame | None = None, n: int
     if sessions is None:
         sessions = panic_events(lines)
     named = sessions.select("sess_id").filter(F.col("sess_id") != "").distinct()
-    keyed = lines.select(logline.session_id(line).alias("sess_id"), line)
+    keyed = lines.select(F.coalesce(logline.session_id(line), F.lit("")).alias("sess_id"), line)
     chosen = lookup_join(keyed, named, ["sess_id"], "left_semi").select("sess_id", logline.log_ts(line).alias("ts"), line)
     return last_n_per_key(chosen, ["sess_id"], [F.desc_nulls_last("ts"), F.desc("log_msg")], n, "line_no")
 
@@ -84,9 +87,9 @@ def process_log_tail(lines: DataFrame, terminations: DataFrame, n: int = 50) ->
         .checkpoint()
     )
     keyed = lines.select(
-        logline.hostname(line).alias("hostname"),
-        logline.log_file(line).alias("logfilename"),
-        logline.process_id(line).alias("pid"),
+        F.coalesce(logline.hostname(line), F.lit("")).alias("hostname"),
+        F.coalesce(logline.log_file(line), F.lit("")).alias("logfilename"),
+        F.coalesce(logline.process_id(line), F.lit(-1)).alias("pid"),
         line,
     )
     # Times are parsed for lines of the wanted processes only.  Equal lines at
