@@ -19,6 +19,17 @@ from ..sources.workspace import ensure_checkpoint_dir
 from .spread import last_n_per_key, lookup_join, running_total
 
 
+def crash_lines(lines: DataFrame) -> DataFrame:
+    """The lines of panics and terminations, found in one scan and kept.
+
+    Several reports start from them; read them from here instead of scanning
+    all logs for each.
+    """
+    ensure_checkpoint_dir(lines.sparkSession)
+    line = F.col("log_msg")
+    return lines.filter(logline.is_panic(line) | logline.is_terminated(line)).checkpoint()
+
+
 def panic_events(lines: DataFrame) -> DataFrame:
     line = F.col("log_msg")
     return lines.filter(logline.is_panic(line)).select(

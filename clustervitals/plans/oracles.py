@@ -392,6 +392,7 @@ SQL["refresh_state"] = f"""
       and o.reloid in (select reloid from fx_rel where relkind = 'r')
     union all select reloid, modcount, timestamp '2001-08-01 00:00:00' from ({_CHANGED}) c
 """
+SQL["state_snapshot"] = SQL["refresh_state"]
 SQL["root_partitions"] = f"""
     select reloid, schemaname, relname, concat('ANALYZE ROOTPARTITION ', {_quoted()}, ';') as statement
     from fx_rel where relkind = 'r' and relstorage <> 'x' and relhassubclass

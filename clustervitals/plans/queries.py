@@ -14,7 +14,7 @@ from ..operators import (
     age, bloat, change, cluster, inventory, locks, logs, monitor, privileges, scope, sessions, size, skew,
 )
 from ..operators.remediation import remediation_statements
-from ..sources import files, sinks
+from ..sources import files, sinks, snapshots
 from ..sources.workspace import fresh_dir
 from ..streaming import changes as stream_changes
 from ..streaming import log_alerts as stream_logs
@@ -466,6 +466,17 @@ def refresh_state(fx):
     return change.refresh_state(_state(fx), done, live, OPS_AS_OF)
 
 
+@query
+def state_snapshot(fx):
+    root = fresh_dir(fx.spark, "state")
+    snapshots.write_snapshot(_state(fx), root)
+    state = snapshots.read_snapshot(fx.spark, root)
+    done = change.changed_tables(state, fx.fx_modcount_new, fx.fx_ops)
+    live = fx.fx_rel.filter(F.col("relkind") == "r")
+    snapshots.write_snapshot(change.refresh_state(state, done, live, OPS_AS_OF), root)
+    return snapshots.read_snapshot(fx.spark, root)
+
+
 @query
 def root_partitions(fx):
     return change.root_partitions(fx.fx_rel)
@@ -646,7 +657,8 @@ def terminated_events(fx):
 
 
 def _unexplained(fx):
-    return logs.terminated_without_panic(logs.terminated_events(fx.fx_log), logs.panic_events(fx.fx_log))
+    crashes = logs.crash_lines(fx.fx_log)
+    return logs.terminated_without_panic(logs.terminated_events(crashes), logs.panic_events(crashes))
 
 
 @query

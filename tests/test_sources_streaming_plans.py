@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from clustervitals.operators import change, monitor
 from clustervitals.plans.queries import BUILDS
 from clustervitals.plans.report import health_report
-from clustervitals.sources import files, sinks
+from clustervitals.sources import files, sinks, snapshots
 from clustervitals.sources.workspace import fresh_dir, shared_dir
 from clustervitals.streaming import changes, log_alerts, metrics
 from clustervitals.streaming import sinks as stream_sinks
@@ -99,6 +99,18 @@ def test_metric_text_is_replaced(spark, tmp_path):
     assert {r.metric_name: r.monitor_result for r in sinks.read_metric_text(spark, str(out)).collect()} == {"a": "9", "x/y z": "5"}
 
 
+def test_snapshots_take_the_newest_complete_version(spark, tmp_path):
+    root = str(tmp_path / "state")
+    with pytest.raises(FileNotFoundError):
+        snapshots.read_snapshot(spark, root)
+    assert snapshots.write_snapshot(spark.range(1), root) == 0
+    grown = snapshots.read_snapshot(spark, root).unionByName(spark.range(5, 7))
+    assert snapshots.write_snapshot(grown, root) == 1
+    (tmp_path / "state" / "version=2").mkdir()
+    assert sorted(r.id for r in snapshots.read_snapshot(spark, root).collect()) == [0, 5, 6]
+    assert snapshots.write_snapshot(spark.range(2), root) == 2 and snapshots.last_version(root) == 2
+
+
 def test_stream_log_alerts_over_three_files(spark, tmp_path):
     def text(i):
         ts = T0 + timedelta(minutes=i)
