@@ -15,8 +15,7 @@ STORAGE_LABELS = {"a": "AO row", "c": "AO column", "h": "Heap", "x": "External"}
 
 def partition_root(name: Column, mark: str = PARTITION_MARK) -> Column:
     """Text before the first literal partition mark, or the whole name."""
-    at = F.instr(name, mark)
-    return F.when(at > 0, F.substring(name, F.lit(1), at - 1)).otherwise(name)
+    return F.substring_index(name, mark, 1)
 
 
 def is_leaf_name(name: Column, mark: str = PARTITION_MARK) -> Column:

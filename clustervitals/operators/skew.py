@@ -43,27 +43,31 @@ def skew_check(
     Skew is (max - avg) / avg over the segments that hold data, so a table on
     one segment has skew 0 and is reported for its segment count.  One pass:
     bytes per (root table, segment), then all figures of a table at once.
-    Leaves are rolled up by name, or by ``parents`` (see ``size.with_root``).
+    Leaves are rolled up by name, or by ``parents`` (see ``size.with_root``);
+    rows of the coordinator (segid -1) do not count.
     """
     per_segment = (
-        with_root(sizes.filter(F.col("relstorage") != "x"), parents)
+        with_root(sizes.filter((F.col("relstorage") != "x") & (F.col("segid") >= 0)), parents)
         .groupBy(F.col("root").alias("tablename"), "segid")
         .agg(F.sum("size_bytes").alias("bytes"))
         .filter(F.col("bytes") > 0)
     )
-    heaviest = F.max(F.struct("bytes", (-F.col("segid")).alias("neg_segid")))
+    # Bytes first, then the lowest segment, as one exact number: unlike a struct
+    # it keeps the aggregation hashed, without sorting every segment's row.
+    rank = F.col("bytes").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") - F.col("segid")
     per_table = (
         per_segment.groupBy("tablename")
         .agg(
             F.count("*").cast("int").alias("data_segcount"),
             F.sum("bytes").alias("total"),
-            heaviest.alias("top"),
+            F.max("bytes").alias("top_bytes"),
+            F.max_by("segid", rank).alias("top_segid"),
         )
         .filter(F.col("total") > min_total)
     )
     # max*n - total over total is (max - avg) / avg without a rounded average.
     total = F.col("total").cast("decimal(20,0)")
-    excess = F.col("top.bytes").cast("decimal(20,0)") * F.col("data_segcount") - total
+    excess = F.col("top_bytes").cast("decimal(20,0)") * F.col("data_segcount") - total
     flagged = per_table.withColumn("excess", excess).filter(
         (F.col("data_segcount") < n_segments)
         | (F.col("excess") > F.lit(str(threshold)).cast("decimal(9,4)") * total)
@@ -72,9 +76,9 @@ def skew_check(
         "tablename",
         F.lit(n_segments).alias("sys_segcount"),
         "data_segcount",
-        (-F.col("top.neg_segid")).alias("maxsize_segid"),
-        F.col("top.bytes").alias("maxsize_bytes"),
-        names.pretty_size(F.col("top.bytes")).alias("maxsize"),
+        F.col("top_segid").alias("maxsize_segid"),
+        F.col("top_bytes").alias("maxsize_bytes"),
+        names.pretty_size(F.col("top_bytes")).alias("maxsize"),
         F.round(F.col("excess") / total, 2).cast("decimal(18,2)").alias("skew"),
     )
     if keys is None:

@@ -47,6 +47,11 @@ def test_external_tables_are_not_skewed(spark):
     assert skew.skew_check(sizes(spark, [seg("t", 0, 10, "x")]), 8, min_total=0).isEmpty()
 
 
+def test_coordinator_is_no_segment(spark):
+    rows = [seg("t", -1, 500), seg("t", 0, 10), seg("t", 1, 10)]
+    assert skew.skew_check(sizes(spark, rows), 2, min_total=0).isEmpty()
+
+
 def test_skew_of_nothing(spark):
     assert skew.skew_check(sizes(spark, []), 8).isEmpty()
 
