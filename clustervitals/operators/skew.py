@@ -6,27 +6,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..sources.workspace import ensure_checkpoint_dir
 from .scope import schema_scope
 from .size import relation_files, with_root
+from .spread import lookup_join
 
 GIB = 1 << 30
 
 
+def _key_columns(policy: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Key columns of the tables that have a key: reloid, tablename, dk."""
+    positions = (
+        policy.select("reloid", "tablename", F.posexplode("distkey").alias("pos", "attnum"))
+        .withColumn("attnum", F.col("attnum").cast("int"))
+        .distinct()
+    )
+    # Few tables: their positions are broadcast and the attributes stay where they are.
+    named = lookup_join(
+        attributes.select("reloid", F.col("attnum").cast("int").alias("attnum"), "attname"),
+        positions, ["reloid", "attnum"], splits=1,
+    )
+    ordered = F.array_sort(F.collect_set(F.struct("pos", "attname")))
+    return (
+        named.groupBy("reloid", "tablename")
+        .agg(ordered.alias("columns"))
+        .select("reloid", "tablename", F.array_join("columns.attname", ",").alias("dk"))
+    )
+
+
 def distribution_key(policy: DataFrame, attributes: DataFrame) -> DataFrame:
     """Comma-joined key columns in key order per table; null when rows are spread randomly.
 
     ``policy``: reloid, tablename, distkey (array of attribute numbers).
+    ``attributes``: reloid, attnum, attname.
     """
-    positions = policy.select("reloid", "tablename", F.posexplode_outer("distkey").alias("pos", "attnum")).withColumn(
-        "attnum", F.col("attnum").cast("int")
-    )
-    named = positions.join(attributes.select("reloid", "attnum", "attname"), ["reloid", "attnum"], "left")
-    columns = F.array_sort(F.collect_set(F.when(F.col("attname").isNotNull(), F.struct("pos", "attname"))))
-    return (
-        named.groupBy("reloid", "tablename")
-        .agg(columns.alias("key_columns"))
-        .select("reloid", "tablename", F.nullif(F.array_join("key_columns.attname", ","), F.lit("")).alias("dk"))
-    )
+    keys = _key_columns(policy, attributes).select("reloid", "dk")
+    return policy.select("reloid", "tablename").join(keys, "reloid", "left")
 
 
 def skew_check(
@@ -34,7 +49,8 @@ def skew_check(
     n_segments: int,
     min_total: int = GIB,
     threshold: float = 0.5,
-    keys: DataFrame | None = None,
+    policy: DataFrame | None = None,
+    attributes: DataFrame | None = None,
     parents: DataFrame | None = None,
     ordered: bool = True,
 ) -> DataFrame:
@@ -45,6 +61,10 @@ def skew_check(
     bytes per (root table, segment), then all figures of a table at once.
     Leaves are rolled up by name, or by ``parents`` (see ``size.with_root``);
     rows of the coordinator (segid -1) do not count.
+
+    With ``policy`` and ``attributes`` (see ``distribution_key``) the report
+    names the distribution key.  The flagged tables are then kept in a
+    checkpoint, and only their keys are looked up.
     """
     per_segment = (
         with_root(sizes.filter((F.col("relstorage") != "x") & (F.col("segid") >= 0)), parents)
@@ -81,25 +101,28 @@ def skew_check(
         names.pretty_size(F.col("top_bytes")).alias("maxsize"),
         F.round(F.col("excess") / total, 2).cast("decimal(18,2)").alias("skew"),
     )
-    if keys is None:
+    if policy is None:
         report = report.withColumn("dk", F.lit(None).cast("string"))
     else:
-        by_root = keys.filter(~names.is_leaf_name(F.col("tablename"))).select("tablename", "dk")
-        report = report.join(by_root, "tablename", "left")
+        ensure_checkpoint_dir(sizes.sparkSession)
+        report = report.checkpoint()
+        roots = policy.filter(~names.is_leaf_name(F.col("tablename")))
+        own = lookup_join(roots, report.select("tablename"), ["tablename"], "left_semi", splits=1)
+        keys = _key_columns(own, attributes).select("tablename", "dk")
+        report = report.join(keys, "tablename", "left")
     return report.orderBy("data_segcount", F.desc("maxsize_bytes"), "tablename") if ordered else report
 
 
-def skew_report(sizes: DataFrame, n_segments: int, keys: DataFrame | None = None, **limits) -> DataFrame:
+def skew_report(sizes: DataFrame, n_segments: int, **options) -> DataFrame:
     """``skew_check`` over every user schema in one job, by table and falling skew."""
-    return skew_check(
-        schema_scope(sizes, all_schemas=True), n_segments, keys=keys, ordered=False, **limits
-    ).orderBy("tablename", F.desc("skew"))
+    scoped = schema_scope(sizes, all_schemas=True)
+    return skew_check(scoped, n_segments, ordered=False, **options).orderBy("tablename", F.desc("skew"))
 
 
-def skew_from_files(files: DataFrame, rels: DataFrame, n_segments: int, keys: DataFrame | None = None, **limits) -> DataFrame:
+def skew_from_files(files: DataFrame, rels: DataFrame, n_segments: int, **options) -> DataFrame:
     """``skew_check`` of heap tables, fed by the data files found on the segments."""
     heap = schema_scope(rels.filter(F.col("relstorage") == "h"), all_schemas=True)
-    return skew_check(relation_files(files, heap), n_segments, keys=keys, **limits)
+    return skew_check(relation_files(files, heap), n_segments, **options)
 
 
 def session_process_skew(procs: DataFrame, n: int | None = None) -> DataFrame:

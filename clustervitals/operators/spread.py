@@ -29,12 +29,15 @@ def lookup_join(
     ``how`` must keep the fact side: inner, left_semi or left_anti.  The lookup
     is computed once and counted.  Up to ``BROADCAST_ROWS`` rows it is
     broadcast and the facts are not shuffled at all.  Beyond that a hot key is
-    shared by ``splits`` tasks and the lookup repeated once per split.
+    shared by ``splits`` tasks and the lookup repeated once per split; give 1
+    when no key of the facts can be hot.
     """
     ensure_checkpoint_dir(facts.sparkSession)
     lookup = lookup.checkpoint()
     if lookup.count() <= BROADCAST_ROWS:
         return facts.join(F.broadcast(lookup), list(on), how)
+    if splits == 1:
+        return facts.join(lookup, list(on), how)
     left = facts.withColumn("_split", _split_of_task(splits))
     right = lookup.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     return left.join(right, [*on, "_split"], how).drop("_split")

@@ -279,14 +279,9 @@ def retention_plan(fx):
 # ---- skew
 
 
-def _rel_keys(fx):
-    keys = skew.distribution_key(fx.fx_dk, fx.fx_attr)
-    return keys.select("tablename", "dk")
-
-
 @query
 def skew_check(fx):
-    return skew.skew_check(fx.fx_rel_size, N_SEGMENTS, keys=_rel_keys(fx))
+    return skew.skew_check(fx.fx_rel_size, N_SEGMENTS, policy=fx.fx_dk, attributes=fx.fx_attr)
 
 
 @query

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from clustervitals.functions import names
-from clustervitals.operators import bloat, size, skew
+from clustervitals.operators import bloat, size, skew, spread
 
 SIZES = "schemaname string, relname string, reloid long, segid int, size_bytes long, relfilecount long, relstorage string, spcname string"
 
@@ -173,3 +173,16 @@ def test_distribution_key_keeps_key_order_and_all_columns(spark):
     policy = spark.createDataFrame([(1, "s.t", ["3", "1"]), (2, "s.r", None)], "reloid long, tablename string, distkey array<string>")
     attrs = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c")], "reloid long, attnum int, attname string")
     assert {r.tablename: r.dk for r in skew.distribution_key(policy, attrs).collect()} == {"s.t": "c,a", "s.r": None}
+
+
+def test_skew_names_the_distribution_key_on_both_join_paths(spark, monkeypatch):
+    data = sizes(spark, [seg("t", 0, 10), seg("r", 0, 10), seg("p_1_prt_1", 0, 10)])
+    policy = spark.createDataFrame(
+        [(1, "s.t", ["2", "1"]), (2, "s.r", None), (3, "s.p_1_prt_1", ["1"]), (4, "s.p", ["1"])],
+        "reloid long, tablename string, distkey array<string>",
+    )
+    attrs = spark.createDataFrame([(i, n, f"c{n}") for i in (1, 3, 4) for n in (1, 2)], "reloid long, attnum int, attname string")
+    for limit in (spread.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(spread, "BROADCAST_ROWS", limit)
+        got = skew.skew_check(data, 2, min_total=0, policy=policy, attributes=attrs).collect()
+        assert {r.tablename: r.dk for r in got} == {"s.t": "c2,c1", "s.r": None, "s.p": "c1"}
