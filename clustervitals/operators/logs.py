@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logline
 from ..functions.clock import instant
-from ..sources.workspace import ensure_checkpoint_dir
+from ..sources.workspace import keep
 from .spread import last_n_per_key, lookup_join, running_total
 
 
@@ -25,9 +25,8 @@ def crash_lines(lines: DataFrame) -> DataFrame:
     Several reports start from them; read them from here instead of scanning
     all logs for each.
     """
-    ensure_checkpoint_dir(lines.sparkSession)
     line = F.col("log_msg")
-    return lines.filter(logline.is_panic(line) | logline.is_terminated(line)).checkpoint()
+    return keep(lines.filter(logline.is_panic(line) | logline.is_terminated(line)))
 
 
 def panic_events(lines: DataFrame) -> DataFrame:
@@ -88,14 +87,12 @@ def process_log_tail(lines: DataFrame, terminations: DataFrame, n: int = 50) ->
     alone would form every (termination, earlier line) pair.
     """
     line = F.col("log_msg")
-    ensure_checkpoint_dir(lines.sparkSession)
-    # Read twice below; without the checkpoint each use would scan the logs for it.
-    wanted = (
+    # Read twice below, and often the result of a scan of the logs itself.
+    wanted = keep(
         terminations.select(*_PROCESS, "logtime")
         .withColumn("ts", logline.time_of(F.col("logtime")))
         .dropna(subset=[*_PROCESS, "ts"])
         .distinct()
-        .checkpoint()
     )
     keyed = lines.select(
         F.coalesce(logline.hostname(line), F.lit("")).alias("hostname"),

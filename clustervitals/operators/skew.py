@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..sources.workspace import ensure_checkpoint_dir
+from ..sources.workspace import keep
 from .scope import schema_scope
 from .size import relation_files, with_root
 from .spread import lookup_join
@@ -104,8 +104,7 @@ def skew_check(
     if policy is None:
         report = report.withColumn("dk", F.lit(None).cast("string"))
     else:
-        ensure_checkpoint_dir(sizes.sparkSession)
-        report = report.checkpoint()
+        report = keep(report)
         roots = policy.filter(~names.is_leaf_name(F.col("tablename")))
         own = lookup_join(roots, report.select("tablename"), ["tablename"], "left_semi", splits=1)
         keys = _key_columns(own, attributes).select("tablename", "dk")

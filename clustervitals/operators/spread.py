@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.workspace import ensure_checkpoint_dir
+from ..sources.workspace import keep
 
 SPLITS = 32
 
@@ -32,8 +32,7 @@ def lookup_join(
     shared by ``splits`` tasks and the lookup repeated once per split; give 1
     when no key of the facts can be hot.
     """
-    ensure_checkpoint_dir(facts.sparkSession)
-    lookup = lookup.checkpoint()
+    lookup = keep(lookup)
     if lookup.count() <= BROADCAST_ROWS:
         return facts.join(F.broadcast(lookup), list(on), how)
     if splits == 1:
@@ -74,11 +73,8 @@ def running_total(
     the same for both, hence the checkpoint.  ``keys`` must not be null and
     (keys, order) should be close to unique.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sliced = (
-        df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id()).checkpoint()
-    )
+    sliced = keep(df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id()))
     by_slice = sliced.groupBy(*keys, "_slice").agg(F.sum(value).alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_slice.select(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import age, bloat, cluster, inventory, sessions, size, skew
-from ..sources.workspace import ensure_checkpoint_dir
+from ..sources.workspace import keep
 
 
 def size_rollup(sizes: DataFrame) -> DataFrame:
@@ -19,11 +19,9 @@ def size_rollup(sizes: DataFrame) -> DataFrame:
     The checkpoint is scanned once per section instead of the raw snapshot and
     survives the loss of executors.
     """
-    ensure_checkpoint_dir(sizes.sparkSession)
-    return (
-        sizes.groupBy("schemaname", "relname", "relstorage", "spcname", "segid")
-        .agg(F.sum("size_bytes").alias("size_bytes"), F.sum("relfilecount").alias("relfilecount"))
-        .checkpoint()
+    per_segment = sizes.groupBy("schemaname", "relname", "relstorage", "spcname", "segid")
+    return keep(
+        per_segment.agg(F.sum("size_bytes").alias("size_bytes"), F.sum("relfilecount").alias("relfilecount"))
     )
 
 

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,9 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
+def keep(df: DataFrame) -> DataFrame:
+    """Compute a result once and read it back from the shared folder from then on.
+
+    Later uses neither repeat the work nor depend on the executors that did it.
+    """
+    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
