@@ -213,6 +213,36 @@ def test_plans_stay_in_the_jvm_without_cross_joins(spark, name):
     assert not [bad for bad in BAD_NODES if bad in plan]
 
 
+def plan_of(spark, name):
+    return entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["top_append_only", "top_heap", "top_partitioned", "segment_age", "high_age_relations", "subpartition_counts"])
+def test_top_lists_do_not_sort_everything(spark, name):
+    assert "TakeOrderedAndProject" in plan_of(spark, name)
+
+
+def test_tails_are_cut_before_the_shuffle(spark):
+    assert plan_of(spark, "session_log_tail").count("row_number(), 100, Partial") == 2
+
+
+@pytest.mark.parametrize("name", ["session_log_tail", "terminated_without_panic", "operation_history", "lock_waits"])
+def test_small_lookups_are_broadcast(spark, name):
+    plan = plan_of(spark, name)
+    assert "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("name", sorted(n for n in BUILDS if not n.startswith("stream_")))
+def test_no_window_runs_over_all_rows(spark, name):
+    # A window without partition keys prints an empty list before its order.
+    assert not re.search(r"Window \[.*\], \[\], \[", plan_of(spark, name))
+
+
+def test_skew_check_aggregates_by_hash(spark):
+    plan = plan_of(spark, "skew_report")
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_scans_read_only_needed_columns(spark):
     plan = entry.queries()["session_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "props" not in re.search(r"ReadSchema: struct<([^>]*)>", plan)[1]
