@@ -20,12 +20,13 @@ NEVER_FREEZES = 2147483647
 MAINTENANCE_DATABASES = ("postgres", "template1", "gpperfmon")
 
 
-def database_age(dbs: DataFrame, n: int | None = None) -> DataFrame:
-    """Age per database on the coordinator, oldest first."""
-    ages = (
-        dbs.filter(F.col("segid") == -1).select("datname", "age_int").orderBy(F.desc("age_int"), "datname")
-    )
-    return ages if n is None else ages.limit(n)
+def database_age(dbs: DataFrame, n: int | None = None, ordered: bool = True) -> DataFrame:
+    """Age per database on the coordinator, oldest first; the n oldest if given."""
+    ages = dbs.filter(F.col("segid") == -1).select("datname", "age_int")
+    if n is None and not ordered:
+        return ages
+    oldest = ages.orderBy(F.desc("age_int"), "datname")
+    return oldest if n is None else oldest.limit(n)
 
 
 def segment_age(dbs: DataFrame, n: int = 50) -> DataFrame:

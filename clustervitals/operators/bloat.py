@@ -110,7 +110,9 @@ def heap_bloat(
     )
 
 
-def bloat_report(heap: DataFrame, ao: DataFrame, min_ao_bloat: float = AO_MIN_BLOAT) -> DataFrame:
+def bloat_report(
+    heap: DataFrame, ao: DataFrame, min_ao_bloat: float = AO_MIN_BLOAT, ordered: bool = True
+) -> DataFrame:
     """Bloated heap and append-only tables in one list, worst first within each kind."""
     tablename = names.qualified_name(F.col("schemaname"), F.col("tablename"))
 
@@ -120,7 +122,7 @@ def bloat_report(heap: DataFrame, ao: DataFrame, min_ao_bloat: float = AO_MIN_BL
         )
 
     both = rows(heap, "h").unionByName(rows(ao.filter(F.col("bloat") > min_ao_bloat), "ao"))
-    return both.orderBy("relstorage", F.desc("bloat"), "tablename")
+    return both.orderBy("relstorage", F.desc("bloat"), "tablename") if ordered else both
 
 
 def catalog_bloat(actual: DataFrame, compact: DataFrame) -> DataFrame:

@@ -41,17 +41,14 @@ def _labelled_tables(rels: DataFrame) -> DataFrame:
     return users.filter(F.col("relkind") == "r").withColumn("tabletype", names.storage_label(F.col("relstorage")))
 
 
-def storage_by_schema(rels: DataFrame) -> DataFrame:
-    return (
-        _labelled_tables(rels)
-        .groupBy("schemaname", "tabletype")
-        .agg(F.count("*").alias("n"))
-        .orderBy("schemaname", "tabletype")
-    )
+def storage_by_schema(rels: DataFrame, ordered: bool = True) -> DataFrame:
+    counts = _labelled_tables(rels).groupBy("schemaname", "tabletype").agg(F.count("*").alias("n"))
+    return counts.orderBy("schemaname", "tabletype") if ordered else counts
 
 
-def storage_totals(rels: DataFrame) -> DataFrame:
-    return _labelled_tables(rels).groupBy("tabletype").agg(F.count("*").alias("n")).orderBy("tabletype")
+def storage_totals(rels: DataFrame, ordered: bool = True) -> DataFrame:
+    counts = _labelled_tables(rels).groupBy("tabletype").agg(F.count("*").alias("n"))
+    return counts.orderBy("tabletype") if ordered else counts
 
 
 _PARTITION = ["schemaname", "tablename", "partitionschemaname", "partitiontablename"]
@@ -69,20 +66,20 @@ def subpartition_counts(parts: DataFrame, n: int | None = 100) -> DataFrame:
     return counts if n is None else counts.limit(n)
 
 
-def partition_schema_mismatch(parts: DataFrame) -> DataFrame:
+def partition_schema_mismatch(parts: DataFrame, ordered: bool = True) -> DataFrame:
     """Leaves stored in another schema than their parent."""
-    return (
+    strays = (
         parts.filter(F.col("schemaname") != F.col("partitionschemaname"))
         .select(
             names.qualified_name(F.col("schemaname"), F.col("tablename")).alias("tablename"),
             names.qualified_name(F.col("partitionschemaname"), F.col("partitiontablename")).alias("partitiontablename"),
         )
         .distinct()
-        .orderBy("tablename", "partitiontablename")
     )
+    return strays.orderBy("tablename", "partitiontablename") if ordered else strays
 
 
-def default_partition_rows(rows: DataFrame) -> DataFrame:
+def default_partition_rows(rows: DataFrame, ordered: bool = True) -> DataFrame:
     """Rows that fell into default partitions, one grouped scan for all tables.
 
     ``rows``: one row per stored row, tagged partitionschemaname,
@@ -90,12 +87,10 @@ def default_partition_rows(rows: DataFrame) -> DataFrame:
     and so do not appear.
     """
     leaf = names.qualified_name(F.col("partitionschemaname"), F.col("partitiontablename"))
-    return (
-        rows.filter(F.col("partitionisdefault"))
-        .groupBy(leaf.alias("tablename"))
-        .agg(F.count("*").alias("row_count"))
-        .orderBy(F.desc("row_count"), "tablename")
+    counts = (
+        rows.filter(F.col("partitionisdefault")).groupBy(leaf.alias("tablename")).agg(F.count("*").alias("row_count"))
     )
+    return counts.orderBy(F.desc("row_count"), "tablename") if ordered else counts
 
 
 def operation_history(ops: DataFrame, objects: DataFrame) -> DataFrame:

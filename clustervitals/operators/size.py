@@ -45,41 +45,41 @@ def relation_files(files: DataFrame, rels: DataFrame) -> DataFrame:
     )
 
 
-def schema_size(sizes: DataFrame) -> DataFrame:
-    return (
+def schema_size(sizes: DataFrame, ordered: bool = True) -> DataFrame:
+    totals = (
         sizes.filter(~F.col("schemaname").startswith("pg_temp"))
         .groupBy("schemaname")
         .agg(F.sum("size_bytes").alias("size_bytes"))
         .withColumn("size", names.pretty_size(F.col("size_bytes")))
-        .orderBy(F.desc("size_bytes"), "schemaname")
     )
+    return totals.orderBy(F.desc("size_bytes"), "schemaname") if ordered else totals
 
 
 def _tablespace(sizes: DataFrame) -> DataFrame:
     return sizes.withColumn("tsname", F.coalesce("spcname", F.lit("pg_default")))
 
 
-def tablespace_size(sizes: DataFrame, by_size: bool = False) -> DataFrame:
+def tablespace_size(sizes: DataFrame, by_size: bool = False, ordered: bool = True) -> DataFrame:
     order = [F.desc("size_bytes"), F.col("tsname")] if by_size else [F.col("tsname")]
-    return (
+    totals = (
         _tablespace(sizes)
         .groupBy("tsname")
         .agg(F.sum("size_bytes").alias("size_bytes"))
         .withColumn("size", names.pretty_size(F.col("size_bytes")))
-        .orderBy(*order)
     )
+    return totals.orderBy(*order) if ordered else totals
 
 
-def tablespace_max_files(sizes: DataFrame) -> DataFrame:
+def tablespace_max_files(sizes: DataFrame, ordered: bool = True) -> DataFrame:
     """Files of the segment that holds most of them, per tablespace."""
-    return (
+    most = (
         _tablespace(sizes)
         .groupBy("tsname", "segid")
         .agg(F.sum("relfilecount").alias("files"))
         .groupBy("tsname")
         .agg(F.max("files").alias("max_segfilenum"))
-        .orderBy(F.desc("max_segfilenum"), "tsname")
     )
+    return most.orderBy(F.desc("max_segfilenum"), "tsname") if ordered else most
 
 
 def _largest(sizes: DataFrame, n: int, key: str = "tablename", storage_column: str = "relstorage") -> DataFrame:

@@ -112,10 +112,10 @@ def skew_check(
     return report.orderBy("data_segcount", F.desc("maxsize_bytes"), "tablename") if ordered else report
 
 
-def skew_report(sizes: DataFrame, n_segments: int, **options) -> DataFrame:
+def skew_report(sizes: DataFrame, n_segments: int, ordered: bool = True, **options) -> DataFrame:
     """``skew_check`` over every user schema in one job, by table and falling skew."""
-    scoped = schema_scope(sizes, all_schemas=True)
-    return skew_check(scoped, n_segments, ordered=False, **options).orderBy("tablename", F.desc("skew"))
+    report = skew_check(schema_scope(sizes, all_schemas=True), n_segments, ordered=False, **options)
+    return report.orderBy("tablename", F.desc("skew")) if ordered else report
 
 
 def skew_from_files(files: DataFrame, rels: DataFrame, n_segments: int, **options) -> DataFrame:

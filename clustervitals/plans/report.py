@@ -35,7 +35,7 @@ def _sections(inputs: dict[str, DataFrame], as_of: datetime, n_segments: int, n:
         shape = cluster.cluster_shape(conf)
         yield "cluster", shape.unpivot([], shape.columns, "k", "v"), F.col("k"), "v"
     if "dbs" in inputs:
-        yield "database age", age.database_age(inputs["dbs"]), F.col("datname"), "age_int"
+        yield "database age", age.database_age(inputs["dbs"], ordered=False), F.col("datname"), "age_int"
         pair = F.concat_ws("/", F.col("segid").cast("string"), F.col("datname"))
         yield "segment age", age.segment_age(inputs["dbs"], n), pair, "age_int"
     if "activity" in inputs:
@@ -47,34 +47,33 @@ def _sections(inputs: dict[str, DataFrame], as_of: datetime, n_segments: int, n:
         yield "objects", inventory.object_counts(inputs["rels"], inputs["attributes"]), F.col("object"), "n"
     if "rels" in inputs:
         kind = F.concat_ws("/", "schemaname", "tabletype")
-        yield "storage by schema", inventory.storage_by_schema(inputs["rels"]), kind, "n"
-        yield "storage", inventory.storage_totals(inputs["rels"]), F.col("tabletype"), "n"
+        yield "storage by schema", inventory.storage_by_schema(inputs["rels"], ordered=False), kind, "n"
+        yield "storage", inventory.storage_totals(inputs["rels"], ordered=False), F.col("tabletype"), "n"
     if "sizes" in inputs:
         sizes = size_rollup(inputs["sizes"])
-        yield "schema size", size.schema_size(sizes), F.col("schemaname"), "size_bytes"
-        yield "tablespace size", size.tablespace_size(sizes), F.col("tsname"), "size_bytes"
-        yield "tablespace files", size.tablespace_max_files(sizes), F.col("tsname"), "max_segfilenum"
+        yield "schema size", size.schema_size(sizes, ordered=False), F.col("schemaname"), "size_bytes"
+        yield "tablespace size", size.tablespace_size(sizes, ordered=False), F.col("tsname"), "size_bytes"
+        yield "tablespace files", size.tablespace_max_files(sizes, ordered=False), F.col("tsname"), "max_segfilenum"
         table = F.concat_ws("/", "tablename", "relstorage")
         yield "append-only tables", size.top_relations(sizes, size.APPEND_ONLY, n), table, "size_bytes"
         yield "heap tables", size.top_relations(sizes, size.HEAP, n), table, "size_bytes"
         root = F.concat_ws("/", "root_partition", "relstorage")
         yield "partitioned tables", size.top_partitioned(sizes, 2 * n), root, "size_bytes"
         yield "temporary tables", size.top_temp_relations(sizes, n), table, "size_bytes"
-        yield "skew", skew.skew_report(sizes, n_segments), F.col("tablename"), "skew"
+        yield "skew", skew.skew_report(sizes, n_segments, ordered=False), F.col("tablename"), "skew"
     if "parts" in inputs:
         parts = inputs["parts"]
         yield "subpartitions", inventory.subpartition_counts(parts), F.col("tablename"), "sub_count"
         yield (
             "partitions in another schema",
-            inventory.partition_schema_mismatch(parts),
+            inventory.partition_schema_mismatch(parts, ordered=False),
             F.col("partitiontablename"),
             "tablename",
         )
-        yield "default partitions", inventory.default_partition_rows(parts), F.col("tablename"), "row_count"
+        yield "default partitions", inventory.default_partition_rows(parts, ordered=False), F.col("tablename"), "row_count"
     if "visimap" in inputs and "col_stats" in inputs and "relpages" in inputs:
-        report = bloat.bloat_report(
-            bloat.heap_bloat(inputs["col_stats"], inputs["relpages"]), bloat.ao_bloat(inputs["visimap"])
-        )
+        heap = bloat.heap_bloat(inputs["col_stats"], inputs["relpages"])
+        report = bloat.bloat_report(heap, bloat.ao_bloat(inputs["visimap"]), ordered=False)
         yield "bloat", report, F.concat_ws("/", "tablename", "relstorage"), "bloat"
     if "settings" in inputs:
         yield "settings", inventory.settings_report(inputs["settings"]), F.col("name"), "setting"
