@@ -774,6 +774,10 @@ SQL["stream_log_alerts"] = f"""
     from ({_MATCHES}) m group by 1, 2, 3, 4
 """
 SQL["stream_latest_metrics"] = _LATEST
+SQL["stream_metric_results"] = (
+    f"select {CLOCK} as ctime, metric_name, monitor_result, 2 as status from ("
+    + " union all ".join(_metric(*m) for m in _METRICS if " from fx_activity" in m[1]) + ") r"
+)
 SQL["stream_changed_tables"] = f"""
     select reloid, modcount, 'new' as reason, 0 as batch from fx_modcount_old
     union all select reloid, modcount, reason, 1 from ({_MOVED}) m

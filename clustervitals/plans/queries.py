@@ -804,6 +804,15 @@ def stream_latest_metrics(fx):
     return stream_sinks.read_updates(fx.spark, f"{work}/latest", ["metric_name"])
 
 
+@query
+def stream_metric_results(fx):
+    snapshot = fx.fx_activity.withColumn("snapshot_ts", F.lit(str(AS_OF)).cast("timestamp_ntz"))
+    source, work = _landed(fx, snapshot, "snapshot-in"), fresh_dir(fx.spark, "snapshot")
+    stream = fx.spark.readStream.schema(snapshot.schema).parquet(source)
+    stream_metrics.stream_metric_results(stream, work, f"{work}/cp", f"{work}/text").awaitTermination()
+    return fx.spark.read.parquet(f"{work}/history").select("ctime", "metric_name", "monitor_result", "status")
+
+
 @query
 def stream_changed_tables(fx):
     source, work = fresh_dir(fx.spark, "counters-in"), fresh_dir(fx.spark, "counters")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
 
@@ -143,8 +144,10 @@ def log_lines(spark: SparkSession, root: str, date_prefix: str, name_prefix: str
         .option("pathGlobFilter", f"{name_prefix}{date_prefix}*.csv")
         .text(root)
     )
+    # Paths come back with a scheme and any number of slashes before the root's own name.
+    inner = "/" + re.sub(r"^[a-z0-9]+:", "", root).strip("/") + "/"
     path = F.col("_metadata.file_path")
-    below = F.substr(path, F.instr(path, root.rstrip("/").split(":")[-1]) + len(root.rstrip("/").split(":")[-1]) + 1)
+    below = F.substr(path, F.instr(path, inner) + len(inner))
     host = F.substring_index(below, "/", 1)
     file = F.substr(below, F.length(host) + 1)
     return text.select(F.concat(host, F.lit(":"), file, F.lit(":"), F.col("value")).alias("log_msg"))

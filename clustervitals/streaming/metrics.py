@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.clock import instant
 from ..operators.monitor import latest_metrics
+from ..plans.metrics import metric_results
 from ..sources.sinks import append_history, export_metric_text
 from .sinks import batch_dir, run_batches
 
@@ -33,3 +36,25 @@ def stream_latest_metrics(
             export_metric_text(batch.sparkSession.read.parquet(current), text_dir)
 
     return run_batches(history, write, checkpoint, trigger)
+
+
+def stream_metric_results(
+    activity: DataFrame, out: str, checkpoint: str, text_dir: str | None = None, trigger: dict | None = None
+) -> StreamingQuery:
+    """Session metrics of each arriving snapshot, appended to the history and exported.
+
+    ``activity`` carries ``snapshot_ts``.  A batch may bring several snapshots;
+    the newest one is measured, as a check that runs late would.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        as_of = batch.agg(F.max("snapshot_ts")).first()[0]
+        if as_of is None:
+            return
+        newest = batch.filter(F.col("snapshot_ts") == instant(as_of))
+        results = metric_results({"activity": newest}, as_of)
+        append_history(results, batch_dir(f"{out}/history", batch_id), mode="overwrite")
+        if text_dir:
+            export_metric_text(results, text_dir)
+
+    return run_batches(activity, write, checkpoint, trigger)

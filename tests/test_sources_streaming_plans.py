@@ -62,6 +62,8 @@ def test_log_lines_of_a_month(spark, tmp_path):
         'h2:/gpseg0/pg_log/gpdb-2024-01-06_000000.csv:2024-01-06 00:00:00 UTC,"u"',
     }
     assert files.log_lines(spark, str(tmp_path), "2024-01-06").count() == 1
+    by_uri = files.log_lines(spark, f"file://{tmp_path}/", "2024-01").collect()
+    assert {r.log_msg for r in by_uri} == got
     with pytest.raises(ValueError):
         files.log_lines(spark, str(tmp_path), "2024")
 
@@ -168,6 +170,26 @@ def test_stream_latest_metrics_over_three_files(spark, tmp_path):
     assert (tmp_path / "text" / "m2.txt").read_text().strip() == "11"
 
 
+def test_stream_metric_results_measures_the_newest_snapshot(spark, tmp_path):
+    schema = "snapshot_ts timestamp_ntz, state string, waiting boolean, query_start timestamp_ntz"
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    later = T0 + timedelta(minutes=5)
+    batches = [
+        [(T0, "active", False, T0 - timedelta(minutes=9)), (T0, "idle", False, T0)],
+        [(later, "active", True, T0), (later - timedelta(minutes=1), "active", False, T0)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        metrics.stream_metric_results(stream, out, str(tmp_path / "cp"), str(tmp_path / "text")).awaitTermination()
+    rows = spark.read.parquet(f"{out}/history").collect()
+    got = {(r.ctime, r.metric_name): r.monitor_result for r in rows}
+    assert len(rows) == 10
+    assert (got[T0, "gpdb_total_connections"], got[T0, "gpdb_long_sql_running_time"]) == ("2", "9")
+    assert (got[later, "gpdb_total_connections"], got[later, "gpdb_total_waiting_sql"]) == ("1", "1")
+    assert (tmp_path / "text" / "gpdb_long_sql_running_time.txt").read_text() == "5"
+
+
 def test_stream_changed_tables_emits_new_and_changed_once(spark, tmp_path):
     schema = "reloid long, modcount long, snapshot_ts timestamp_ntz"
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
