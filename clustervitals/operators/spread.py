@@ -11,8 +11,8 @@ from ..sources.workspace import keep
 
 SPLITS = 32
 
-# A lookup of this many short rows is tens of megabytes on each executor.
-BROADCAST_ROWS = 100_000
+# Largest lookup sent to every executor, as the length of its rows in text.
+BROADCAST_BYTES = 32 << 20
 
 
 def _split_of_task(splits: int) -> Column:
@@ -27,13 +27,14 @@ def lookup_join(
     """Equi-join of a large fact side with a lookup side that is unique on ``on``.
 
     ``how`` must keep the fact side: inner, left_semi or left_anti.  The lookup
-    is computed once and counted.  Up to ``BROADCAST_ROWS`` rows it is
-    broadcast and the facts are not shuffled at all.  Beyond that a hot key is
+    is computed once and measured.  Up to ``BROADCAST_BYTES`` it is broadcast
+    and the facts are not shuffled at all.  Beyond that a hot key is
     shared by ``splits`` tasks and the lookup repeated once per split; give 1
     when no key of the facts can be hot.
     """
     lookup = keep(lookup)
-    if lookup.count() <= BROADCAST_ROWS:
+    row_bytes = F.octet_length(F.to_json(F.struct("*")))
+    if lookup.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0] <= BROADCAST_BYTES:
         return facts.join(F.broadcast(lookup), list(on), how)
     if splits == 1:
         return facts.join(lookup, list(on), how)

@@ -15,7 +15,7 @@ NOW = datetime(2024, 1, 31)
 @pytest.fixture(params=["broadcast", "split"])
 def join_path(request, monkeypatch):
     if request.param == "split":
-        monkeypatch.setattr(spread, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(spread, "BROADCAST_BYTES", -1)
     return request.param
 
 

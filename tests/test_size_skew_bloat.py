@@ -182,7 +182,7 @@ def test_skew_names_the_distribution_key_on_both_join_paths(spark, monkeypatch):
         "reloid long, tablename string, distkey array<string>",
     )
     attrs = spark.createDataFrame([(i, n, f"c{n}") for i in (1, 3, 4) for n in (1, 2)], "reloid long, attnum int, attname string")
-    for limit in (spread.BROADCAST_ROWS, -1):
-        monkeypatch.setattr(spread, "BROADCAST_ROWS", limit)
+    for limit in (spread.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(spread, "BROADCAST_BYTES", limit)
         got = skew.skew_check(data, 2, min_total=0, policy=policy, attributes=attrs).collect()
         assert {r.tablename: r.dk for r in got} == {"s.t": "c2,c1", "s.r": None, "s.p": "c1"}
