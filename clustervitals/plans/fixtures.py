@@ -220,6 +220,10 @@ DEFINITIONS = {
         select case when reloid % 4 = 0 then concat('pg_temp_', segid + reloid) else schemaname end as schemaname, relname, reloid, segid,
           size_bytes, relfilecount, relstorage, spcname from fx_rel_size
     """,
+    # segid int, line string : listing text by segment
+    "fx_seg_listing": """
+        select cast(length(line) % 8 as int) as segid, line from fx_listing
+    """,
     # filename string, size_bytes bigint, modtime timestamp : server log files of mixed age
     "fx_log_files": """
         select concat('gpdb-', doc_id, case doc_id % 4 when 0 then '.csv' when 1 then '.log' when 2 then '.csv.gz' else '.txt' end) as filename,

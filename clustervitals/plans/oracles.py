@@ -51,10 +51,12 @@ SQL["parse_file_listing"] = f"""
       strptime(f[6], '%Y-%m-%d_%H:%M:%S') as modtime, f[7] as filename
     from ({_LISTED.format(lines='fx_listing')}) x where len(f) = 7
 """
-SQL["listing_rejects"] = """
-    select line from (
-      select array_to_string(list_slice(string_split(line, ' '), -3, -1), ' ') as line from fx_listing
-    ) x where not contains(line, '?') and not starts_with(line, 'total') and not starts_with(line, '/') and trim(line) <> ''
+_ENTRY = "not contains(line, '?') and not starts_with(line, 'total') and not starts_with(line, '/') and trim(line) <> ''"
+_CUT = "array_to_string(list_slice(string_split(line, ' '), -3, -1), ' ') as line"
+SQL["listing_rejects"] = f"select line from (select {_CUT} from fx_listing) x where {_ENTRY}"
+SQL["rejects_over_limit"] = f"""
+    select segid, count(*) as rejects from (select segid, {_CUT} from fx_seg_listing) x where {_ENTRY}
+    group by 1 having count(*) >= 10
 """
 SQL["partitioned_log_lines"] = """
     select log_msg, substr(split_part(log_msg, '.csv:', 2), 1, 10) as dt, split_part(log_msg, ':', 1) as host from fx_log

@@ -78,6 +78,12 @@ def listing_rejects(fx):
     return files.listing_rejects(cut)
 
 
+@query
+def rejects_over_limit(fx):
+    cut = fx.fx_seg_listing.withColumn("line", F.substring_index("line", " ", -3))
+    return files.rejects_over_limit(cut)
+
+
 @query
 def partitioned_log_lines(fx):
     root = fresh_dir(fx.spark, "log")

@@ -129,7 +129,16 @@ def parse_file_listing(lines: DataFrame) -> DataFrame:
 
 def listing_rejects(lines: DataFrame) -> DataFrame:
     """Lines that look like a file entry but have a wrong shape."""
-    return _listing_fields(lines).filter(~_well_formed()).select("line")
+    return _listing_fields(lines).filter(~_well_formed()).select(*lines.columns)
+
+
+def rejects_over_limit(lines: DataFrame, limit: int = 10) -> DataFrame:
+    """Segments whose listing has ``limit`` rejected lines or more, so that their load would fail.
+
+    ``lines`` carries ``segid`` beside ``line``.
+    """
+    counts = listing_rejects(lines).groupBy("segid").agg(F.count("*").alias("rejects"))
+    return counts.filter(F.col("rejects") >= limit)
 
 
 def log_lines(spark: SparkSession, root: str, date_prefix: str, name_prefix: str = "gpdb-") -> DataFrame:
