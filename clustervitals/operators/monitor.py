@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import before, instant
@@ -21,6 +21,20 @@ def latest_metrics(history: DataFrame) -> DataFrame:
     return history.groupBy("metric_name").agg(newest.alias("last")).select("metric_name", "last.*")
 
 
+def _interval_passed(as_of: datetime) -> Column:
+    elapsed = F.timestamp_diff("MICROSECOND", "last_finishtime", instant(as_of))
+    return elapsed > F.col("check_interval").cast("long") * 60_000_000
+
+
+def _due(as_of: datetime) -> Column:
+    status = F.col("status")
+    return (
+        F.when(status == NOT_STARTED, F.lit(True))
+        .when(status.isin(COMPLETED, FAILED), F.col("last_finishtime").isNull() | _interval_passed(as_of))
+        .otherwise(F.lit(False))
+    )
+
+
 def due_metrics(setup: DataFrame, as_of: datetime) -> DataFrame:
     """Whether each check should run now.
 
@@ -29,18 +43,46 @@ def due_metrics(setup: DataFrame, as_of: datetime) -> DataFrame:
     ``stuck`` marks a check that has been running longer than its interval.
     """
     status = F.col("status")
-    waited = F.timestamp_diff("MICROSECOND", "last_finishtime", instant(as_of)) > F.col("check_interval").cast("long") * 60000000
-    overdue = F.col("last_finishtime").isNull() | waited
     return setup.select(
         "monitor_id",
         "metric_name",
-        F.when(status == RUNNING, F.lit(False))
-        .when(status == NOT_STARTED, F.lit(True))
-        .when(status.isin(COMPLETED, FAILED), overdue)
-        .otherwise(F.lit(False))
-        .alias("due"),
+        _due(as_of).alias("due"),
         F.when(~status.isin(NOT_STARTED, RUNNING, COMPLETED, FAILED), "invalid status").alias("error"),
-        ((status == RUNNING) & F.coalesce(waited, F.lit(False))).alias("stuck"),
+        ((status == RUNNING) & F.coalesce(_interval_passed(as_of), F.lit(False))).alias("stuck"),
+    )
+
+
+def reset_checks(setup: DataFrame) -> DataFrame:
+    """The settings after a restart: nothing is running and nothing has finished."""
+    finish = setup.schema["last_finishtime"].dataType
+    return setup.withColumn("status", F.lit(NOT_STARTED)).withColumn("last_finishtime", F.lit(None).cast(finish))
+
+
+def start_checks(setup: DataFrame, as_of: datetime) -> DataFrame:
+    """The settings once every due check has been marked as running."""
+    finish = setup.schema["last_finishtime"].dataType
+    return setup.withColumns(
+        {
+            "status": F.when(_due(as_of), F.lit(RUNNING)).otherwise(F.col("status")),
+            "last_finishtime": F.when(_due(as_of), instant(as_of).cast(finish)).otherwise(F.col("last_finishtime")),
+        }
+    )
+
+
+def record_results(setup: DataFrame, results: DataFrame, as_of: datetime) -> DataFrame:
+    """The settings after results came in: status and finish time of the checks that ran.
+
+    ``results``: metric_name, status, one row per check.  Write the outcome to
+    a new snapshot; it reads the old one.
+    """
+    finish = setup.schema["last_finishtime"].dataType
+    ran = results.select("metric_name", F.col("status").alias("new_status"))
+    joined = setup.join(ran, "metric_name", "left")
+    done = F.col("new_status").isNotNull()
+    return (
+        joined.withColumn("status", F.coalesce("new_status", "status"))
+        .withColumn("last_finishtime", F.when(done, instant(as_of).cast(finish)).otherwise(F.col("last_finishtime")))
+        .select(*setup.columns)
     )
 
 

@@ -243,6 +243,11 @@ DEFINITIONS = {
         select distinct event_type as metric_name, event_type <> 'view' as if_warning,
           case when event_type = 'signup' then 'n/a' else '250' end as warning_value from events
     """,
+    # metric_name string, status int, last_finishtime timestamp : settings of the metrics of fx_history and of others
+    "fx_metric_setup": """
+        select distinct event_type as metric_name, 1 as status, timestamp '2024-01-30 00:00:00' as last_finishtime from events
+        union all select metric_name, status, last_finishtime from fx_setup
+    """,
     # snapshot_ts timestamp_ntz + fx_activity : session snapshots as they arrive
     "fx_activity_snap": """
         select query_start as snapshot_ts, pid, sess_id, state, waiting, query_start from fx_activity

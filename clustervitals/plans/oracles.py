@@ -646,6 +646,16 @@ SQL["due_metrics"] = f"""
       status = 1 and coalesce({_WAITED}, false) as stuck
     from fx_setup
 """
+SQL["start_checks"] = f"""
+    select s.monitor_id, case when d.due then 1 else s.status end as status,
+      case when d.due then {CLOCK} else cast(s.last_finishtime as timestamp) end as last_finishtime
+    from fx_setup s join ({SQL['due_metrics']}) d on d.monitor_id = s.monitor_id
+"""
+SQL["record_results"] = f"""
+    select s.metric_name, coalesce(l.status, s.status) as status,
+      case when l.metric_name is not null then {CLOCK} else cast(s.last_finishtime as timestamp) end as last_finishtime
+    from fx_metric_setup s left join ({_LATEST}) l on l.metric_name = s.metric_name
+"""
 SQL["apply_retention"] = f"select * from fx_history where ctime >= {CLOCK} - interval '14' day"
 SQL["evaluate_alerts"] = f"""
     select l.metric_name, l.monitor_result, s.warning_value,

@@ -710,6 +710,17 @@ def due_metrics(fx):
     return monitor.due_metrics(fx.fx_setup, AS_OF)
 
 
+@query
+def start_checks(fx):
+    return monitor.start_checks(fx.fx_setup, AS_OF).select("monitor_id", "status", "last_finishtime")
+
+
+@query
+def record_results(fx):
+    ran = monitor.latest_metrics(fx.fx_history)
+    return monitor.record_results(fx.fx_metric_setup, ran, AS_OF).select("metric_name", "status", "last_finishtime")
+
+
 @query
 def apply_retention(fx):
     return monitor.apply_retention(fx.fx_history, AS_OF, 14)

@@ -139,6 +139,24 @@ def test_due_metrics(spark):
     }
 
 
+def test_a_round_of_checks(spark):
+    ran = NOW - timedelta(hours=1)
+    rows = [(1, "a", 5, 0, None), (2, "b", 5, 2, ran), (3, "c", 90, 2, ran)]
+    setup = spark.createDataFrame(rows, "monitor_id int, metric_name string, check_interval int, status int, last_finishtime timestamp_ntz")
+
+    def state(df):
+        return {r.metric_name: (r.status, r.last_finishtime) for r in df.collect()}
+
+    started = monitor.start_checks(setup, NOW)
+    assert state(started) == {"a": (1, NOW), "b": (1, NOW), "c": (2, ran)}
+    assert monitor.due_metrics(started, NOW).filter("due").isEmpty()
+    later = NOW + timedelta(minutes=1)
+    results = spark.createDataFrame([("a", 2), ("b", 3)], "metric_name string, status int")
+    ended = monitor.record_results(started, results, later)
+    assert state(ended) == {"a": (2, later), "b": (3, later), "c": (2, ran)} and ended.columns == setup.columns
+    assert state(monitor.reset_checks(ended)) == {"a": (0, None), "b": (0, None), "c": (0, None)}
+
+
 def test_retention_keeps_the_boundary(spark):
     edge = NOW - timedelta(days=180)
     df = spark.createDataFrame([(edge,), (edge - timedelta(microseconds=1),)], "ctime timestamp_ntz")
