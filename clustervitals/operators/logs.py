@@ -111,10 +111,13 @@ def process_log_tail(lines: DataFrame, terminations: DataFrame, n: int = 50) ->
     )
     marks = wanted.withColumn("copies", F.lit(0).cast("long"))
     # At one instant lines sort before marks, so a mark counts the lines of its own instant.
-    stacked = relevant.withColumn("is_mark", F.lit(0)).unionByName(
-        marks.withColumn("is_mark", F.lit(1)), allowMissingColumns=True
+    # Lines of one instant go by digest: range partitioning samples its keys, and texts may be long.
+    stacked = (
+        relevant.withColumn("is_mark", F.lit(0))
+        .withColumn("digest", F.md5("log_msg"))
+        .unionByName(marks.withColumn("is_mark", F.lit(1)), allowMissingColumns=True)
     )
-    placed = running_total(stacked, _PROCESS, ["ts", "is_mark", "log_msg", "logtime"], "copies", "end")
+    placed = running_total(stacked, _PROCESS, ["ts", "is_mark", "digest", "logtime"], "copies", "end")
 
     # Only the last n copies of a line can be within n of any later mark.
     copies_from = F.greatest(F.col("end") - F.col("copies"), F.col("end") - n)

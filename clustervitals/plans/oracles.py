@@ -605,7 +605,7 @@ def _process_tail(n: int) -> str:
     return f"""
     select hostname, logfilename, pid, logtime, cast(rn as int) as line_no, log_msg from (
       select t.hostname, t.logfilename, t.pid, t.logtime, l.log_msg,
-        row_number() over (partition by t.hostname, t.logfilename, t.pid, t.logtime order by l.ts desc, l.log_msg desc) as rn
+        row_number() over (partition by t.hostname, t.logfilename, t.pid, t.logtime order by l.ts desc, md5(l.log_msg) desc) as rn
       from (select distinct hostname, logfilename, pid, logtime, {_ts('logtime')} as ts from ({_UNEXPLAINED}) u) t
       join (select {_SOURCE}, {_PID} as pid, {_ts(_TIME)} as ts, log_msg from fx_log) l
         on l.hostname = t.hostname and l.logfilename = t.logfilename and l.pid = t.pid and l.ts <= t.ts) x

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,8 +176,8 @@ def test_process_log_tail_against_brute_force(spark, join_path):
                 if f",p{pid}," in text:
                     ts = datetime.strptime(text.split(".csv:")[1].split(" UTC")[0], "%Y-%m-%d %H:%M:%S.%f")
                     if ts <= until:
-                        mine.append((ts, text))
-            for no, (_, text) in enumerate(sorted(mine, reverse=True)[:n], 1):
+                        mine.append((ts, md5(text.encode()).hexdigest(), text))
+            for no, (_, _, text) in enumerate(sorted(mine, reverse=True)[:n], 1):
                 expected.append((pid, logtime, no, text))
         got = [(r.pid, r.logtime, r.line_no, r.log_msg) for r in logs.process_log_tail(lines, events, n).collect()]
         assert sorted(got) == sorted(expected)
