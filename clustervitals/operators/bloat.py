@@ -125,7 +125,7 @@ def bloat_report(
     return both.orderBy("relstorage", F.desc("bloat"), "tablename") if ordered else both
 
 
-def catalog_bloat(actual: DataFrame, compact: DataFrame) -> DataFrame:
+def catalog_bloat(actual: DataFrame, compact: DataFrame, ordered: bool = True) -> DataFrame:
     """Size of each system catalog against a freshly rewritten copy.
 
     ``actual``: catalog, segid (-1 = coordinator), size_bytes, row_count.
@@ -140,8 +140,7 @@ def catalog_bloat(actual: DataFrame, compact: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("segid") == 0, F.col("size_bytes"))).alias("size_seg0"),
     )
     ratio = F.try_divide(F.col("size_coordinator").cast("double"), F.col("compact_bytes").cast("double"))
-    return (
-        sizes.join(compact.select("catalog", "compact_bytes"), "catalog", "left")
-        .withColumn("bloat", F.round(ratio, 4))
-        .orderBy("catalog")
+    result = sizes.join(compact.select("catalog", "compact_bytes"), "catalog", "left").withColumn(
+        "bloat", F.round(ratio, 4)
     )
+    return result.orderBy("catalog") if ordered else result

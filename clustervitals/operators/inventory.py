@@ -93,10 +93,11 @@ def default_partition_rows(rows: DataFrame, ordered: bool = True) -> DataFrame:
     return counts.orderBy(F.desc("row_count"), "tablename") if ordered else counts
 
 
-def operation_history(ops: DataFrame, objects: DataFrame) -> DataFrame:
+def operation_history(ops: DataFrame, objects: DataFrame, ordered: bool = True) -> DataFrame:
     """Operations logged on the given objects (reloid, relname), by name and time."""
     named = objects.select(F.col("reloid").alias("objid"), F.col("relname").alias("objname")).distinct()
-    return lookup_join(ops, named, ["objid"]).orderBy("objname", "statime", "actionname")
+    history = lookup_join(ops, named, ["objid"])
+    return history.orderBy("objname", "statime", "actionname") if ordered else history
 
 
 def settings_report(settings: DataFrame) -> DataFrame:

@@ -180,15 +180,15 @@ def partition_table_size(sizes: DataFrame, tables: DataFrame | None = None) -> D
     return tables.select("schemaname", "relname").distinct().join(per_root, ["schemaname", "relname"], "left")
 
 
-def database_size(sizes: DataFrame) -> DataFrame:
+def database_size(sizes: DataFrame, ordered: bool = True) -> DataFrame:
     """Bytes per database; ``sizes`` has datname and size_bytes."""
-    return (
+    totals = (
         sizes.filter(~F.col("datname").isin(*SYSTEM_DATABASES))
         .groupBy("datname")
         .agg(F.sum("size_bytes").alias("size_bytes"))
         .withColumn("size", names.pretty_size(F.col("size_bytes")))
-        .orderBy(F.desc("size_bytes"), "datname")
     )
+    return totals.orderBy(F.desc("size_bytes"), "datname") if ordered else totals
 
 
 def retention_plan(files: DataFrame, as_of: datetime, rm_days: int = 30, gzip_days: int = 5) -> DataFrame:

@@ -750,13 +750,19 @@ def _health() -> str:
         ("cluster", f"""
             select 'segment_hosts' as k, segment_hosts as v from ({SQL['cluster_shape']}) c
             union all select 'primary_segments', primary_segments from ({SQL['cluster_shape']}) c""", "k", "v"),
+        ("configuration changes",
+         "select ctime, monitor_result from fx_history order by ctime desc, monitor_result limit 50",
+         "cast(ctime as varchar)", "monitor_result"),
+        ("database size", SQL["database_size"], "datname", "size_bytes"),
         ("database age", SQL["database_age"], "datname", "age_int"),
         ("segment age", SQL["segment_age"], "concat(segid, '/', datname)", "age_int"),
         ("idle transactions", SQL["long_idle_transactions"], "cast(pid as varchar)", "usename"),
         ("long queries", SQL["long_queries"], "cast(pid as varchar)", "query"),
         ("objects", SQL["object_counts"], "object", "n"),
+        ("catalog bloat", SQL["catalog_bloat"], "catalog", "bloat"),
         ("storage by schema", SQL["storage_by_schema"], "concat(schemaname, '/', tabletype)", "n"),
         ("storage", SQL["storage_totals"], "tabletype", "n"),
+        ("catalog operations", SQL["operation_history"], "concat(objname, '/', actionname)", "statime"),
         ("schema size", SQL["save_report"], "schemaname", "size_bytes"),
         ("tablespace size", SQL["tablespace_size"], "tsname", "size_bytes"),
         ("tablespace files", SQL["tablespace_max_files"], "tsname", "max_segfilenum"),
@@ -766,6 +772,7 @@ def _health() -> str:
         ("temporary tables",
          _top("tablename", TABLE, "fx_rel_size", "relstorage <> 'x' and starts_with(schemaname, 'pg_temp')", 50),
          per_table, "size_bytes"),
+        ("indexes", SQL["top_indexes"], "concat(schemaname, '/', indexname)", "index_bytes"),
         ("skew", _skew("fx_rel_size", 1 << 30, 0.5), "tablename", "cast(skew as decimal(18, 2))"),
         ("subpartitions", SQL["subpartition_counts"], "tablename", "sub_count"),
         ("partitions in another schema", SQL["partition_schema_mismatch"], "partitiontablename", "tablename"),

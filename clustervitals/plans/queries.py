@@ -756,11 +756,17 @@ def health(fx):
     return health_report(
         {
             "conf": fx.fx_segconf,
+            "config_history": fx.fx_history.select("ctime", F.col("monitor_result").alias("desc")),
+            "databases": fx.fx_rel_size.withColumnRenamed("schemaname", "datname"),
             "dbs": fx.fx_db_age,
             "activity": fx.fx_activity,
             "rels": fx.fx_rel,
             "attributes": fx.fx_attr,
+            "catalog_sizes": fx.fx_cat_seg,
+            "catalog_compact": fx.fx_catsize,
+            "ops": fx.fx_ops,
             "sizes": fx.fx_rel_size,
+            "indexes": fx.fx_index,
             "parts": fx.fx_parts,
             "visimap": fx.fx_visimap,
             "col_stats": fx.fx_colstats,

@@ -34,6 +34,11 @@ def _sections(inputs: dict[str, DataFrame], as_of: datetime, n_segments: int, n:
         yield "roles switched", cluster.role_switched(conf), F.lit("instances"), "n"
         shape = cluster.cluster_shape(conf)
         yield "cluster", shape.unpivot([], shape.columns, "k", "v"), F.col("k"), "v"
+    if "config_history" in inputs:
+        changes = cluster.recent_config_changes(inputs["config_history"], n)
+        yield "configuration changes", changes, F.col("ctime").cast("string"), "desc"
+    if "databases" in inputs:
+        yield "database size", size.database_size(inputs["databases"], ordered=False), F.col("datname"), "size_bytes"
     if "dbs" in inputs:
         yield "database age", age.database_age(inputs["dbs"], ordered=False), F.col("datname"), "age_int"
         pair = F.concat_ws("/", F.col("segid").cast("string"), F.col("datname"))
@@ -45,10 +50,17 @@ def _sections(inputs: dict[str, DataFrame], as_of: datetime, n_segments: int, n:
         yield "long queries", sessions.long_queries(activity, as_of), pid, "query"
     if "rels" in inputs and "attributes" in inputs:
         yield "objects", inventory.object_counts(inputs["rels"], inputs["attributes"]), F.col("object"), "n"
+    if "catalog_sizes" in inputs and "catalog_compact" in inputs:
+        catalogs = bloat.catalog_bloat(inputs["catalog_sizes"], inputs["catalog_compact"], ordered=False)
+        yield "catalog bloat", catalogs, F.col("catalog"), "bloat"
     if "rels" in inputs:
         kind = F.concat_ws("/", "schemaname", "tabletype")
         yield "storage by schema", inventory.storage_by_schema(inputs["rels"], ordered=False), kind, "n"
         yield "storage", inventory.storage_totals(inputs["rels"], ordered=False), F.col("tabletype"), "n"
+    if "ops" in inputs and "rels" in inputs:
+        catalogs = inputs["rels"].filter(F.col("schemaname") == "pg_catalog")
+        history = inventory.operation_history(inputs["ops"], catalogs, ordered=False)
+        yield "catalog operations", history, F.concat_ws("/", "objname", "actionname"), "statime"
     if "sizes" in inputs:
         sizes = size_rollup(inputs["sizes"])
         yield "schema size", size.schema_size(sizes, ordered=False), F.col("schemaname"), "size_bytes"
@@ -60,6 +72,9 @@ def _sections(inputs: dict[str, DataFrame], as_of: datetime, n_segments: int, n:
         root = F.concat_ws("/", "root_partition", "relstorage")
         yield "partitioned tables", size.top_partitioned(sizes, 2 * n), root, "size_bytes"
         yield "temporary tables", size.top_temp_relations(sizes, n), table, "size_bytes"
+        if "indexes" in inputs:
+            index = F.concat_ws("/", "schemaname", "indexname")
+            yield "indexes", size.top_indexes(inputs["indexes"], sizes, n), index, "index_bytes"
         yield "skew", skew.skew_report(sizes, n_segments, ordered=False), F.col("tablename"), "skew"
     if "parts" in inputs:
         parts = inputs["parts"]
@@ -82,9 +97,10 @@ def _sections(inputs: dict[str, DataFrame], as_of: datetime, n_segments: int, n:
 def health_report(inputs: dict[str, DataFrame], as_of: datetime, n_segments: int, n: int = 50) -> DataFrame:
     """All checks in one table: section, ordinal (the section's place in the report), key, value.
 
-    ``inputs`` may hold conf, dbs, activity, rels, attributes, sizes, parts,
-    visimap, col_stats, relpages and settings; sections without input are
-    left out.
+    ``inputs`` may hold conf, config_history (ctime, desc), databases, dbs,
+    activity, rels, attributes, catalog_sizes, catalog_compact, ops, sizes,
+    indexes, parts, visimap, col_stats, relpages and settings; sections without
+    input are left out.
     """
 
     def rows(at: int, section: str, df: DataFrame, key: Column, value: str) -> DataFrame:
