@@ -60,7 +60,7 @@ def lock_waits(locks: DataFrame, as_of: datetime) -> DataFrame:
     The blockers of a waiter are a prefix of the relation's holders in start
     order, so a running count gives their number without forming
     waiter-holder pairs; the work is linear however hot a relation is.
-    ``lock_wait_pairs`` spells the pairs out for chosen sessions.
+    ``lock_wait_pairs`` spells the pairs out for sessions of interest.
     """
     # At equal start times waiters sort first (kind 0): a blocker is strictly older.
     starts = (
@@ -97,27 +97,35 @@ def lock_waits(locks: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
-def lock_wait_pairs(locks: DataFrame, as_of: datetime, waiters: DataFrame | None = None) -> DataFrame:
-    """Every (waiter, holder) pair, for the sessions listed in ``waiters`` (pid) or for all.
+def lock_wait_pairs(locks: DataFrame, waiters: DataFrame, as_of: datetime) -> DataFrame:
+    """Every (waiter, holder) pair of the sessions listed in ``waiters`` (pid).
 
-    The number of pairs is the sum of ``n_holders`` of ``lock_waits``; look
-    there first and list the sessions of interest when a relation is hot.
+    The number of pairs of a session is its ``n_holders`` in ``lock_waits``, so
+    look there first.  The chosen waiters meet the holders where those are;
+    holders are not shuffled.
     """
-    waiting = _waiters(locks)
-    if waiters is not None:
-        waiting = waiting.join(waiters.select("pid").distinct(), "pid", "left_semi")
     detail = [c for c in ("query",) if c in locks.columns]
-    left = waiting.select(
-        F.col("relation").alias("lock_table"),
-        F.col("lockmode").alias("wait_lockmode"),
-        F.col("usename").alias("wait_user"),
-        F.col("pid").alias("wait_procpid"),
-        F.col("xact_start").alias("wait_start"),
-        seconds_between(F.col("xact_start"), instant(as_of)).alias("wait_seconds"),
-        *[F.col(c).alias("wait_sql") for c in detail],
+    chosen = (
+        _waiters(locks)
+        .join(waiters.select("pid").distinct(), "pid", "left_semi")
+        .select(
+            "relation",
+            F.col("lockmode").alias("wait_lockmode"),
+            F.col("usename").alias("wait_user"),
+            F.col("pid").alias("wait_procpid"),
+            F.col("xact_start").alias("wait_start"),
+            *[F.col(c).alias("wait_sql") for c in detail],
+        )
     )
-    right = _holders(locks).select(
+    held = lookup_join(_holders(locks), chosen, ["relation"]).filter(F.col("wait_start") > F.col("xact_start"))
+    return held.select(
         F.col("relation").alias("lock_table"),
+        "wait_lockmode",
+        "wait_user",
+        "wait_procpid",
+        "wait_start",
+        seconds_between(F.col("wait_start"), instant(as_of)).alias("wait_seconds"),
+        *[F.col("wait_sql") for _ in detail],
         F.col("lockmode").alias("run_lockmode"),
         F.col("usename").alias("run_user"),
         F.col("pid").alias("run_procpid"),
@@ -126,8 +134,6 @@ def lock_wait_pairs(locks: DataFrame, as_of: datetime, waiters: DataFrame | None
         *[F.col(c).alias("run_sql") for c in detail],
         *[F.col("state").alias("run_state") for c in ("state",) if c in locks.columns],
     )
-    same = (left["lock_table"] == right["lock_table"]) & (left["wait_start"] > right["xact_start"])
-    return left.join(right, same).drop(right["lock_table"])
 
 
 def longest_lock_wait(locks: DataFrame, as_of: datetime) -> DataFrame:

@@ -24,7 +24,7 @@ def _split_of_task(splits: int) -> Column:
 def lookup_join(
     facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", splits: int = SPLITS
 ) -> DataFrame:
-    """Equi-join of a large fact side with a lookup side that is unique on ``on``.
+    """Equi-join of a large fact side with a small or key-unique lookup side.
 
     ``how`` must keep the fact side: inner, left_semi or left_anti.  The lookup
     is computed once and measured.  Up to ``BROADCAST_BYTES`` it is broadcast

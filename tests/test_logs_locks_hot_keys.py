@@ -91,15 +91,15 @@ def test_lock_waits_against_all_pairs(spark, join_path):
     assert got == {pid: (len(b), *min(b)) for pid, b in blockers.items()}
 
 
-def test_lock_wait_pairs(spark):
+def test_lock_wait_pairs(spark, join_path):
     rows, df = random_locks(spark, 200)
     expected = {(w[1], h[1]) for w, h in brute_pairs(rows)}
-    got = locks.lock_wait_pairs(df, NOW)
+    got = locks.lock_wait_pairs(df, df.select("pid"), NOW)
     assert {(r.wait_procpid, r.run_procpid) for r in got.collect()} == expected
     total = locks.lock_waits(df, NOW).agg(F.sum("n_holders")).first()[0]
     assert total == len(expected)
     chosen = sorted({w for w, _ in expected})[:3]
-    some = locks.lock_wait_pairs(df, NOW, spark.createDataFrame([(p,) for p in chosen], "pid long"))
+    some = locks.lock_wait_pairs(df, spark.createDataFrame([(p,) for p in chosen], "pid long"), NOW)
     assert {(r.wait_procpid, r.run_procpid) for r in some.collect()} == {p for p in expected if p[0] in chosen}
 
 
@@ -117,7 +117,7 @@ def test_waiting_flag_and_query_text(spark):
     df = spark.createDataFrame(base, LOCK + ", waiting boolean, query string, state string")
     (row,) = locks.lock_waits(df, NOW).collect()
     assert (row.wait_procpid, row.wait_sql, row.run_sql, row.run_state, row.wait_seconds) == (2, "w", "run", "active", 3600.0)
-    (pair,) = locks.lock_wait_pairs(df, NOW).collect()
+    (pair,) = locks.lock_wait_pairs(df, df.select("pid"), NOW).collect()
     assert (pair.wait_sql, pair.run_sql, pair.run_state) == ("w", "run", "active")
 
 
