@@ -84,8 +84,7 @@ def rejects_over_limit(fx):
     return files.rejects_over_limit(cut)
 
 
-@query
-def partitioned_log_lines(fx):
+def _landed_logs(fx):
     root = fresh_dir(fx.spark, "log")
     line = F.col("log_msg")
     landed = fx.fx_log.select(
@@ -94,7 +93,17 @@ def partitioned_log_lines(fx):
         F.split_part(line, F.lit(":"), F.lit(1)).alias("host"),
     )
     landed.hint("rebalance", "dt", "host").write.partitionBy("dt", "host").text(root)
-    return files.partitioned_log_lines(fx.spark, root, "2024-01")
+    return root
+
+
+@query
+def partitioned_log_lines(fx):
+    return files.partitioned_log_lines(fx.spark, _landed_logs(fx), "2024-01")
+
+
+@query
+def log_lines_between(fx):
+    return files.log_lines_between(fx.spark, _landed_logs(fx), datetime(2024, 1, 12, 8), AS_OF)
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime
 from itertools import islice
 
 import pandas as pd
@@ -162,16 +163,29 @@ def log_lines(spark: SparkSession, root: str, date_prefix: str, name_prefix: str
     return text.select(F.concat(host, F.lit(":"), file, F.lit(":"), F.col("value")).alias("log_msg"))
 
 
+def _landed_log_lines(spark: SparkSession, root: str) -> DataFrame:
+    schema = T.StructType(
+        [T.StructField("log_msg", T.StringType()), T.StructField("dt", T.StringType()), T.StructField("host", T.StringType())]
+    )
+    return spark.read.schema(schema).text(root)
+
+
 def partitioned_log_lines(spark: SparkSession, root: str, date_prefix: str) -> DataFrame:
     """Log lines landed under ``dt=YYYY-MM-DD/host=...`` for one day or month.
 
     The date filter prunes partitions.
     """
     _check_prefix(date_prefix)
-    schema = T.StructType(
-        [T.StructField("log_msg", T.StringType()), T.StructField("dt", T.StringType()), T.StructField("host", T.StringType())]
-    )
-    return spark.read.schema(schema).text(root).filter(F.col("dt").startswith(date_prefix))
+    return _landed_log_lines(spark, root).filter(F.col("dt").startswith(date_prefix))
+
+
+def log_lines_between(spark: SparkSession, root: str, since: datetime, until: datetime) -> DataFrame:
+    """Log lines landed on every day from ``since`` to ``until``, for checks since the last one.
+
+    Whole days are read; the checks compare the time of each line.
+    """
+    days = F.col("dt").between(f"{since:%Y-%m-%d}", f"{until:%Y-%m-%d}")
+    return _landed_log_lines(spark, root).filter(days)
 
 
 def _check_prefix(date_prefix: str) -> None:

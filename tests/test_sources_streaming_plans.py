@@ -75,6 +75,9 @@ def test_partitioned_logs_prune_dates(spark, tmp_path):
     assert [r.log_msg for r in got.collect()] == ["a"]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*StartsWith\(dt", plan)
+    since = files.log_lines_between(spark, str(tmp_path / "log"), datetime(2024, 1, 5, 23), datetime(2024, 2, 4))
+    assert [r.log_msg for r in since.collect()] == ["a"]
+    assert re.search(r"PartitionFilters: \[[^\]]*dt", since._jdf.queryExecution().executedPlan().toString())
 
 
 def history(spark, rows):
