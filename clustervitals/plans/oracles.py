@@ -560,20 +560,26 @@ SQL["recent_config_changes"] = """
 
 # ---- logs
 
-_TIME = (
-    "split_part(concat(split_part(log_msg, ':', 3), ':', split_part(log_msg, ':', 4), ':', split_part(log_msg, ':', 5)), ',', 1)"
-)
+def _match(pattern: str) -> str:
+    return f"regexp_extract(log_msg, '{pattern}', 1)"
+
+
+_HOST = _match("^([^:]*):")
+_FILE = _match("^[^:]*:([^:]*):")
+_TIME = _match("[.]csv:([^,]*),")
+_SESSION = _match("^(?:[^,]*,){9}([^,]*)")
+_PID = f"try_cast({_match('^(?:[^,]*,){3}p([0-9]+),')} as int)"
+_MESSAGE = _match("[.]csv:(.*)$")
+_SOURCE = f"{_HOST} as hostname, {_FILE} as logfilename, {_TIME} as logtime"
 
 
 def _ts(text: str) -> str:
-    return f"try_cast(concat(split_part({text}, ' ', 1), ' ', split_part({text}, ' ', 2)) as timestamp)"
+    """Logged time without its zone."""
+    return f"try_cast(regexp_replace({text}, ' [A-Z]+$', '') as timestamp)"
 
 
-_PID = "try_cast(substr(split_part(log_msg, ',', 4), 2) as int)"
-_SOURCE = f"split_part(log_msg, ':', 1) as hostname, split_part(log_msg, ':', 2) as logfilename, {_TIME} as logtime"
-_MESSAGE = "substr(log_msg, instr(log_msg, '.csv') + 5)"
 _PANIC = f"""
-    select {_SOURCE}, {_PID} as pid, split_part(log_msg, ',', 10) as sess_id, {_MESSAGE} as logmsg
+    select {_SOURCE}, {_PID} as pid, {_SESSION} as sess_id, {_MESSAGE} as logmsg
     from fx_log where contains(log_msg, '"PANIC"') and not contains(log_msg, 'EXECUTE E')
 """
 _TERM = f"""
@@ -593,7 +599,7 @@ def _session_tail(n: int) -> str:
     return f"""
     select sess_id, ts, log_msg, cast(rn as int) as line_no from (
       select sess_id, ts, log_msg, row_number() over (partition by sess_id order by ts desc, log_msg desc) as rn from (
-        select split_part(log_msg, ',', 10) as sess_id, {_ts(_TIME)} as ts, log_msg from fx_log) l
+        select {_SESSION} as sess_id, {_ts(_TIME)} as ts, log_msg from fx_log) l
       where sess_id in (select sess_id from ({_PANIC}) p)) x where rn <= {n}
 """
 
@@ -618,7 +624,7 @@ SQL["process_log_tail"] = _process_tail(50)
 SQL["process_log_tail_short"] = _process_tail(2)
 _MATCHES = f"""
     select hostname, pattern, ts from (
-      select split_part(log_msg, ':', 1) as hostname, log_msg, {_ts(_TIME)} as ts from fx_log) l
+      select {_HOST} as hostname, log_msg, {_ts(_TIME)} as ts from fx_log) l
     join (values ('master_panic', '"PANIC"'), ('segment_panic', '"PANIC"'),
       ('internal_error', 'internal error'), ('out_of_memory', 'Out of memory')) p(pattern, mark)
       on contains(l.log_msg, p.mark)
