@@ -26,11 +26,13 @@ def stream_changed_tables(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        # Used three times below; the batch itself is read once.
         newest = (
             batch.groupBy("reloid", "snapshot_ts")
             .agg(F.max("modcount").alias("modcount"))
             .groupBy("reloid")
             .agg(F.max_by("modcount", "snapshot_ts").alias("modcount"), F.max("snapshot_ts").alias("last_checktime"))
+            .persist()
         )
         if batch_id > 0:
             state = spark.read.parquet(batch_dir(f"{out}/state", batch_id - 1))
@@ -43,5 +45,6 @@ def stream_changed_tables(
         kept.select(*_STATE).unionByName(newest.select(*_STATE)).write.mode("overwrite").parquet(
             batch_dir(f"{out}/state", batch_id)
         )
+        newest.unpersist()
 
     return run_batches(counters, write, checkpoint, trigger)

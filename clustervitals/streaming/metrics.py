@@ -24,16 +24,17 @@ def stream_latest_metrics(
     columns = ["ctime", "metric_name", "monitor_result", "status"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*columns)
-        append_history(rows, batch_dir(f"{out}/history", batch_id), mode="overwrite")
-        latest = latest_metrics(rows).select(*columns)
+        spark, rows, written = batch.sparkSession, batch.select(*columns), batch_dir(f"{out}/history", batch_id)
+        append_history(rows, written, mode="overwrite")
+        # From here on the batch is read from what was just written.
+        latest = latest_metrics(spark.read.schema(rows.schema).parquet(written)).select(*columns)
         if batch_id > 0:
-            before = batch.sparkSession.read.parquet(batch_dir(f"{out}/latest", batch_id - 1))
+            before = spark.read.parquet(batch_dir(f"{out}/latest", batch_id - 1))
             latest = latest_metrics(latest.unionByName(before.select(*columns)))
         current = batch_dir(f"{out}/latest", batch_id)
         latest.select(*columns).write.mode("overwrite").parquet(current)
         if text_dir:
-            export_metric_text(batch.sparkSession.read.parquet(current), text_dir)
+            export_metric_text(spark.read.parquet(current), text_dir)
 
     return run_batches(history, write, checkpoint, trigger)
 
