@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import appended, slices, utf8
+from ..operators.spread import last_n_per_key
+from .arrow import appended, slices
 
 # Bytes parsed in one go; a phrase ends with its passage.
 PASSAGE = 256
@@ -124,10 +125,8 @@ def learn(examples: DataFrame, text: str = "text", lang: str = "lang", key: str
         F.col(lang).alias("lang"), order.alias("pick"), F.col(text).alias("text")
     )
     # The choice moves hashes only; the texts chosen are fetched by their hash.
-    ranked = rows.select("lang", "pick").distinct().withColumn(
-        "n", F.row_number().over(Window.partitionBy("lang").orderBy("pick"))
-    )
-    chosen = ranked.filter(F.col("n") <= SAMPLE_TEXTS).select("lang", "pick")
+    hashes = rows.select("lang", "pick").distinct()
+    chosen = last_n_per_key(hashes, ["lang"], [F.col("pick")], SAMPLE_TEXTS, "n").select("lang", "pick")
     # The passage starts at a character that the hash names.
     room = F.greatest(F.length("text") - SAMPLE_BYTES + 1, F.lit(1))
     picked = rows.join(F.broadcast(chosen), ["lang", "pick"]).select(

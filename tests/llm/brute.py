@@ -36,3 +36,36 @@ def decontamination(docs, items, window=10):
                     found |= owners
         out[doc] = (len(words), len(hit), sorted(found))
     return out
+
+
+def shingles(text, size=3):
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower_ascii(text))
+    if len(words) < size:
+        return {tuple(words)} if words else set()
+    return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)}
+
+
+def jaccard_components(docs, num=90, den=100):
+    """{doc_id: (set size, component)} by comparing all pairs that share a shingle."""
+    sets = {}
+    for doc, text in docs:
+        sets.setdefault(doc, []).append(shingles(text))
+    up = {d: d for d in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    where = {}
+    for d, many in sets.items():
+        for s in many:
+            for g in s:
+                where.setdefault(g, set()).add(d)
+    pairs = {(a, b) for ds in where.values() for a in ds for b in ds if a < b}
+    for a, b in pairs:
+        for x in sets[a]:
+            for y in sets[b]:
+                if x and y and den * len(x & y) >= num * len(x | y):
+                    up[max(find(a), find(b))] = min(find(a), find(b))
+    return {d: (sorted(len(s) for s in many), find(d)) for d, many in sets.items()}
