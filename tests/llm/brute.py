@@ -69,3 +69,19 @@ def jaccard_components(docs, num=90, den=100):
                 if x and y and den * len(x & y) >= num * len(x | y):
                     up[max(find(a), find(b))] = min(find(a), find(b))
     return {d: (sorted(len(s) for s in many), find(d)) for d, many in sets.items()}
+
+
+def repeats(docs, length=100):
+    """{doc_id: (bytes, spans, bytes kept)} of (doc_id, text) rows with distinct keys."""
+    seen, out = set(), {}
+    for doc, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - length + 1):
+            window = raw[k : k + length]
+            if window in seen:
+                gone[k : k + length] = b"\x01" * length
+            seen.add(window)
+        spans = [m.span() for m in re.finditer(b"\x01+", bytes(gone))]
+        out[doc] = (len(raw), spans, bytes(b for b, g in zip(raw, gone) if not g))
+    return out
