@@ -405,10 +405,12 @@ def remove_repeats(
     made = ("n_bytes", "removed", "kept")
     plain = [c for c in docs.columns if c not in made]
     place = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_FIRST_PLACE))
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    body = F.col(f"`{text}`")
+    # The text moves once; the other columns go with it in a struct, so their names do not matter.
+    carried = [c for c in plain if c not in drop and c != text]
     rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in plain)).alias("row"),
-        place.alias("place"), F.xxhash64(body).alias("tag"), body.alias("text"),
+        F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in carried)).alias("row"),
+        place.alias("place"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("tag"), body.alias("text"),
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = total // _RANGE + 1
@@ -462,7 +464,8 @@ def remove_repeats(
     result = rows.join(marks, ["place", "tag"], "left")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([
-        T.StructField("row", rows.schema["row"].dataType), T.StructField("n_bytes", T.LongType()),
+        T.StructField("row", rows.schema["row"].dataType), T.StructField("text", T.StringType()),
+        T.StructField("n_bytes", T.LongType()),
         T.StructField("removed", span), T.StructField("kept", T.BinaryType()),
     ])
 
@@ -470,15 +473,14 @@ def remove_repeats(
         for batch in batches:
             for part in slices(batch, "text", _SLICE):
                 data, bounds = utf8(part.column("text"))
-                yield _kept(part, data.tobytes(), bounds, length)
+                yield _kept(part, data.tobytes(), bounds, length, text not in drop)
 
     taken = result.mapInArrow(cut, schema)
-    return taken.select(
-        *(F.col("row").getField(c).alias(c) for c in plain if c not in drop), "n_bytes", "removed", "kept"
-    )
+    columns = [F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in plain if c not in drop]
+    return taken.select(*columns, "n_bytes", "removed", "kept")
 
 
-def _kept(part: pa.RecordBatch, data: bytes, bounds: np.ndarray, length: int) -> pa.RecordBatch:
+def _kept(part: pa.RecordBatch, data: bytes, bounds: np.ndarray, length: int, with_text: bool) -> pa.RecordBatch:
     starts, ends, counts, left = [], [], [], []
     is_first, marks = part.column("is_first").to_pylist(), part.column("marks")
     bounds = bounds.tolist()
@@ -506,6 +508,9 @@ def _kept(part: pa.RecordBatch, data: bytes, bounds: np.ndarray, length: int) ->
         ),
     )
     return pa.RecordBatch.from_arrays(
-        [part.column("row"), pa.array(np.diff(bounds), pa.int64()), removed, pa.array(left, pa.binary())],
-        ["row", "n_bytes", "removed", "kept"],
+        [
+            part.column("row"), part.column("text") if with_text else pa.nulls(part.num_rows, pa.string()),
+            pa.array(np.diff(bounds), pa.int64()), removed, pa.array(left, pa.binary()),
+        ],
+        ["row", "text", "n_bytes", "removed", "kept"],
     )
