@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -85,3 +86,17 @@ def repeats(docs, length=100):
         spans = [m.span() for m in re.finditer(b"\x01+", bytes(gone))]
         out[doc] = (len(raw), spans, bytes(b for b, g in zip(raw, gone) if not g))
     return out
+
+
+def top_products(rows, k=5, every=50, scale=256, most=1 << 26):
+    """Sorted (query, rank, id, score) of (id, vector) rows."""
+    whole = []
+    for key, v in rows:
+        if key is not None and v and all(x is not None and math.isfinite(x) for x in v):
+            whole.append((key, [max(-most, min(most, math.floor(scale * x))) for x in v]))
+    out = []
+    for key, v in whole:
+        if key % every == 0:
+            found = [(-sum(a * b for a, b in zip(v, w)), other) for other, w in whole if other != key and len(v) == len(w)]
+            out += [(key, n + 1, other, -score) for n, (score, other) in enumerate(sorted(found)[:k])]
+    return sorted(set(out))
