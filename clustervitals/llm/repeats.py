@@ -388,13 +388,15 @@ def remove_repeats(
     length: int = LENGTH,
     frequent: int = FREQUENT,
     drop: tuple[str, ...] = (),
+    cut: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` with what is left of each text.
 
     Further columns (others of these names are replaced): ``n_bytes`` of the
     whole text, ``removed`` (maximal spans of bytes, end excluded) and ``kept``,
-    the remaining bytes; the spans can cut characters.  Columns in ``drop`` are
-    left out.  ``length`` is 12 to 127.
+    the remaining bytes; the spans can cut characters.  With ``cut`` the text is
+    what is left, without the rest of cut characters, and ``kept`` is null.
+    Columns in ``drop`` are left out.  ``length`` is 12 to 127.
 
     A null text counts as empty.  ``key`` must be an integer column; a null key
     comes before all others.  Of different texts with one key the order is that
@@ -469,18 +471,20 @@ def remove_repeats(
         T.StructField("removed", span), T.StructField("kept", T.BinaryType()),
     ])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", _SLICE):
                 data, bounds = utf8(part.column("text"))
-                yield _kept(part, data.tobytes(), bounds, length, text not in drop)
+                yield _kept(part, data.tobytes(), bounds, length, text not in drop, cut)
 
-    taken = result.mapInArrow(cut, schema)
+    taken = result.mapInArrow(take_out, schema)
     columns = [F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in plain if c not in drop]
     return taken.select(*columns, "n_bytes", "removed", "kept")
 
 
-def _kept(part: pa.RecordBatch, data: bytes, bounds: np.ndarray, length: int, with_text: bool) -> pa.RecordBatch:
+def _kept(
+    part: pa.RecordBatch, data: bytes, bounds: np.ndarray, length: int, with_text: bool, cut: bool
+) -> pa.RecordBatch:
     starts, ends, counts, left = [], [], [], []
     is_first, marks = part.column("is_first").to_pylist(), part.column("marks")
     bounds = bounds.tolist()
@@ -507,10 +511,13 @@ def _kept(part: pa.RecordBatch, data: bytes, bounds: np.ndarray, length: int, wi
             [pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int32)) for x in (starts, ends)], ["start", "end"]
         ),
     )
+    text = part.column("text") if with_text else pa.nulls(part.num_rows, pa.string())
+    kept = pa.array(left, pa.binary())
+    if cut:
+        whole = [x.decode("utf-8", "ignore") if n else x.decode() for x, n in zip(left, counts)]
+        text = pa.array(whole, pa.string(), mask=~part.column("text").is_valid().to_numpy(False))
+        kept = pa.nulls(len(left), pa.binary())
     return pa.RecordBatch.from_arrays(
-        [
-            part.column("row"), part.column("text") if with_text else pa.nulls(part.num_rows, pa.string()),
-            pa.array(np.diff(bounds), pa.int64()), removed, pa.array(left, pa.binary()),
-        ],
+        [part.column("row"), text, pa.array(np.diff(bounds), pa.int64()), removed, kept],
         ["row", "text", "n_bytes", "removed", "kept"],
     )
