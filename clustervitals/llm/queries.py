@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, pieces, products, repeats, sharding
+from . import decontaminate, jaccard, language, pieces, products, quotes, repeats, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +54,21 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@query
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that a given rule decides are the labelled ones."""
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
 @query
 def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,6 +82,24 @@ def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+# The messages of the table hold no quote marks, so that every message answers the one before.
+ORACLES["op5_quotation_links"] = r"""
+with placed as (
+    select *, row_number() over (partition by conv_id order by turn, role) - 1 as place from conversations
+)
+select conv_id, turn, role, trim(regexp_replace(replace(coalesce(text, ''), chr(13), ''), '\n{3,}', chr(10) || chr(10), 'g'), ' ') as text,
+       place, cast(0 as bigint) as n_quotes, cast(0 as bigint) as n_linked,
+       case when place > 0 then conv_id end as parent_conversation, case when place > 0 then place - 1 end as parent_place,
+       false as by_quote, conv_id as thread, place as depth, place as reply_order
+from placed
+"""
+
+
 @query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
