@@ -39,22 +39,27 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def passages_of(text: Column) -> Column:
-    """array<struct<level, body>> of a message: runs of lines of one quote level, without their marks."""
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n")
+def with_passages(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``passages``, array<struct<level, body>>: runs of lines of one quote level, without their marks.
+
+    Each step is a column of its own, so that it is computed once per message.
+    """
+    lines = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), "\n")
     marked = F.transform(lines, lambda x: F.struct(quote_level(x).alias("level"), unmarked(x).alias("body")))
-    starts = F.filter(
-        F.transform(marked, lambda x, k: F.when((k == 0) | (x["level"] != F.get(marked, k - 1)["level"]), k)), lambda k: k.isNotNull()
-    )
-    return F.transform(
-        starts,
+    line = F.col("_lines")
+    numbered = F.sequence(F.lit(0), F.size(line) - 1)
+    starts = F.filter(numbered, lambda k: (k == 0) | (F.get(line, k)["level"] != F.get(line, k - 1)["level"]))
+    passages = F.transform(
+        F.col("_starts"),
         lambda s, k: F.struct(
-            F.get(marked, s)["level"].alias("level"),
+            F.get(line, s)["level"].alias("level"),
             F.array_join(
-                F.transform(F.slice(marked, s + 1, F.coalesce(F.get(starts, k + 1), F.size(marked)) - s), lambda x: x["body"]), "\n"
+                F.slice(line, s + 1, F.coalesce(F.get(F.col("_starts"), k + 1), F.size(line)) - s)["body"], "\n"
             ).alias("body"),
         ),
     )
+    split = rows.withColumn("_lines", marked).withColumn("_starts", starts)
+    return split.withColumn("passages", passages).drop("_lines", "_starts")
 
 
 def link_quotes(
@@ -79,7 +84,7 @@ def link_quotes(
     rows = rows.withColumn("own", F.col("conv")).withColumn("conv", F.coalesce(F.col("conv").cast("long"), F.lit(-(1 << 62))))
     rows = rows.withColumns({"digest": F.xxhash64("text"), "one": F.lit(1).cast("long")})
     placed = running_total(rows, ["conv"], ["turn", "role", "digest"], "one", "place").withColumn("place", F.col("place") - 1)
-    parsed = keep(placed.drop("one", "digest").withColumn("passages", passages_of(F.col("text"))))
+    parsed = keep(with_passages(placed.drop("one", "digest")))
 
     body = F.array_join(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["body"]), "\n")
     plain = F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["body"])

@@ -31,15 +31,16 @@ def by_magnitude(column: Column, bits: int = BITS, doublings: int = 32) -> Colum
     return F.least(cell, F.lit((1 << bits) - 1)).cast("int")
 
 
-def hilbert_index(cells: Sequence[Column], bits: int = BITS) -> Column:
-    """The place on the Hilbert curve of a point with ``bits`` bits in each dimension.
+def with_hilbert(rows: DataFrame, cells: Sequence[str], name: str = "hilbert", bits: int = BITS) -> DataFrame:
+    """Adds the place on the Hilbert curve of a point with ``bits`` bits in each dimension.
 
     The coordinates are transformed in place from the highest bit down (a bit
     set inverts the lower bits of the first coordinate, else they are exchanged
-    with it), Gray-coded, and their bits interleaved.
+    with it), Gray-coded, and their bits interleaved.  Each step is a column of
+    its own, so that it is computed once.
     """
     n = len(cells)
-    start = F.array(*(c.cast("int") for c in cells))
+    start = F.array(*(F.col(c).cast("int") for c in cells))
 
     def step(x: Column, k: Column) -> Column:
         bit, axis = F.get(k, F.lit(0)), F.get(k, F.lit(1))
@@ -52,19 +53,21 @@ def hilbert_index(cells: Sequence[Column], bits: int = BITS) -> Column:
 
     steps = F.array(*(F.array(F.lit(1 << b), F.lit(axis)) for b in range(bits - 1, 0, -1) for axis in range(n)))
     turned = F.aggregate(steps, start, step) if bits > 1 else start
-    gray = F.transform(
-        turned, lambda v, j: F.aggregate(F.slice(turned, F.lit(1), j + 1), F.lit(0), lambda a, y: a.bitwiseXOR(y))
-    )
-    last = F.get(gray, F.lit(n - 1))
-    flips = F.lit(0)
+    turned_rows = rows.withColumn("_turned", turned)
+    gray = [F.get("_turned", F.lit(0))]
+    for axis in range(1, n):
+        gray.append(gray[-1].bitwiseXOR(F.get("_turned", F.lit(axis))))
+    gray_rows = turned_rows.withColumn("_gray", F.array(*gray))
+    last, flips = F.get("_gray", F.lit(n - 1)), F.lit(0)
     for b in range(bits - 1, 0, -1):
         flips = flips.bitwiseXOR(F.when(last.bitwiseAND(F.lit(1 << b)) != 0, F.lit((1 << b) - 1)).otherwise(F.lit(0)))
+    flipped = gray_rows.withColumn("_flips", flips)
     place = F.lit(0).cast("long")
     for b in range(bits - 1, -1, -1):
         for axis in range(n):
-            own = F.shiftright(F.get(gray, F.lit(axis)).bitwiseXOR(flips), b).bitwiseAND(F.lit(1))
+            own = F.shiftright(F.get("_gray", F.lit(axis)).bitwiseXOR(F.col("_flips")), b).bitwiseAND(F.lit(1))
             place = F.shiftleft(place, 1).bitwiseOR(own.cast("long"))
-    return place
+    return flipped.withColumn(name, place).drop("_turned", "_gray", "_flips")
 
 
 def shards_by_curve(
@@ -78,7 +81,7 @@ def shards_by_curve(
     """
     total = docs.count() if n_rows is None else n_rows
     rows = docs.withColumns(cells).withColumn("_one", F.lit(1).cast("long"))
-    placed = rows.withColumn("hilbert", hilbert_index([F.col(c) for c in cells], bits))
+    placed = with_hilbert(rows, list(cells), "hilbert", bits)
     ranked = running_total(placed, [], ["hilbert", *order], "_one", "_place")
     return (
         ranked.withColumn("shard", F.expr(f"cast((_place - 1) * {n_shards} div {max(total, 1)} as int)"))

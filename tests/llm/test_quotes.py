@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from clustervitals.llm import queries, quotes
 
@@ -64,8 +63,8 @@ def test_repeated_rows_ties_and_empty_table(spark):
     ],
 )
 def test_passages(spark, text, want):
-    row = spark.createDataFrame([(text,)], "t string").select(quotes.passages_of(F.col("t")).alias("p")).first()
-    assert [tuple(x) for x in row.p] == want
+    row = quotes.with_passages(spark.createDataFrame([(text,)], "t string"), "t").first()
+    assert [tuple(x) for x in row.passages] == want
 
 
 def test_very_long_message(spark):

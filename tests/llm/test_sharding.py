@@ -12,9 +12,9 @@ from clustervitals.llm import queries, sharding
 def test_curve_visits_neighbours(spark, dims, bits):
     points = list(itertools.product(range(1 << bits), repeat=dims))
     rows = spark.createDataFrame(points, ", ".join(f"x{k} int" for k in range(dims)))
-    found = rows.select(sharding.hilbert_index([F.col(f"x{k}") for k in range(dims)], bits).alias("h"), F.struct("*").alias("p"))
-    path = [tuple(r.p) for r in sorted(found.collect(), key=lambda r: r.h)]
-    assert sorted(r.h for r in found.collect()) == list(range(len(points)))
+    found = sharding.with_hilbert(rows, rows.columns, "h", bits).collect()
+    path = [tuple(r)[:dims] for r in sorted(found, key=lambda r: r.h)]
+    assert sorted(r.h for r in found) == list(range(len(points)))
     assert path[0] == (0,) * dims
     for a, b in zip(path, path[1:]):
         assert sum(abs(x - y) for x, y in zip(a, b)) == 1
