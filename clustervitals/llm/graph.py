@@ -1,41 +1,89 @@
-"""Connected components of a graph given as edges, by alternating stars."""
+"""Connected components of a graph given as edges, by repeated contraction."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.workspace import keep
 
+# Edges that a task holds before it contracts them.
+_HELD = 1 << 20
+
+
+def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ends of the edges, and for each the smallest one that it is connected with."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            break
+        np.minimum.at(root, high[apart], low[apart])
+        while (root != root[root]).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars: every node with the smallest one of its component here."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        n += batch.num_rows
+        if n > _HELD:
+            held = [smallest_reachable(*(np.concatenate(x) for x in zip(*held)))]
+            n = 0
+    if held:
+        nodes, roots = smallest_reachable(*(np.concatenate(x) for x in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "root"])
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node with the smallest of its roots, and that one with the others as further edges."""
+    table = pa.Table.from_batches(list(batches), pa.schema([("node", pa.int64()), ("root", pa.int64())]))
+    node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+    order = np.lexsort((root, node))
+    node, root = node[order], root[order]
+    new = np.ones(len(node), bool)
+    new[1:] = node[1:] != node[:-1]
+    least = root[new][np.cumsum(new) - 1]
+    kept = new | (root != least)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.where(new, node, root)[kept]), pa.array(least[kept]), pa.array(~new[kept])], ["node", "root", "further"]
+    )
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of ``edges`` (a, b): the smallest node that can be reached.
 
-    Each round hooks every node to the smallest neighbour it knows of, first
-    from its larger neighbours, then from its smaller ones; the rounds double
-    the reach.  Minima are combined before rows move, so a node with very many
-    edges does not make a large task.  Null ends are left out.
+    Every partition contracts its edges to stars; the stars of a node meet, and
+    where they disagree their centres make the edges of the next, smaller round.
+    A node has at most one row per partition, so one with very many edges does
+    not make a large task.  Edges with a null end or equal ends are left out.
     """
     edges = edges.toDF("a", "b").filter("a <> b")
-    stars = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(stars)
-    while mark[0]:
-        both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(least.filter("m <> a").select("a", F.col("m").alias("b"))).distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        stars = keep(small.union(lowest.select("a", F.col("m").alias("b"))).distinct())
-        before, mark = mark, _mark(stars)
-        if before == mark:
+    levels = []
+    while True:
+        settled = keep(
+            edges.mapInArrow(_contract, "node long, root long").repartition("node")
+            .mapInArrow(_settle, "node long, root long, further boolean")
+        )
+        levels.append(settled.filter("not further").select("node", "root"))
+        edges = settled.filter("further").select("node", "root")
+        if edges.isEmpty():
             break
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        stars.select("b", F.col("b").alias("component")).distinct()
-    )
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """Count and checksum of the edges, which stay the same when a round changes nothing."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    found = levels[-1].toDF("node", "component")
+    for level in reversed(levels[:-1]):
+        above = found.toDF("centre", "component")
+        found = level.join(above, level["root"] == above["centre"], "left").select(
+            "node", F.coalesce("component", "root").alias("component")
+        )
+    return found

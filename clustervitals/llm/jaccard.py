@@ -13,7 +13,8 @@ radius of each other are found in three steps.
    further away: by the triangle inequality linked documents meet in a region.
    A region is cut again by pivots of its own, until it is small.  Documents
    that a pivot has connected already need not be compared with each other,
-   and a region in which all are connected is done.
+   and a region in which all are connected is done.  Documents too much alike
+   to be cut so meet in blocks, two blocks at a time.
 3. Small regions are joined exactly in a task, by the same recursion.
 
 Spaces of more than ``TASK_SHINGLES`` shingles are cut by Spark jobs, so no task
@@ -23,6 +24,7 @@ holds an unbounded group.  Sets are 64-bit hashes of shingles.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.workspace import keep
-from .arrow import slices
+from .arrow import slices, utf8
 from .graph import components
 
 SHINGLE = 3
@@ -53,23 +55,50 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_sets(texts: list[str | None], shingle: int = SHINGLE) -> list[np.ndarray]:
+# Lower-cases A-Z; the six bytes that part words become a blank.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+_OF_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts laid one after another, and how many each text has."""
+    inside = data != 32
+    new = np.zeros(len(data) + 1, bool)
+    new[bounds] = True  # a word ends with its text
+    starts = np.flatnonzero(inside & (new[:-1] | np.append(True, ~inside[:-1])))
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(bounds) - 1, np.int64)
+    ends = np.flatnonzero(inside & (new[1:] | np.append(~inside[1:], True))) + 1
+    sizes = ends - starts
+    place = np.arange(len(data), dtype=np.int64)[inside] - np.repeat(starts, sizes)
+    weights = np.cumprod(np.full(int(sizes.max()), _STEP))
+    at = np.cumsum(sizes) - sizes
+    hashes = _mixed(np.add.reduceat(_OF_BYTE[data[inside]] * weights[place], at) + sizes.astype(np.uint64))
+    return hashes, np.diff(np.searchsorted(starts, bounds))
+
+
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer words than a shingle make one of all of them."""
-    words = [(x or "").encode().lower().split() for x in texts]
-    distinct = list({w for ws in words for w in ws})
-    hashed = pd.util.hash_array(np.array([*distinct, b""], object)[:-1], categorize=False) if distinct else np.zeros(0)
-    of_word = dict(zip(distinct, hashed.tolist()))
+    data, bounds = utf8(texts)
+    data = np.frombuffer(data.tobytes().translate(_FOLD), np.uint8)
+    words, counts = _word_hashes(data, bounds)
+    joined = np.full(max(0, len(words) - shingle + 1), shingle, np.uint64)
+    for k in range(shingle):
+        joined = _mixed(joined * _STEP + words[k : k + len(joined)])
+    ends = np.cumsum(counts)
     out = []
-    for ws in words:
-        h = np.fromiter(map(of_word.__getitem__, ws), np.uint64, len(ws))
-        size = min(shingle, len(h))
-        if not size:
-            out.append(h)
-            continue
-        joined = np.full(len(h) - size + 1, size, np.uint64)
-        for k in range(size):
-            joined = _mixed(joined * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - size + 1 + k])
-        out.append(np.unique(joined))
+    for start, end in zip((ends - counts).tolist(), ends.tolist()):
+        if end - start >= shingle:
+            found = np.sort(joined[start : end - shingle + 1])
+            out.append(found[np.append(True, found[1:] != found[:-1])])
+        elif end > start:
+            short = np.full(1, end - start, np.uint64)
+            for k in range(start, end):
+                short = _mixed(short * _STEP + words[k])
+            out.append(short)
+        else:
+            out.append(words[:0])
     return out
 
 
@@ -90,16 +119,16 @@ def size_classes(largest: int, similarity: tuple[int, int] = SIMILARITY) -> list
 
 def cell_keys(shingles: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
     """One key per block, for pairs with the document's class as the smaller one and as the larger one."""
-    own = next((c for c, (low, high, _) in enumerate(classes) if low <= len(shingles) <= high), None)
-    if own is None:
+    if not classes or len(shingles) < classes[0][0]:
         return np.zeros(0, np.int64)
-    keys = []
+    own = bisect_right(classes, (len(shingles), 1 << 62)) - 1
+    mixed, keys = _mixed(shingles), []
     for c in range(max(0, own - 1), own + 1):
         blocks = classes[c][2]
         digest = np.zeros(blocks, np.uint64)
-        np.add.at(digest, ((shingles >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64), _mixed(shingles))
-        keys.append(_mixed(digest * np.uint64(31) + np.arange(blocks, dtype=np.uint64) + np.uint64(c << 32)))
-    return np.concatenate(keys).view(np.int64)
+        np.add.at(digest, ((shingles >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64), mixed)
+        keys.append(digest * np.uint64(31) + np.arange(blocks, dtype=np.uint64) + np.uint64(c << 32))
+    return _mixed(np.concatenate(keys)).view(np.int64)
 
 
 def linked(intersection: np.ndarray, union: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
@@ -182,7 +211,7 @@ def _map_sets(rows: DataFrame, shingle: int, schema: str, emit) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = shingle_sets(part.column("text").to_pylist(), shingle)
+                sets = shingle_sets(part.column("text"), shingle)
                 yield pa.RecordBatch.from_pydict(emit(part, sets))
 
     return rows.mapInArrow(work, schema)
@@ -255,7 +284,7 @@ def _spaces(rows: DataFrame, shingle: int, classes: list[tuple[int, int, int]])
 
     cells = _map_sets(rows.filter("doc is not null"), shingle, "cell long, doc long", emit)
     shared = cells.groupBy("cell").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last")
-    edges = cells.join(shared.select("cell", "first"), "cell").filter("doc <> first").select("doc", "first")
+    edges = cells.join(shared.select("cell", "first"), "cell").filter("doc <> first").select("doc", "first").distinct()
     return components(edges).toDF("doc", "space")
 
 
@@ -263,7 +292,6 @@ def _joined(sets: DataFrame, similarity: tuple[int, int], task_shingles: int, ta
     """Links (a, b) that connect all linked documents of each space."""
     sets = keep(sets.withColumn("label", F.col("doc")))
     links = None
-    radius = 1 - similarity[0] / similarity[1]
     while True:
         sizes = keep(
             sets.groupBy("region")
@@ -274,6 +302,7 @@ def _joined(sets: DataFrame, similarity: tuple[int, int], task_shingles: int, ta
             .select(
                 "region",
                 ((F.col("shingles") > task_shingles) | (F.col("docs") > task_documents)).alias("large"),
+                # Two chunks make a small region.
                 F.ceil(2 * F.greatest(F.col("shingles") / task_shingles, F.col("docs") / task_documents)).alias("chunks"),
             )
         )
@@ -283,28 +312,28 @@ def _joined(sets: DataFrame, similarity: tuple[int, int], task_shingles: int, ta
         if sizes.filter("large").isEmpty():
             return links
         large = sets.join(sizes.filter("large").select("region", "chunks"), "region")
-        judged = keep(_to_pivots(large, similarity, radius))
-        found = judged.select(F.explode("linked").alias("a"), F.col("doc").alias("b")).filter("a <> b")
-        links = keep(links.union(found))
-        label = components(links)
-        # A region is cut where that repeats few documents, else it goes on without its pivots.
+        judged = keep(_to_pivots(large, similarity))
+        links = links.union(judged.select(F.explode("linked").alias("a"), F.col("doc").alias("b")))
+        # A region is cut by its pivots where that repeats few documents.  Else its documents, too much alike
+        # for that, meet block by block: every two blocks of a region make a small one.
         spread = judged.groupBy("region").agg((F.sum(F.size("near")) <= 1.5 * F.count("*")).alias("cut"))
+        block = F.pmod(F.xxhash64("doc", "region"), F.col("chunks"))
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: k != block)
+        pairs = F.transform(others, lambda k: -1 - (F.least(k, block) * F.col("chunks") + F.greatest(k, block)))
         parts = judged.filter("not pivot").join(spread, "region").withColumn(
-            "part", F.explode(F.when(F.col("cut"), F.col("near")).otherwise(F.array(F.lit(-1))))
-        )
-        sets = keep(
-            parts.join(label, F.col("doc") == F.col("node"), "left").select(
-                F.xxhash64("region", "part").alias("region"), "doc", "n", "shingles",
-                F.coalesce("component", "doc").alias("label"),
-            )
+            "part", F.explode(F.when(F.col("cut"), F.col("near")).otherwise(pairs))
         )
+        sets = keep(parts.select(F.xxhash64("region", "part").alias("region"), "doc", "n", "shingles", "label"))
 
 
-def _to_pivots(large: DataFrame, similarity: tuple[int, int], radius: float) -> DataFrame:
-    """Rows of large regions with the pivots they link with and the regions they go to.
+def _to_pivots(large: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Rows of large regions with the pivots they link with, the regions they go to, and new labels.
 
     A region is dealt out in chunks, each of which gets the region's pivots.
+    Equal labels mean that documents are connected; a chunk joins the labels of
+    pivots that one of its documents links with.
     """
+    radius = 1 - similarity[0] / similarity[1]
     order = Window.partitionBy("region").orderBy(F.xxhash64("doc", "region"), "doc")
     drawn = (
         large.select("region", "chunks", "doc").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= JOB_PIVOTS)
@@ -327,14 +356,25 @@ def _to_pivots(large: DataFrame, similarity: tuple[int, int], radius: float) ->
             common, union = _to_pivot(np.frombuffer(x, np.uint64), flat, bounds)
             distance[:, k], hit[:, k] = 1 - common / union, linked(common, union, similarity)
         near = _assigned(distance, radius)
+        joined = _Labels(len(ids))
+        for h in np.unique(hit, axis=0):
+            to = np.flatnonzero(h).tolist()
+            for k in to[1:]:
+                joined.join(to[0], k)
+        root = ids[[joined.find(k) for k in range(len(ids))]] if len(ids) else ids
+        label = rows.column("label").to_numpy()
         return pa.table({
-            **{c: rows.column(c) for c in ("region", "doc", "n", "shingles")},
+            **{c: rows.column(c) for c in ("region", "chunks", "doc", "n", "shingles")},
+            "label": np.where(hit.any(axis=1), root[hit.argmax(axis=1)], label) if len(ids) else label,
             "linked": pa.array([ids[h].tolist() for h in hit], pa.list_(pa.int64())),
-            "near": pa.array([np.flatnonzero(x).tolist() for x in near], pa.list_(pa.int32())),
+            "near": pa.array([np.flatnonzero(x).tolist() for x in near], pa.list_(pa.int64())),
             "pivot": pa.array(np.isin(rows.column("doc").to_numpy(), ids)),
         })
 
-    schema = "region long, doc long, n long, shingles binary, linked array<long>, near array<int>, pivot boolean"
+    schema = (
+        "region long, chunks long, doc long, n long, shingles binary, label long, "
+        "linked array<long>, near array<long>, pivot boolean"
+    )
     with_own = dealt.groupBy("region", "chunk").cogroup(pivots.groupBy("in_region", "in_chunk"))
     return with_own.applyInArrow(judge, schema)
 

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from clustervitals.llm import graph, jaccard, queries
@@ -66,13 +67,30 @@ def test_chains_and_dense_groups(spark):
 
 
 def test_region_join_without_spark():
-    r = random.Random(5)
     rows = [x for x in corpus(6, 40) if x[1]]
-    sets = jaccard.shingle_sets([t for _, t in rows])
+    sets = jaccard.shingle_sets(pa.array([t for _, t in rows]))
     first = jaccard.join_region(sets)
     want = brute.jaccard_components([(k, t) for k, (_, t) in enumerate(rows)])
     assert first == [want[k][1] for k in range(len(rows))]
-    assert r and all((np.diff(s.view(np.int64) >> 1) != 0).all() for s in sets)
+    assert all((s[1:] > s[:-1]).all() for s in sets)
+
+
+def test_shingles_equal_those_of_plain_sets():
+    texts = ["a b c d a b c", "A\tb\x0bc", "a b", "a  b ", "b a", "a", "", None, " \n", "ab c", "a bc", "é É x", "a b c", "x" * 500]
+    sets = jaccard.shingle_sets(pa.array([*texts, *texts]).slice(3))
+    plain = [brute.shingles(t) for t in [*texts, *texts][3:]]
+    for s, p in zip(sets, plain):
+        assert len(s) == len(p)
+        for t, q in zip(sets, plain):
+            assert len(np.intersect1d(s, t)) == len(p & q)
+
+
+def test_cells_of_equal_blocks():
+    classes = jaccard.size_classes(500)
+    s = jaccard.shingle_sets(pa.array([" ".join(map(str, range(300)))]))[0]
+    one, two = jaccard.cell_keys(s, classes), jaccard.cell_keys(np.delete(s, 7), classes)
+    assert len(one) == len(two) and 0 < (one != two).sum() <= 2
+    assert len(jaccard.cell_keys(s[:8], classes)) == 0 and len(jaccard.cell_keys(s[:9], classes)) == 2
 
 
 def test_size_classes_cover_linked_sizes():
