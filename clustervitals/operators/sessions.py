@@ -68,6 +68,28 @@ def session_metrics(activity: DataFrame, as_of: datetime) -> DataFrame:
     return wide.unpivot([], wide.columns, "metric_name", "result")
 
 
+def session_counts(activity: DataFrame) -> DataFrame:
+    """One row per ``snapshot_ts`` with counts that can be added up and the oldest start of an active statement."""
+    return activity.groupBy("snapshot_ts").agg(
+        F.count_if(is_active()).alias("active_sql"),
+        F.count_if(is_waiting()).alias("waiting_sql"),
+        F.count("*").alias("connections"),
+        F.count_if(is_idle_in_transaction()).alias("idle_in_transaction"),
+        F.min(F.when(is_active(), F.col("query_start"))).alias("oldest_start"),
+    )
+
+
+def session_metrics_by_snapshot(counts: DataFrame) -> DataFrame:
+    """The figures of ``session_metrics`` for each snapshot, from parts made by ``session_counts``."""
+    added = ["active_sql", "waiting_sql", "connections", "idle_in_transaction"]
+    whole = counts.groupBy("snapshot_ts").agg(*(F.sum(c).alias(c) for c in added), F.min("oldest_start").alias("oldest"))
+    wide = whole.select(
+        "snapshot_ts", *added,
+        F.coalesce(whole_minutes(F.col("oldest"), F.col("snapshot_ts")), F.lit(0)).alias("longest_sql_minutes"),
+    )
+    return wide.unpivot(["snapshot_ts"], [*added, "longest_sql_minutes"], "metric_name", "result")
+
+
 def long_idle_transactions(
     activity: DataFrame, as_of: datetime, limit: timedelta = timedelta(days=1)
 ) -> DataFrame:

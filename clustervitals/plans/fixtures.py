@@ -272,12 +272,26 @@ DEFINITIONS = {
         select distinct l_partkey % 200 * 10 + l_linenumber as reloid, concat('s', l_partkey % 5) as root_schema, concat('t', l_partkey % 40) as root_name
         from lineitem where l_partkey % 200 > 40
     """,
-    # reloid bigint, modcount bigint, snapshot_ts timestamp_ntz : counters in arrival order
+    # reloid bigint, modcount bigint, snapshot_ts timestamp_ntz : counters of four snapshots
     "fx_modcount_feed": """
         select reloid, modcount, timestamp '2000-01-01 00:00:00' as snapshot_ts from fx_modcount_old
         union all
+        select reloid, modcount + reloid % 2, timestamp '2000-06-01 00:00:00' as snapshot_ts from fx_modcount_old
+        union all
+        select reloid, modcount + reloid % 3, timestamp '2001-01-01 00:00:00' as snapshot_ts from fx_modcount_old
+        union all
         select reloid, modcount, timestamp '2001-08-01 00:00:00' as snapshot_ts from fx_modcount_new
     """,
+    # snapshot_ts timestamp_ntz, pid, state, waiting, query_start : sessions of four snapshots
+    "fx_activity_feed": """
+        select timestamp '2024-01-31 00:00:00' as snapshot_ts, pid, state, waiting, query_start from fx_activity
+        union all
+        select timestamp '2024-01-31 00:05:00' as snapshot_ts, pid, state, waiting, query_start from fx_activity where pid % 3 <> 0
+        union all
+        select timestamp '2024-01-31 00:10:00' as snapshot_ts, pid, state, waiting, query_start from fx_activity where state <> 'active'
+        union all
+        select timestamp '2024-01-31 00:15:00' as snapshot_ts, pid, state, waiting, query_start from fx_activity
+    """,
 }
 
 _SOURCE = re.compile(r"\b(from|join)\s+(\w+)", re.IGNORECASE)

@@ -31,7 +31,7 @@ LOG_METRICS = {
 }
 
 
-def _renamed(name: str, metrics: dict[str, str]) -> Column:
+def renamed(name: str, metrics: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in metrics.items() for x in pair])[F.col(name)]
 
 
@@ -44,7 +44,7 @@ def _one(df: DataFrame, metric: str, value: str) -> DataFrame:
 
 def _several(df: DataFrame, metrics: dict[str, str]) -> DataFrame:
     long = df.unpivot([], list(metrics), "k", "v")
-    return long.select(_renamed("k", metrics).alias("metric_name"), F.col("v").cast("string").alias("monitor_result"))
+    return long.select(renamed("k", metrics).alias("metric_name"), F.col("v").cast("string").alias("monitor_result"))
 
 
 def _checks(inputs: dict[str, DataFrame], as_of: datetime, since: datetime, coordinators) -> Iterator[DataFrame]:
@@ -60,7 +60,7 @@ def _checks(inputs: dict[str, DataFrame], as_of: datetime, since: datetime, coor
     if "activity" in inputs:
         counters = sessions.session_metrics(inputs["activity"], as_of)
         yield counters.select(
-            _renamed("metric_name", SESSION_METRICS).alias("metric_name"), F.col("result").cast("string").alias("monitor_result")
+            renamed("metric_name", SESSION_METRICS).alias("metric_name"), F.col("result").cast("string").alias("monitor_result")
         )
     if "resource_groups" in inputs:
         yield _several(sessions.resource_group_totals(inputs["resource_groups"]), GROUP_METRICS)
@@ -71,7 +71,7 @@ def _checks(inputs: dict[str, DataFrame], as_of: datetime, since: datetime, coor
     if "lines" in inputs:
         found = logs.pattern_counts(inputs["lines"], since, coordinators)
         yield found.select(
-            _renamed("pattern", LOG_METRICS).alias("metric_name"), F.col("matches").cast("string").alias("monitor_result")
+            renamed("pattern", LOG_METRICS).alias("metric_name"), F.col("matches").cast("string").alias("monitor_result")
         )
     if "dbs" in inputs:
         yield _one(age.database_age(inputs["dbs"], 1), "gpdb_check_master_age", "age_int")

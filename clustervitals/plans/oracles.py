@@ -800,13 +800,22 @@ SQL["stream_log_alerts"] = f"""
     from ({_MATCHES}) m group by 1, 2, 3, 4
 """
 SQL["stream_latest_metrics"] = _LATEST
-SQL["stream_metric_results"] = (
-    f"select {CLOCK} as ctime, metric_name, monitor_result, 2 as status from ("
-    + " union all ".join(_metric(*m) for m in _METRICS if " from fx_activity" in m[1]) + ") r"
+_LONGEST = """coalesce(cast(round_even(max(epoch_us(snapshot_ts) - epoch_us(query_start)) filter (where state = 'active') / 1e6 / 60, 0) as bigint), 0)"""
+SQL["stream_metric_results"] = " union all ".join(
+    f"select snapshot_ts as ctime, '{name}' as metric_name, cast({value} as varchar) as monitor_result, 2 as status "
+    "from fx_activity_feed group by snapshot_ts"
+    for name, value in (
+        ("gpdb_total_sql", _ACTIVE), ("gpdb_total_waiting_sql", _WAITING), ("gpdb_total_connections", "count(*)"),
+        ("gpdb_total_idle_in_transaction", _IDLE_TX), ("gpdb_long_sql_running_time", _LONGEST),
+    )
 )
-SQL["stream_changed_tables"] = f"""
-    select reloid, modcount, 'new' as reason, 0 as batch from fx_modcount_old
-    union all select reloid, modcount, reason, 1 from ({_MOVED}) m
+SQL["stream_changed_tables"] = """
+    select reloid, modcount, snapshot_ts, case when n = 1 then 'new' else 'changed' end as reason
+    from (
+      select reloid, snapshot_ts, modcount, lag(modcount) over (partition by reloid order by snapshot_ts) as earlier,
+        row_number() over (partition by reloid order by snapshot_ts) as n
+      from fx_modcount_feed
+    ) c where n = 1 or modcount <> earlier
 """
 SQL["stream_session_alerts"] = f"""
     select time_bucket(interval '5 minutes', snapshot_ts) as window_start, {_ACTIVE} as active_sql, {_WAITING} as waiting_sql,

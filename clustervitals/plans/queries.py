@@ -838,23 +838,27 @@ def stream_latest_metrics(fx):
 
 @query
 def stream_metric_results(fx):
-    snapshot = fx.fx_activity.withColumn("snapshot_ts", F.lit(str(AS_OF)).cast("timestamp_ntz"))
-    source, work = _landed(fx, snapshot, "snapshot-in"), fresh_dir(fx.spark, "snapshot")
-    stream = fx.spark.readStream.schema(snapshot.schema).parquet(source)
-    stream_metrics.stream_metric_results(stream, work, f"{work}/cp", f"{work}/text").awaitTermination()
-    return fx.spark.read.parquet(f"{work}/history").select("ctime", "metric_name", "monitor_result", "status")
+    # The second snapshot is spread over two batches; the third comes last.
+    feed, minute = fx.fx_activity_feed, F.minute("snapshot_ts")
+    spread = (minute == 5) & (F.col("pid") % 2 == 0)
+    source, work = fresh_dir(fx.spark, "snapshot-in"), fresh_dir(fx.spark, "snapshot")
+    for rows in (feed.filter((minute == 0) | spread), feed.filter((minute == 15) | (minute == 5) & ~spread), feed.filter(minute == 10)):
+        rows.write.mode("append").parquet(source)
+        stream = fx.spark.readStream.schema(feed.schema).parquet(source)
+        stream_metrics.stream_metric_results(stream, work, f"{work}/cp", f"{work}/text").awaitTermination()
+    return stream_metrics.read_results(fx.spark, work)
 
 
 @query
 def stream_changed_tables(fx):
+    # Two snapshots come in one batch, one between them comes after it.
+    feed, year = fx.fx_modcount_feed, F.date_format("snapshot_ts", "yyyy-MM")
     source, work = fresh_dir(fx.spark, "counters-in"), fresh_dir(fx.spark, "counters")
-    feed = fx.fx_modcount_feed
-    later = F.col("snapshot_ts") > F.lit(str(STATE_TIME)).cast("timestamp_ntz")
-    for snapshot in (feed.filter(~later), feed.filter(later)):
-        snapshot.write.mode("append").parquet(source)
+    for months in (["2000-01"], ["2000-06", "2001-08"], ["2001-01"]):
+        feed.filter(year.isin(months)).write.mode("append").parquet(source)
         stream = fx.spark.readStream.schema(feed.schema).parquet(source)
         stream_changes.stream_changed_tables(stream, work, f"{work}/cp").awaitTermination()
-    return fx.spark.read.parquet(f"{work}/events")
+    return stream_changes.read_changes(fx.spark, work)
 
 
 @query

@@ -2,49 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.change import changed_tables
 from .sinks import batch_dir, run_batches
 
-_STATE = ["reloid", "modcount", "last_checktime"]
-
 
 def stream_changed_tables(
     counters: DataFrame, out: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Emit a table when its counter differs from the remembered one, or when it is first seen.
+    """Every change of a table's counter from one snapshot to the next, and its first appearance.
 
-    ``counters``: reloid, modcount, snapshot_ts.  Every batch is first reduced
-    to the newest counter per table, so a table reported many times costs one
-    row; then the batch comparison runs against the state of the batch before.
-    ``out/events/batch=<n>`` holds the changes, ``out/state/batch=<n>`` the
-    state after batch n.
+    ``counters``: reloid, modcount, snapshot_ts.  ``read_changes`` gives the
+    events.  They do not depend on how snapshots fall into batches or on their
+    order: a batch adds its counters to those seen (``out/seen/batch=<n>``) and
+    writes the events of the tables it names anew, from all counters seen of
+    them (``out/events/batch=<n>``), so a late snapshot corrects what followed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # Used three times below; the batch itself is read once.
-        newest = (
-            batch.groupBy("reloid", "snapshot_ts")
-            .agg(F.max("modcount").alias("modcount"))
-            .groupBy("reloid")
-            .agg(F.max_by("modcount", "snapshot_ts").alias("modcount"), F.max("snapshot_ts").alias("last_checktime"))
-            .persist()
-        )
-        if batch_id > 0:
-            state = spark.read.parquet(batch_dir(f"{out}/state", batch_id - 1))
-        else:
-            state = newest.limit(0)
-        changed_tables(state, newest.select("reloid", "modcount")).write.mode("overwrite").parquet(
-            batch_dir(f"{out}/events", batch_id)
-        )
-        kept = state.join(newest.select("reloid"), "reloid", "left_anti")
-        kept.select(*_STATE).unionByName(newest.select(*_STATE)).write.mode("overwrite").parquet(
-            batch_dir(f"{out}/state", batch_id)
-        )
-        newest.unpersist()
+        arrived = batch_dir(f"{out}/seen", batch_id)
+        batch.groupBy("reloid", "snapshot_ts").agg(F.max("modcount").alias("modcount")).write.mode("overwrite").parquet(arrived)
+        named = spark.read.parquet(arrived).select("reloid").distinct()
+        # A repeated batch must not see later ones.
+        seen = spark.read.parquet(f"{out}/seen").filter(F.col("batch") <= batch_id).join(named, "reloid", "left_semi")
+        changes(seen).write.mode("overwrite").parquet(batch_dir(f"{out}/events", batch_id))
 
     return run_batches(counters, write, checkpoint, trigger)
+
+
+def changes(counters: DataFrame) -> DataFrame:
+    """(reloid, modcount, snapshot_ts, reason) of each first counter and each one that differs from the one before.
+
+    Of several counters of a table in one snapshot the largest counts.
+    """
+    before = F.lag("modcount").over(Window.partitionBy("reloid").orderBy("snapshot_ts"))
+    first = F.row_number().over(Window.partitionBy("reloid").orderBy("snapshot_ts")) == 1
+    one = counters.groupBy("reloid", "snapshot_ts").agg(F.max("modcount").alias("modcount"))
+    found = one.withColumns({"first": first, "same": F.col("modcount").eqNullSafe(before)})
+    return found.filter("first or not same").select(
+        "reloid", "modcount", "snapshot_ts", F.when(F.col("first"), "new").otherwise("changed").alias("reason")
+    )
+
+
+def read_changes(spark: SparkSession, out: str) -> DataFrame:
+    """The events that stand: of each table those of the last batch that named it."""
+    events = spark.read.parquet(f"{out}/events")
+    last = events.groupBy("reloid").agg(F.max("batch").alias("batch"))
+    return events.join(last, ["reloid", "batch"], "left_semi").select("reloid", "modcount", "snapshot_ts", "reason")

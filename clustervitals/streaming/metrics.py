@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.clock import instant
-from ..operators.monitor import latest_metrics
-from ..plans.metrics import metric_results
+from ..operators.monitor import COMPLETED, latest_metrics
+from ..operators.sessions import session_counts, session_metrics_by_snapshot
+from ..plans.metrics import SESSION_METRICS, renamed
 from ..sources.sinks import append_history, export_metric_text
-from .sinks import batch_dir, run_batches
+from .sinks import batch_dir, read_updates, run_batches
 
 
 def stream_latest_metrics(
@@ -42,20 +42,35 @@ def stream_latest_metrics(
 def stream_metric_results(
     activity: DataFrame, out: str, checkpoint: str, text_dir: str | None = None, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Session metrics of each arriving snapshot, appended to the history and exported.
+    """Session metrics of every snapshot, one row per snapshot and metric.
 
-    ``activity`` carries ``snapshot_ts``.  A batch may bring several snapshots;
-    the newest one is measured, as a check that runs late would.
+    ``activity`` carries ``snapshot_ts``.  A batch adds the counts of what it
+    brings (``out/parts/batch=<n>``) and writes the metrics of the snapshots it
+    touches from all parts of them (``out/history/batch=<n>``), so a snapshot
+    may be spread over batches or come late.  ``read_results`` gives the rows
+    that stand; the newest snapshot is exported to ``text_dir``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        as_of = batch.agg(F.max("snapshot_ts")).first()[0]
-        if as_of is None:
-            return
-        newest = batch.filter(F.col("snapshot_ts") == instant(as_of))
-        results = metric_results({"activity": newest}, as_of)
+        spark, part = batch.sparkSession, batch_dir(f"{out}/parts", batch_id)
+        session_counts(batch).write.mode("overwrite").parquet(part)
+        touched = spark.read.parquet(part).select("snapshot_ts").distinct()
+        parts = spark.read.parquet(f"{out}/parts").filter(F.col("batch") <= batch_id)
+        found = session_metrics_by_snapshot(parts.join(touched, "snapshot_ts", "left_semi"))
+        results = found.select(
+            F.col("snapshot_ts").alias("ctime"), renamed("metric_name", SESSION_METRICS).alias("metric_name"),
+            F.col("result").cast("string").alias("monitor_result"), F.lit(COMPLETED).alias("status"),
+        )
         append_history(results, batch_dir(f"{out}/history", batch_id), mode="overwrite")
         if text_dir:
-            export_metric_text(results, text_dir)
+            newest = parts.agg(F.max("snapshot_ts").alias("ctime"))
+            written = spark.read.schema(results.schema).parquet(batch_dir(f"{out}/history", batch_id))
+            export_metric_text(written.join(F.broadcast(newest), "ctime", "left_semi"), text_dir)
 
     return run_batches(activity, write, checkpoint, trigger)
+
+
+def read_results(spark: SparkSession, out: str) -> DataFrame:
+    """(ctime, metric_name, monitor_result, status): of each snapshot the rows of the last batch that touched it."""
+    found = read_updates(spark, f"{out}/history", ["ctime", "metric_name"])
+    return found.select("ctime", "metric_name", "monitor_result", "status")

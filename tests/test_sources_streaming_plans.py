@@ -173,42 +173,43 @@ def test_stream_latest_metrics_over_three_files(spark, tmp_path):
     assert (tmp_path / "text" / "m2.txt").read_text().strip() == "11"
 
 
-def test_stream_metric_results_measures_the_newest_snapshot(spark, tmp_path):
+@pytest.mark.parametrize("files", [[0, 1, 2, 3], [0, 0, 0, 0], [1, 0, 1, 0], [3, 2, 1, 0]])
+def test_stream_metric_results_measures_every_snapshot(spark, tmp_path, files):
     schema = "snapshot_ts timestamp_ntz, state string, waiting boolean, query_start timestamp_ntz"
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     later = T0 + timedelta(minutes=5)
-    batches = [
-        [(T0, "active", False, T0 - timedelta(minutes=9)), (T0, "idle", False, T0)],
-        [(later, "active", True, T0), (later - timedelta(minutes=1), "active", False, T0)],
+    rows = [
+        (T0, "active", False, T0 - timedelta(minutes=9)), (T0, "idle", False, T0),
+        (later, "active", True, T0), (later - timedelta(minutes=1), "active", False, T0),
     ]
-    for rows in batches:
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+    for k in sorted(set(files)):
+        spark.createDataFrame([r for r, f in zip(rows, files) if f == k], schema).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
         metrics.stream_metric_results(stream, out, str(tmp_path / "cp"), str(tmp_path / "text")).awaitTermination()
-    rows = spark.read.parquet(f"{out}/history").collect()
+    rows = metrics.read_results(spark, out).collect()
     got = {(r.ctime, r.metric_name): r.monitor_result for r in rows}
-    assert len(rows) == 10
+    assert len(rows) == len(got) == 15
     assert (got[T0, "gpdb_total_connections"], got[T0, "gpdb_long_sql_running_time"]) == ("2", "9")
     assert (got[later, "gpdb_total_connections"], got[later, "gpdb_total_waiting_sql"]) == ("1", "1")
+    assert got[later - timedelta(minutes=1), "gpdb_long_sql_running_time"] == "4"
     assert (tmp_path / "text" / "gpdb_long_sql_running_time.txt").read_text() == "5"
 
 
-def test_stream_changed_tables_emits_new_and_changed_once(spark, tmp_path):
+@pytest.mark.parametrize("files", [[0, 0, 1, 1, 1, 1, 2, 2], [0] * 8, [2, 2, 1, 0, 0, 1, 0, 2], [0, 1, 2, 3, 4, 5, 6, 7]])
+def test_stream_changed_tables_does_not_depend_on_batches(spark, tmp_path, files):
     schema = "reloid long, modcount long, snapshot_ts timestamp_ntz"
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    snapshots = [
-        [(1, 5, T0), (2, 5, T0)],
-        [(1, 5, T0 + timedelta(1)), (2, 6, T0 + timedelta(1)), (2, 7, T0 + timedelta(2)), (3, 1, T0 + timedelta(1))],
-        [(1, 4, T0 + timedelta(3)), (2, 7, T0 + timedelta(3))],
-    ]
-    for rows in snapshots:
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+    day = [T0 + timedelta(k) for k in range(4)]
+    rows = [(1, 5, day[0]), (2, 5, day[0]), (1, 9, day[1]), (2, 5, day[1]), (1, 5, day[2]), (3, 1, day[1]), (1, 5, day[3]), (2, 7, day[3])]
+    for k in sorted(set(files)):
+        spark.createDataFrame([r for r, f in zip(rows, files) if f == k], schema).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
         changes.stream_changed_tables(stream, out, str(tmp_path / "cp")).awaitTermination()
-    got = {tuple(r) for r in spark.read.parquet(f"{out}/events").select("batch", "reloid", "modcount", "reason").collect()}
-    assert got == {(0, 1, 5, "new"), (0, 2, 5, "new"), (1, 2, 7, "changed"), (1, 3, 1, "new"), (2, 1, 4, "changed")}
-    final = {(r.reloid, r.modcount) for r in spark.read.parquet(f"{out}/state/batch=2").collect()}
-    assert final == {(1, 4), (2, 7), (3, 1)}
+    got = {(r.reloid, r.modcount, r.snapshot_ts, r.reason) for r in changes.read_changes(spark, out).collect()}
+    assert got == {
+        (1, 5, day[0], "new"), (2, 5, day[0], "new"), (1, 9, day[1], "changed"), (3, 1, day[1], "new"),
+        (1, 5, day[2], "changed"), (2, 7, day[3], "changed"),
+    }
 
 
 def test_stream_state_agrees_with_batch(spark, tmp_path):
