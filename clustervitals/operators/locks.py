@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import instant, seconds_between, whole_minutes
@@ -48,10 +48,16 @@ def _holders(locks: DataFrame) -> DataFrame:
 
 
 def _oldest_holder(locks: DataFrame) -> DataFrame:
-    """The earliest transaction holding each relation; ties go to the lowest pid."""
-    details = [c for c in ("state", "query") if c in locks.columns]
-    first = F.min(F.struct("xact_start", "pid", "usename", "lockmode", *details))
-    return _holders(locks).groupBy("relation").agg(first.alias("run"))
+    """The earliest transaction holding each relation; ties go to the lowest pid.
+
+    The earliest start is found by hashing; only locks of that start are sorted.
+    """
+    run = ["xact_start", "pid", "usename", "lockmode", *(c for c in ("state", "query") if c in locks.columns)]
+    holders = _holders(locks)
+    first = holders.groupBy("relation").agg(F.min("xact_start").alias("xact_start"))
+    order = Window.partitionBy("relation").orderBy(*run)
+    earliest = holders.join(first, ["relation", "xact_start"]).withColumn("_place", F.row_number().over(order))
+    return earliest.filter("_place = 1").select("relation", F.struct(*run).alias("run"))
 
 
 def lock_waits(locks: DataFrame, as_of: datetime) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import before, instant
@@ -16,9 +16,15 @@ RETENTION_DAYS = 180
 
 
 def latest_metrics(history: DataFrame) -> DataFrame:
-    """Last result per metric; equal times are settled by result."""
-    newest = F.max(F.struct("ctime", "monitor_result", "status"))
-    return history.groupBy("metric_name").agg(newest.alias("last")).select("metric_name", "last.*")
+    """Last result per metric; equal times are settled by result.
+
+    The last times are found by hashing; only rows of those times are sorted.
+    """
+    last = history.groupBy("metric_name").agg(F.max("ctime").alias("last")).withColumnRenamed("metric_name", "name")
+    same = F.col("metric_name").eqNullSafe(F.col("name")) & F.col("ctime").eqNullSafe(F.col("last"))
+    order = Window.partitionBy("metric_name").orderBy(F.desc("monitor_result"), F.desc("status"))
+    ranked = history.join(last, same).withColumn("_place", F.row_number().over(order))
+    return ranked.filter("_place = 1").select("metric_name", "ctime", "monitor_result", "status")
 
 
 def _interval_passed(as_of: datetime) -> Column:

@@ -33,9 +33,6 @@ ANALYZE_DENY_LIST = (
     "session_state",
 )
 
-# Longer lists become a joined table instead of a literal list in the plan.
-INLINE_LIMIT = 1000
-
 FIRST_USER_OID = 16384
 
 
@@ -50,11 +47,10 @@ def read_schema_list(lines: Iterable[str]) -> list[str]:
 
 
 def _in_list(df: DataFrame, names: Sequence[str], column: str, keep: bool) -> DataFrame:
-    if len(names) <= INLINE_LIMIT:
-        listed = F.col(column).isin(list(names))
-        return df.filter(listed if keep else ~listed)
-    table = df.sparkSession.createDataFrame([(n,) for n in sorted(set(names))], f"{column} string")
-    return df.join(table, column, "left_semi" if keep else "left_anti")
+    if any(name is None for name in names):
+        raise ValueError("a list of names must not hold None")
+    listed = F.col(column).isin(sorted(set(names)))
+    return df.filter(listed if keep else ~listed)
 
 
 def schema_scope(

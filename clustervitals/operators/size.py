@@ -24,15 +24,17 @@ SYSTEM_DATABASES = ("postgres", "template1", "template0")
 
 
 def relation_files(files: DataFrame, rels: DataFrame) -> DataFrame:
-    """Bytes, file count and last change per relation (and segment, if given).
+    """Bytes, file count and last change per relation (and host, segment and database, if given).
 
     ``files`` are data files; ``<node>.N`` are further parts of ``<node>``.
-    Fork files (``_fsm``, ``_vm``) match no relation and drop out.
+    Fork files (``_fsm``, ``_vm``) match no relation and drop out.  Node numbers
+    are unique in one database of one segment only, so files meet the catalog on
+    ``segid`` and ``datname`` too where both sides have them.
     """
-    segment = [c for c in ("hostname", "segid") if c in files.columns]
+    place = [c for c in ("hostname", "segid", "datname") if c in files.columns]
     per_node = (
         files.withColumn("relfilenode", F.split_part("filename", F.lit("."), F.lit(1)))
-        .groupBy(*segment, "relfilenode")
+        .groupBy(*place, "relfilenode")
         .agg(
             F.sum("size_bytes").alias("size_bytes"),
             F.count("*").alias("relfilecount"),
@@ -40,8 +42,9 @@ def relation_files(files: DataFrame, rels: DataFrame) -> DataFrame:
         )
     )
     keyed = rels.withColumn("relfilenode", F.col("relfilenode").cast("string"))
-    return keyed.join(per_node, "relfilenode").select(
-        *segment, *[c for c in rels.columns], "size_bytes", "relfilecount", "max_modtime"
+    on = ["relfilenode", *(c for c in ("segid", "datname") if c in place and c in rels.columns)]
+    return keyed.join(per_node, on).select(
+        *place, *(c for c in rels.columns if c not in place), "size_bytes", "relfilecount", "max_modtime"
     )
 
 

@@ -203,17 +203,19 @@ DEFINITIONS = {
     """,
     # segid int, filename string, size_bytes bigint, modtime timestamp_ntz : one row per data file of a segment
     "fx_seg_files": """
-        select cast(l_suppkey % 8 as int) as segid,
+        select cast(l_suppkey % 8 as int) as segid, concat('db', l_orderkey % 2) as datname,
           concat(l_partkey % 40, case when l_linenumber % 3 = 0 then '' when l_linenumber % 3 = 1 then concat('.', l_linenumber) else '_fsm' end) as filename,
           cast(l_quantity * 1048576 as bigint) * case when l_partkey % 40 = 12 and l_suppkey % 8 = 2 then 20 else 1 end as size_bytes,
           l_shipdate as modtime
         from lineitem where not (l_partkey % 40 = 8 and l_suppkey % 8 > 3)
     """,
-    # reloid bigint, schemaname, relname, relfilenode, relstorage : catalog rows behind fx_seg_files
+    # reloid bigint, segid int, datname, schemaname, relname, relfilenode, relstorage : catalogs behind fx_seg_files.
+    # A node number stands for another relation on every segment and in every database.
     "fx_seg_rels": """
-        select distinct p_partkey % 40 as reloid, concat('s', p_partkey % 5) as schemaname, concat('t', p_partkey % 40) as relname,
-          cast(p_partkey % 40 as string) as relfilenode,
-          case p_partkey % 4 when 0 then 'h' when 1 then 'a' when 2 then 'c' else 'x' end as relstorage from part
+        select distinct l_partkey % 40 as reloid, cast(l_suppkey % 8 as int) as segid, concat('db', l_orderkey % 2) as datname,
+          concat('d', l_orderkey % 2, 's', l_partkey % 5) as schemaname, concat('t', l_partkey % 40) as relname,
+          cast((l_partkey % 40 + 3 * (l_suppkey % 8) + 7 * (l_orderkey % 2)) % 40 as string) as relfilenode,
+          case l_partkey % 4 when 0 then 'h' when 1 then 'a' when 2 then 'c' else 'x' end as relstorage from lineitem
     """,
     # schemaname, relname, reloid, segid, size_bytes, relfilecount, relstorage, spcname : sizes with temporary schemas
     "fx_temp_size": """

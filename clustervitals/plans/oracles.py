@@ -107,6 +107,15 @@ SQL["relation_files"] = """
 """
 
 
+SQL["relation_files_by_segment"] = """
+    select r.segid, r.datname, r.reloid, r.schemaname, r.relname, r.relfilenode, r.relstorage,
+      cast(sum(f.size_bytes) as bigint) as size_bytes, count(*) as relfilecount, cast(max(f.modtime) as timestamp) as max_modtime
+    from fx_seg_rels r join fx_seg_files f
+      on split_part(f.filename, '.', 1) = r.relfilenode and f.segid = r.segid and f.datname = r.datname
+    group by 1, 2, 3, 4, 5, 6, 7
+"""
+
+
 def _schema_size(fixture: str) -> str:
     return f"""
     select schemaname, b as size_bytes, {_pretty('b')} as size from (
@@ -215,7 +224,8 @@ SQL["skew_check_by_catalog"] = _skew(_BY_CATALOG, 1 << 20, 0.1)
 SQL["skew_report"] = _skew("fx_rel_size", 1 << 20, 0.02)
 SQL["skew_from_files"] = _skew(
     """(select r.schemaname, r.relname, r.relstorage, f.segid, f.size_bytes from fx_seg_rels r
-        join fx_seg_files f on split_part(f.filename, '.', 1) = r.relfilenode where r.relstorage = 'h') s""",
+        join fx_seg_files f on split_part(f.filename, '.', 1) = r.relfilenode and f.segid = r.segid and f.datname = r.datname
+        where r.relstorage = 'h') s""",
     1 << 20, 0.5,
 )
 _PROC = """

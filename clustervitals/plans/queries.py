@@ -224,6 +224,12 @@ def relation_files(fx):
     return size.relation_files(fx.fx_files, fx.fx_relfilenode)
 
 
+@query
+def relation_files_by_segment(fx):
+    found = size.relation_files(fx.fx_seg_files, fx.fx_seg_rels)
+    return found.withColumn("max_modtime", F.col("max_modtime").cast("timestamp_ntz"))
+
+
 @query
 def schema_size(fx):
     return size.schema_size(fx.fx_temp_size)

@@ -36,11 +36,13 @@ def test_scope_modes(spark):
         scope.schema_scope(df, include=["a"], all_schemas=True)
 
 
-def test_long_scope_lists_become_joins(spark):
+def test_long_scope_lists_and_none(spark):
     df = spark.createDataFrame([("dw",), ("ods",)], "schemaname string")
-    many = [f"x{i}" for i in range(scope.INLINE_LIMIT + 1)]
+    many = [f"x{i}" for i in range(3000)]
     assert scope.schema_scope(df, include=[*many, "dw"]).collect() == [("dw",)]
     assert scope.schema_scope(df, exclude=[*many, "dw"]).collect() == [("ods",)]
+    with pytest.raises(ValueError):
+        scope.schema_scope(df, exclude=["dw", None])
 
 
 def test_schema_list_file():

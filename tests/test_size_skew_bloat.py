@@ -186,3 +186,16 @@ def test_skew_names_the_distribution_key_on_both_join_paths(spark, monkeypatch):
         monkeypatch.setattr(spread, "BROADCAST_BYTES", limit)
         got = skew.skew_check(data, 2, min_total=0, policy=policy, attributes=attrs).collect()
         assert {r.tablename: r.dk for r in got} == {"s.t": "c2,c1", "s.r": None, "s.p": "c1"}
+
+
+def test_nodes_are_unique_per_segment_and_database_only(spark):
+    files = spark.createDataFrame(
+        [(0, "a", "100", 1), (1, "a", "100", 2), (1, "a", "100.1", 4), (0, "b", "100", 8)],
+        "segid int, datname string, filename string, size_bytes long",
+    ).withColumn("modtime", F.current_timestamp())
+    rels = spark.createDataFrame(
+        [(0, "a", 1, 100), (0, "a", 2, 101), (1, "a", 2, 100), (1, "a", 1, 101), (0, "b", 1, 100)],
+        "segid int, datname string, reloid long, relfilenode long",
+    )
+    got = {(r.segid, r.datname, r.reloid): (r.size_bytes, r.relfilecount) for r in size.relation_files(files, rels).collect()}
+    assert got == {(0, "a", 1): (1, 1), (1, "a", 2): (6, 2), (0, "b", 1): (8, 1)}
