@@ -167,30 +167,50 @@ def pattern_match(line: Column, host: Column, name: str, coordinators: Sequence[
     return found
 
 
-def last_check(history: DataFrame, metric_name: str, as_of: datetime) -> datetime:
-    """When a log check last ran; the start of the ``as_of`` day when it never did."""
-    latest = history.filter(F.col("metric_name") == metric_name).agg(F.max("ctime")).first()[0]
-    return latest or datetime.combine(as_of.date(), time())
+def last_checks(history: DataFrame, names: dict[str, str], as_of: datetime) -> dict[str, datetime]:
+    """When each log check last ran; the start of the ``as_of`` day for one that never did.
+
+    ``names`` gives the metric of each pattern; one row per metric is read.
+    """
+    listed = history.filter(F.col("metric_name").isin(list(names.values())) & (F.col("ctime") < instant(as_of)))
+    found = dict(listed.groupBy("metric_name").agg(F.max("ctime")).collect())
+    start = datetime.combine(as_of.date(), time())
+    return {pattern: found.get(metric, start) for pattern, metric in names.items()}
 
 
 def pattern_counts_by_host(
-    lines: DataFrame, since: datetime, coordinators: Sequence[str] = (), patterns: Sequence[str] = tuple(PATTERNS)
+    lines: DataFrame,
+    since: datetime | dict[str, datetime],
+    coordinators: Sequence[str] = (),
+    patterns: Sequence[str] = tuple(PATTERNS),
 ) -> DataFrame:
-    """Matches since the last check per host and error class; every pattern from one scan."""
-    line = F.col("log_msg")
+    """Matches since the last check per host and error class; every pattern from one scan.
+
+    ``since`` is one time, or one for each pattern.
+    """
+    line, ts = F.col("log_msg"), logline.log_ts(F.col("log_msg"))
+    starts = {name: since[name] if isinstance(since, dict) else since for name in patterns}
     host = logline.hostname(line)
     any_pattern = reduce(or_, [line.contains(text) for text in dict.fromkeys(PATTERNS[p] for p in patterns)])
     counts = (
         lines.filter(any_pattern)
-        .filter(logline.log_ts(line) >= instant(since))
+        .filter(ts >= instant(min(starts.values())))
         .groupBy(host.alias("hostname"))
-        .agg(*[F.count_if(pattern_match(line, host, name, coordinators)).alias(name) for name in patterns])
+        .agg(
+            *[
+                F.count_if(pattern_match(line, host, name, coordinators) & (ts >= instant(starts[name]))).alias(name)
+                for name in patterns
+            ]
+        )
     )
     return counts.unpivot("hostname", list(patterns), "pattern", "matches").filter(F.col("matches") > 0)
 
 
 def pattern_counts(
-    lines: DataFrame, since: datetime, coordinators: Sequence[str] = (), patterns: Sequence[str] = tuple(PATTERNS)
+    lines: DataFrame,
+    since: datetime | dict[str, datetime],
+    coordinators: Sequence[str] = (),
+    patterns: Sequence[str] = tuple(PATTERNS),
 ) -> DataFrame:
     """Matches since the last check per error class, a 0/1 flag and the hosts concerned.
 

@@ -274,6 +274,11 @@ DEFINITIONS = {
         select distinct l_partkey % 200 * 10 + l_linenumber as reloid, concat('s', l_partkey % 5) as root_schema, concat('t', l_partkey % 40) as root_name
         from lineitem where l_partkey % 200 > 40
     """,
+    # metric_name string, ctime timestamp_ntz : when log checks ran; the check of segment panics never did
+    "fx_log_checks": """
+        select case n_nationkey % 3 when 0 then 'gpdb_check_master_panic' when 1 then 'gpdb_check_internal_error' else 'gpdb_check_oom' end as metric_name,
+          timestamp '2024-01-02 00:00:00' + interval '1' day * cast(n_nationkey as int) as ctime from nation
+    """,
     # reloid bigint, modcount bigint, snapshot_ts timestamp_ntz : counters of four snapshots
     "fx_modcount_feed": """
         select reloid, modcount, timestamp '2000-01-01 00:00:00' as snapshot_ts from fx_modcount_old

@@ -47,7 +47,7 @@ def _several(df: DataFrame, metrics: dict[str, str]) -> DataFrame:
     return long.select(renamed("k", metrics).alias("metric_name"), F.col("v").cast("string").alias("monitor_result"))
 
 
-def _checks(inputs: dict[str, DataFrame], as_of: datetime, since: datetime, coordinators) -> Iterator[DataFrame]:
+def _checks(inputs: dict[str, DataFrame], as_of: datetime, since: datetime | dict[str, datetime], coordinators) -> Iterator[DataFrame]:
     if "conf" in inputs:
         conf = inputs["conf"]
         yield _one(cluster.segments_down(conf), "gpdb_segment_down", "result")
@@ -79,16 +79,23 @@ def _checks(inputs: dict[str, DataFrame], as_of: datetime, since: datetime, coor
 
 
 def metric_results(
-    inputs: dict[str, DataFrame], as_of: datetime, since: datetime | None = None, coordinators: tuple[str, ...] = ()
+    inputs: dict[str, DataFrame],
+    as_of: datetime,
+    since: datetime | None = None,
+    coordinators: tuple[str, ...] = (),
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """One history row per check: ctime, metric_name, monitor_result, status.
 
     ``inputs`` may hold conf, workfiles, locks, activity, resource_groups,
     resource_queues, processes, lines and dbs.  Log checks count from ``since``,
-    by default the start of the ``as_of`` day.  Append the result with
-    ``append_history`` and export it with ``export_metric_text``.
+    else each from its last row in ``history`` before ``as_of``, else from the
+    start of the ``as_of`` day.  Append the result with ``append_history`` and
+    export it with ``export_metric_text``.
     """
     start = since or as_of.replace(hour=0, minute=0, second=0, microsecond=0)
+    if since is None and history is not None:
+        start = logs.last_checks(history, LOG_METRICS, as_of)
     results = reduce(DataFrame.unionByName, _checks(inputs, as_of, start, coordinators))
     return results.select(
         instant(as_of).alias("ctime"), "metric_name", "monitor_result", F.lit(COMPLETED).alias("status")

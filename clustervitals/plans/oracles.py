@@ -645,6 +645,15 @@ _BY_HOST = f"""
     where ts >= timestamp '2024-01-01 00:00:00' group by 1, 2
 """
 SQL["pattern_counts_by_host"] = _BY_HOST
+SQL["log_metrics_since_last_check"] = f"""
+    select {CLOCK} as ctime, c.metric_name, cast(count(m.ts) as varchar) as monitor_result, 2 as status
+    from (
+      select p.pattern, p.metric_name, coalesce(max(h.ctime), {CLOCK}) as since
+      from (values ('master_panic', 'gpdb_check_master_panic'), ('segment_panic', 'gpdb_check_segment_panic'),
+        ('internal_error', 'gpdb_check_internal_error'), ('out_of_memory', 'gpdb_check_oom')) p(pattern, metric_name)
+      left join fx_log_checks h on h.metric_name = p.metric_name and h.ctime < {CLOCK} group by 1, 2) c
+    left join ({_MATCHES}) m on m.pattern = c.pattern and m.ts >= c.since group by c.metric_name
+"""
 SQL["pattern_counts"] = f"""
     select p.pattern, cast(coalesce(sum(h.matches), 0) as bigint) as matches, cast(count(h.hostname) > 0 as int) as result,
       coalesce(string_agg(h.hostname, ',' order by h.hostname), '') as hosts

@@ -746,6 +746,11 @@ def evaluate_alerts(fx):
     return monitor.evaluate_alerts(monitor.latest_metrics(fx.fx_history), fx.fx_alert_setup)
 
 
+@query
+def log_metrics_since_last_check(fx):
+    return collect_metrics({"lines": fx.fx_log}, AS_OF, coordinators=("host0",), history=fx.fx_log_checks)
+
+
 @query
 def metric_results(fx):
     return collect_metrics(

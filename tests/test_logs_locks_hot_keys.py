@@ -210,7 +210,10 @@ def test_pattern_counts(spark):
     }
 
 
-def test_last_check(spark):
-    history = spark.createDataFrame([("m", datetime(2024, 1, 3, 4))], "metric_name string, ctime timestamp_ntz")
-    assert logs.last_check(history, "m", NOW) == datetime(2024, 1, 3, 4)
-    assert logs.last_check(history, "other", datetime(2024, 1, 31, 9)) == datetime(2024, 1, 31)
+def test_last_checks(spark):
+    history = spark.createDataFrame(
+        [("m", datetime(2024, 1, 3, 4)), ("m", datetime(2024, 1, 2)), ("m", datetime(2025, 1, 1)), ("x", datetime(2024, 1, 30))],
+        "metric_name string, ctime timestamp_ntz",
+    )
+    got = logs.last_checks(history, {"a": "m", "b": "other"}, datetime(2024, 1, 31, 9))
+    assert got == {"a": datetime(2024, 1, 3, 4), "b": datetime(2024, 1, 31)}
