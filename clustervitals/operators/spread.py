@@ -11,6 +11,9 @@ from ..sources.workspace import keep
 
 SPLITS = 32
 
+# Largest rank that Spark cuts off before a shuffle by default (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+
 # Largest lookup sent to every executor, as the length of its rows in text.
 BROADCAST_BYTES = 32 << 20
 
@@ -48,19 +51,16 @@ def last_n_per_key(
 ) -> DataFrame:
     """Rows ranked 1..n per key by ``order``.
 
-    Ranks first inside (key, split) and then over the survivors, so the final
-    task of a hot key sees at most ``splits * n`` rows.
+    Up to ``GROUP_LIMIT`` Spark itself ranks in every task before rows move.
+    Beyond it rows are ranked first inside (key, split) and then over the
+    survivors, so the final task of a hot key sees at most ``splits * n`` rows.
     """
-    first = Window.partitionBy(*keys, "_split").orderBy(*order)
     final = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        df.withColumn("_split", _split_of_task(splits))
-        .withColumn("_first", F.row_number().over(first))
-        .filter(F.col("_first") <= n)
-        .drop("_split", "_first")
-        .withColumn(rank, F.row_number().over(final))
-        .filter(F.col(rank) <= n)
-    )
+    if n > GROUP_LIMIT:
+        first = Window.partitionBy(*keys, "_split").orderBy(*order)
+        df = df.withColumn("_split", _split_of_task(splits)).withColumn("_first", F.row_number().over(first))
+        df = df.filter(F.col("_first") <= n).drop("_split", "_first")
+    return df.withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= n)
 
 
 def running_total(

@@ -69,6 +69,17 @@ DEFINITIONS = {
         select user_id as relation, event_id as pid, ts as xact_start, concat('u', user_id % 10) as usename,
           event_type <> 'error' as granted, case when value < 5 then 'ShareLock' else 'ExclusiveLock' end as lockmode from events
     """,
+    # locktype string, relation bigint, segid int, pid bigint, granted boolean, lockmode string : locks as landed
+    "fx_lock_rows": """
+        select case when event_id % 11 = 0 then 'transactionid' else 'relation' end as locktype, 16380 + user_id % 40 as relation,
+          cast(case when event_id % 7 = 0 then 3 else -1 end as int) as segid, event_id as pid, event_type <> 'error' as granted,
+          case when value < 5 then 'ShareLock' else 'ExclusiveLock' end as lockmode from events
+    """,
+    # pid bigint, usename, state, waiting boolean, xact_start timestamp_ntz, query : the sessions behind fx_lock_rows
+    "fx_lock_activity": """
+        select event_id as pid, concat('u', user_id % 10) as usename, case when event_id % 5 = 0 then 'idle in transaction' else 'active' end as state,
+          event_type = 'error' and event_id % 3 <> 0 as waiting, ts as xact_start, concat('select ', event_id) as query from events
+    """,
     # log_msg string
     "fx_log": """
         select concat('host', user_id % 4, ':/d/gpseg', user_id % 8, '/pg_log/gpdb-', cast(cast(ts as date) as string), '_000000.csv:', cast(ts as string),

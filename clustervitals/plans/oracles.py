@@ -500,6 +500,20 @@ _BLOCKED = f"""
     from fx_locks w join fx_locks h on h.relation = w.relation and w.xact_start > h.xact_start
     where not w.granted and h.granted and w.lockmode <> 'ShareLock' and h.lockmode <> 'ShareLock'
 """
+SQL["lock_sessions"] = """
+    select l.relation, l.pid, l.lockmode, l.granted, a.usename, a.state, a.waiting, a.xact_start, a.query
+    from fx_lock_rows l join fx_lock_activity a on a.pid = l.pid
+    where l.locktype = 'relation' and l.segid = -1 and l.relation > 16384
+"""
+SQL["lock_wait_pairs"] = f"""
+    with s as ({SQL['lock_sessions']})
+    select w.relation as lock_table, w.lockmode as wait_lockmode, w.usename as wait_user, w.pid as wait_procpid, w.xact_start as wait_start,
+      epoch_us(timestamp '2001-08-01 00:00:00' - w.xact_start) / 1e6 as wait_seconds, w.query as wait_sql,
+      h.lockmode as run_lockmode, h.usename as run_user, h.pid as run_procpid, h.xact_start as xact_start,
+      epoch_us(timestamp '2001-08-01 00:00:00' - h.xact_start) / 1e6 as xact_seconds, h.query as run_sql, h.state as run_state
+    from s w join s h on h.relation = w.relation and h.xact_start < w.xact_start and h.granted and h.lockmode <> 'ShareLock'
+    where not w.granted and w.waiting and w.pid in (select pid from fx_lock_activity where waiting order by pid limit 5)
+"""
 SQL["lock_waits"] = f"select * exclude (rn) from ({_BLOCKED}) b where rn = 1"
 SQL["longest_lock_wait"] = f"""
     select lock_table, run_user, run_procpid, wait_user, wait_procpid,
@@ -682,6 +696,8 @@ SQL["record_results"] = f"""
       case when l.metric_name is not null then {CLOCK} else cast(s.last_finishtime as timestamp) end as last_finishtime
     from fx_metric_setup s left join ({_LATEST}) l on l.metric_name = s.metric_name
 """
+SQL["reset_checks"] = "select monitor_id, 0 as status, cast(null as timestamp) as last_finishtime from fx_setup"
+SQL["drop_expired"] = f"select * from fx_history where ctime >= {CLOCK} - interval '14' day"
 SQL["apply_retention"] = f"select * from fx_history where ctime >= {CLOCK} - interval '14' day"
 SQL["evaluate_alerts"] = f"""
     select l.metric_name, l.monitor_result, s.warning_value,

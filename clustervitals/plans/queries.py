@@ -601,6 +601,18 @@ def lock_waits(fx):
     return locks.lock_waits(fx.fx_locks, AS_OF)
 
 
+@query
+def lock_sessions(fx):
+    return locks.lock_sessions(fx.fx_lock_rows, fx.fx_lock_activity)
+
+
+@query
+def lock_wait_pairs(fx):
+    # The sessions that a person asks about.
+    listed = fx.fx_lock_activity.filter("waiting").orderBy("pid").limit(5)
+    return locks.lock_wait_pairs(locks.lock_sessions(fx.fx_lock_rows, fx.fx_lock_activity), listed, OPS_AS_OF)
+
+
 @query
 def longest_lock_wait(fx):
     return locks.longest_lock_wait(fx.fx_locks, AS_OF)
@@ -736,6 +748,19 @@ def record_results(fx):
     return monitor.record_results(fx.fx_metric_setup, ran, AS_OF).select("metric_name", "status", "last_finishtime")
 
 
+@query
+def reset_checks(fx):
+    return monitor.reset_checks(fx.fx_setup).select("monitor_id", "status", "last_finishtime")
+
+
+@query
+def drop_expired(fx):
+    path = fresh_dir(fx.spark, "retention")
+    sinks.append_history(fx.fx_history, path)
+    sinks.drop_expired(fx.spark, path, AS_OF, 14)
+    return fx.spark.read.parquet(path).select(*fx.fx_history.columns)
+
+
 @query
 def apply_retention(fx):
     return monitor.apply_retention(fx.fx_history, AS_OF, 14)

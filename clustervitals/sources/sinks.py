@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.monitor import latest_metrics
-from .workspace import location_resolver
+from ..functions.clock import instant
+from ..operators.monitor import RETENTION_DAYS, latest_metrics
+from .workspace import keep, location_resolver
 
 
 def save_report(df: DataFrame, path: str) -> None:
@@ -28,6 +30,26 @@ def append_history(df: DataFrame, path: str, mode: str = "append") -> None:
     dated.hint("rebalance", "dt").write.mode(mode).partitionBy("dt").parquet(path)
 
 
+def drop_expired(spark: SparkSession, path: str, as_of: datetime, days: int = RETENTION_DAYS) -> None:
+    """Remove rows older than ``days`` days from a history written by ``append_history``.
+
+    Earlier days go as whole folders, without reading them; the day of the limit
+    is written again with the rows that stay.
+    """
+    limit = as_of - timedelta(days=days)
+    day = str(limit.date())
+    last = keep(spark.read.parquet(path).filter((F.col("dt") == F.lit(limit.date())) & (F.col("ctime") >= instant(limit))))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    expired = day if last.isEmpty() else str(limit.date() - timedelta(days=1))
+    for folder in system.listStatus(root):
+        name = folder.getPath().getName()
+        if name.startswith("dt=") and name.removeprefix("dt=") <= expired:
+            system.delete(folder.getPath(), True)
+    if expired != day:
+        last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+
+
 def export_metric_text(history: DataFrame, out_dir: str) -> None:
     """Write the latest value of each metric to ``<out_dir>/<metric>.txt``.
 
