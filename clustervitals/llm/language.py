@@ -19,11 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.spread import last_n_per_key
 from .arrow import appended, slices
 
 # Bytes parsed in one go; a phrase ends with its passage.
@@ -32,6 +31,7 @@ PASSAGE = 256
 SAMPLE_TEXTS = 128
 SAMPLE_BYTES = 192
 UNKNOWN = "und"
+_SPLITS = 32
 
 _PAD, _UNSEEN = 0, 1
 _COUNT_BIT = 30
@@ -126,7 +126,11 @@ def learn(examples: DataFrame, text: str = "text", lang: str = "lang", key: str
     )
     # The choice moves hashes only; the texts chosen are fetched by their hash.
     hashes = rows.select("lang", "pick").distinct()
-    chosen = last_n_per_key(hashes, ["lang"], [F.col("pick")], SAMPLE_TEXTS, "n").select("lang", "pick")
+    # Ranked per split first: a language may hold any share of the rows.
+    split = Window.partitionBy("lang", F.pmod("pick", F.lit(_SPLITS))).orderBy("pick")
+    hashes = hashes.withColumn("n", F.row_number().over(split)).filter(F.col("n") <= SAMPLE_TEXTS)
+    ranked = hashes.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("pick")))
+    chosen = ranked.filter(F.col("n") <= SAMPLE_TEXTS).select("lang", "pick")
     # The passage starts at a character that the hash names.
     room = F.greatest(F.length("text") - SAMPLE_BYTES + 1, F.lit(1))
     picked = rows.join(F.broadcast(chosen), ["lang", "pick"]).select(
