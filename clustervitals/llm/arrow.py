@@ -7,11 +7,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 # Texts handled together in a task, in bytes; one longer text makes a slice of its own.
 SLICE_BYTES = 8 << 20
 
 
+# Rows in an Arrow batch; Spark's default of 10,000 whole texts is much for a small executor.
+BATCH_ROWS = 2000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of a batch for the session, unless they are bounded already."""
+    if int(spark.conf.get(_ROWS_SETTING)) > BATCH_ROWS:
+        spark.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 bounds of its values; a null is empty."""
     if column.null_count:

@@ -17,7 +17,6 @@ words, between two characters that are side by side in no piece.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,7 +31,7 @@ BLANK = "▁"
 # Texts encoded together in a task, in bytes.
 _SLICE = 1 << 20
 # Distinct words whose ids a task remembers, emptied when full.
-_REMEMBERED = 500_000
+_REMEMBERED = 200_000
 # Words longer than this are also cut between characters that no piece joins.
 _LONG_WORD = 32
 _NO_RANK = np.int32(1 << 30)
@@ -276,9 +275,6 @@ class Encoder:
         return self.spelled[take], np.append(0, ends)[bounds]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encode_decode(
     docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
 ) -> DataFrame:
@@ -295,13 +291,10 @@ def encode_decode(
     )
     with open(model_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
-    key = hashlib.sha256(shared.value).hexdigest()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One encoder per worker process, used by all its tasks.
-        if key not in _ENCODERS:
-            _ENCODERS[key] = Encoder(shared.value)
-        encoder = _ENCODERS[key]
+        # Made anew in every task, so that an idle worker holds no words.
+        encoder = Encoder(shared.value)
         for batch in batches:
             for part in slices(batch, text, _SLICE):
                 packed = encoder.encode([x or "" for x in part.column(text).to_pylist()])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, language, pieces, products, quality, quotes, repeats, sharding, urls
+from .arrow import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +20,7 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -123,6 +125,35 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES["op6_decontamination"] = rf"""
+with doc as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents
+), item as (
+    select coalesce(cast(item_id as varchar), '') as item,
+           regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark
+), phrase as (
+    select distinct item, least(len(w), 10) as size, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') as words
+    from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as k from item where len(w) > 0)
+), place as (
+    select doc_id, size, k, array_to_string(w[k : k + size - 1], ' ') as words
+    from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as k from doc, (select distinct size from phrase) where len(w) >= size)
+), found as (
+    select doc_id, k, place.size, item from place join phrase on place.size = phrase.size and place.words = phrase.words
+), hit as (
+    select doc_id, count(distinct word) as n_hit from (select doc_id, unnest(range(k, k + size)) as word from found) group by 1
+), named as (
+    select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from found) group by 1
+)
+select doc.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc left join hit on hit.doc_id = doc.doc_id left join named on named.doc_id = doc.doc_id
+"""
+
+
 @query
 def op7_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", products.quantised("embedding").alias("whole"))
@@ -173,3 +204,23 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLES["op10_jaccard_join"] = rf"""
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+    select doc_id, list_distinct(case when len(w) = 0 then cast([] as varchar[]) when len(w) < 3 then [array_to_string(w, ' ')]
+             else list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])) end) as s
+    from words
+), parts as (
+    select doc_id, len(s) as n, unnest(s) as g from sets
+), links as (
+    select a.doc_id as a, b.doc_id as b from parts a join parts b on a.g = b.g and a.doc_id <> b.doc_id
+    group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach(doc, other) as (
+    select doc_id, doc_id from sets union select reach.doc, links.b from reach join links on links.a = reach.other
+)
+select doc_id, cast(len(s) as bigint) as n_shingles, least_id as component_id
+from sets join (select doc, min(other) as least_id from reach group by 1) r on r.doc = doc_id
+"""

@@ -52,7 +52,7 @@ _SAMPLE_HITS = 200
 _SLICE = 8 << 20
 _RANGE = 16 << 20
 # Windows whose anchors are looked for together.
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 
 _FIRST_PLACE = -(1 << 63)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -268,8 +268,8 @@ def _suffixes(data, bounds, place, tag, wanted, frequent, length):
     right, size = length - low, length - low + high
     rows = np.zeros((len(centre), int(size.max(initial=1))), np.uint8)
     c = np.arange(rows.shape[1])[None, :]
-    for block in range(0, len(centre), 1 << 15):
-        part = slice(block, block + (1 << 15))
+    for block in range(0, len(centre), 1 << 13):
+        part = slice(block, block + (1 << 13))
         r, n, o = right[part, None], size[part, None], centre[part, None]
         source = np.where(c < r, o + c, o - 1 - (c - r))
         rows[part] = np.where(c < n, data[np.clip(source, 0, len(data) - 1)], 0)
