@@ -145,6 +145,7 @@ DEFINITIONS = {
     # line string
     "fx_listing": """
         select case when doc_id % 50 = 0 then 'total 1234' when doc_id % 51 = 0 then '/data/base/1:' when doc_id % 52 = 0 then '' when doc_id % 53 = 0 then '-????????? ? ? ? ? ? x'
+          when doc_id % 47 = 0 then concat('-rw-------   1 dba dba   ', n_chars, ' 2024-01-01_10:00:00') when doc_id % 43 = 0 then concat('-rw-------   1 dba dba   x', n_chars, ' 2024-01-01_10:00:00 1')
           else concat('-rw-------   1 dba dba   ', n_chars, ' 2024-01-', case when doc_id % 28 < 9 then '0' else '' end, doc_id % 28 + 1, '_10:00:00 ', doc_id % 300, case when doc_id % 2 = 0 then '' else concat('.', doc_id % 9) end) end as line from documents
     """,
     # reloid bigint, segid int, modcount bigint

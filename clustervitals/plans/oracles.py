@@ -49,14 +49,16 @@ _LISTED = """
 SQL["parse_file_listing"] = f"""
     select f[1] as acl, cast(f[2] as int) as num, f[3] as sysuser, f[4] as sysgroup, cast(f[5] as double) as size,
       strptime(f[6], '%Y-%m-%d_%H:%M:%S') as modtime, f[7] as filename
-    from ({_LISTED.format(lines='fx_listing')}) x where len(f) = 7
+    from ({_LISTED.format(lines='fx_listing')}) x where len(f) = 7 and try_cast(f[5] as double) is not null
 """
 _ENTRY = "not contains(line, '?') and not starts_with(line, 'total') and not starts_with(line, '/') and trim(line) <> ''"
-_CUT = "array_to_string(list_slice(string_split(line, ' '), -3, -1), ' ') as line"
-SQL["listing_rejects"] = f"select line from (select {_CUT} from fx_listing) x where {_ENTRY}"
+_REJECTED = f"""{_ENTRY} and not (len(f) = 7 and try_cast(f[2] as int) is not null and try_cast(f[5] as double) is not null
+      and try_strptime(f[6], '%Y-%m-%d_%H:%M:%S') is not null)"""
+_SPLIT = "regexp_split_to_array(line, ' +') as f"
+SQL["listing_rejects"] = f"select line from (select line, {_SPLIT} from fx_listing) x where {_REJECTED}"
 SQL["rejects_over_limit"] = f"""
-    select segid, count(*) as rejects from (select segid, {_CUT} from fx_seg_listing) x where {_ENTRY}
-    group by 1 having count(*) >= 10
+    select segid, count(*) as rejects from (select segid, line, {_SPLIT} from fx_seg_listing) x where {_REJECTED}
+    group by 1 having count(*) >= 2
 """
 SQL["partitioned_log_lines"] = """
     select log_msg, substr(split_part(log_msg, '.csv:', 2), 1, 10) as dt, split_part(log_msg, ':', 1) as host from fx_log
@@ -698,6 +700,10 @@ SQL["record_results"] = f"""
 """
 SQL["reset_checks"] = "select monitor_id, 0 as status, cast(null as timestamp) as last_finishtime from fx_setup"
 SQL["drop_expired"] = f"select * from fx_history where ctime >= {CLOCK} - interval '14' day"
+SQL["file_inventory"] = f"""
+    select concat(metric_name, '.txt') as filename, cast(strlen(monitor_result) as bigint) as size_bytes, p.hostname, p.segid
+    from ({_LATEST}) l, (values ('h1', 0), ('h1', 1), ('h2', null)) p(hostname, segid)
+"""
 SQL["apply_retention"] = f"select * from fx_history where ctime >= {CLOCK} - interval '14' day"
 SQL["evaluate_alerts"] = f"""
     select l.metric_name, l.monitor_result, s.warning_value,

@@ -63,7 +63,11 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def file_inventory(fx):
-    return files.file_inventory(fx.spark, fx.sf_dir)
+    # A file per metric, in folders of different depth.
+    root = fresh_dir(fx.spark, "files with blanks")
+    for folder in ("host=h1/data/gpseg0/base", "host=h1/gpseg1", "host=h2"):
+        sinks.export_metric_text(fx.fx_history, f"{root}/{folder}")
+    return files.file_inventory(fx.spark, root).select("filename", "size_bytes", "hostname", "segid")
 
 
 @query
@@ -73,15 +77,12 @@ def parse_file_listing(fx):
 
 @query
 def listing_rejects(fx):
-    # Entries cut to their last three words no longer have the shape of a listing.
-    cut = fx.fx_listing.withColumn("line", F.substring_index("line", " ", -3))
-    return files.listing_rejects(cut)
+    return files.listing_rejects(fx.fx_listing)
 
 
 @query
 def rejects_over_limit(fx):
-    cut = fx.fx_seg_listing.withColumn("line", F.substring_index("line", " ", -3))
-    return files.rejects_over_limit(cut)
+    return files.rejects_over_limit(fx.fx_seg_listing, 2)
 
 
 def _landed_logs(fx):

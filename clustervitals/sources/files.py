@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import location_resolver
+from .workspace import keep, location_resolver
 
 PROCESS_SCHEMA = T.StructType(
     [
@@ -29,26 +29,24 @@ LISTING_TOTALS = ("total", "总用量")
 _ENTRY = "path string, is_dir boolean, size_bytes long, modtime timestamp"
 
 
-def _list_entries(recursive: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Replace each directory by its entries; entries that are files pass through."""
+def _list_entries() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The entries of each directory."""
     resolve = location_resolver()
 
     def entries(path: str) -> Iterator[dict]:
         system, inner = resolve(path)
         prefix = path[: path.index("://") + 3] if "://" in path else ""
-        for info in system.get_file_info(fs.FileSelector(inner, recursive=recursive)):
-            if info.type == fs.FileType.File or not recursive:
-                yield {
-                    "path": prefix + info.path,
-                    "is_dir": info.type == fs.FileType.Directory,
-                    "size_bytes": info.size or 0,
-                    "modtime": info.mtime,
-                }
+        for info in system.get_file_info(fs.FileSelector(inner)):
+            yield {
+                "path": prefix + info.path,
+                "is_dir": info.type == fs.FileType.Directory,
+                "size_bytes": info.size or 0,
+                "modtime": info.mtime,
+            }
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[~batch["is_dir"]]
-            for directory in batch.loc[batch["is_dir"], "path"]:
+            for directory in batch["path"]:
                 listed = entries(directory)
                 while chunk := list(islice(listed, 10_000)):
                     yield pd.DataFrame(chunk)
@@ -61,26 +59,27 @@ def file_inventory(
     paths: str | Sequence[str],
     host_pattern: str = r"/host=([^/]+)/",
     segment_pattern: str = r"/(?:segid=|gpseg)(-?\d+)/",
-    spread_levels: int = 2,
     tasks: int | None = None,
 ) -> DataFrame:
     """One row per file: path, name, size, change time, and host and segment named by its path.
 
-    Directories are listed by tasks: the top ``spread_levels`` one level at a
-    time, each spread over the cluster, the rest recursively.  Empty files are
+    Directories are listed by tasks, level by level until none is left; the
+    directories of a level are spread over the cluster.  Empty files are
     included, which the built-in file sources leave out, and no listing is held
     by the driver.
     """
     # A fixed number of tasks: adaptive execution would merge these small rows into one.
     n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     roots = [paths] if isinstance(paths, str) else list(paths)
-    found = spark.createDataFrame([(root.rstrip("/"), True, 0, None) for root in roots], _ENTRY)
-    for level in range(spread_levels + 1):
-        found = found.repartition(n, "path").mapInPandas(_list_entries(recursive=level == spread_levels), _ENTRY)
+    level = spark.createDataFrame([(root.rstrip("/"), True, 0, None) for root in roots], _ENTRY)
+    found = level.filter(~F.col("is_dir"))
+    while not (directories := level.filter("is_dir")).isEmpty():
+        level = keep(directories.repartition(n, "path").mapInPandas(_list_entries(), _ENTRY))
+        found = found.unionByName(level.filter(~F.col("is_dir")))
     path = F.col("path")
     host = F.nullif(F.regexp_extract(path, host_pattern, 1), F.lit(""))
     segment = F.nullif(F.regexp_extract(path, segment_pattern, 1), F.lit("")).try_cast("int")
-    return found.filter(~F.col("is_dir")).select(
+    return found.select(
         "path",
         F.substring_index("path", "/", -1).alias("filename"),
         "size_bytes",

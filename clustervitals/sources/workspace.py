@@ -47,7 +47,9 @@ def location_resolver() -> Callable:
     def resolve(location: str):
         from pyarrow import fs
 
-        uri = location if "://" in location else f"file://{location.removeprefix('file:')}"
-        return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+        plain = location.removeprefix("file://").removeprefix("file:")
+        if "://" not in plain:  # a local path may hold blanks, which no URI does
+            return fs.LocalFileSystem(), plain
+        return fs.FileSystem.from_uri(plain.replace("s3a://", "s3://", 1))
 
     return resolve
