@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from .arrow import appended, slices, utf8
 
 PASSAGE = 512
-SAMPLE_ROWS = 4000
-SAMPLE_BYTES = 1 << 16
+SAMPLE_ROWS = 3000
+SAMPLE_BYTES = 1 << 15
 HASHED, HIDDEN, ATTENTION = 256, 24, 12
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 4e-3, 1e-4
 
