@@ -14,6 +14,9 @@ SPLITS = 32
 # Largest rank that Spark cuts off before a shuffle by default (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
 
+# A key of more rows than this is shared by several tasks.
+HOT_ROWS = 1_000_000
+
 # Largest lookup sent to every executor, as the length of its rows in text.
 BROADCAST_BYTES = 32 << 20
 
@@ -25,15 +28,16 @@ def _split_of_task(splits: int) -> Column:
 
 
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", splits: int = SPLITS
+    facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", splits: int | None = None
 ) -> DataFrame:
     """Equi-join of a large fact side with a small or key-unique lookup side.
 
     ``how`` must keep the fact side: inner, left_semi or left_anti.  The lookup
     is computed once and measured.  Up to ``BROADCAST_BYTES`` it is broadcast
-    and the facts are not shuffled at all.  Beyond that a hot key is
-    shared by ``splits`` tasks and the lookup repeated once per split; give 1
-    when no key of the facts can be hot.
+    and the facts are not shuffled at all.  Beyond that the rows of each key are
+    counted; a key of more than ``HOT_ROWS`` is shared by a task for every so
+    many rows and its lookup rows are repeated for them, all others meet in one
+    place.  Give ``splits=1`` when no key of the facts can be hot.
     """
     lookup = keep(lookup)
     row_bytes = F.octet_length(F.to_json(F.struct("*")))
@@ -41,8 +45,13 @@ def lookup_join(
         return facts.join(F.broadcast(lookup), list(on), how)
     if splits == 1:
         return facts.join(lookup, list(on), how)
-    left = facts.withColumn("_split", _split_of_task(splits))
-    right = lookup.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    # There are fewer of these than rows / HOT_ROWS.
+    counted = facts.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_ROWS)
+    hot = keep(counted.select(*on, F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_splits")))
+    split = F.coalesce(F.pmod(F.spark_partition_id(), F.col("_splits")), F.lit(0))
+    left = facts.join(F.broadcast(hot), list(on), "left").withColumn("_split", split).drop("_splits")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1))
+    right = lookup.join(F.broadcast(hot), list(on), "left").withColumn("_split", every).drop("_splits")
     return left.join(right, [*on, "_split"], how).drop("_split")
 
 

@@ -17,6 +17,7 @@ NOW = datetime(2024, 1, 31)
 def join_path(request, monkeypatch):
     if request.param == "split":
         monkeypatch.setattr(spread, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(spread, "HOT_ROWS", 100)
     return request.param
 
 
@@ -31,6 +32,17 @@ def test_lookup_join_kinds(spark, join_path):
     assert semi.columns == anti.columns == ["k", "id"]
 
 
+def test_only_hot_keys_of_a_lookup_are_repeated(spark, monkeypatch):
+    monkeypatch.setattr(spread, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(spread, "HOT_ROWS", 100)
+    kept = []
+    monkeypatch.setattr(spread, "keep", lambda df: kept.append(df) or df)
+    facts = spark.createDataFrame([(1,)] * 950 + [(2,)] * 100 + [(None,)] * 300, "k int")
+    joined = spread.lookup_join(facts, spark.createDataFrame([(1,), (2,), (3,)], "k int"), ["k"])
+    assert joined.count() == 1050
+    assert {(r.k, r._splits) for r in kept[1].collect()} == {(1, 10), (None, 3)}
+
+
 def test_running_total_cuts_hot_keys(spark):
     rng = random.Random(1)
     rows = [("hot" if rng.random() < 0.8 else f"k{rng.randrange(20)}", i, rng.randrange(5)) for i in range(3000)]
