@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 # Texts handled together in a task, in bytes; one longer text makes a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 # Rows in an Arrow batch; Spark's default of 10,000 whole texts is much for a small executor.

@@ -36,7 +36,7 @@ _KIND[[9, 32]], _KIND[[10, 13]] = 1, 2
 _KIND[33:127] = 6
 _KIND[48:58], _KIND[65:91], _KIND[97:123], _KIND[128:] = 3, 4, 5, 7
 FEATURES = HASHED + _KINDS + 3
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 
 
 def passage_features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -49,7 +49,7 @@ _FREQUENT_SHIFT = 24
 # Occurrences of a frequent anchor that the sample should hold.
 _SAMPLE_HITS = 200
 # Text handled together in a task, and text per range of the merge, in bytes.
-_SLICE = 8 << 20
+_SLICE = 4 << 20
 _RANGE = 16 << 20
 # Windows whose anchors are looked for together.
 _CHUNK = 1 << 20
