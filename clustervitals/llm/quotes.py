@@ -3,8 +3,9 @@
 Lines that begin with ``>`` are quotes, one level for each mark.  Successive
 lines of one level are a passage.  Passages are normalised (case, punctuation
 and white space) and hashed; so are all unquoted bodies, passages, paragraphs
-and lines, of which the earliest holder per hash is kept.  A quoting message
-answers the message that its first linked outer passage comes from, other
+and lines, of which the earliest holder per hash is kept.  A passage that no
+message holds as a whole is looked for by its paragraphs and lines.  A quoting
+message answers the message that its first linked outer passage comes from, other
 messages answer the one before in their conversation.  Messages are put in
 reply order by their depth below the first message.
 
@@ -62,6 +63,15 @@ def with_passages(rows: DataFrame, text: str = "text") -> DataFrame:
     return split.withColumn("passages", passages).drop("_lines", "_starts")
 
 
+def _parts(body: Column) -> Column:
+    """Paragraphs and lines."""
+    return F.concat(F.split(body, r"\n[ \t]*\n"), F.split(body, "\n"))
+
+
+def _units(texts: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(texts, lambda x: normalised(x)), lambda x: x != ""))
+
+
 def link_quotes(
     messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
@@ -74,7 +84,9 @@ def link_quotes(
     within the thread from 0.
 
     A quote is looked for in earlier messages of its conversation first, then in
-    those of conversations with smaller ids.  Ties in ``turn`` are ordered by
+    those of conversations with smaller ids.  Where the whole passage has no
+    holder, its longest paragraph or line with one decides, in the same order of
+    places; of equal ones the earliest holder.  Ties in ``turn`` are ordered by
     role and text.  A message with a null conversation is a thread of its own
     conversation "null"; a null text counts as empty.
     """
@@ -88,33 +100,20 @@ def link_quotes(
 
     body = F.array_join(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["body"]), "\n")
     plain = F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["body"])
-    units = F.array_distinct(
-        F.filter(
-            F.transform(
-                F.concat(F.array(body), plain, F.split(body, r"\n[ \t]*\n"), F.split(body, "\n")), lambda x: normalised(x)
-            ),
-            lambda x: x != "",
-        )
-    )
+    units = _units(F.concat(F.array(body), plain, _parts(body)))
     quotes = F.filter(
-        F.transform("passages", lambda p, k: F.struct(p["level"].alias("level"), k.alias("number"), normalised(p["body"]).alias("body"))),
+        F.transform("passages", lambda p, k: F.struct(
+            p["level"].alias("level"), k.alias("number"), p["body"].alias("raw"), normalised(p["body"]).alias("body")
+        )),
         lambda p: (p["level"] > 0) & (p["body"] != ""),
     )
     quoted = keep(
         parsed.select("conv", "place", F.explode(quotes).alias("q"))
-        .select("conv", "place", "q.level", "q.number", F.sha2("q.body", 256).alias("hash"))
+        .select("conv", "place", "q.level", "q.number", "q.raw", F.sha2("q.body", 256).alias("hash"))
     )
     n_quotes = quoted.count()
     if n_quotes:
-        held = parsed.select("conv", "place", F.explode(F.transform(units, lambda x: F.sha2(x, 256))).alias("hash"))
-        held = held.join(quoted.select("hash").distinct(), "hash", "left_semi")
-        near = keep(held.groupBy("hash", "conv").agg(F.min("place").alias("near")))
-        far = near.groupBy("hash").agg(F.min(F.struct("conv", F.col("near").alias("place"))).alias("far"))
-        found = quoted.join(near, ["hash", "conv"], "left").join(far, "hash", "left")
-        source = F.when(F.col("near") < F.col("place"), F.struct(F.col("conv"), F.col("near").alias("place"))).when(
-            F.col("far.conv") < F.col("conv"), F.col("far")
-        )
-        linked = found.withColumn("source", source)
+        linked = _linked(keep(_with_source(quoted, parsed, units)), parsed, units)
     else:
         linked = quoted.withColumn("source", F.struct("conv", "place"))
     links = keep(
@@ -146,6 +145,36 @@ def link_quotes(
     )
 
 
+def _with_source(quoted: DataFrame, parsed: DataFrame, units: Column) -> DataFrame:
+    """Adds ``source``: the earliest holder of the hash in the own conversation, or else in one with a smaller id."""
+    held = parsed.select("conv", "place", F.explode(F.transform(units, lambda x: F.sha2(x, 256))).alias("hash"))
+    held = held.join(quoted.select("hash").distinct(), "hash", "left_semi")
+    near = keep(held.groupBy("hash", "conv").agg(F.min("place").alias("near")))
+    far = near.groupBy("hash").agg(F.min(F.struct("conv", F.col("near").alias("place"))).alias("far"))
+    found = quoted.join(near, ["hash", "conv"], "left").join(far, "hash", "left")
+    source = F.when(F.col("near") < F.col("place"), F.struct(F.col("conv"), F.col("near").alias("place"))).when(
+        F.col("far.conv") < F.col("conv"), F.col("far")
+    )
+    return found.withColumn("source", source).drop("near", "far")
+
+
+def _linked(whole: DataFrame, parsed: DataFrame, units: Column) -> DataFrame:
+    """Passages whose whole has no source get that of their paragraphs and lines."""
+    others = F.filter(_units(_parts(F.col("raw"))), lambda x: x != normalised(F.col("raw")))
+    parts = keep(
+        whole.filter("source is null").select("conv", "place", "number", F.explode(others).alias("part"))
+        .select("conv", "place", "number", F.length("part").alias("size"), F.sha2("part", 256).alias("hash"))
+    )
+    if parts.isEmpty():
+        return whole
+    order = F.struct(F.col("source.conv") != F.col("conv"), -F.col("size"), F.col("source"))
+    of_parts = (
+        _with_source(parts, parsed, units).filter("source is not null")
+        .groupBy("conv", "place", "number").agg(F.min_by("source", order).alias("part_source"))
+    )
+    return whole.join(of_parts, ["conv", "place", "number"], "left").withColumn("source", F.coalesce("source", "part_source"))
+
+
 def _depths(chained: DataFrame) -> DataFrame:
     """(conv, chain, first, thread, base): a chain's first place, its thread, and the depth of its first message."""
     chains = keep(
