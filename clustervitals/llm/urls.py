@@ -20,8 +20,6 @@ from ..sources.workspace import keep
 
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.8
-# Tokens of a mined rule.
-LONGEST = 3
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -88,14 +86,12 @@ def mine_rules(
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
     is_label = lambda x: F.startswith(x, F.lit("="))
     rules = keep(
-        model.associationRules.filter(
-            (F.size("antecedent") <= LONGEST) & is_label(F.col("consequent")[0]) & ~F.exists("antecedent", is_label)
-        ).select(
+        model.associationRules.filter(is_label(F.col("consequent")[0]) & ~F.exists("antecedent", is_label)).select(
             F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 2, 1000).alias("verdict"),
             "confidence", "support",
         )
     )
-    # A rule is superfluous if a part of it says the same at least as surely.
+    # A rule is superfluous if a part of it says the same at least as surely; first single tokens and all but one.
     a = F.col("antecedent")
     parts = F.concat(F.transform(a, lambda x: F.array(x)), F.transform(a, lambda x: F.array_remove(a, x)))
     part = F.explode(F.filter(F.array_distinct(parts), lambda p: (F.size(p) > 0) & (F.size(p) < F.size(a)))).alias("part")
@@ -109,7 +105,18 @@ def mine_rules(
         rules.select("antecedent", F.explode("antecedent").alias("token")).distinct().join(frequent, "token")
         .groupBy("antecedent").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
     )
-    return rules.join(superfluous, ["antecedent", "verdict"], "left_anti").join(rarest, "antecedent").select(
+    # What is left holds every rule that no part makes superfluous; against those all parts are tested.
+    left = keep(
+        rules.join(superfluous, ["antecedent", "verdict"], "left_anti").join(rarest, "antecedent")
+        .select("key", "antecedent", "verdict", "confidence", "support")
+    )
+    shorter = left.select("key", F.col("antecedent").alias("part"), "verdict", F.col("confidence").alias("part_confidence"))
+    superfluous = (
+        left.select("antecedent", "verdict", "confidence", F.explode("antecedent").alias("key")).join(shorter, ["key", "verdict"])
+        .filter((F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0))
+        .filter("part_confidence >= confidence").select("antecedent", "verdict").distinct()
+    )
+    return left.join(superfluous, ["antecedent", "verdict"], "left_anti").select(
         "key", "antecedent", "verdict", "confidence", "support"
     )
 
