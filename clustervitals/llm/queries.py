@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, pieces, products, quality, quotes, repeats, sharding, urls
+from ..sources.workspace import fresh_dir
+from . import decontaminate, jaccard, language, pieces, products, quality, quotes, records, repeats, sharding, token_ids, urls
 from .arrow import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +225,13 @@ with recursive words as (
 select doc_id, cast(len(s) as bigint) as n_shingles, least_id as component_id
 from sets join (select doc, min(other) as least_id from reach group by 1) r on r.doc = doc_id
 """
+
+
+@query
+def op11_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = records.in_key_order(table(spark, sf_dir, "documents"))
+    out = fresh_dir(spark, "records")
+    records.write_records(token_ids.token_ids(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0), out)
+    return records.read_records(spark, out).select(
+        F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"), "position"
+    )
