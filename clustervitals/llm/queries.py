@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.workspace import fresh_dir
-from . import decontaminate, jaccard, language, pieces, products, quality, quotes, records, repeats, sharding, token_ids, urls
+from . import decontaminate, jaccard, language, pieces, products, quality, quotes, records, repeats, sharding, token_ids, trie, urls, whitening
 from .arrow import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,3 +235,64 @@ def op11_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, out).select(
         F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"), "position"
     )
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of a block of twenty begin like the first of them, for as many turns as their number's checksum says."""
+    turns = trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    shared = F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    return trie.prefix_trie(*trie.with_shared_start(turns, 20, shared, 3))
+
+
+ORACLES["op13_prefix_trie"] = r"""
+with bytes as (
+    select list_transform(range(256), lambda b: list_reduce(
+        list_prepend(b, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, cast(3988292384 as bigint)) else c >> 1 end)) as t
+), turns as (
+    select conv_id as c, sha256(concat(cast(length(r) as varchar), ':', r, t)) as digest, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as words,
+           row_number() over (partition by conv_id order by turn nulls first, sha256(concat(cast(length(r) as varchar), ':', r, t))) as place
+    from (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t from conversations where conv_id is not null)
+), ids as (
+    select c, c - c % 20 as base, xor(list_reduce(
+        list_prepend(cast(4294967295 as bigint), list_transform(string_split(cast(c as varchar), ''), lambda x: cast(ord(x) as bigint))),
+        lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), cast(4294967295 as bigint)) % 4 as h
+    from (select distinct c from turns), bytes
+), rebuilt as (
+    select ids.c, place, digest, words from ids join turns on turns.c = base and place <= h
+    union all
+    select ids.c, place - h + least(h, coalesce(n, 0)), digest, words
+    from ids join turns on turns.c = ids.c and place > h left join (select c, count(*) as n from turns group by 1) l on l.c = base
+), lists as (
+    select ids.c, list(digest order by place) filter (where place is not null) as s, list(words order by place) filter (where place is not null) as w
+    from ids left join rebuilt on rebuilt.c = ids.c group by 1
+), members as (
+    select c, d, coalesce(len(s), 0) as n, array_to_string(s[1:d], ',') as p, case when d > 0 then w[d] else 0 end as words,
+           case when d > 0 then array_to_string(s[1 : d - 1], ',') end as up, coalesce(s, []) as s
+    from (select *, unnest(range(0, coalesce(len(s), 0) + 1)) as d from lists)
+), nodes as (
+    select coalesce(p, '') as p, d, any_value(up) as up, any_value(s) as s, min(c) as conv_id, count(*) as n_convs, max(words) as words,
+           max(n) > d as inner_node, string_agg(cast(c as varchar), ',' order by c) filter (where n = d) as ends
+    from members group by 1, 2
+), above as (
+    select coalesce(array_to_string(s[1:e], ','), '') as p, e as d, sum((n_convs - 1) * words) as saved, count(*) filter (where not inner_node) as leaves
+    from (select *, unnest(range(0, d + 1)) as e from nodes) group by 1, 2
+), children as (
+    select coalesce(up, '') as p, d - 1 as d, count(*) as n from nodes where d > 0 group by 1, 2
+)
+select nodes.conv_id, cast(nodes.d as bigint) as depth, parent.conv_id as parent_conv_id, cast(nodes.n_convs as bigint) as n_convs,
+       cast(coalesce(children.n, 0) as bigint) as n_children, cast(leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens,
+       sha256(coalesce(nodes.ends, '')) as ends_sha256
+from nodes join above on above.p = nodes.p and above.d = nodes.d
+left join children on children.p = nodes.p and children.d = nodes.d
+left join nodes parent on parent.p = coalesce(nodes.up, '') and parent.d = nodes.d - 1
+"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where it does not fit a long; ``deviation_exact`` has it then."""
+    whitened = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return whitened.withColumn("deviation_exact", F.col("deviation").cast("string")).withColumn(
+        "deviation", F.col("deviation").try_cast("long")
+    )
