@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.workspace import fresh_dir
-from . import decontaminate, jaccard, language, pieces, products, quality, quotes, records, repeats, sharding, token_ids, trie, urls, whitening
+from . import decontaminate, jaccard, language, pieces, products, quality, quotes, records, repeats, sharding, trie, urls, whitening
 from .arrow import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,7 +231,7 @@ from sets join (select doc, min(other) as least_id from reach group by 1) r on r
 def op11_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = records.in_key_order(table(spark, sf_dir, "documents"))
     out = fresh_dir(spark, "records")
-    records.write_records(token_ids.token_ids(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0), out)
+    records.write_texts(docs, out, tokenizer_path("byte_bpe_50k.json"), end_id=0)
     return records.read_records(spark, out).select(
         F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"), "position"
     )

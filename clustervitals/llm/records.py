@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..sources.workspace import location_resolver
-from .arrow import utf8
+from .arrow import slices, utf8
 from .checksum import crc32c, masked
+from .token_ids import ENCODED_BYTES, encode_slice
 
 FORMAT = "token_records"
 MANIFEST = "manifest.json"
@@ -119,8 +120,20 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool):
+    def __init__(self, path: str, overwrite: bool, tokenizer: str | None, end_id: int | None):
         self.path, self.overwrite, self.resolve = path, overwrite, location_resolver()
+        self.tokenizer, self.end_id = tokenizer, end_id
+
+    def _sequences(self, batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        """Keys, ids and bounds of the rows, some at a time."""
+        if self.tokenizer is not None:
+            for part in slices(batch, "text", ENCODED_BYTES):
+                yield part.column("key").to_pylist(), *encode_slice(part.column("text"), self.tokenizer, self.end_id)
+            return
+        data, bounds = utf8(batch.column("tokens"))
+        for a, b in _runs(np.diff(bounds), CHUNK_BYTES):
+            ids = np.frombuffer(data[bounds[a] : bounds[b]].tobytes(), "<u4")
+            yield batch.column("key").slice(a, b - a).to_pylist(), ids, (bounds[a : b + 1] - bounds[a]) // 4
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         partition = TaskContext.get().partitionId()
@@ -131,11 +144,8 @@ class _Writer(DataSourceArrowWriter):
         offsets, starts = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
         with fs.open_output_stream(f"{root}/{name}.records") as file:
             for batch in iterator:
-                data, bounds = utf8(batch.column("tokens"))
-                for a, b in _runs(np.diff(bounds), CHUNK_BYTES):
-                    ids = np.frombuffer(data[bounds[a] : bounds[b]].tobytes(), "<u4")
-                    own = (bounds[a : b + 1] - bounds[a]) // 4
-                    raw, ends = frame(batch.column("key").slice(a, b - a).to_pylist(), ids, own)
+                for keys, ids, own in self._sequences(batch):
+                    raw, ends = frame(keys, ids, own)
                     file.write(raw)
                     offsets.append(ends[1:] + offsets[-1][-1])
                     starts.append(own[1:] + starts[-1][-1])
@@ -282,7 +292,8 @@ class TokenRecords(DataSource):
     Rows are (key, position, start, n_tokens, tokens): a record's place among all records, the number of tokens
     before it, its own, and its ids in 32 bits.  With the option ``shuffle_seed`` the rows come in an order that
     the seed decides, found through the index files.  Written are (key, tokens), in the order of partitions and
-    rows; other columns are not kept.
+    rows, or with the option ``tokenizer`` (key, text), encoded as they are written, each with ``end_id`` at its end
+    if that is given.
     """
 
     @classmethod
@@ -297,7 +308,8 @@ class TokenRecords(DataSource):
         return _Reader(self.options["path"], None if seed is None else int(seed))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], overwrite)
+        end_id = self.options.get("end_id")
+        return _Writer(self.options["path"], overwrite, self.options.get("tokenizer"), None if end_id is None else int(end_id))
 
 
 def write_records(sequences: DataFrame, path: str, key: str = "doc_id", mode: str = "overwrite") -> None:
@@ -307,6 +319,17 @@ def write_records(sequences: DataFrame, path: str, key: str = "doc_id", mode: st
     rows.write.format(FORMAT).mode(mode).save(path)
 
 
+def write_texts(
+    docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = None,
+    mode: str = "overwrite",
+) -> None:
+    """Encode (``key``, ``text``) rows as ``token_ids`` does and write them in the order of their partitions."""
+    docs.sparkSession.dataSource.register(TokenRecords)
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    writer = rows.write.format(FORMAT).mode(mode).option("tokenizer", tokenizer)
+    (writer if end_id is None else writer.option("end_id", end_id)).save(path)
+
+
 def read_records(spark: SparkSession, path: str, shuffle_seed: int | None = None) -> DataFrame:
     spark.dataSource.register(TokenRecords)
     reader = spark.read.format(FORMAT)

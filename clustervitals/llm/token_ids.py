@@ -9,9 +9,9 @@ encoded by the library once per worker, and the ids of a text are gathered.
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from .arrow import slices, utf8
 
 # Bytes that a worker spends on remembered words, about; beyond them it starts anew.
-REMEMBERED_BYTES = 128 << 20
+REMEMBERED_BYTES = 96 << 20
 _WORD_BYTES = 150
-_JOINED = 2000
-# Words that stay apart when a line end is put between them.
-_PLAIN = re.compile(rb" ?[!-~\x80-\xc1\xc3-\xe0\xe4-\xff]{1,65535}").fullmatch
+_TOGETHER = 2000
+# Texts encoded together: the more, the fewer words are looked up again.
+ENCODED_BYTES = 4 << 20
 
 
 def _flags(members) -> np.ndarray:
@@ -40,6 +40,8 @@ _MAYBE_BLANK = _BLANK | _flags([*range(28, 32), 0xC2, 0xE1, 0xE2, 0xE3])
 _LETTER = _flags([*range(65, 91), *range(97, 123)])
 _MARK = _flags(b",.;:?!")
 _VISIBLE = _flags(range(33, 127))
+# Letters in two bytes, Latin (but for the two signs among them) and Cyrillic.
+_LEAD, _SECOND, _SIGNS = _flags([*range(0xC3, 0xCA), 0xD0, 0xD1]), _flags(range(0x80, 0xC0)), _flags([0x97, 0xB7])
 
 
 def word_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -60,6 +62,13 @@ def word_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[: len(data)])
 
 
+def _byte_letters() -> np.ndarray:
+    """The letter that byte-level pre-tokenisation writes for each byte: visible ones stand for themselves."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return np.array([b if b in shown else next(others) for b in range(256)], "<u2")
+
+
 class _Words:
     """The library's ids of the words met so far."""
 
@@ -67,53 +76,71 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        alone = self._batch(["\n"])[0]
-        # Words joined by line ends are told apart again where a line end has an id of its own.
-        self.line = alone[0] if len(alone) == 1 else None
+        self.model = self.library.model
+        self.letters = _byte_letters()
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.starts, self.sizes = array("q"), array("q")
-        self.ids = np.zeros(0, np.uint32)
+        # A word's ids lie between its bound and the next one.
+        self.bounds, self.ids = array("q", [0]), array("I")
         self.bytes = 0
 
-    def _batch(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
-        plain = [k for k, w in enumerate(words) if self.line is not None and _PLAIN(w)]
-        out: list = [None] * len(words)
-        for at in range(0, len(plain), _JOINED):
-            some = plain[at : at + _JOINED]
-            ids = np.array(self._batch([b"\n".join(words[k] for k in some).decode()])[0], np.uint32)
-            cuts = np.flatnonzero(ids == self.line)
-            if len(cuts) == len(some) - 1:
-                for k, part in zip(some, np.split(ids, cuts)):
-                    out[k] = part[1:] if k != some[0] else part
-        left = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(left, self._batch([words[k].decode() for k in left]) if left else []):
-            out[k] = np.array(ids, np.uint32)
-        return out
-
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _remember(self, words: pa.Array, new: np.ndarray, unknown: list[bytes]) -> None:
+        """The ids of ``unknown``, which are the words at the places ``new``."""
+        data, bounds = utf8(words)
+        alone = letters_only(data, bounds)[new]
+        # What the model takes: a letter per byte.
+        written = self.letters[data].tobytes().decode("utf-16-le")
+        starts, ends = bounds[new].tolist(), bounds[new + 1].tolist()
+        tokenize, extend, ids, ends_of = self.model.tokenize, self.ids.extend, self.ids, self.bounds.append
+        k = len(self.bounds) - 1
+        rest = []
+        for word, start, end, plain in zip(unknown, starts, ends, alone.tolist()):
+            if plain:
+                extend([t.id for t in tokenize(written[start:end])])
+                ends_of(len(ids))
+                self.place[word] = k
+                k += 1
+            else:
+                rest.append(word)
+        for at in range(0, len(rest), _TOGETHER):
+            some = rest[at : at + _TOGETHER]
+            for word, found in zip(some, self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                extend(found.ids)
+                ends_of(len(ids))
+                self.place[word] = k
+                k += 1
+        self.bytes += sum(ends) - sum(starts) + _WORD_BYTES * len(unknown)
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, size) of each word's ids in the array given third."""
         if self.bytes > REMEMBERED_BYTES:
             self._clear()
-        new = [w for w in words if w not in self.place]
-        if new:
-            found = self._encode(new)
-            at = len(self.ids)
-            for w, ids in zip(new, found):
-                self.place[w] = len(self.starts)
-                self.starts.append(at)
-                self.sizes.append(len(ids))
-                at += len(ids)
-            self.ids = np.concatenate([self.ids, *found])
-            self.bytes += sum(map(len, new)) + _WORD_BYTES * len(new)
-        places = np.fromiter((self.place[w] for w in words), np.int64, len(words))
-        starts, sizes = (np.frombuffer(x, np.int64)[places] if words else places for x in (self.starts, self.sizes))
-        return starts, sizes, self.ids
+        listed = words.to_pylist()
+        places = np.fromiter(map(self.place.get, listed, repeat(-1)), np.int64, len(listed))
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            unknown = [listed[k] for k in new.tolist()]
+            self._remember(words, new, unknown)
+            places[new] = [self.place[w] for w in unknown]
+        bounds = np.array(self.bounds, np.int64)
+        return bounds[places], bounds[places + 1] - bounds[places], np.array(self.ids, np.uint32)
+
+
+def letters_only(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which words are letters only, with or without a blank before them: pre-tokenisation leaves those whole."""
+    ok = _LETTER[data]
+    if len(data) > 1:
+        pair = _LEAD[data[:-1]] & _SECOND[data[1:]] & ~((data[:-1] == 0xC3) & _SIGNS[data[1:]])
+        ok[:-1] |= pair
+        ok[1:] |= pair
+    starts, sizes = bounds[:-1], np.diff(bounds)
+    blank = np.zeros(len(data), bool)
+    blank[starts[sizes > 1]] = True
+    ok |= blank & (data == 32)
+    bad = np.append(0, np.cumsum(~ok))
+    return (sizes > 0) & (bad[bounds[1:]] == bad[bounds[:-1]])
 
 
 _known: dict[str, _Words] = {}
@@ -135,7 +162,7 @@ def encode_slice(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.nda
     words = pa.LargeBinaryArray.from_buffers(
         pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))]
     ).dictionary_encode()
-    begin, size, flat = _words_of(path).look_up(words.dictionary.to_pylist())
+    begin, size, flat = _words_of(path).look_up(words.dictionary)
     which = words.indices.to_numpy()
     sizes = size[which]
     total = np.append(0, np.cumsum(sizes))
@@ -157,7 +184,7 @@ def token_ids(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ENCODED_BYTES):
                 ids, bounds = encode_slice(part.column("text"), tokenizer, end_id)
                 raw = pa.LargeBinaryArray.from_buffers(
                     pa.large_binary(), part.num_rows, [None, pa.py_buffer(bounds * 4), pa.py_buffer(ids.astype("<u4"))]

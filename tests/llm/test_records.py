@@ -54,14 +54,18 @@ ODD = [
 ]
 
 
-def written(spark, tmp_path, rows, end_id=0):
-    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, tokens string")
-    records.write_records(token_ids.token_ids(records.in_key_order(docs), PATH, end_id=end_id), str(tmp_path / "out"))
+def written(spark, tmp_path, rows, at_once=True):
+    docs = records.in_key_order(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, tokens string"))
+    if at_once:
+        records.write_texts(docs, str(tmp_path / "out"), PATH, end_id=0)
+    else:
+        records.write_records(token_ids.token_ids(docs, PATH, end_id=0), str(tmp_path / "out"))
     return str(tmp_path / "out")
 
 
-def test_round_trip_in_key_order(spark, tmp_path):
-    path = written(spark, tmp_path, ODD)
+@pytest.mark.parametrize("at_once", [True, False])
+def test_round_trip_in_key_order(spark, tmp_path, at_once):
+    path = written(spark, tmp_path, ODD, at_once)
     found = sorted(records.read_records(spark, path).collect(), key=lambda r: r.position)
     assert [r.position for r in found] == list(range(len(ODD)))
     keys = [r.key for r in found]
