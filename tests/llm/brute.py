@@ -46,11 +46,11 @@ def shingles(text, size=3):
     return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)}
 
 
-def jaccard_components(docs, num=90, den=100):
+def jaccard_components(docs, num=90, den=100, size=3):
     """{doc_id: (set size, component)} by comparing all pairs that share a shingle."""
     sets = {}
     for doc, text in docs:
-        sets.setdefault(doc, []).append(shingles(text))
+        sets.setdefault(doc, []).append(shingles(text, size))
     up = {d: d for d in sets}
 
     def find(x):

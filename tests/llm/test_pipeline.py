@@ -26,7 +26,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     lang = {r.doc_id: r.lang_pred for r in predicted if r.lang_pred != language.UNKNOWN}
     assert {(r.doc_id, r.text, r.lang) for r in known} == {(r.doc_id, r.text, lang[r.doc_id]) for r in before if r.doc_id in lang}
 
-    groups = brute.jaccard_components([(r.doc_id, r.text) for r in known])
+    groups = brute.jaccard_components([(r.doc_id, r.text) for r in known], num=80, den=100, size=5)
     assert {r.doc_id for r in near} == {d for d, (_, c) in groups.items() if c == d}
 
     left = brute.repeats([(r.doc_id, r.text) for r in near])
