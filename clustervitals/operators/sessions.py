@@ -79,15 +79,19 @@ def session_counts(activity: DataFrame) -> DataFrame:
     )
 
 
+_ADDED = ["active_sql", "waiting_sql", "connections", "idle_in_transaction"]
+
+
+def merged_session_counts(parts: DataFrame) -> DataFrame:
+    """Parts made by ``session_counts`` as one row per snapshot."""
+    return parts.groupBy("snapshot_ts").agg(*(F.sum(c).alias(c) for c in _ADDED), F.min("oldest_start").alias("oldest_start"))
+
+
 def session_metrics_by_snapshot(counts: DataFrame) -> DataFrame:
     """The figures of ``session_metrics`` for each snapshot, from parts made by ``session_counts``."""
-    added = ["active_sql", "waiting_sql", "connections", "idle_in_transaction"]
-    whole = counts.groupBy("snapshot_ts").agg(*(F.sum(c).alias(c) for c in added), F.min("oldest_start").alias("oldest"))
-    wide = whole.select(
-        "snapshot_ts", *added,
-        F.coalesce(whole_minutes(F.col("oldest"), F.col("snapshot_ts")), F.lit(0)).alias("longest_sql_minutes"),
-    )
-    return wide.unpivot(["snapshot_ts"], [*added, "longest_sql_minutes"], "metric_name", "result")
+    longest = F.coalesce(whole_minutes(F.col("oldest_start"), F.col("snapshot_ts")), F.lit(0))
+    wide = merged_session_counts(counts).select("snapshot_ts", *_ADDED, longest.alias("longest_sql_minutes"))
+    return wide.unpivot(["snapshot_ts"], [*_ADDED, "longest_sql_minutes"], "metric_name", "result")
 
 
 def long_idle_transactions(

@@ -87,6 +87,12 @@ DEFINITIONS = {
           case when event_type = 'error' then 'PANIC","Unexpected internal error' when event_type = 'signup' then concat('LOG","server process (PID ', event_id % 31, ') was terminated by signal 9')
                when event_type = 'view' then 'ERROR","Out of memory' else 'LOG","ok' end, '"') as log_msg from events
     """,
+    # log_msg string, batch bigint: fx_log day by day in four batches, each fifth line a batch late, some lines without a time
+    "fx_log_backfill": """
+        select case when length(log_msg) % 11 = 3 then 'host1:/d/gpseg1/pg_log/broken.csv:no time here' else log_msg end as log_msg,
+          least(3, cast(floor((day - 1) / 8) as bigint) + case when length(log_msg) % 5 = 1 then 1 else 0 end) as batch
+        from (select log_msg, cast(substr(split_part(split_part(log_msg, '.csv:', 2), ' ', 1), 9, 2) as int) as day from fx_log) l
+    """,
     # segid int, sessionid string, pid bigint
     "fx_proc": """
         select cast(user_id % 8 as int) as segid, concat('con', user_id % 50) as sessionid, event_id as pid from events

@@ -840,6 +840,35 @@ SQL["stream_log_alerts"] = f"""
       time_bucket(interval '5 minutes', ts) + interval '5' minute as window_end, hostname, pattern, count(*) as matches
     from ({_MATCHES}) m group by 1, 2, 3, 4
 """
+_BACKFILL = f"""
+    select batch, hostname, log_msg, ts, newest, case when ts is null then 'unparsable'
+      when time_bucket(interval '5 minutes', ts) + interval '5' minute <= newest - interval '10' minute then 'late' else 'on time' end as kind
+    from (select batch, {_HOST} as hostname, log_msg, {_ts(_TIME)} as ts from fx_log_backfill) l
+    left join (
+      select b.n as batch, (select max({_ts(_TIME)}) from fx_log_backfill e where e.batch < b.n) as newest
+      from (values (0), (1), (2), (3)) b(n)) w using (batch)
+"""
+SQL["stream_log_account"] = f"""
+    select batch, count(*) as lines, count(*) filter (where kind = 'on time') as on_time,
+      count(*) filter (where kind = 'late') as late, count(*) filter (where kind = 'unparsable') as unparsable
+    from ({_BACKFILL}) l group by 1
+"""
+
+
+def _backfill_matches(kinds: str) -> str:
+    return f"""
+    select time_bucket(interval '5 minutes', ts) as window_start,
+      time_bucket(interval '5 minutes', ts) + interval '5' minute as window_end, hostname, pattern, count(*) as matches
+    from ({_BACKFILL}) l
+    join (values ('master_panic', '"PANIC"'), ('segment_panic', '"PANIC"'),
+      ('internal_error', 'internal error'), ('out_of_memory', 'Out of memory')) p(pattern, mark) on contains(l.log_msg, p.mark)
+    where kind in ({kinds}) and (pattern <> 'master_panic' or hostname = 'host0') and (pattern <> 'segment_panic' or hostname <> 'host0')
+    group by 1, 2, 3, 4
+"""
+
+
+SQL["stream_log_backfill"] = _backfill_matches("'on time'")
+SQL["stream_log_backfill_with_late"] = _backfill_matches("'on time', 'late'")
 SQL["stream_latest_metrics"] = _LATEST
 _LONGEST = """coalesce(cast(round_even(max(epoch_us(snapshot_ts) - epoch_us(query_start)) filter (where state = 'active') / 1e6 / 60, 0) as bigint), 0)"""
 SQL["stream_metric_results"] = " union all ".join(

@@ -865,12 +865,37 @@ def stream_log_alerts(fx):
     return stream_sinks.read_updates(fx.spark, f"{work}/out", ["window_start", "window_end", "hostname", "pattern"])
 
 
+def _backfill(fx):
+    """Lines of the whole log in four batches that overlap in time, some of them without one."""
+    source, work = fresh_dir(fx.spark, "backfill-in"), fresh_dir(fx.spark, "backfill")
+    for batch in range(4):
+        fx.fx_log_backfill.filter(F.col("batch") == batch).select("log_msg").write.mode("append").text(source)
+        lines = stream_logs.stream_log_lines(fx.spark, source)
+        stream_logs.stream_log_alerts(lines, work, f"{work}/cp", coordinators=["host0"]).awaitTermination()
+    return work
+
+
+@query
+def stream_log_account(fx):
+    return stream_logs.read_account(fx.spark, _backfill(fx))
+
+
+@query
+def stream_log_backfill(fx):
+    return stream_logs.read_alerts(fx.spark, _backfill(fx))
+
+
+@query
+def stream_log_backfill_with_late(fx):
+    return stream_logs.read_alerts(fx.spark, _backfill(fx), with_late=True, coordinators=["host0"])
+
+
 @query
 def stream_latest_metrics(fx):
     source, work = _landed(fx, fx.fx_history, "history-in"), fresh_dir(fx.spark, "history")
     stream = fx.spark.readStream.schema(fx.fx_history.schema).parquet(source)
     stream_metrics.stream_latest_metrics(stream, work, f"{work}/cp", f"{work}/text").awaitTermination()
-    return stream_sinks.read_updates(fx.spark, f"{work}/latest", ["metric_name"])
+    return stream_metrics.read_latest(fx.spark, work)
 
 
 @query

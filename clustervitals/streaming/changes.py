@@ -2,11 +2,147 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from .runs import RunTable
+from .sinks import run_batches
+
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# Before all snapshots; where every search of a table's list begins.
+HEAD = -(1 << 63)
+_LEVELS = 20
+# Stands for a null counter on the way to the state: numbers beside nulls would become doubles in pandas.
+_NO_COUNTER = HEAD
+EVENTS = "reloid long, snapshot_us long, modcount long, reason string, version long"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which state per key needs."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+def height(at: int) -> int:
+    """Levels of a snapshot in the list, decided by its time alone: each further one for a quarter of them."""
+    x = (at ^ (at >> 33)) * 0xFF51AFD7ED558CCD & (1 << 64) - 1
+    x = (x ^ (x >> 33)) * 0xC4CEB9FE1A85EC53 & (1 << 64) - 1
+    x ^= x >> 33
+    return min(_LEVELS, 1 + ((x & -x).bit_length() - 1 if x else 63) // 2)
+
+
+class SnapshotList:
+    """A table's snapshots in time order: a skip list whose nodes lie in a map state, one entry per snapshot.
+
+    A node is (modcount, the next snapshot on each of its levels); ``tails`` holds the last snapshot of each level,
+    so a snapshot later than all others needs no search, and a late one finds its place in about log(n) steps.
+    Only nodes that a batch touches are read, and those that it changes are written.
+    """
+
+    def __init__(self, load, tails: list[int] | None):
+        self.load, self.nodes, self.changed, self.prior = load, {}, set(), {}
+        self.tails = list(tails) if tails else [HEAD] * _LEVELS
+        if not tails:
+            self.nodes[HEAD] = [None, [None] * _LEVELS]
+            self.changed.add(HEAD)
+
+    def node(self, at: int) -> list | None:
+        if at not in self.nodes:
+            self.nodes[at] = self.load(at)
+        return self.nodes[at]
+
+    def before(self, at: int) -> list[int]:
+        """Per level the last snapshot before ``at``."""
+        if at > self.tails[0]:
+            return list(self.tails)
+        out, here = [HEAD] * _LEVELS, HEAD
+        for level in range(_LEVELS - 1, -1, -1):
+            while (following := self.node(here)[1][level]) is not None and following < at:
+                here = following
+            out[level] = here
+        return out
 
-from .sinks import batch_dir, run_batches
+    def put(self, at: int, modcount: int | None) -> list[int]:
+        """Take in a counter; returns the snapshots whose event may be another now.  The largest counter counts."""
+        earlier = self.before(at)
+        found = self.node(earlier[0])[1][0]
+        if found == at:
+            own = self.node(at)
+            if modcount is None or own[0] is not None and own[0] >= modcount:
+                return []
+            own[0] = modcount
+        else:
+            levels = height(at)
+            own = self.nodes[at] = [modcount, [self.node(earlier[k])[1][k] for k in range(levels)]]
+            for k in range(levels):
+                self.node(earlier[k])[1][k] = at
+                self.changed.add(earlier[k])
+                if own[1][k] is None:
+                    self.tails[k] = at
+        self.changed.add(at)
+        self.prior[at] = earlier[0]
+        if own[1][0] is None:
+            return [at]
+        self.prior[own[1][0]] = at
+        return [at, own[1][0]]
+
+    def event(self, at: int) -> tuple[int | None, str | None]:
+        """The counter of a touched snapshot, and ``new``, ``changed`` or null as it differs from the one before."""
+        modcount, earlier = self.node(at)[0], self.prior[at]
+        if earlier == HEAD:
+            return modcount, "new"
+        return modcount, None if self.node(earlier)[0] == modcount else "changed"
+
+
+class _Changes(StatefulProcessor):
+    """Events of one table, numbered in the order in which they replace each other."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.snapshots = handle.getMapState("snapshots", "at long", "modcount long, following array<long>")
+        self.ends = handle.getValueState("ends", "tails array<long>, version long")
+
+    def _load(self, at: int) -> list | None:
+        found = self.snapshots.getValue((at,))
+        return None if found is None else [found[0], [None if x == HEAD else x for x in found[1]]]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        tails, version = self.ends.get() if self.ends.exists() else (None, 0)
+        for chunk in rows:
+            known = SnapshotList(self._load, tails)
+            touched: set[int] = set()
+            counters = chunk.groupby("snapshot_us")["modcount"].max()
+            for at, modcount in counters.items():
+                touched.update(known.put(int(at), None if modcount == _NO_COUNTER else int(modcount)))
+            for at in known.changed:
+                modcount, following = known.nodes[at]
+                # Nothing follows: the head, which follows nothing.
+                self.snapshots.updateValue((at,), (modcount, [HEAD if x is None else x for x in following]))
+            tails = known.tails
+            version += 1
+            at = sorted(touched)
+            found = [known.event(x) for x in at]
+            yield pd.DataFrame({
+                "reloid": pd.array([None if pd.isna(key[0]) else int(key[0])] * len(at), "Int64"),
+                "snapshot_us": pd.array(at, "Int64"),
+                "modcount": pd.array([m for m, _ in found], "Int64"),
+                "reason": pd.Series([r for _, r in found], dtype=object),
+                "version": pd.array([version] * len(at), "Int64"),
+            })
+        self.ends.update((tails, version))
+
+    def close(self) -> None:
+        pass
 
 
 def stream_changed_tables(
@@ -14,23 +150,35 @@ def stream_changed_tables(
 ) -> StreamingQuery:
     """Every change of a table's counter from one snapshot to the next, and its first appearance.
 
-    ``counters``: reloid, modcount, snapshot_ts.  ``read_changes`` gives the
-    events.  They do not depend on how snapshots fall into batches or on their
-    order: a batch adds its counters to those seen (``out/seen/batch=<n>``) and
-    writes the events of the tables it names anew, from all counters seen of
-    them (``out/events/batch=<n>``), so a late snapshot corrects what followed.
+    ``counters``: reloid, modcount, snapshot_ts (without time zone); rows without a time are left out.
+    ``read_changes`` gives the events.  They do not depend on how snapshots fall into batches or on their order.
+    The snapshots of a table are keyed state, so a batch costs what it brings: it reads and writes the neighbours of
+    its snapshots, and emits anew the events of those and of what follows them.
     """
+    spark = counters.sparkSession
+    rows = counters.filter(F.col("snapshot_ts").isNotNull()).select(
+        F.col("reloid").cast("long").alias("reloid"),
+        F.coalesce(F.col("modcount").cast("long"), F.lit(_NO_COUNTER)).alias("modcount"),
+        F.unix_micros(F.col("snapshot_ts").cast("timestamp")).alias("snapshot_us"),
+    )
+    events = rows.groupBy("reloid").transformWithStateInPandas(
+        _Changes(), EVENTS, outputMode="Update", timeMode="None"
+    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        arrived = batch_dir(f"{out}/seen", batch_id)
-        batch.groupBy("reloid", "snapshot_ts").agg(F.max("modcount").alias("modcount")).write.mode("overwrite").parquet(arrived)
-        named = spark.read.parquet(arrived).select("reloid").distinct()
-        # A repeated batch must not see later ones.
-        seen = spark.read.parquet(f"{out}/seen").filter(F.col("batch") <= batch_id).join(named, "reloid", "left_semi")
-        changes(seen).write.mode("overwrite").parquet(batch_dir(f"{out}/events", batch_id))
+        _events(batch.sparkSession, out).add(batch, batch_id)
+
+    with keyed_state(spark):
+        return run_batches(events, write, checkpoint, trigger, mode="update")
 
-    return run_batches(counters, write, checkpoint, trigger)
+
+def _events(spark: SparkSession, out: str) -> RunTable:
+    def last(events: DataFrame) -> DataFrame:
+        value = F.max_by(F.struct("modcount", "reason"), "version").alias("value")
+        found = events.groupBy("reloid", "snapshot_us").agg(value, F.max("version").alias("version"))
+        return found.select("reloid", "snapshot_us", "value.modcount", "value.reason", "version")
+
+    return RunTable(spark, f"{out}/events", last)
 
 
 def changes(counters: DataFrame) -> DataFrame:
@@ -48,7 +196,10 @@ def changes(counters: DataFrame) -> DataFrame:
 
 
 def read_changes(spark: SparkSession, out: str) -> DataFrame:
-    """The events that stand: of each table those of the last batch that named it."""
-    events = spark.read.parquet(f"{out}/events")
-    last = events.groupBy("reloid").agg(F.max("batch").alias("batch"))
-    return events.join(last, ["reloid", "batch"], "left_semi").select("reloid", "modcount", "snapshot_ts", "reason")
+    """(reloid, modcount, snapshot_ts, reason): the events that stand; none before the first batch."""
+    events = _events(spark, out).read()
+    if events is None:
+        return spark.createDataFrame([], "reloid long, modcount long, snapshot_ts timestamp_ntz, reason string")
+    return events.filter("reason is not null").select(
+        "reloid", "modcount", F.timestamp_micros("snapshot_us").cast("timestamp_ntz").alias("snapshot_ts"), "reason"
+    )
