@@ -31,19 +31,20 @@ _CELL = 4
 _COORDINATES_FROM = 0.3
 _COORDINATES = 4
 _SLACK = 1e-9
-_LARGEST = 1 << 26
+# Most of the first looks that go to every task: lengths of vectors, and bytes of all their buckets.
+SEED_LENGTHS, SEED_BYTES = 16, 64 << 20
+# Scores beyond a long travel as three longs, which are compared one after another, and as text.
+_LIMB = 62
 
 
 def quantised(vector: str, scale: int = 256) -> Column:
-    """floor(scale * x) of each component, or null if the vector or a component is null or not finite.
+    """floor(scale * x) of each component x as double.
 
-    Values beyond 2^26 either way are held there.
+    Null if the vector or a component is null or not finite, or if a component's whole number does not fit a long.
     """
-    column = F.col(f"`{vector}`")
-    bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    most = _LARGEST / scale
-    held = F.transform(column, lambda x: F.greatest(F.least(x.cast("double"), F.lit(most)), F.lit(-most)))
-    return F.when(~bad, F.transform(held, lambda x: F.floor(x * scale).cast("long")))
+    column = F.transform(F.col(f"`{vector}`"), lambda x: x.cast("double") * scale)
+    bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= float(1 << 63)))
+    return F.when(~bad, F.transform(column, lambda x: F.floor(x).cast("long")))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -87,6 +88,7 @@ def _packed(size: int, order: str):
     return pack
 
 
+_WIDE = "query_id long, id long, high long, middle long, low long, text string"
 _BLOCK = "block long, dim int, low double, high double, ids binary, bounds binary, vectors binary"
 
 
@@ -101,7 +103,7 @@ class _Bucket:
         self.ids, self.norms = np.frombuffer(ids, np.int64), np.frombuffer(norms, np.float64)
         self.vectors = np.frombuffer(vectors, np.int64).reshape(-1, dim)
         self.exact = self.vectors.astype(np.float64)
-        self.top = float(np.abs(self.exact).max(initial=0))
+        self.top = int(np.abs(self.exact).max(initial=0))
         self.unit = self.exact / np.maximum(self.norms, 1e-300)[:, None]
         self.longest = float(self.norms.max(initial=0))
 
@@ -124,14 +126,20 @@ class _Bucket:
         return left
 
     def products(self, places: np.ndarray, query: np.ndarray) -> np.ndarray:
-        if self.top * float(np.abs(query).max(initial=0)) * len(query) < 2**53:
+        """Exact products, as longs where they fit and Python integers beyond."""
+        largest = self.top * int(np.abs(query.astype(np.float64)).max(initial=0)) * len(query)
+        if largest < 1 << 52:
             return (self.exact[places] @ query.astype(np.float64)).astype(np.int64)
-        return self.vectors[places] @ query
+        if largest < 1 << 62:
+            return self.vectors[places] @ query
+        return self.vectors[places].astype(object) @ query.astype(object)
 
 
 def _best(k: int, ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
     """Places of the k best, ties to the smaller id."""
     places = np.arange(len(ids))
+    if scores.dtype == object:
+        return np.array(sorted(places.tolist(), key=lambda p: (-scores[p], ids[p]))[:k], np.int64)
     if len(ids) > 4 * k:
         places = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
     return places[np.lexsort((ids[places], -scores[places]))[:k]]
@@ -150,9 +158,11 @@ def _query_floors(seeds, k: int):
                 norm = float(np.sqrt((query.astype(np.float64) ** 2).sum()))
                 if bucket is None or norm == 0:
                     continue
-                scores = bucket.products(np.flatnonzero(bucket.ids != own), query)
+                scores = bucket.products(np.flatnonzero(bucket.ids != own), query).astype(np.float64)
                 if len(scores) >= k:
-                    ratio[row] = np.partition(scores, len(scores) - k)[len(scores) - k] / norm
+                    # Held a little lower, so that rounding never makes a floor too high.
+                    least = np.partition(scores, len(scores) - k)[len(scores) - k]
+                    ratio[row] = (least - abs(least) * _SLACK) / norm
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("dim"), pa.array(ratio), batch.column("v")], ["id", "dim", "ratio", "v"]
             )
@@ -160,11 +170,12 @@ def _query_floors(seeds, k: int):
     return work
 
 
-def _search_cell(k: int):
+def _search_cell(k: int, wide: bool):
     """The k best of the cell's candidates for each of its queries."""
 
     def search(buckets: pa.Table, blocks: pa.Table) -> pa.Table:
         out_query, out_id, out_score = [], [], []
+        whole = object if wide else np.int64
         loaded = [
             _Bucket(r["ids"], r["bounds"], r["vectors"], r["dim"])
             for r in sorted(buckets.to_pylist(), key=lambda r: -r["high"])
@@ -175,14 +186,14 @@ def _search_cell(k: int):
             for own, ratio, query in zip(ids.tolist(), ratios.tolist(), queries):
                 norm = float(np.sqrt((query.astype(np.float64) ** 2).sum()))
                 floor = ratio * norm if np.isfinite(ratio) else -np.inf
-                got_ids, got = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                got_ids, got = np.zeros(0, np.int64), np.zeros(0, whole)
                 for bucket in loaded:
                     places = bucket.survivors(query, norm, floor)
                     places = places[bucket.ids[places] != own]
                     if not len(places):
                         continue
                     got_ids = np.concatenate((got_ids, bucket.ids[places]))
-                    got = np.concatenate((got, bucket.products(places, query)))
+                    got = np.concatenate((got, bucket.products(places, query).astype(whole)))
                     best = _best(k, got_ids, got)
                     got_ids, got = got_ids[best], got[best]
                     if len(got) == k:
@@ -190,29 +201,42 @@ def _search_cell(k: int):
                 out_query.append(np.full(len(got), own))
                 out_id.append(got_ids)
                 out_score.append(got)
-        none = [np.zeros(0, np.int64)]
-        return pa.table({
-            name: np.concatenate(none + parts).astype(np.int64)
-            for name, parts in (("query_id", out_query), ("id", out_id), ("score", out_score))
-        })
+        ids = {
+            name: np.concatenate([np.zeros(0, np.int64), *parts]) for name, parts in (("query_id", out_query), ("id", out_id))
+        }
+        scores = np.concatenate([np.zeros(0, whole), *out_score])
+        if not wide:
+            return pa.table({**ids, "score": scores})
+        found, mask = scores.tolist(), (1 << _LIMB) - 1
+        limbs = {
+            "high": [x >> (2 * _LIMB) for x in found], "middle": [(x >> _LIMB) & mask for x in found], "low": [x & mask for x in found]
+        }
+        return pa.table(
+            {**ids, **{c: pa.array(v, pa.int64()) for c, v in limbs.items()}, "text": pa.array([str(x) for x in found], pa.string())}
+        )
 
     return search
 
 
 def top_products(candidates: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
-    """(query_id, rank, ``key``, score): the ``k`` largest inner products of each query with other rows.
+    """(query_id, rank, ``key``, score, score_exact): the ``k`` largest inner products of each query with other rows.
 
     ``vector`` is an array of whole numbers (see ``quantised``).  Rows whose key
     or vector is null take no part; a query meets vectors of its own dimension
     only, and no row with its own key.  Of equal scores the smaller key comes
     first.  A candidate row that occurs twice counts twice; a key must stand
-    for one query vector.
+    for one query vector.  Scores are exact whatever the components: ``score`` is
+    null where one does not fit a long, ``score_exact`` has it as text.
     """
     c, q = (_prepared(x, key, vector) for x in (candidates, queries))
+    wide = _largest(c) * _largest(q) >= 1 << 62
     buckets = _blocks(c.withColumnRenamed("norm", "bound"), "bound", BUCKET)
     longest = Window.partitionBy("dim").orderBy(F.desc("high"), "block")
     first = buckets.withColumn("n", F.row_number().over(longest)).filter("n = 1")
-    seeds = [(r.dim, bytes(r.ids), bytes(r.bounds), bytes(r.vectors)) for r in first.collect()]
+    # Lengths without a first look start from no floor; they are searched as exactly.
+    seen = first.filter(F.octet_length("vectors") <= SEED_BYTES // SEED_LENGTHS)
+    seen = seen.orderBy(F.desc(F.octet_length("ids")), "dim").limit(SEED_LENGTHS)
+    seeds = [(r.dim, bytes(r.ids), bytes(r.bounds), bytes(r.vectors)) for r in seen.collect()]
     shared = q.sparkSession.sparkContext.broadcast(seeds)
     with_floor = q.dropDuplicates(["id"]).select("id", "dim", "v").mapInArrow(
         _query_floors(shared, k), "id long, dim int, ratio double, v array<long>"
@@ -235,13 +259,21 @@ def top_products(candidates: DataFrame, queries: DataFrame, key: str, vector: st
     )
     found = left.groupBy("dim", "cell_of_buckets", "cell_of_queries").cogroup(
         right.groupBy("q_dim", "q_row", "q_column")
-    ).applyInArrow(_search_cell(k), "query_id long, id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    ).applyInArrow(_search_cell(k, wide), _WIDE if wide else "query_id long, id long, score long")
+    best = [F.desc(c) for c in ("high", "middle", "low")] if wide else [F.desc("score")]
+    order = Window.partitionBy("query_id").orderBy(*best, "id")
+    text = F.col("text") if wide else F.col("score").cast("string")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
-        "query_id", "rank", F.col("id").alias(key), "score"
+        "query_id", "rank", F.col("id").alias(key), text.try_cast("long").alias("score"), text.alias("score_exact")
     )
 
 
+def _largest(rows: DataFrame) -> int:
+    """A bound of the sum of absolute components of all vectors."""
+    top = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    return int((rows.agg(F.max(top * F.col("dim"))).first()[0] or 0) * (1 + _SLACK)) + 1
+
+
 def _prepared(rows: DataFrame, key: str, vector: str) -> DataFrame:
     v = F.col(f"`{vector}`")
     rows = rows.filter(F.col(f"`{key}`").isNotNull() & v.isNotNull() & (F.size(v) > 0))

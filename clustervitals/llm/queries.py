@@ -158,7 +158,8 @@ from doc left join hit on hit.doc_id = doc.doc_id left join named on named.doc_i
 @query
 def op7_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", products.quantised("embedding").alias("whole"))
-    return products.top_products(vectors, vectors.filter("vec_id % 50 = 0"), "vec_id", "whole")
+    found = products.top_products(vectors, vectors.filter("vec_id % 50 = 0"), "vec_id", "whole")
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 ORACLES["op7_top_products"] = """

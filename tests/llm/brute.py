@@ -88,12 +88,12 @@ def repeats(docs, length=100):
     return out
 
 
-def top_products(rows, k=5, every=50, scale=256, most=1 << 26):
+def top_products(rows, k=5, every=50, scale=256):
     """Sorted (query, rank, id, score) of (id, vector) rows."""
     whole = []
     for key, v in rows:
-        if key is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            whole.append((key, [max(-most, min(most, math.floor(scale * x))) for x in v]))
+        if key is not None and v and all(x is not None and abs(scale * x) < 2**63 for x in v):
+            whole.append((key, [math.floor(scale * x) for x in v]))
     out = []
     for key, v in whole:
         if key % every == 0:
