@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from .remediation import remediation_statements
+from .spread import top_n
 
 LEVEL = 300_000_000
 # Fixed value: the age reported for relations that never freeze.
@@ -51,26 +52,27 @@ def high_age_relations(
     level: int = LEVEL,
     n: int = 8000,
     skip_never: bool = True,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Relations over ``level`` on any segment, oldest first.
 
     Roots and unpartitioned tables by default, leaf partitions with
     ``leaves``.  Ages are reduced to one per relation before the catalog join.
     ``skip_never`` leaves out relations that never freeze; old servers counted
-    them.
+    them.  ``by`` names columns of both inputs that tell databases or snapshots
+    apart, whose lists are limited each.
     """
     leaf = names.is_leaf_name(F.col("relname"))
     wanted = (~F.col("relhassubclass") & leaf) if leaves else (F.col("relhassubclass") | ~leaf)
     tables = rels.filter((F.col("relkind") == "r") & (F.col("relstorage") != "x") & wanted)
-    return (
+    oldest = (
         _over_age(rel_age, level, skip_never)
-        .groupBy("reloid")
+        .groupBy(*by, "reloid")
         .agg(F.max("age_int").alias("age_int"))
-        .join(tables.select("reloid", "schemaname", "relname"), "reloid")
-        .select("reloid", "schemaname", "relname", "age_int")
-        .orderBy(F.desc("age_int"), "reloid")
-        .limit(n)
+        .join(tables.select(*by, "reloid", "schemaname", "relname"), [*by, "reloid"])
+        .select(*by, "reloid", "schemaname", "relname", "age_int")
     )
+    return top_n(oldest, [F.desc("age_int"), F.col("reloid")], n, by)
 
 
 def high_age_auxiliary(

@@ -24,7 +24,7 @@ AO_MIN_BLOAT = 1.9
 
 
 def ao_bloat(
-    visimap: DataFrame, schemas: Sequence[str] | None = None, min_bloat: float | None = None
+    visimap: DataFrame, schemas: Sequence[str] | None = None, min_bloat: float | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """Hidden share and bloat of append-only relations, summed over segments.
 
@@ -34,12 +34,13 @@ def ao_bloat(
     """
     if schemas is not None:
         visimap = schema_scope(visimap, include=schemas)
-    totals = visimap.groupBy("reloid", "schemaname", "tablename").agg(
+    totals = visimap.groupBy(*by, "reloid", "schemaname", "tablename").agg(
         F.sum("hidden").alias("hidden"), F.sum("total").alias("total")
     )
     share = (F.col("hidden").cast("decimal(20,0)") * 100) / F.col("total").cast("decimal(20,0)")
     percent = F.when(F.col("total") > 0, F.round(share, 2)).otherwise(F.lit(0)).cast("decimal(5,2)")
     result = totals.withColumn("percent_hidden", percent).select(
+        *by,
         "reloid",
         "schemaname",
         "tablename",
@@ -61,6 +62,7 @@ def heap_bloat(
     block_size: int = 32768,
     min_wasted: int = HEAP_MIN_WASTED,
     min_bloat: float = HEAP_MIN_BLOAT,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Heap tables with more pages than their column statistics explain.
 
@@ -73,7 +75,7 @@ def heap_bloat(
     micro = F.lit(1000000).cast("decimal(7,0)")
     widths = (
         col_stats.filter(F.col("schemaname") != "information_schema")
-        .groupBy("schemaname", "tablename")
+        .groupBy(*by, "schemaname", "tablename")
         .agg(
             F.sum((1000000 - null_ppm) * F.col("avg_width")).cast("decimal(20,0)").alias("datawidth"),
             F.max(null_ppm).cast("decimal(7,0)").alias("max_null_frac"),
@@ -90,12 +92,13 @@ def heap_bloat(
         + ITEM_POINTER
     ).cast("double")
     live = F.ceil(F.col("reltuples").cast("double") * row_size / F.lit(float(block_size - PAGE_OVERHEAD)))
-    pages = rels.withColumnRenamed("relname", "tablename").join(widths, ["schemaname", "tablename"])
+    pages = rels.withColumnRenamed("relname", "tablename").join(widths, [*by, "schemaname", "tablename"])
     ratio = F.try_divide(F.col("relpages").cast("decimal(20,0)"), F.col("live_pages").cast("decimal(20,0)"))
     return (
         pages.withColumn("live_pages", live)
         .filter(F.col("relpages") - F.col("live_pages") > 2)
         .select(
+            *by,
             "schemaname",
             "tablename",
             "relpages",
@@ -111,21 +114,21 @@ def heap_bloat(
 
 
 def bloat_report(
-    heap: DataFrame, ao: DataFrame, min_ao_bloat: float = AO_MIN_BLOAT, ordered: bool = True
+    heap: DataFrame, ao: DataFrame, min_ao_bloat: float = AO_MIN_BLOAT, ordered: bool = True, by: Sequence[str] = ()
 ) -> DataFrame:
     """Bloated heap and append-only tables in one list, worst first within each kind."""
     tablename = names.qualified_name(F.col("schemaname"), F.col("tablename"))
 
     def rows(df: DataFrame, kind: str) -> DataFrame:
         return df.select(
-            tablename.alias("tablename"), F.lit(kind).alias("relstorage"), F.col("bloat").cast("decimal(18,2)").alias("bloat")
+            *by, tablename.alias("tablename"), F.lit(kind).alias("relstorage"), F.col("bloat").cast("decimal(18,2)").alias("bloat")
         )
 
     both = rows(heap, "h").unionByName(rows(ao.filter(F.col("bloat") > min_ao_bloat), "ao"))
-    return both.orderBy("relstorage", F.desc("bloat"), "tablename") if ordered else both
+    return both.orderBy(*by, "relstorage", F.desc("bloat"), "tablename") if ordered else both
 
 
-def catalog_bloat(actual: DataFrame, compact: DataFrame, ordered: bool = True) -> DataFrame:
+def catalog_bloat(actual: DataFrame, compact: DataFrame, ordered: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Size of each system catalog against a freshly rewritten copy.
 
     ``actual``: catalog, segid (-1 = coordinator), size_bytes, row_count.
@@ -133,14 +136,14 @@ def catalog_bloat(actual: DataFrame, compact: DataFrame, ordered: bool = True) -
     and null when the copy is empty.
     """
     on_coordinator = F.col("segid") == -1
-    sizes = actual.groupBy("catalog").agg(
+    sizes = actual.groupBy(*by, "catalog").agg(
         F.coalesce(F.sum(F.when(on_coordinator, F.col("row_count"))), F.lit(0)).alias("row_count"),
         F.sum("size_bytes").alias("size_total"),
         F.sum(F.when(on_coordinator, F.col("size_bytes"))).alias("size_coordinator"),
         F.sum(F.when(F.col("segid") == 0, F.col("size_bytes"))).alias("size_seg0"),
     )
     ratio = F.try_divide(F.col("size_coordinator").cast("double"), F.col("compact_bytes").cast("double"))
-    result = sizes.join(compact.select("catalog", "compact_bytes"), "catalog", "left").withColumn(
+    result = sizes.join(compact.select(*by, "catalog", "compact_bytes"), [*by, "catalog"], "left").withColumn(
         "bloat", F.round(ratio, 4)
     )
-    return result.orderBy("catalog") if ordered else result
+    return result.orderBy(*by, "catalog") if ordered else result

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -52,32 +53,35 @@ def mod_counts(aoseg: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     )
 
 
-def last_operation(ops: DataFrame, action: str = "ANALYZE") -> DataFrame:
+def last_operation(ops: DataFrame, action: str = "ANALYZE", by: Sequence[str] = ()) -> DataFrame:
     """Time of the last operation of one kind per object; one row per object."""
     return (
         ops.filter(F.col("actionname") == action)
-        .groupBy(F.col("objid").alias("reloid"))
+        .groupBy(*by, F.col("objid").alias("reloid"))
         .agg(F.max("statime").alias("last_time"))
     )
 
 
-def changed_tables(state: DataFrame, current: DataFrame, ops: DataFrame | None = None) -> DataFrame:
+def changed_tables(
+    state: DataFrame, current: DataFrame, ops: DataFrame | None = None, by: Sequence[str] = ()
+) -> DataFrame:
     """Tables whose counter differs from the stored state, and tables not stored yet.
 
     ``state``: reloid, modcount, last_checktime.  ``current``: reloid,
     modcount.  Tables analyzed at or after their last check are left out when
-    ``ops`` is given.
+    ``ops`` is given.  ``by`` names columns of all inputs that tell databases apart.
     """
-    stored = state.groupBy("reloid").agg(
+    key = [*by, "reloid"]
+    stored = state.groupBy(*key).agg(
         F.max_by("modcount", "last_checktime").alias("old_modcount"), F.max("last_checktime").alias("last_checktime")
     )
     known = F.col("last_checktime").isNotNull()
-    moved = current.join(stored, "reloid", "left").filter(~known | (F.col("modcount") != F.col("old_modcount")))
+    moved = current.join(stored, key, "left").filter(~known | (F.col("modcount") != F.col("old_modcount")))
     if ops is not None:
-        moved = moved.join(last_operation(ops), "reloid", "left").filter(
+        moved = moved.join(last_operation(ops, by=by), key, "left").filter(
             ~known | F.col("last_time").isNull() | (F.col("last_time") < F.col("last_checktime"))
         )
-    return moved.select("reloid", "modcount", F.when(known, "changed").otherwise("new").alias("reason"))
+    return moved.select(*key, "modcount", F.when(known, "changed").otherwise("new").alias("reason"))
 
 
 def stale_stats(rels: DataFrame, ops: DataFrame, as_of: datetime, max_age: timedelta = timedelta(days=3)) -> DataFrame:

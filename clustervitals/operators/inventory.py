@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
 from .remediation import remediation_statements
 from .scope import not_system
-from .spread import lookup_join
+from .spread import lookup_join, top_n
 
 
-def object_counts(rels: DataFrame, attributes: DataFrame) -> DataFrame:
+def object_counts(rels: DataFrame, attributes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Number of tables, views, partitions, schemas, relations and attributes."""
-    counted = rels.agg(
+    counted = rels.groupBy(*by).agg(
         F.count_if(F.col("relkind") == "r").alias("tables"),
         F.count_if(F.col("relkind") == "v").alias("views"),
         F.count_if(F.col("relispartition")).alias("partitions"),
@@ -21,8 +23,8 @@ def object_counts(rels: DataFrame, attributes: DataFrame) -> DataFrame:
         F.count("*").alias("relations"),
     )
     kinds = ["tables", "views", "partitions", "namespaces", "relations"]
-    return counted.unpivot([], kinds, "object", "n").unionByName(
-        attributes.agg(F.count("*").alias("n")).select(F.lit("attributes").alias("object"), "n")
+    return counted.unpivot(list(by), kinds, "object", "n").unionByName(
+        attributes.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.lit("attributes").alias("object"), "n")
     )
 
 
@@ -41,45 +43,46 @@ def _labelled_tables(rels: DataFrame) -> DataFrame:
     return users.filter(F.col("relkind") == "r").withColumn("tabletype", names.storage_label(F.col("relstorage")))
 
 
-def storage_by_schema(rels: DataFrame, ordered: bool = True) -> DataFrame:
-    counts = _labelled_tables(rels).groupBy("schemaname", "tabletype").agg(F.count("*").alias("n"))
-    return counts.orderBy("schemaname", "tabletype") if ordered else counts
+def storage_by_schema(rels: DataFrame, ordered: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    counts = _labelled_tables(rels).groupBy(*by, "schemaname", "tabletype").agg(F.count("*").alias("n"))
+    return counts.orderBy(*by, "schemaname", "tabletype") if ordered else counts
 
 
-def storage_totals(rels: DataFrame, ordered: bool = True) -> DataFrame:
-    counts = _labelled_tables(rels).groupBy("tabletype").agg(F.count("*").alias("n"))
-    return counts.orderBy("tabletype") if ordered else counts
+def storage_totals(rels: DataFrame, ordered: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    counts = _labelled_tables(rels).groupBy(*by, "tabletype").agg(F.count("*").alias("n"))
+    return counts.orderBy(*by, "tabletype") if ordered else counts
 
 
 _PARTITION = ["schemaname", "tablename", "partitionschemaname", "partitiontablename"]
 
 
-def subpartition_counts(parts: DataFrame, n: int | None = 100) -> DataFrame:
+def subpartition_counts(parts: DataFrame, n: int | None = 100, by: Sequence[str] = ()) -> DataFrame:
     """Leaves per partitioned table, most first."""
+    order = [F.desc("sub_count"), F.col("tablename")]
     counts = (
-        parts.select(*_PARTITION)
+        parts.select(*by, *_PARTITION)
         .distinct()
-        .groupBy(names.qualified_name(F.col("schemaname"), F.col("tablename")).alias("tablename"))
+        .groupBy(*by, names.qualified_name(F.col("schemaname"), F.col("tablename")).alias("tablename"))
         .agg(F.count("*").alias("sub_count"))
-        .orderBy(F.desc("sub_count"), "tablename")
     )
-    return counts if n is None else counts.limit(n)
+    return counts.orderBy(*by, *order) if n is None else top_n(counts, order, n, by)
 
 
-def partition_schema_mismatch(parts: DataFrame, ordered: bool = True) -> DataFrame:
+def partition_schema_mismatch(parts: DataFrame, ordered: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Leaves stored in another schema than their parent."""
     strays = (
         parts.filter(F.col("schemaname") != F.col("partitionschemaname"))
         .select(
+            *by,
             names.qualified_name(F.col("schemaname"), F.col("tablename")).alias("tablename"),
             names.qualified_name(F.col("partitionschemaname"), F.col("partitiontablename")).alias("partitiontablename"),
         )
         .distinct()
     )
-    return strays.orderBy("tablename", "partitiontablename") if ordered else strays
+    return strays.orderBy(*by, "tablename", "partitiontablename") if ordered else strays
 
 
-def default_partition_rows(rows: DataFrame, ordered: bool = True) -> DataFrame:
+def default_partition_rows(rows: DataFrame, ordered: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Rows that fell into default partitions, one grouped scan for all tables.
 
     ``rows``: one row per stored row, tagged partitionschemaname,
@@ -88,16 +91,16 @@ def default_partition_rows(rows: DataFrame, ordered: bool = True) -> DataFrame:
     """
     leaf = names.qualified_name(F.col("partitionschemaname"), F.col("partitiontablename"))
     counts = (
-        rows.filter(F.col("partitionisdefault")).groupBy(leaf.alias("tablename")).agg(F.count("*").alias("row_count"))
+        rows.filter(F.col("partitionisdefault")).groupBy(*by, leaf.alias("tablename")).agg(F.count("*").alias("row_count"))
     )
-    return counts.orderBy(F.desc("row_count"), "tablename") if ordered else counts
+    return counts.orderBy(*by, F.desc("row_count"), "tablename") if ordered else counts
 
 
-def operation_history(ops: DataFrame, objects: DataFrame, ordered: bool = True) -> DataFrame:
+def operation_history(ops: DataFrame, objects: DataFrame, ordered: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Operations logged on the given objects (reloid, relname), by name and time."""
-    named = objects.select(F.col("reloid").alias("objid"), F.col("relname").alias("objname")).distinct()
-    history = lookup_join(ops, named, ["objid"])
-    return history.orderBy("objname", "statime", "actionname") if ordered else history
+    named = objects.select(*by, F.col("reloid").alias("objid"), F.col("relname").alias("objname")).distinct()
+    history = lookup_join(ops, named, [*by, "objid"])
+    return history.orderBy(*by, "objname", "statime", "actionname") if ordered else history
 
 
 def settings_report(settings: DataFrame) -> DataFrame:

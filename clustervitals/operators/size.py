@@ -1,7 +1,10 @@
 """Where storage goes.
 
 ``sizes`` has one row per segment and relation: schemaname, relname, reloid,
-segid, size_bytes, relfilecount, relstorage, spcname.
+segid, size_bytes, relfilecount, relstorage, spcname.  Names and numbers of
+relations are unique in one database and snapshot only: ``by`` names the columns
+(datname, snapshot_ts) that tell several apart, and figures and top lists are
+then those of each.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.clock import instant
+from .spread import top_n
 
 # Storage classes by code.
 APPEND_ONLY = ("a", "c")
@@ -48,71 +52,71 @@ def relation_files(files: DataFrame, rels: DataFrame) -> DataFrame:
     )
 
 
-def schema_size(sizes: DataFrame, ordered: bool = True) -> DataFrame:
+def schema_size(sizes: DataFrame, ordered: bool = True, by: Sequence[str] = ()) -> DataFrame:
     totals = (
         sizes.filter(~F.col("schemaname").startswith("pg_temp"))
-        .groupBy("schemaname")
+        .groupBy(*by, "schemaname")
         .agg(F.sum("size_bytes").alias("size_bytes"))
         .withColumn("size", names.pretty_size(F.col("size_bytes")))
     )
-    return totals.orderBy(F.desc("size_bytes"), "schemaname") if ordered else totals
+    return totals.orderBy(*by, F.desc("size_bytes"), "schemaname") if ordered else totals
 
 
 def _tablespace(sizes: DataFrame) -> DataFrame:
     return sizes.withColumn("tsname", F.coalesce("spcname", F.lit("pg_default")))
 
 
-def tablespace_size(sizes: DataFrame, by_size: bool = False, ordered: bool = True) -> DataFrame:
+def tablespace_size(
+    sizes: DataFrame, by_size: bool = False, ordered: bool = True, by: Sequence[str] = ()
+) -> DataFrame:
     order = [F.desc("size_bytes"), F.col("tsname")] if by_size else [F.col("tsname")]
     totals = (
         _tablespace(sizes)
-        .groupBy("tsname")
+        .groupBy(*by, "tsname")
         .agg(F.sum("size_bytes").alias("size_bytes"))
         .withColumn("size", names.pretty_size(F.col("size_bytes")))
     )
-    return totals.orderBy(*order) if ordered else totals
+    return totals.orderBy(*by, *order) if ordered else totals
 
 
-def tablespace_max_files(sizes: DataFrame, ordered: bool = True) -> DataFrame:
+def tablespace_max_files(sizes: DataFrame, ordered: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Files of the segment that holds most of them, per tablespace."""
     most = (
         _tablespace(sizes)
-        .groupBy("tsname", "segid")
+        .groupBy(*by, "tsname", "segid")
         .agg(F.sum("relfilecount").alias("files"))
-        .groupBy("tsname")
+        .groupBy(*by, "tsname")
         .agg(F.max("files").alias("max_segfilenum"))
     )
-    return most.orderBy(F.desc("max_segfilenum"), "tsname") if ordered else most
+    return most.orderBy(*by, F.desc("max_segfilenum"), "tsname") if ordered else most
 
 
-def _largest(sizes: DataFrame, n: int, key: str = "tablename", storage_column: str = "relstorage") -> DataFrame:
-    return (
-        sizes.groupBy(key, storage_column)
-        .agg(F.sum("size_bytes").alias("size_bytes"))
-        .orderBy(F.desc("size_bytes"), key, storage_column)
-        .limit(n)
-        .withColumn("size", names.pretty_size(F.col("size_bytes")))
-    )
+def _largest(
+    sizes: DataFrame, n: int, key: str = "tablename", storage_column: str = "relstorage", by: Sequence[str] = ()
+) -> DataFrame:
+    totals = sizes.groupBy(*by, key, storage_column).agg(F.sum("size_bytes").alias("size_bytes"))
+    top = top_n(totals, [F.desc("size_bytes"), F.col(key), F.col(storage_column)], n, by)
+    return top.withColumn("size", names.pretty_size(F.col("size_bytes")))
 
 
 def _with_tablename(sizes: DataFrame) -> DataFrame:
     return sizes.withColumn("tablename", names.qualified_name(F.col("schemaname"), F.col("relname")))
 
 
-def with_root(sizes: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+def with_root(sizes: DataFrame, parents: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Add ``root``, the table a relation's bytes count for, and ``is_leaf``.
 
     Leaves are known by their name, or by the catalog when ``parents`` (reloid,
-    root_schema, root_name) is given.
+    root_schema, root_name, and the columns ``by``) is given.
     """
     own = names.qualified_name(F.col("schemaname"), F.col("relname"))
     if parents is None:
         return sizes.withColumn("root", names.partition_root(own)).withColumn(
             "is_leaf", names.is_leaf_name(F.col("relname"))
         )
-    roots = parents.select("reloid", names.qualified_name(F.col("root_schema"), F.col("root_name")).alias("_root"))
+    roots = parents.select(*by, "reloid", names.qualified_name(F.col("root_schema"), F.col("root_name")).alias("_root"))
     return (
-        sizes.join(roots, "reloid", "left")
+        sizes.join(roots, [*by, "reloid"], "left")
         .withColumn("root", F.coalesce(F.col("_root"), own))
         .withColumn("is_leaf", F.col("_root").isNotNull())
         .drop("_root")
@@ -120,49 +124,52 @@ def with_root(sizes: DataFrame, parents: DataFrame | None = None) -> DataFrame:
 
 
 def top_relations(
-    sizes: DataFrame, storage: Sequence[str] = APPEND_ONLY, n: int = 100, storage_column: str = "relstorage"
+    sizes: DataFrame, storage: Sequence[str] = APPEND_ONLY, n: int = 100, storage_column: str = "relstorage",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """The n largest relations of the given storage classes (codes, or access methods in another column)."""
     return _largest(
-        _with_tablename(sizes.filter(F.col(storage_column).isin(*storage))), n, storage_column=storage_column
+        _with_tablename(sizes.filter(F.col(storage_column).isin(*storage))), n, storage_column=storage_column, by=by
     )
 
 
 def top_partitioned(
-    sizes: DataFrame, n: int = 100, parents: DataFrame | None = None, storage: Sequence[str] = LOCAL_STORAGE
+    sizes: DataFrame, n: int = 100, parents: DataFrame | None = None, storage: Sequence[str] = LOCAL_STORAGE,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """The n largest partitioned tables: bytes of the leaves summed to their root."""
-    leaves = with_root(sizes.filter(F.col("relstorage").isin(*storage)), parents).filter(F.col("is_leaf"))
-    return _largest(leaves.withColumnRenamed("root", "root_partition"), n, "root_partition")
+    leaves = with_root(sizes.filter(F.col("relstorage").isin(*storage)), parents, by).filter(F.col("is_leaf"))
+    return _largest(leaves.withColumnRenamed("root", "root_partition"), n, "root_partition", by=by)
 
 
-def top_temp_relations(sizes: DataFrame, n: int = 50) -> DataFrame:
+def top_temp_relations(sizes: DataFrame, n: int = 50, by: Sequence[str] = ()) -> DataFrame:
     """The n largest temporary relations, by persistence when known, else by schema name."""
     temporary = (
         F.col("relpersistence") == "t"
         if "relpersistence" in sizes.columns
         else F.col("schemaname").startswith("pg_temp")
     )
-    return _largest(_with_tablename(sizes.filter(temporary & F.col("relstorage").isin(*LOCAL_STORAGE))), n)
+    return _largest(_with_tablename(sizes.filter(temporary & F.col("relstorage").isin(*LOCAL_STORAGE))), n, by=by)
 
 
-def top_indexes(indexes: DataFrame, sizes: DataFrame, n: int = 50) -> DataFrame:
+def top_indexes(indexes: DataFrame, sizes: DataFrame, n: int = 50, by: Sequence[str] = ()) -> DataFrame:
     """The n largest indexes with the size of their table.
 
     Indexes are cut to n first, so only sizes of those tables are summed.
     """
-    top = indexes.orderBy(F.desc("index_bytes"), "schemaname", "tablename", "indexname").limit(n)
+    order = [F.desc("index_bytes"), F.col("schemaname"), F.col("tablename"), F.col("indexname")]
+    top, table = top_n(indexes, order, n, by), [*by, "schemaname", "tablename"]
     tables = (
         sizes.withColumnRenamed("relname", "tablename")
-        .join(top.select("schemaname", "tablename").distinct(), ["schemaname", "tablename"], "left_semi")
-        .groupBy("schemaname", "tablename")
+        .join(top.select(*table).distinct(), table, "left_semi")
+        .groupBy(*table)
         .agg(F.sum("size_bytes").alias("table_bytes"))
     )
     return (
-        top.join(tables, ["schemaname", "tablename"], "left")
+        top.join(tables, table, "left")
         .withColumn("index_size", names.pretty_size(F.col("index_bytes")))
         .withColumn("table_size", names.pretty_size(F.col("table_bytes")))
-        .orderBy(F.desc("index_bytes"), "schemaname", "tablename", "indexname")
+        .orderBy(*by, *order)
     )
 
 

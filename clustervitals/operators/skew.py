@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,23 +16,23 @@ from .spread import lookup_join
 GIB = 1 << 30
 
 
-def _key_columns(policy: DataFrame, attributes: DataFrame) -> DataFrame:
-    """Key columns of the tables that have a key: reloid, tablename, dk."""
+def _key_columns(policy: DataFrame, attributes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Key columns of the tables that have a key: reloid, tablename, dk (and the columns ``by``)."""
     positions = (
-        policy.select("reloid", "tablename", F.posexplode("distkey").alias("pos", "attnum"))
+        policy.select(*by, "reloid", "tablename", F.posexplode("distkey").alias("pos", "attnum"))
         .withColumn("attnum", F.col("attnum").cast("int"))
         .distinct()
     )
     # Few tables: their positions are broadcast and the attributes stay where they are.
     named = lookup_join(
-        attributes.select("reloid", F.col("attnum").cast("int").alias("attnum"), "attname"),
-        positions, ["reloid", "attnum"], splits=1,
+        attributes.select(*by, "reloid", F.col("attnum").cast("int").alias("attnum"), "attname"),
+        positions, [*by, "reloid", "attnum"], splits=1,
     )
     ordered = F.array_sort(F.collect_set(F.struct("pos", "attname")))
     return (
-        named.groupBy("reloid", "tablename")
+        named.groupBy(*by, "reloid", "tablename")
         .agg(ordered.alias("columns"))
-        .select("reloid", "tablename", F.array_join("columns.attname", ",").alias("dk"))
+        .select(*by, "reloid", "tablename", F.array_join("columns.attname", ",").alias("dk"))
     )
 
 
@@ -53,6 +55,7 @@ def skew_check(
     attributes: DataFrame | None = None,
     parents: DataFrame | None = None,
     ordered: bool = True,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Large tables missing from some segments, or much heavier on one.
 
@@ -60,15 +63,17 @@ def skew_check(
     one segment has skew 0 and is reported for its segment count.  One pass:
     bytes per (root table, segment), then all figures of a table at once.
     Leaves are rolled up by name, or by ``parents`` (see ``size.with_root``);
-    rows of the coordinator (segid -1) do not count.
+    rows of the coordinator (segid -1) do not count.  Tables of several
+    databases or snapshots are told apart by the columns ``by``, which all
+    inputs have then.
 
     With ``policy`` and ``attributes`` (see ``distribution_key``) the report
     names the distribution key.  The flagged tables are then kept in a
     checkpoint, and only their keys are looked up.
     """
     per_segment = (
-        with_root(sizes.filter((F.col("relstorage") != "x") & (F.col("segid") >= 0)), parents)
-        .groupBy(F.col("root").alias("tablename"), "segid")
+        with_root(sizes.filter((F.col("relstorage") != "x") & (F.col("segid") >= 0)), parents, by)
+        .groupBy(*by, F.col("root").alias("tablename"), "segid")
         .agg(F.sum("size_bytes").alias("bytes"))
         .filter(F.col("bytes") > 0)
     )
@@ -76,7 +81,7 @@ def skew_check(
     # it keeps the aggregation hashed, without sorting every segment's row.
     rank = F.col("bytes").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") - F.col("segid")
     per_table = (
-        per_segment.groupBy("tablename")
+        per_segment.groupBy(*by, "tablename")
         .agg(
             F.count("*").cast("int").alias("data_segcount"),
             F.sum("bytes").alias("total"),
@@ -93,6 +98,7 @@ def skew_check(
         | (F.col("excess") > F.lit(str(threshold)).cast("decimal(9,4)") * total)
     )
     report = flagged.select(
+        *by,
         "tablename",
         F.lit(n_segments).alias("sys_segcount"),
         "data_segcount",
@@ -106,16 +112,17 @@ def skew_check(
     else:
         report = keep(report)
         roots = policy.filter(~names.is_leaf_name(F.col("tablename")))
-        own = lookup_join(roots, report.select("tablename"), ["tablename"], "left_semi", splits=1)
-        keys = _key_columns(own, attributes).select("tablename", "dk")
-        report = report.join(keys, "tablename", "left")
-    return report.orderBy("data_segcount", F.desc("maxsize_bytes"), "tablename") if ordered else report
+        table = [*by, "tablename"]
+        own = lookup_join(roots, report.select(*table), table, "left_semi", splits=1)
+        keys = _key_columns(own, attributes, by).select(*table, "dk")
+        report = report.join(keys, table, "left")
+    return report.orderBy(*by, "data_segcount", F.desc("maxsize_bytes"), "tablename") if ordered else report
 
 
 def skew_report(sizes: DataFrame, n_segments: int, ordered: bool = True, **options) -> DataFrame:
     """``skew_check`` over every user schema in one job, by table and falling skew."""
     report = skew_check(schema_scope(sizes, all_schemas=True), n_segments, ordered=False, **options)
-    return report.orderBy("tablename", F.desc("skew")) if ordered else report
+    return report.orderBy(*options.get("by", ()), "tablename", F.desc("skew")) if ordered else report
 
 
 def skew_from_files(files: DataFrame, rels: DataFrame, n_segments: int, **options) -> DataFrame:

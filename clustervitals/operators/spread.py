@@ -72,6 +72,16 @@ def last_n_per_key(
     return df.withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= n)
 
 
+def top_n(df: DataFrame, order: Sequence[Column | str], n: int, by: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows in ``order``, of every group of ``by`` if that is given.
+
+    Groups are cut to n rows in every task before rows move.
+    """
+    if not by:
+        return df.orderBy(*order).limit(n)
+    return last_n_per_key(df, by, order, n, "_place").drop("_place")
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, partitions: int | None = None
 ) -> DataFrame:

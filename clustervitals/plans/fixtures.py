@@ -331,6 +331,19 @@ def references(sql: str) -> list[str]:
     return list(seen)
 
 
+# Rows of each of three databases, by a number of the fixture.
+DATABASES = {"db0": "{0} = {0}", "db1": "{0} % 3 <> 0", "db2": "{0} % 2 = 0"}
+_NUMBERS = {
+    "fx_ops": "objid", "fx_cat_seg": "segid", "fx_catsize": "compact_bytes", "fx_index": "index_bytes", "fx_colstats": "avg_width",
+    "fx_relpages": "relpages", "fx_parts": "length(partitiontablename)",
+}
+
+
+def database_rows(database: str, fixture: str) -> str:
+    """The condition for a fixture's rows in one of the databases."""
+    return DATABASES[database].format(_NUMBERS.get(fixture, "reloid"))
+
+
 class Fixtures:
     """Lazy fixture DataFrames over one data directory: ``fx.fx_rel_size``."""
 

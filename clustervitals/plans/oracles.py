@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from ..operators.bloat import AO_MIN_BLOAT
 from ..operators.scope import ANALYZE_DENY_LIST
-from .fixtures import with_fixtures
+from .fixtures import DATABASES, database_rows, with_fixtures
 
 CLOCK = "timestamp '2024-01-31 00:00:00'"
 
@@ -788,10 +791,10 @@ def _as_section(at: int, section: str, sql: str, key: str, value: str) -> str:
     return f"select '{section}' as section, {at} as ordinal, {key} as key, cast({value} as varchar) as value from ({sql}) s{at}"
 
 
-def _health() -> str:
+def _health_sections() -> list[tuple]:
     per_table = "concat(tablename, '/', relstorage)"
     heap = _heap(104857600, 2.0)
-    sections = [
+    return [
         ("segments down", SQL["segments_down"], "'instances'", "n"),
         ("segments out of sync", SQL["segments_out_of_sync"], "'instances'", "n"),
         ("roles switched", SQL["role_switched"], "'instances'", "n"),
@@ -828,10 +831,40 @@ def _health() -> str:
         ("bloat", _bloat_report(heap), per_table, "cast(bloat as decimal(18, 2))"),
         ("settings", SQL["settings_report"], "name", "setting"),
     ]
-    return " union all ".join(_as_section(at, *s) for at, s in enumerate(sections, start=1))
 
 
-SQL["health"] = _health()
+def _by_database(sql: str, fixtures: Sequence[str]) -> str:
+    """The rows of a statement for each of three databases, over the rows that its fixtures have there."""
+
+    def of(database: str) -> str:
+        named = re.compile(rf"\b(from|join)\s+({'|'.join(fixtures)})\b")
+        return named.sub(lambda m: f"{m[1]} (select * from {m[2]} where {database_rows(database, m[2])})", sql)
+
+    return " union all ".join(f"select '{d}' as datname, * from ({of(d)}) {d}" for d in DATABASES)
+
+
+_DATABASE_FIXTURES = (
+    "fx_rel_size", "fx_rel_age", "fx_relpages", "fx_rel", "fx_attr", "fx_dk", "fx_cat_seg", "fx_catsize", "fx_ops", "fx_index", "fx_parts",
+    "fx_visimap", "fx_colstats", "fx_modcount_new", "fx_modcount_old",
+)
+_CLUSTER_SECTIONS = (
+    "segments down", "segments out of sync", "roles switched", "cluster", "configuration changes", "database size", "database age",
+    "segment age", "idle transactions", "long queries", "settings",
+)
+SQL["health"] = " union all ".join(_as_section(at, *s) for at, s in enumerate(_health_sections(), start=1))
+SQL["health_by_database"] = " union all ".join(
+    f"select cast(null as varchar) as datname, * from ({_as_section(at, *s)}) h{at}" if s[0] in _CLUSTER_SECTIONS
+    else f"select * from ({_by_database(_as_section(at, *s), _DATABASE_FIXTURES)}) h{at}"
+    for at, s in enumerate(_health_sections(), start=1)
+)
+SQL["skew_check_by_database"] = _by_database(SQL["skew_check"], _DATABASE_FIXTURES)
+SQL["high_age_relations_by_database"] = _by_database(
+    SQL["high_age_relations"].replace("limit 8000", "limit 500"), _DATABASE_FIXTURES
+)
+SQL["changed_tables_by_database"] = _by_database(SQL["changed_tables"], _DATABASE_FIXTURES)
+SQL["top_append_only_by_database"] = _by_database(
+    _top("tablename", TABLE, "fx_rel_size", "relstorage in ('a', 'c')", 20), _DATABASE_FIXTURES
+)
 
 # ---- streaming: the same figures from the whole table
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from ..streaming import log_alerts as stream_logs
 from ..streaming import metrics as stream_metrics
 from ..streaming import sessions as stream_sessions
 from ..streaming import sinks as stream_sinks
-from .fixtures import Fixtures
+from .fixtures import DATABASES, Fixtures, database_rows
 from .metrics import metric_results as collect_metrics
 from .report import health_report
 
@@ -797,33 +798,75 @@ def metric_results(fx):
     )
 
 
+def _health_inputs(fx):
+    return {
+        "conf": fx.fx_segconf,
+        "config_history": fx.fx_history.select("ctime", F.col("monitor_result").alias("desc")),
+        "databases": fx.fx_rel_size.withColumnRenamed("schemaname", "datname"),
+        "dbs": fx.fx_db_age,
+        "activity": fx.fx_activity,
+        "rels": fx.fx_rel,
+        "attributes": fx.fx_attr,
+        "catalog_sizes": fx.fx_cat_seg,
+        "catalog_compact": fx.fx_catsize,
+        "ops": fx.fx_ops,
+        "sizes": fx.fx_rel_size,
+        "indexes": fx.fx_index,
+        "parts": fx.fx_parts,
+        "visimap": fx.fx_visimap,
+        "col_stats": fx.fx_colstats,
+        "relpages": fx.fx_relpages,
+        "settings": fx.fx_settings,
+    }
+
+
 @query
 def health(fx):
-    return health_report(
-        {
-            "conf": fx.fx_segconf,
-            "config_history": fx.fx_history.select("ctime", F.col("monitor_result").alias("desc")),
-            "databases": fx.fx_rel_size.withColumnRenamed("schemaname", "datname"),
-            "dbs": fx.fx_db_age,
-            "activity": fx.fx_activity,
-            "rels": fx.fx_rel,
-            "attributes": fx.fx_attr,
-            "catalog_sizes": fx.fx_cat_seg,
-            "catalog_compact": fx.fx_catsize,
-            "ops": fx.fx_ops,
-            "sizes": fx.fx_rel_size,
-            "indexes": fx.fx_index,
-            "parts": fx.fx_parts,
-            "visimap": fx.fx_visimap,
-            "col_stats": fx.fx_colstats,
-            "relpages": fx.fx_relpages,
-            "settings": fx.fx_settings,
-        },
-        AS_OF,
-        N_SEGMENTS,
+    return health_report(_health_inputs(fx), AS_OF, N_SEGMENTS)
+
+
+def _three(fx, name):
+    """Three databases that share names and numbers of relations, but not all rows."""
+    df = getattr(fx, name)
+    parts = [df.filter(database_rows(database, name)).select(F.lit(database).alias("datname"), "*") for database in DATABASES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def health_by_database(fx):
+    inputs = _health_inputs(fx)
+    for name, fixture in (
+        ("rels", "fx_rel"), ("attributes", "fx_attr"), ("catalog_sizes", "fx_cat_seg"), ("catalog_compact", "fx_catsize"),
+        ("ops", "fx_ops"), ("sizes", "fx_rel_size"), ("indexes", "fx_index"), ("parts", "fx_parts"), ("visimap", "fx_visimap"),
+        ("col_stats", "fx_colstats"), ("relpages", "fx_relpages"),
+    ):
+        inputs[name] = _three(fx, fixture)
+    return health_report(inputs, AS_OF, N_SEGMENTS, by=["datname"])
+
+
+@query
+def skew_check_by_database(fx):
+    return skew.skew_check(
+        _three(fx, "fx_rel_size"), N_SEGMENTS, policy=_three(fx, "fx_dk"), attributes=_three(fx, "fx_attr"), by=["datname"]
     )
 
 
+@query
+def high_age_relations_by_database(fx):
+    return age.high_age_relations(_three(fx, "fx_rel_age"), _three(fx, "fx_rel"), n=500, by=["datname"])
+
+
+@query
+def changed_tables_by_database(fx):
+    state = _three(fx, "fx_modcount_old").withColumn("last_checktime", F.lit(str(STATE_TIME)).cast("timestamp_ntz"))
+    return change.changed_tables(state, _three(fx, "fx_modcount_new"), _three(fx, "fx_ops"), by=["datname"])
+
+
+@query
+def top_append_only_by_database(fx):
+    return size.top_relations(_three(fx, "fx_rel_size"), size.APPEND_ONLY, 20, by=["datname"])
+
+
 @query
 def table_privileges(fx):
     return privileges.table_privileges(fx.fx_acl)
