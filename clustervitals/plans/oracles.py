@@ -66,6 +66,7 @@ SQL["rejects_over_limit"] = f"""
 SQL["partitioned_log_lines"] = """
     select log_msg, substr(split_part(log_msg, '.csv:', 2), 1, 10) as dt, split_part(log_msg, ':', 1) as host from fx_log
 """
+SQL["log_lines"] = "select log_msg from fx_log where substr(split_part(log_msg, '.csv:', 2), 1, 7) = '2024-01'"
 SQL["log_lines_between"] = f"select * from ({SQL['partitioned_log_lines']}) p where dt between '2024-01-12' and '2024-01-31'"
 SQL["process_list"] = """
     select f[1] as hostname, f[2] as port, f[3] as username, f[4] as dbname, f[5] as masterip, f[6] as sessionid,

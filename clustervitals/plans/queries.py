@@ -16,7 +16,7 @@ from ..operators import (
 )
 from ..operators.remediation import remediation_statements
 from ..sources import files, sinks, snapshots
-from ..sources.workspace import fresh_dir
+from ..sources.workspace import fresh_dir, location_resolver
 from ..streaming import changes as stream_changes
 from ..streaming import log_alerts as stream_logs
 from ..streaming import metrics as stream_metrics
@@ -103,6 +103,32 @@ def partitioned_log_lines(fx):
     return files.partitioned_log_lines(fx.spark, _landed_logs(fx), "2024-01")
 
 
+def _log_files(fx):
+    """The lines as files below a folder for each host, in a root with a blank and a sign."""
+    root = f"{fresh_dir(fx.spark, 'my logs+more')}/my logs+more"
+    line = F.col("log_msg")
+    host, file = F.substring_index(line, ":", 1), F.substring_index(F.substring_index(line, ":", 2), ":", -1)
+    record = F.substr(line, F.length(host) + F.length(file) + 3)
+    by_file = fx.fx_log.groupBy(host.alias("host"), file.alias("file")).agg(F.array_join(F.collect_list(record), "\n").alias("text"))
+    resolve = location_resolver()
+
+    def write(rows):
+        system, inner = resolve(root)
+        for row in rows:
+            target = f"{inner}/{row.host}{row.file}"
+            system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(target) as out:
+                out.write(row.text.encode())
+
+    by_file.foreachPartition(write)
+    return root
+
+
+@query
+def log_lines(fx):
+    return files.log_lines(fx.spark, _log_files(fx), "2024-01")
+
+
 @query
 def log_lines_between(fx):
     return files.log_lines_between(fx.spark, _landed_logs(fx), datetime(2024, 1, 12, 8), AS_OF)

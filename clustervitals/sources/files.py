@@ -145,7 +145,8 @@ def log_lines(spark: SparkSession, root: str, date_prefix: str, name_prefix: str
     """Log lines of the files of one day or month, as ``host:file:record``.
 
     Files are ``<root>/**/<name_prefix><date>*.csv`` with the host as the first
-    directory below ``root``; other days' files are never opened.
+    directory below ``root``; other days' files are never opened.  A file that is
+    not below it, which a link can cause, has no host.
     """
     _check_prefix(date_prefix)
     text = (
@@ -153,13 +154,16 @@ def log_lines(spark: SparkSession, root: str, date_prefix: str, name_prefix: str
         .option("pathGlobFilter", f"{name_prefix}{date_prefix}*.csv")
         .text(root)
     )
-    # Paths come back with a scheme and any number of slashes before the root's own name.
-    inner = "/" + re.sub(r"^[a-z0-9]+:", "", root).strip("/") + "/"
-    path = F.col("_metadata.file_path")
-    below = F.substr(path, F.instr(path, inner) + len(inner))
+    # Both paths without scheme and authority, and with their blanks and signs as they are on disk.
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    qualified = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop)
+    inner = qualified.toUri().getPath().rstrip("/") + "/"
+    encoded = F.regexp_extract(F.col("_metadata.file_path"), r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(/.*)$", 1)
+    path = F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+    below = F.when(F.startswith(path, F.lit(inner)), F.substr(path, F.lit(len(inner) + 1)))
     host = F.substring_index(below, "/", 1)
-    file = F.substr(below, F.length(host) + 1)
-    return text.select(F.concat(host, F.lit(":"), file, F.lit(":"), F.col("value")).alias("log_msg"))
+    file = F.coalesce(F.substr(below, F.length(host) + 1), path)
+    return text.select(F.concat(F.coalesce(host, F.lit("")), F.lit(":"), file, F.lit(":"), F.col("value")).alias("log_msg"))
 
 
 def _landed_log_lines(spark: SparkSession, root: str) -> DataFrame:

@@ -68,6 +68,17 @@ def test_log_lines_of_a_month(spark, tmp_path):
         files.log_lines(spark, str(tmp_path), "2024")
 
 
+@pytest.mark.parametrize("name", ["my logs", "a+b%20c", "logs/logs", "é"])
+def test_log_lines_below_any_root(spark, tmp_path, name):
+    root = tmp_path / name
+    d = root / "logs" / "logs" / "x y"
+    d.mkdir(parents=True)
+    (d / "gpdb-2024-01-05_000000.csv").write_text('2024-01-05 00:00:00 UTC,"u"\n')
+    for at in (str(root), f"{root}/"):
+        (row,) = files.log_lines(spark, at, "2024-01-05").collect()
+        assert row.log_msg == 'logs:/logs/x y/gpdb-2024-01-05_000000.csv:2024-01-05 00:00:00 UTC,"u"'
+
+
 def test_partitioned_logs_prune_dates(spark, tmp_path):
     df = spark.createDataFrame([("a", "2024-01-05", "h"), ("b", "2024-02-05", "h")], "log_msg string, dt string, host string")
     df.write.partitionBy("dt", "host").text(str(tmp_path / "log"))
