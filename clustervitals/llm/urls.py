@@ -1,11 +1,13 @@
 """URL filtering by given rules and by association rules mined from labelled URLs.
 
 A given rule is a host with a path prefix.  URLs without one get the verdict of
-mined rules: FP-growth finds combinations of URL tokens that go with a label;
-rules below the support or confidence, and rules that a shorter one makes
-superfluous, are dropped.  A rule is indexed under its rarest token; a URL's
-tokens look up candidates there, and a candidate holds if all its tokens are in
-the URL.
+mined rules.  Tokens that occur in exactly the same labelled URLs say the same,
+so they are one item, and a URL has the item if it has one of them; without that
+many keys that always come together would make every combination of them
+frequent.  FP-growth finds combinations of items that go with a label; rules
+below the support or confidence, and rules that a shorter one makes superfluous,
+are dropped.  A rule is indexed under its rarest item; a URL's items look up
+candidates there, and a candidate holds if all its items are in the URL.
 """
 
 from __future__ import annotations
@@ -16,10 +18,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spread import lookup_join
 from ..sources.workspace import keep
 
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.8
+# Labelled URLs that a rule rests on at least, however few there are in all.
+MIN_ROWS = 3
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -70,20 +75,48 @@ def given_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
     return best
 
 
+def token_items(labelled: DataFrame, tokens: str, min_rows: int) -> DataFrame:
+    """(token, item, members) of the tokens in ``min_rows`` rows or more; tokens of equal rows share an item.
+
+    An item is called by its first token.  Rows are told apart by two sums of hashes and their number.
+    """
+    rows = labelled.select(F.explode(F.array_distinct(tokens)).alias("token"), "row")
+    sums = [F.sum(F.xxhash64(F.lit(seed), "row").cast("decimal(38,0)")).alias(f"sum{seed}") for seed in (1, 2)]
+    counted = rows.groupBy("token").agg(F.count("*").alias("n"), *sums).filter(F.col("n") >= min_rows)
+    same = counted.groupBy("n", "sum1", "sum2").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    return same.select(F.explode("members").alias("token"), F.col("members")[0].alias("item"), "members")
+
+
+def _itemised(sets: DataFrame, items: DataFrame) -> DataFrame:
+    """(tokens, items) of distinct token sets; ``items`` are few, as each holds a share of the labelled rows."""
+    named = sets.withColumn("token", F.explode("tokens")).join(F.broadcast(items.select("token", "item")), "token")
+    found = named.groupBy("tokens").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return sets.join(found, "tokens", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+
+
 def mine_rules(
-    labelled: DataFrame, tokens: str, label: str, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
+    labelled: DataFrame,
+    tokens: str,
+    label: str,
+    min_support: float = MIN_SUPPORT,
+    min_confidence: float = MIN_CONFIDENCE,
+    min_rows: int = MIN_ROWS,
 ) -> DataFrame | None:
     """(key, antecedent, verdict, confidence, support) of the rules worth keeping, None without labelled rows.
 
-    ``key`` is the antecedent's rarest token among the labelled rows.
+    ``key`` is the antecedent's rarest token among the labelled rows.  A rule rests on a share of ``min_support`` of
+    the labelled rows and on ``min_rows`` of them.
     """
     rows = keep(
         labelled.filter(F.col(label).isNotNull() & F.col(tokens).isNotNull())
         .select(F.concat(F.col(tokens), F.array(F.concat(F.lit("="), F.col(label)))).alias("items"))
     )
-    if rows.isEmpty():
+    n = rows.count()
+    if n == 0:
         return None
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
+    # A little less than the share, so that rounding does not ask for a row more.
+    support = min(1.0, max(min_support, (min_rows - 0.5) / n))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(rows)
     is_label = lambda x: F.startswith(x, F.lit("="))
     rules = keep(
         model.associationRules.filter(is_label(F.col("consequent")[0]) & ~F.exists("antecedent", is_label)).select(
@@ -129,12 +162,14 @@ def judge_urls(
     min_support: float = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
     labels: DataFrame | None = None,
+    min_rows: int = MIN_ROWS,
 ) -> DataFrame:
     """(``key``, host, path, rule, verdict, mined_rule, confidence) of every row of ``pages``.
 
     Rules are mined from ``labels`` (url, verdict), or else from the pages that
     a given rule decides.  Among mined rules that hold the surest counts, then
     the one with more support, then the first; without one the URL is allowed.
+    ``mined_rule`` shows its items, each as its tokens with bars between.
     A null URL or one without ``://`` has empty host and path.  Repeated rows
     are judged each.
     """
@@ -147,20 +182,27 @@ def judge_urls(
         labelled = rows.filter("given is not null").select("tokens", F.col("given.verdict").alias("verdict"))
     else:
         labelled = labels.select(tokens_of(F.col("url"), host_of(F.col("url")), path_of(F.col("url"))).alias("tokens"), "verdict")
-    mined = mine_rules(labelled, "tokens", "verdict", min_support, min_confidence)
-    nothing = F.lit(None).cast("struct<confidence:double,support:double,antecedent:array<string>,verdict:string>")
+    labelled = keep(labelled.filter("verdict is not null and tokens is not null").withColumn("row", F.monotonically_increasing_id()))
+    items = keep(token_items(labelled, "tokens", min_rows))
+    known = lookup_join(labelled, _itemised(labelled.select("tokens").distinct(), items), ["tokens"])
+    mined = mine_rules(known, "items", "verdict", min_support, min_confidence, min_rows)
+    nothing = F.lit(None).cast("struct<confidence:double,support:double,shown:string,verdict:string>")
     if mined is None:
         judged = rows.withColumn("best", nothing)
     else:
+        members = items.select(F.col("item").alias("part"), F.array_join("members", "|").alias("said")).distinct()
+        parts = mined.select("antecedent", F.explode("antecedent").alias("part")).distinct().join(F.broadcast(members), "part")
+        shown = parts.groupBy("antecedent").agg(F.array_join(F.array_sort(F.collect_list("said")), " ").alias("shown"))
+        mined = mined.join(shown, "antecedent")
         # URLs with the same tokens get the same mined verdict, so token sets are looked up once each.
-        sets = rows.filter("given is null").select("tokens").distinct()
+        sets = _itemised(rows.filter("given is null").select("tokens").distinct(), items)
         held = (
-            sets.withColumn("key", F.explode("tokens")).join(mined, "key")
-            .filter(F.size(F.array_except("antecedent", "tokens")) == 0)
+            sets.withColumn("key", F.explode("items")).join(mined, "key")
+            .filter(F.size(F.array_except("antecedent", "items")) == 0)
             .groupBy("tokens")
             .agg(
                 F.max_by(
-                    F.struct("confidence", "support", "antecedent", "verdict"),
+                    F.struct("confidence", "support", "shown", "verdict"),
                     F.struct("confidence", "support", -F.size("antecedent"), F.array_join("antecedent", " "), "verdict"),
                 ).alias("best")
             )
@@ -169,6 +211,6 @@ def judge_urls(
     return judged.select(
         F.col("id").alias(key), "host", "path", F.col("given.rule").alias("rule"),
         F.coalesce("given.verdict", "best.verdict", F.lit(ALLOW)).alias("verdict"),
-        F.when(F.col("given").isNull(), F.array_join("best.antecedent", " ")).alias("mined_rule"),
+        F.when(F.col("given").isNull(), F.col("best.shown")).alias("mined_rule"),
         F.when(F.col("given").isNull(), F.col("best.confidence")).alias("confidence"),
     )
