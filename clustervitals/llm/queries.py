@@ -94,21 +94,63 @@ def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_replies(messages: DataFrame) -> DataFrame:
+    """The messages, and one more at the end of each conversation that quotes its first or second turn.
+
+    The table holds no quote marks.  By the conversation's number the reply quotes all lines, the first line, or the
+    first two of three or more.
+    """
+    lines = F.split("text", "\n")
+    kind = F.col("conv_id") % 3
+    some = F.when(kind == 1, F.slice(lines, 1, 1)).when((kind == 2) & (F.size(lines) > 2), F.slice(lines, 1, 2)).otherwise(lines)
+    quoted = F.array_join(F.transform(some, lambda x: F.concat(F.lit("> "), x)), "\n")
+    replies = messages.filter((F.col("turn") == F.col("conv_id") % 2) & (F.col("text") != "")).select(
+        "conv_id", F.lit(1_000_000).cast("long").alias("turn"), F.lit("user").alias("role"),
+        F.concat(quoted, F.lit("\nAn answer in conversation "), F.col("conv_id").cast("string"), F.lit(".")).alias("text"),
+    )
+    return messages.unionByName(replies)
+
+
 @query
 def op5_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return quotes.link_quotes(with_replies(messages))
 
 
-# The messages of the table hold no quote marks, so that every message answers the one before.
 ORACLES["op5_quotation_links"] = r"""
-with placed as (
-    select *, row_number() over (partition by conv_id order by turn, role) - 1 as place from conversations
+with given as (
+    select conv_id, turn, role, replace(coalesce(text, ''), chr(13), '') as text,
+           row_number() over (partition by conv_id order by turn, role, text) - 1 as place,
+           count(*) over (partition by conv_id) as n
+    from conversations
+), unit as (
+    select conv_id, place, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) as body
+    from (select conv_id, place, unnest(list_concat([text], string_split(text, chr(10)), string_split(text, chr(10) || chr(10)))) as x from given)
+), reply as (
+    select conv_id, n as place, case when conv_id % 3 = 1 then l[1:1] when conv_id % 3 = 2 and len(l) > 2 then l[1:2] else l end as lines
+    from (select *, string_split(text, chr(10)) as l from given) where turn = conv_id % 2 and text <> ''
+), part as (
+    select conv_id, place, 0 as rank, array_to_string(lines, ' ') as x from reply
+    union all
+    select conv_id, place, 1, unnest(lines) from reply
+), found as (
+    select p.conv_id, p.place, p.rank, length(p.body) as size, min(u.place) as source
+    from (select conv_id, place, rank, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) as body from part) p
+    join unit u on u.conv_id = p.conv_id and u.body = p.body and u.place < p.place
+    where p.body <> '' group by p.conv_id, p.place, p.rank, p.body
+), link as (
+    select conv_id, place, arg_min(source, (rank, -size, source)) as source from found group by 1, 2
+), message as (
+    select conv_id, turn, role, text, place, 0 as n_quotes, cast(null as bigint) as source, place as depth from given
+    union all
+    select reply.conv_id, 1000000, 'user', concat('An answer in conversation ', reply.conv_id, '.'), reply.place, 1, source, coalesce(source + 1, reply.place)
+    from reply left join link on link.conv_id = reply.conv_id
 )
-select conv_id, turn, role, trim(regexp_replace(replace(coalesce(text, ''), chr(13), ''), '\n{3,}', chr(10) || chr(10), 'g'), ' ') as text,
-       place, cast(0 as bigint) as n_quotes, cast(0 as bigint) as n_linked,
-       case when place > 0 then conv_id end as parent_conversation, case when place > 0 then place - 1 end as parent_place,
-       false as by_quote, conv_id as thread, place as depth, place as reply_order
-from placed
+select conv_id, turn, role, trim(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), ' ') as text, place, cast(n_quotes as bigint) as n_quotes,
+       cast((source is not null) as bigint) as n_linked, case when place > 0 then conv_id end as parent_conversation,
+       case when place > 0 then coalesce(source, place - 1) end as parent_place, source is not null as by_quote, conv_id as thread, depth,
+       row_number() over (partition by conv_id order by depth, place) - 1 as reply_order
+from message
 """
 
 

@@ -100,3 +100,49 @@ def top_products(rows, k=5, every=50, scale=256):
             found = [(-sum(a * b for a, b in zip(v, w)), other) for other, w in whole if other != key and len(v) == len(w)]
             out += [(key, n + 1, other, -score) for n, (score, other) in enumerate(sorted(found)[:k])]
     return sorted(set(out))
+
+
+def quotes(rows):
+    """{(conv, place): (text without quotes, passages, linked, parent, by quote)} of (conv, turn, role, text) rows.
+
+    Quotes are looked for by going through all earlier messages.
+    """
+    def plain(text):
+        return " ".join(re.findall(r"[^\W_]+", text.lower()))
+
+    def units(text):
+        return [u for u in map(plain, [text, *re.split(r"\n[ \t]*\n", text), *text.split("\n")]) if u]
+
+    placed, out, held = {}, {}, {}
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3] or "")):
+        placed.setdefault(conv, []).append(text or "")
+    for conv, texts in placed.items():
+        for place, text in enumerate(texts):
+            passages = []
+            for line in text.split("\n"):
+                marks = re.match(r"(?:[ \t]*>)*", line)[0]
+                level, body = marks.count(">"), line if not marks else re.sub(r"^[ \t]", "", line[len(marks):])
+                if passages and passages[-1][0] == level:
+                    passages[-1][1].append(body)
+                else:
+                    passages.append((level, [body]))
+            own = "\n".join("\n".join(b) for level, b in passages if level == 0)
+            bodies = [u for level, b in passages if level == 0 for u in units("\n".join(b))] + units(own)
+            held[conv, place] = (own, set(bodies), [(level, "\n".join(b)) for level, b in passages if level and plain("\n".join(b))])
+    for (conv, place), (own, _, passages) in held.items():
+        def source(body):
+            near = [(conv, p) for c, p in held if c == conv and p < place and body in held[c, p][1]]
+            far = [(c, p) for c, p in held if body in held[c, p][1]]
+            return min(near) if near else min(far) if far and min(far)[0] < conv else None
+
+        links = []
+        for number, (level, body) in enumerate(passages):
+            at = source(plain(body))
+            if at is None:
+                parts = [(source(u)[0] != conv, -len(u), source(u)) for u in set(units(body)) if source(u)]
+                at = min(parts)[2] if parts else None
+            links.append((level, number, at))
+        good = sorted(x for x in links if x[2])
+        parent = good[0][2] if good else (conv, place - 1) if place else (None, None)
+        out[conv, place] = (own, len(passages), len(good), *parent, bool(good))
+    return out
