@@ -51,8 +51,9 @@ _SAMPLE_HITS = 200
 # Text handled together in a task, and text per range of the merge, in bytes.
 _SLICE = 4 << 20
 _RANGE = 16 << 20
-# Windows whose anchors are looked for together.
+# Windows whose anchors are looked for together, and anchors, or suffixes, that are handled together.
 _CHUNK = 1 << 20
+_BLOCK = 1 << 17
 
 _FIRST_PLACE = -(1 << 63)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -78,20 +79,25 @@ def _hashes(data: np.ndarray, size: int) -> np.ndarray:
     return _mixed(h)
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
-    """The anchors of all windows inside the texts laid one after another in ``data``.
+def anchor_blocks(
+    data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, most: int = 0
+) -> Iterator[dict[str, np.ndarray]]:
+    """The anchors of all windows inside the texts laid one after another in ``data``, about ``most`` at a time.
 
     ``at`` is the anchor's place, ``first`` and ``last`` the starts of the first
-    and last of its windows, ``hash`` that of its bytes.
+    and last of its windows, ``hash`` that of its bytes.  An anchor whose windows
+    fall into two blocks is in both, with its own windows each.
     """
+    most = most or _BLOCK
     size = _anchor_size(length)
     reach = length - size + 1
-    inside = np.zeros(len(data) + 1, np.int32)
+    inside = np.zeros(len(data) + 1, np.int8)
     fits = np.diff(bounds) >= length
     np.add.at(inside, bounds[:-1][fits], 1)
     np.add.at(inside, bounds[1:][fits] - length + 1, -1)
-    inside = np.cumsum(inside, dtype=np.int8).view(bool)
-    found: dict[str, list[np.ndarray]] = {k: [] for k in ("at", "first", "last", "hash")}
+    np.cumsum(inside, dtype=np.int8, out=inside)
+    held: list[dict[str, np.ndarray]] = []
+    n = 0
     for begin in range(0, max(0, len(data) - length + 1), _CHUNK):
         starts = np.flatnonzero(inside[begin : min(begin + _CHUNK, len(data) - length + 1)])
         if not len(starts):
@@ -106,11 +112,25 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> dict[
         at = at[starts]
         change = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         end = np.append(change[1:], len(at)) - 1
-        found["at"].append(at[change].astype(np.int64) + begin)
-        found["first"].append(starts[change] + begin)
-        found["last"].append(starts[end] + begin)
-        found["hash"].append(hashes[at[change]].view(np.int64))
-    return {k: np.concatenate([*v, np.zeros(0, np.int64)]) for k, v in found.items()}
+        found = {
+            "at": at[change].astype(np.int64) + begin, "first": starts[change] + begin, "last": starts[end] + begin,
+            "hash": hashes[at[change]].view(np.int64),
+        }
+        # Where nearly every byte is an anchor a chunk makes several blocks; else several chunks make one.
+        for k in range(0, len(change), most):
+            held.append({name: x[k : k + most] for name, x in found.items()})
+            n += len(held[-1]["at"])
+            if n >= most:
+                yield {name: np.concatenate([x[name] for x in held]) for name in found}
+                held, n = [], 0
+    if held:
+        yield {name: np.concatenate([x[name] for x in held]) for name in held[0]}
+
+
+def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
+    """All anchors at once (see ``anchor_blocks``)."""
+    blocks = list(anchor_blocks(data, bounds, length))
+    return {k: np.concatenate([*(x[k] for x in blocks), np.zeros(0, np.int64)]) for k in ("at", "first", "last", "hash")}
 
 
 class Run:
@@ -235,9 +255,17 @@ def repeated_windows(strings: list[bytes], shared: np.ndarray, fields: dict[str,
 
 
 def _settled(doc: np.ndarray, first: np.ndarray, last: np.ndarray, place, tag) -> dict[str, pa.Array]:
-    """Intervals of window starts by document, as pairs one after another."""
-    order = np.argsort(doc, kind="stable")
-    doc, pairs = doc[order], np.stack((first[order], last[order]), axis=1).ravel().astype(np.int32)
+    """Intervals of window starts by document, as pairs one after another; those that touch are one."""
+    order = np.lexsort((first, doc))
+    doc, first, last = (x[order].astype(np.int64) for x in (doc, first, last))
+    reach = np.maximum.accumulate((doc << 32) + last) if len(doc) else last
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] << 32) + first[1:] > reach[:-1] + 1
+    new[1:] |= doc[1:] != doc[:-1]
+    at = np.flatnonzero(new)
+    end = np.append(at[1:], len(new))[: len(at)] - 1
+    doc, first, last = doc[at], first[at], reach[end] - (doc[at] << 32)
+    pairs = np.stack((first, last), axis=1).ravel().astype(np.int32)
     starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
     bounds = pa.array(2 * np.append(starts, len(doc)), pa.int32())
     return {
@@ -246,13 +274,33 @@ def _settled(doc: np.ndarray, first: np.ndarray, last: np.ndarray, place, tag) -
     }
 
 
-def _suffixes(data, bounds, place, tag, wanted, frequent, length):
-    """Strings at the wanted anchors of a slice, as rows of bytes, and their fields."""
-    found = anchors(data, bounds, length)
+class _Wanted:
+    """Which anchors of a slice are wanted, from a list of places per document."""
+
+    def __init__(self, lists: pa.ListArray):
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        self.places = lists.flatten().to_numpy().copy()
+        for a, b in zip(self.starts.tolist(), self.ends.tolist()):
+            self.places[a:b].sort()
+
+    def __call__(self, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For anchors in ascending order, so that a document's lie together."""
+        out = np.zeros(len(doc), bool)
+        cuts = np.flatnonzero(_changes(doc)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(doc)]):
+            own = self.places[self.starts[doc[a]] : self.ends[doc[a]]]
+            if len(own):
+                k = np.minimum(np.searchsorted(own, at[a:b]), len(own) - 1)
+                out[a:b] = own[k] == at[a:b]
+        return out
+
+
+def _suffixes(data, bounds, place, tag, found, hot, length):
+    """Strings at the anchors found, or of each window of the hot ones, as rows of bytes, and their fields."""
     doc = np.searchsorted(bounds, found["at"], "right") - 1
-    cold = np.isin(doc << 40 | (found["at"] - bounds[doc]), wanted)
-    hot = cold & np.isin(found["hash"], frequent)
-    cold &= ~hot
+    cold = ~hot
     first, last, centre, to = (found[k][cold] for k in ("first", "last", "at", "hash"))
     doc_of = doc[cold]
     if hot.any():
@@ -289,9 +337,23 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _slice_runs(data, bounds, place, tag, wanted, frequent, length, n_ranges) -> pa.RecordBatch:
-    """The sorted runs of a slice by range, and the intervals that are settled here."""
-    rows, f = _suffixes(data, bounds, place, tag, wanted, frequent, length)
+def _slice_runs(data, bounds, place, tag, wanted, frequent, length, n_ranges) -> Iterator[pa.RecordBatch]:
+    """The sorted runs of a slice, block by block: a block holds a bounded number of suffixes."""
+    for found in anchor_blocks(data, bounds, length):
+        doc = np.searchsorted(bounds, found["at"], "right") - 1
+        chosen = wanted(doc, found["at"] - bounds[doc])
+        found = {k: x[chosen] for k, x in found.items()}
+        hot = np.isin(found["hash"], frequent)
+        rows = np.cumsum(np.where(hot, found["last"] - found["first"] + 1, 1))
+        cuts = np.flatnonzero(np.diff(rows // _BLOCK)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(hot)]):
+            if b > a:
+                yield _block_runs(data, bounds, place, tag, {k: x[a:b] for k, x in found.items()}, hot[a:b], length, n_ranges)
+
+
+def _block_runs(data, bounds, place, tag, found, hot, length, n_ranges) -> pa.RecordBatch:
+    """The sorted runs of a block by range, and the intervals that are settled here."""
+    rows, f = _suffixes(data, bounds, place, tag, found, hot, length)
     f["to"] = (f["to"] % np.uint64(n_ranges)).astype(np.int64)
     string = np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
     order = np.lexsort((f["at"], f["tag"], f["place"], f["high"], f["low"], f["size"], string, f["to"]))
@@ -373,8 +435,9 @@ def _frequent(rows: DataFrame, total: int, length: int, frequent: int) -> np.nda
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", _SLICE):
-                hashes, counts = np.unique(anchors(*utf8(part.column("text")), length)["hash"], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"hash": hashes, "n": counts})
+                for found in anchor_blocks(*utf8(part.column("text")), length):
+                    hashes, counts = np.unique(found["hash"], return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"hash": hashes, "n": counts})
 
     sample = rows.filter(F.pmod("tag", F.lit(step)) == 0).select("text").mapInArrow(count, "hash long, n long")
     found = sample.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") * step > limit).select("hash")
@@ -424,25 +487,28 @@ def remove_repeats(
     rows = rows.join(firsts.distinct(), ["place", "tag"], "left")
 
     def first_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per slice and anchor hash its first place and count; further places under keys of their own."""
+        """Per block and anchor hash its first place and count; further places under keys of their own."""
         for batch in batches:
             batch = batch.filter(pa.compute.fill_null(batch.column("is_first"), False))
             for part in slices(batch, "text", _SLICE):
                 data, bounds = utf8(part.column("text"))
-                found = anchors(data, bounds, length)
-                _, head, counts = np.unique(found["hash"], return_index=True, return_counts=True)
-                doc = np.searchsorted(bounds, found["at"], "right") - 1
-                of_hash = np.searchsorted(found["hash"][head], found["hash"])
-                further = np.ones(len(doc), bool)
-                further[head] = False
-                place, tag = (part.column(c).to_numpy()[doc] for c in ("place", "tag"))
-                spread = _mixed(tag.view(np.uint64) * _PRIME + found["at"].view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_pydict({
-                    "hash": np.where(further, spread, found["hash"]),
-                    "place": place, "tag": tag,
-                    "at": (found["at"] - bounds[doc]).astype(np.int32),
-                    "n": counts[of_hash].astype(np.int32),
-                })
+                for found in anchor_blocks(data, bounds, length):
+                    yield first_of_block(part, bounds, found)
+
+    def first_of_block(part: pa.RecordBatch, bounds: np.ndarray, found: dict[str, np.ndarray]) -> pa.RecordBatch:
+        _, head, counts = np.unique(found["hash"], return_index=True, return_counts=True)
+        doc = np.searchsorted(bounds, found["at"], "right") - 1
+        of_hash = np.searchsorted(found["hash"][head], found["hash"])
+        further = np.ones(len(doc), bool)
+        further[head] = False
+        place, tag = (part.column(c).to_numpy()[doc] for c in ("place", "tag"))
+        spread = _mixed(tag.view(np.uint64) * _PRIME + found["at"].view(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_pydict({
+            "hash": np.where(further, spread, found["hash"]),
+            "place": place, "tag": tag,
+            "at": (found["at"] - bounds[doc]).astype(np.int32),
+            "n": counts[of_hash].astype(np.int32),
+        })
 
     seen = rows.mapInArrow(first_occurrences, "hash long, place long, tag long, at int, n int")
     repeated = seen.withColumn("n", F.sum("n").over(Window.partitionBy("hash"))).filter("n > 1")
@@ -452,11 +518,8 @@ def remove_repeats(
         for batch in batches:
             for part in slices(batch, "text", _SLICE):
                 data, bounds = utf8(part.column("text"))
-                lists = part.column("wanted")
-                doc = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(lists).to_numpy())
-                keys = doc << 40 | lists.flatten().to_numpy()
                 place, tag = (part.column(c).to_numpy() for c in ("place", "tag"))
-                yield _slice_runs(data, bounds, place, tag, keys, shared.value, length, n_ranges)
+                yield from _slice_runs(data, bounds, place, tag, _Wanted(part.column("wanted")), shared.value, length, n_ranges)
 
     sent = rows.join(wanted, ["place", "tag"]).mapInArrow(
         runs, "range long, run binary, place long, tag long, marks array<int>"
