@@ -38,19 +38,21 @@ def tokenizer_path(name: str) -> str:
 
 @query
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts take the source and language of their smallest pair, so that they lie side by side."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
-        "lang",
-        "source",
+        F.struct("source", "lang").alias("kind"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_sha256"),
     )
+    docs = sharding.with_kind_of_group(docs, "text_sha256", "kind")
     cells = {
-        "source_cell": sharding.by_hash(F.col("source")),
-        "lang_cell": sharding.by_hash(F.col("lang")),
+        "source_cell": sharding.by_hash(F.col("kind.source")),
+        "lang_cell": sharding.by_hash(F.col("kind.lang")),
         "size_cell": sharding.by_magnitude(F.col("size")),
     }
-    sharded = sharding.shards_by_curve(docs, cells, 24, ["text_crc32", "doc_id", "size"])
+    sharded = sharding.shards_by_curve(docs, cells, 24, ["text_sha256", "doc_id", "size"])
     return sharded.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "hilbert", *cells,

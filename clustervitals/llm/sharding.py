@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.spread import running_total
+from ..operators.spread import lookup_join, running_total
 
 BITS = 8
 
@@ -90,6 +90,16 @@ def shards_by_curve(
     )
 
 
+def with_kind_of_group(docs: DataFrame, group: str, kind: str) -> DataFrame:
+    """The rows with ``kind`` as the smallest of all rows of their ``group``.
+
+    Only groups of several kinds need theirs looked up, and a group of very many rows meets it in many tasks.
+    """
+    kinds = docs.groupBy(group).agg(F.min(kind).alias("least"), F.max(kind).alias("most"))
+    several = kinds.filter(~F.col("least").eqNullSafe(F.col("most"))).select(group, "least")
+    return lookup_join(docs, several, [group], "left").withColumn(kind, F.coalesce("least", kind)).drop("least")
+
+
 def shard_boxes(sharded: DataFrame, cells: Sequence[str]) -> DataFrame:
     """Per shard its row count and the least and greatest cell of each dimension."""
     ends = [f(c).alias(f"{name}_{c}") for c in cells for name, f in (("min", F.min), ("max", F.max))]
