@@ -3,9 +3,10 @@
 The distance 1 - |x & y| / |x | y| is a metric.  Documents that are within the
 radius of each other are found in three steps.
 
-1. Cells.  The shingle universe is cut by hash into blocks, one more than two
+1. Cells.  The shingle universe is cut by hash into more blocks than two
    linked sets of a size class can differ by, so two linked sets agree on at
-   least one whole block.  Documents that share a block of their class or the
+   least one whole block that is not empty.  Shingles of passages that very many
+   documents share, known from counts of all shingles, count for no block.  Documents that share a block of their class or the
    next meet; what is connected through such meetings is a space of its own.
 2. Regions.  In a space, pivots are drawn and every document's distance to them
    is computed.  A document belongs to the Voronoi region of its nearest pivot
@@ -24,6 +25,8 @@ holds an unbounded group.  Sets are 64-bit hashes of shingles.
 from __future__ import annotations
 
 import hashlib
+import math
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -35,13 +38,20 @@ from pyspark.sql import functions as F
 
 from ..sources.workspace import keep
 from .arrow import slices, utf8
-from .graph import components
+from .graph import components, smallest_reachable
 
 SHINGLE = 3
 SIMILARITY = (90, 100)
 # Largest region joined in one task, in shingles and in documents.
 TASK_SHINGLES = 1 << 20
 TASK_DOCUMENTS = 2000
+# Shingles are counted in so many buckets to find very common ones; one bit of each goes to every task.
+BUCKET_BITS = 22
+# Cells that a task brings together at a time, about, the least number of such hands a task, and edges that it holds.
+HAND_CELLS = 1 << 20
+_HANDS = 4
+_HELD_EDGES = 1 << 20
+_CELL_BYTES = 6
 # Pivots that cut a region in one go, in a job and in a task.
 JOB_PIVOTS = 12
 TASK_PIVOTS = 4
@@ -102,32 +112,91 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def size_classes(largest: int, similarity: tuple[int, int] = SIMILARITY) -> list[tuple[int, int, int]]:
-    """(smallest size, largest size, blocks) of each class up to ``largest``.
+def size_classes(largest: int, similarity: tuple[int, int] = SIMILARITY) -> list[tuple[int, int, int, int]]:
+    """(smallest size, largest size, differences, blocks) of each class up to ``largest``.
 
-    Two different sets that link have sizes in one class or in two that follow
-    each other; the blocks are those for pairs whose smaller set is in the class.
+    Two different sets that link have sizes in one class or in two that follow each other; the differences are the
+    most that pairs can have whose smaller set is in the class.  There are more blocks than that, so many that a set
+    as a rule has more blocks with shingles than differences.
     """
     num, den = similarity
     low, out = -(-num // (den - num)), []
     while low <= largest:
         after = low * den // num + 1
-        out.append((low, after - 1, (after - 1) * (den - num) // num + 1))
+        most = (after - 1) * (den - num) // num
+        blocks = most + 1
+        while blocks < 2 * most and blocks * (1 - math.exp(-low / blocks)) < most + 1 + 2 * math.sqrt(blocks * math.exp(-low / blocks)):
+            blocks += 1
+        out.append((low, after - 1, most, blocks))
         low = after
     return out
 
 
-def cell_keys(shingles: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
-    """One key per block, for pairs with the document's class as the smaller one and as the larger one."""
+def common_shingles(rows: DataFrame, shingle: int, total: int, bits: int = BUCKET_BITS) -> np.ndarray:
+    """A bit per hash bucket of shingles (of 2^``bits``): whether the bucket holds far more of all ``total`` ones than most.
+
+    Shingles of passages that very many documents share fall there.  Every task counts the buckets of its texts;
+    the counts of a range of buckets meet in a task, which returns one bit for each.
+    """
+    average = total / (1 << bits)
+    limit = average + 6 * math.sqrt(average) + 4
+    ranges = 1 << max(0, bits - 16)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = np.concatenate([*shingle_sets(part.column("text"), shingle), np.zeros(0, np.uint64)])
+                counts += np.bincount(_bucket(found, bits), minlength=len(counts)).astype(np.uint32)
+        if counts.any():
+            parts = [zlib.compress(np.ascontiguousarray(x).tobytes(), 1) for x in np.split(counts, ranges)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(raw), np.uint32).astype(np.uint64)
+        flags = [np.packbits(x > limit).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(flags, pa.binary())], ["part", "flags"])
+
+    counted = rows.mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(add, "part int, flags binary")
+    out = np.zeros((ranges, (1 << bits) // ranges), bool)
+    for row in counted.collect():
+        out[row.part] = np.unpackbits(np.frombuffer(row.flags, np.uint8)).astype(bool)
+    return np.packbits(out.ravel())
+
+
+def _bucket(shingles: np.ndarray, bits: int) -> np.ndarray:
+    return (shingles >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def cell_keys(
+    shingles: np.ndarray, classes: list[tuple[int, int, int, int]], common: np.ndarray | None = None
+) -> np.ndarray:
+    """One key per block, for pairs with the document's class as the smaller one and as the larger one.
+
+    Shingles that ``common`` (a flag per bucket) names count for no block, of no document: what is left of two sets
+    differs in no more than the sets do.
+    A difference spoils one block at most.  A set with shingles in more blocks than there can be differences agrees
+    with a linked one on one of those, so its empty blocks, which many sets share, are no cells.  Where it has fewer,
+    its empty blocks are cells too: of two such sets, because there are more blocks than differences.
+    """
     if not classes or len(shingles) < classes[0][0]:
         return np.zeros(0, np.int64)
     own = bisect_right(classes, (len(shingles), 1 << 62)) - 1
+    if common is not None:
+        shingles = shingles[~common[_bucket(shingles, len(common).bit_length() - 1)]]
     mixed, keys = _mixed(shingles), []
     for c in range(max(0, own - 1), own + 1):
-        blocks = classes[c][2]
+        _, _, most, blocks = classes[c]
+        block = ((shingles >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
         digest = np.zeros(blocks, np.uint64)
-        np.add.at(digest, ((shingles >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64), mixed)
-        keys.append(digest * np.uint64(31) + np.arange(blocks, dtype=np.uint64) + np.uint64(c << 32))
+        np.add.at(digest, block, mixed)
+        key = digest * np.uint64(31) + np.arange(blocks, dtype=np.uint64) + np.uint64(c << 32)
+        filled = np.zeros(blocks, bool)
+        filled[block] = True
+        keys.append(key[filled] if filled.sum() > most else key)
     return _mixed(np.concatenate(keys)).view(np.int64)
 
 
@@ -248,7 +317,7 @@ def near_duplicates(
     copies = members.filter("n > 0 and doc is not null").join(first.select("same", "first"), "same").filter("doc <> first")
     links = copies.select(F.col("doc").alias("a"), F.col("first").alias("b"))
     largest = first.agg(F.max("n")).first()[0] or 0
-    spaces = _spaces(rows, shingle, size_classes(largest, similarity))
+    spaces = _spaces(rows, members, shingle, size_classes(largest, similarity), similarity)
     if spaces is not None:
         distinct = first.select(F.col("first").alias("doc")).distinct()
         sets = _map_sets(
@@ -272,20 +341,105 @@ def near_duplicates(
     )
 
 
-def _spaces(rows: DataFrame, shingle: int, classes: list[tuple[int, int, int]]) -> DataFrame | None:
-    """(doc, space) of documents that share a cell with another one."""
-    if not classes:
-        return None
+def _planes(x: np.ndarray, width: int = 8) -> bytes:
+    """The low ``width`` bytes of 64-bit numbers, first bytes first: equal high bytes lie together."""
+    return x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
 
-    def emit(part, sets):
-        keys = [cell_keys(s, classes) for s in sets]
-        doc = np.repeat(part.column("doc").to_numpy(zero_copy_only=False), [len(k) for k in keys])
-        return {"cell": np.concatenate([*keys, np.zeros(0, np.int64)]), "doc": doc.astype(np.int64)}
+def _numbers(raw: bytes, width: int = 8) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return out.view(np.int64)[:, 0]
 
-    cells = _map_sets(rows.filter("doc is not null"), shingle, "cell long, doc long", emit)
-    shared = cells.groupBy("cell").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last")
-    edges = cells.join(shared.select("cell", "first"), "cell").filter("doc <> first").select("doc", "first").distinct()
-    return components(edges).toDF("doc", "space")
+
+def deal_cells(cells: np.ndarray, docs: np.ndarray, hands: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(hand, cells, docs) of the documents' cells: one row for all that one hand gets from here.
+
+    Of the documents with the same cell only the smallest goes out; the others are its neighbours already, and
+    such edges go out without cells.
+    """
+    order = np.lexsort((docs, cells))
+    cells, docs = cells[order], docs[order]
+    new = np.ones(len(cells), bool)
+    new[1:] = cells[1:] != cells[:-1]
+    least = docs[new][np.cumsum(new) - 1]
+    apart = least != docs
+    if apart.any():
+        a, b = smallest_reachable(docs[apart], least[apart])
+        yield int(b.min() % hands), b"", _planes(np.concatenate((a, b)))
+    cells, docs = cells[new].view(np.uint64), docs[new]
+    hand = (cells >> np.uint64(32)) % np.uint64(hands)
+    order = np.argsort(hand, kind="stable")
+    hand, cells, docs = hand[order], cells[order].view(np.int64), docs[order]
+    cuts = np.flatnonzero(np.append(True, hand[1:] != hand[:-1])) if len(hand) else np.zeros(0, np.int64)
+    for start, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(hand)]):
+        yield int(hand[start]), _planes(cells[start:end], _CELL_BYTES), _planes(docs[start:end])
+
+
+def meet_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of the documents that share a cell, from rows sorted by hand."""
+    edges: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    hand = None
+
+    def settle() -> None:
+        cells, docs = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.lexsort((docs, cells))
+        cells, docs = cells[order], docs[order]
+        new = np.append(True, cells[1:] != cells[:-1])
+        least = docs[new][np.cumsum(new) - 1]
+        apart = least != docs
+        edges.append((docs[apart], least[apart]))
+        if sum(len(a) for a, _ in edges) > _HELD_EDGES:
+            edges[:] = [smallest_reachable(*(np.concatenate(x) for x in zip(*edges)))]
+
+    for batch in batches:
+        for h, cells, docs in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if h != hand and held:
+                settle()
+            hand, ids = h, _numbers(docs)
+            if cells:
+                held.append((_numbers(cells, _CELL_BYTES), ids))
+            else:
+                edges.append((ids[: len(ids) // 2], ids[len(ids) // 2 :]))
+    if held:
+        settle()
+    if edges:
+        nodes, roots = smallest_reachable(*(np.concatenate(x) for x in zip(*edges)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["a", "b"])
+
+
+def _spaces(rows: DataFrame, members: DataFrame, shingle: int, classes: list[tuple[int, int, int, int]], similarity) -> DataFrame | None:
+    """(doc, space) of documents that share a cell with another one.
+
+    Cells move once, packed by the task that they go to, six bytes each: cells that agree in those by chance only
+    make a space larger.
+    """
+    if not classes:
+        return None
+    num, den = similarity
+    sums = members.agg(F.sum("n").alias("shingles"), F.count("*").alias("docs")).first()
+    # As many tasks as cores, for each of them repeats a document that shares cells; its hands come one after another.
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    hands = max(_HANDS * tasks, (sums.shingles * 2 * (den - num) // num + 4 * sums.docs) // HAND_CELLS)
+    shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle, sums.shingles))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                keys = [cell_keys(s, classes, common) for s in shingle_sets(part.column("text"), shingle)]
+                docs = np.repeat(part.column("doc").to_numpy(zero_copy_only=False).astype(np.int64), [len(k) for k in keys])
+                dealt = list(deal_cells(np.concatenate([*keys, np.zeros(0, np.int64)]), docs, hands))
+                columns = list(zip(*dealt)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["hand", "cells", "docs"]
+                )
+
+    dealt = rows.filter("doc is not null").mapInArrow(deal, "hand int, cells binary, docs binary")
+    met = dealt.repartition(tasks, "hand").sortWithinPartitions("hand").mapInArrow(meet_cells, "a long, b long")
+    return components(met).toDF("doc", "space")
 
 
 def _joined(sets: DataFrame, similarity: tuple[int, int], task_shingles: int, task_documents: int) -> DataFrame:

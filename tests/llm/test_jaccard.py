@@ -93,14 +93,52 @@ def test_cells_of_equal_blocks():
     assert len(jaccard.cell_keys(s[:8], classes)) == 0 and len(jaccard.cell_keys(s[:9], classes)) == 2
 
 
+def test_linked_documents_that_consist_of_common_passages(spark):
+    """A passage in most documents counts for no cell; documents of little else are still linked."""
+    r = random.Random(12)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(150):
+        own = [f"d{k}x{j}" for j in range(r.choice([0, 2, 5, 200]))]
+        rows.append((k, " ".join(passage + own)))
+        if k % 3 == 0:
+            rows.append((1000 + k, " ".join(passage + own + ["end"])))
+    found = jaccard.common_shingles(spark.createDataFrame(rows, "doc long, text string").select("text"), 3, sum(len(t.split()) - 2 for _, t in rows), 16)
+    named = np.unpackbits(found).astype(bool)
+    (s,) = jaccard.shingle_sets(pa.array([" ".join(passage)]))
+    assert named[jaccard._bucket(s, 16)].all() and named.sum() < 100
+    want = compare(spark, rows)
+    assert len({c for _, c in want.values()}) < len(want) - 40
+
+
+def test_documents_that_share_a_cell_meet():
+    r = random.Random(8)
+    pairs = [(r.randrange(40) * 0x9E3779B97F4A7C15 % (1 << 63), r.randrange(-100, 10**12)) for _ in range(60)]
+    rows = []
+    for k in range(0, 60, 20):  # dealt by three tasks
+        cells, docs = (np.array(x, np.int64) for x in zip(*pairs[k : k + 20]))
+        rows += jaccard.deal_cells(cells, docs, 3)
+    rows.sort(key=lambda x: x[0])
+    batches = [pa.RecordBatch.from_pylist([dict(zip("hcd", x)) for x in rows[k : k + 4]]) for k in range(0, len(rows), 4)]
+    found = {d: d for _, d in pairs}
+    for batch in jaccard.meet_cells(iter(batches)):
+        found.update(zip(*(batch.column(k).to_pylist() for k in range(2))))
+    want = {d: d for _, d in pairs}
+    for _ in pairs:
+        for c, d in pairs:
+            want[d] = min(want[d], *(want[e] for b, e in pairs if b == c))
+    assert found == want
+    assert list(jaccard.deal_cells(np.zeros(0, np.int64), np.zeros(0, np.int64), 3)) == list(jaccard.meet_cells(iter([]))) == []
+
+
 def test_size_classes_cover_linked_sizes():
     classes = jaccard.size_classes(3000)
-    of = {n: c for c, (low, high, _) in enumerate(classes) for n in range(low, high + 1)}
+    of = {n: c for c, (low, high, _, _) in enumerate(classes) for n in range(low, high + 1)}
     for a in range(9, 2000):
         for b in range(a, a * 10 // 9 + 1):
             assert of[b] - of[a] in (0, 1)
             most = a + b - 2 * (-(-90 * (a + b) // 190))
-            assert classes[of[a]][2] > most
+            assert classes[of[a]][3] > classes[of[a]][2] >= most
 
 
 def test_components(spark):
