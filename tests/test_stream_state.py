@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from clustervitals.streaming import changes
@@ -53,6 +55,69 @@ def test_a_snapshot_in_order_costs_the_same_after_many():
     assert sum(a + b for a, b in costs[-100:]) <= 1.5 * sum(a + b for a, b in costs[100:200])
 
 
+def test_counter_list_in_any_order():
+    rng = random.Random(6)
+    for n, leaf in ((1, 4), (30, 4), (400, 8), (400, 1000)):
+        state, tails, counters, events = {}, None, {}, {}
+        for _ in range(12):
+            known = changes.CounterList(state.get, tails, leaf)
+            for _ in range(rng.choice([1, 2])):
+                rows = [(rng.choice([-(2**63), -5, 1, 2**63 - 1]), rng.randrange(n), rng.choice([changes.HEAD, 1, 2, 2**60])) for _ in range(n)]
+                for reloid, at, value in rows:
+                    counters[reloid, at] = max(counters.get((reloid, at), value), value)
+                found, first, same = known.add(np.array(rows, np.int64).T)
+                events.update({(r, a): (m, f, s and not f) for (r, a, m), f, s in zip(found.T.tolist(), first.tolist(), same.tolist())})
+            state.update({start: (list(following), rows.copy()) for start, following, rows in known.written()})
+            tails = known.order.tails
+        keys = sorted(counters)
+        want = {}
+        for before, key in zip([None, *keys], keys):
+            first = before is None or before[0] != key[0]
+            want[key] = (counters[key], first, not first and counters[before] == counters[key])
+        assert events == want
+        assert max(rows.shape[1] for _, rows in state.values()) <= leaf
+
+
+class _Handle:
+    """State of one bucket that counts the looks into it."""
+
+    def __init__(self):
+        self.calls, self.maps, self.value = 0, {}, None
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = getMapState
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.maps.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.maps[key] = value
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_many_tables_share_calls_and_looks_into_the_state():
+    handle, tables = _Handle(), 20_000
+    for at in (0, 2, 1):
+        process, before = changes._Changes(), handle.calls
+        process.init(handle)
+        chunks = [pd.DataFrame({"reloid": np.arange(k, tables, 2), "snapshot_us": at, "modcount": at}) for k in (0, 1)]
+        assert sum(map(len, process.handleInputRows((True, 0), iter(chunks), None))) >= tables
+        # Two counters at least a table before: its ends, and the snapshots beside the new one.
+        assert handle.calls - before < tables / 10
+
+
 def test_stream_with_nulls_repeats_and_one_batch_for_all(spark, tmp_path):
     rows = [
         (1, 5, T0), (1, None, T0 + timedelta(1)), (1, 5, T0 + timedelta(2)), (1, 5, T0 + timedelta(2)), (1, 4, T0 + timedelta(2)),
