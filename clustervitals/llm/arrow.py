@@ -16,12 +16,18 @@ SLICE_BYTES = 2 << 20
 # Rows in an Arrow batch; Spark's default of 10,000 whole texts is much for a small executor.
 BATCH_ROWS = 2000
 _ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Bytes in one, about, which count where rows are long; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+_BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of a batch for the session, unless they are bounded already."""
+    """Bound the rows and bytes of a batch for the session, unless they are bounded already."""
     if int(spark.conf.get(_ROWS_SETTING)) > BATCH_ROWS:
         spark.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
+    plain = spark.conf.get(_BYTES_SETTING).removesuffix("b")
+    if plain.isdecimal() and int(plain) > BATCH_BYTES:
+        spark.conf.set(_BYTES_SETTING, str(BATCH_BYTES))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -61,21 +61,20 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stars: bool = False) -> DataFrame:
     """(node, component) for all nodes of ``edges`` (a, b): the smallest node that can be reached.
 
     Every partition contracts its edges to stars; the stars of a node meet, and
     where they disagree their centres make the edges of the next, smaller round.
     A node has at most one row per partition, so one with very many edges does
     not make a large task.  Edges with a null end or equal ends are left out.
+    ``stars`` says that the edges are each partition's stars already, centres included.
     """
-    edges = edges.toDF("a", "b").filter("a <> b")
+    edges = edges.toDF("node", "root") if stars else edges.toDF("a", "b").filter("a <> b")
     levels = []
     while True:
-        settled = keep(
-            edges.mapInArrow(_contract, "node long, root long").repartition("node")
-            .mapInArrow(_settle, "node long, root long, further boolean")
-        )
+        contracted = edges if stars and not levels else edges.mapInArrow(_contract, "node long, root long")
+        settled = keep(contracted.repartition("node").mapInArrow(_settle, "node long, root long, further boolean"))
         levels.append(settled.filter("not further").select("node", "root"))
         edges = settled.filter("further").select("node", "root")
         if edges.isEmpty():

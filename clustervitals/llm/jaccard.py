@@ -7,7 +7,8 @@ radius of each other are found in three steps.
    linked sets of a size class can differ by, so two linked sets agree on at
    least one whole block that is not empty.  Shingles of passages that very many
    documents share, known from counts of all shingles, count for no block.  Documents that share a block of their class or the
-   next meet; what is connected through such meetings is a space of its own.
+   next meet; what is connected through such meetings is a space of its own.  Inside a space the same is done
+   again with another hash and with all shingles, which parts what met by chance or by what few shingles were left.
 2. Regions.  In a space, pivots are drawn and every document's distance to them
    is computed.  A document belongs to the Voronoi region of its nearest pivot
    and is repeated in the region of any pivot that is less than two radii
@@ -15,7 +16,7 @@ radius of each other are found in three steps.
    A region is cut again by pivots of its own, until it is small.  Documents
    that a pivot has connected already need not be compared with each other,
    and a region in which all are connected is done.  Documents too much alike
-   to be cut so meet in blocks, two blocks at a time.
+   to be cut so meet in blocks, two blocks at a time; in a task, by the documents that hold each shingle.
 3. Small regions are joined exactly in a task, by the same recursion.
 
 Spaces of more than ``TASK_SHINGLES`` shingles are cut by Spark jobs, so no task
@@ -264,12 +265,35 @@ def join_region(sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY
         rest[chosen] = False  # a pivot has been compared with all
         near = _assigned(distance, radius)[rest]
         if near.sum() > 1.5 * rest.sum():
-            work.append(members[rest])
+            _join_all(members[rest], sets, similarity, known)
         else:
             work += [members[rest][near[:, k]] for k in range(len(chosen))]
     return [known.find(k) for k in range(len(sets))]
 
 
+def _join_all(members: np.ndarray, sets: list[np.ndarray], similarity: tuple[int, int], known: _Labels) -> None:
+    """Join all linked members: each set is counted against the holders of its shingles."""
+    sizes = np.array([len(sets[m]) for m in members.tolist()])
+    shingles, ids = np.unique(np.concatenate([sets[m] for m in members.tolist()]), return_inverse=True)
+    counts = np.bincount(ids, minlength=len(shingles))
+    starts = np.cumsum(counts) - counts
+    holders = np.repeat(np.arange(len(members)), sizes)[np.argsort(ids, kind="stable")]
+    bounds = np.append(0, np.cumsum(sizes))
+    labels = np.array([known.find(m) for m in members.tolist()])
+    for k in range(len(members)):
+        if (labels == labels[0]).all():
+            return
+        own = ids[bounds[k] : bounds[k + 1]]
+        own = own[counts[own] > 1]
+        n = counts[own]
+        held = np.arange(n.sum()) + np.repeat(starts[own] - np.cumsum(n) + n, n)
+        common = np.bincount(holders[held], minlength=len(members))
+        hit = linked(common, sizes[k] + sizes - common, similarity) & (labels != labels[k])
+        for other in np.unique(labels[hit]).tolist():
+            known.join(int(labels[k]), other)
+            labels[(labels == labels[k]) | (labels == other)] = known.find(other)
+
+
 def _shingled(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
 
@@ -320,15 +344,20 @@ def near_duplicates(
     spaces = _spaces(rows, members, shingle, size_classes(largest, similarity), similarity)
     if spaces is not None:
         distinct = first.select(F.col("first").alias("doc")).distinct()
-        sets = _map_sets(
-            rows.join(spaces.join(distinct, "doc", "left_semi"), "doc"), shingle, "region long, doc long, n long, shingles binary",
-            lambda part, sets: {
-                "region": part.column("space"),
-                "doc": part.column("doc"),
-                "n": pa.array([len(s) for s in sets], pa.int64()),
-                "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
-            },
+        spaces = keep(spaces.join(distinct, "doc", "left_semi"))
+        sets = keep(
+            _map_sets(
+                _likely(rows, spaces).join(spaces, "doc"), shingle, "space long, doc long, n long, shingles binary",
+                lambda part, sets: {
+                    "space": part.column("space"),
+                    "doc": part.column("doc"),
+                    "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
+                },
+            )
         )
+        regions = _parted(sets, size_classes(largest, similarity), similarity)
+        sets = sets.join(regions, "doc").select("region", "doc", "n", "shingles")
         links = links.union(_joined(sets, similarity, task_shingles, task_documents))
     found = components(links)
     return (
@@ -410,6 +439,73 @@ def meet_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["a", "b"])
 
 
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the wanted documents and few others, so that only their texts move to a join.
+
+    A bit per hash of a document goes to every task, 16 to 32 bits for each wanted one.
+    """
+    bits = max(16, (32 * wanted.count()).bit_length() - 1)
+    place = F.shiftrightunsigned(F.xxhash64("doc"), 64 - bits)
+    # Bitmaps count from 1; one has 2^15 bits.
+    found = wanted.groupBy(F.bitmap_bucket_number(place + 1).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bitmap")
+    )
+    named = np.zeros((1 << bits) >> 3, np.uint8)
+    for row in found.collect():
+        at = (row.bucket - 1) << 12
+        named[at : at + len(row.bitmap)] = np.frombuffer(row.bitmap, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(named)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("place").to_numpy()
+            bit = shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1
+            yield batch.filter(pa.array(bit.astype(bool))).select(["doc", "text"])
+
+    return rows.filter("doc is not null").withColumn("place", place).mapInArrow(choose, "doc long, text string")
+
+
+def _hands(sets: DataFrame, similarity: tuple[int, int], tasks: int) -> int:
+    """How many hands all cells of the sets (n: their sizes) are dealt to."""
+    num, den = similarity
+    sums = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("shingles"), F.count("*").alias("docs")).first()
+    return max(_HANDS * tasks, (sums.shingles * 2 * (den - num) // num + 4 * sums.docs) // HAND_CELLS)
+
+
+def _dealt(keys: list[np.ndarray], docs: pa.Array, hands: int) -> pa.RecordBatch:
+    docs = np.repeat(docs.to_numpy(zero_copy_only=False).astype(np.int64), [len(k) for k in keys])
+    dealt = list(deal_cells(np.concatenate([*keys, np.zeros(0, np.int64)]), docs, hands))
+    columns = list(zip(*dealt)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["hand", "cells", "docs"]
+    )
+
+
+def _met(dealt: DataFrame, tasks: int) -> DataFrame:
+    """(node, component) of documents that share a cell with another one."""
+    met = dealt.repartition(tasks, "hand").sortWithinPartitions("hand").mapInArrow(meet_cells, "a long, b long")
+    return components(met, stars=True)
+
+
+_DEALT = "hand int, cells binary, docs binary"
+
+
+def _parted(sets: DataFrame, classes: list[tuple[int, int, int, int]], similarity: tuple[int, int]) -> DataFrame:
+    """(doc, region) of documents that share a cell of their whole sets, under another hash, with one of their space."""
+    tasks = sets.sparkSession.sparkContext.defaultParallelism
+    hands = _hands(sets, similarity, tasks)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for space, raw in zip(batch.column("space").to_pylist(), batch.column("shingles").to_pylist()):
+                own = cell_keys(_mixed(np.frombuffer(raw, np.uint64) + _STEP), classes).view(np.uint64)
+                keys.append(_mixed(own * np.uint64(31) + np.uint64(space & (1 << 64) - 1)).view(np.int64))
+            yield _dealt(keys, batch.column("doc"), hands)
+
+    return _met(sets.mapInArrow(deal, _DEALT), tasks).toDF("doc", "region")
+
+
 def _spaces(rows: DataFrame, members: DataFrame, shingle: int, classes: list[tuple[int, int, int, int]], similarity) -> DataFrame | None:
     """(doc, space) of documents that share a cell with another one.
 
@@ -418,28 +514,20 @@ def _spaces(rows: DataFrame, members: DataFrame, shingle: int, classes: list[tup
     """
     if not classes:
         return None
-    num, den = similarity
-    sums = members.agg(F.sum("n").alias("shingles"), F.count("*").alias("docs")).first()
     # As many tasks as cores, for each of them repeats a document that shares cells; its hands come one after another.
     tasks = rows.sparkSession.sparkContext.defaultParallelism
-    hands = max(_HANDS * tasks, (sums.shingles * 2 * (den - num) // num + 4 * sums.docs) // HAND_CELLS)
-    shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle, sums.shingles))
+    hands = _hands(members, similarity, tasks)
+    total = members.agg(F.sum("n")).first()[0]
+    shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle, total))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             for part in slices(batch, "text"):
                 keys = [cell_keys(s, classes, common) for s in shingle_sets(part.column("text"), shingle)]
-                docs = np.repeat(part.column("doc").to_numpy(zero_copy_only=False).astype(np.int64), [len(k) for k in keys])
-                dealt = list(deal_cells(np.concatenate([*keys, np.zeros(0, np.int64)]), docs, hands))
-                columns = list(zip(*dealt)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["hand", "cells", "docs"]
-                )
-
-    dealt = rows.filter("doc is not null").mapInArrow(deal, "hand int, cells binary, docs binary")
-    met = dealt.repartition(tasks, "hand").sortWithinPartitions("hand").mapInArrow(meet_cells, "a long, b long")
-    return components(met).toDF("doc", "space")
+                yield _dealt(keys, part.column("doc"), hands)
+
+    return _met(rows.filter("doc is not null").mapInArrow(deal, _DEALT), tasks).toDF("doc", "space")
 
 
 def _joined(sets: DataFrame, similarity: tuple[int, int], task_shingles: int, task_documents: int) -> DataFrame:
@@ -461,7 +549,8 @@ def _joined(sets: DataFrame, similarity: tuple[int, int], task_shingles: int, ta
             )
         )
         small = sets.join(sizes.filter("not large").select("region"), "region")
-        new = small.groupBy("region").applyInPandas(_join_in_task(similarity), "a long, b long")
+        # Kept, so that no task runs the workers of the next step beside those of this one.
+        new = keep(small.groupBy("region").applyInPandas(_join_in_task(similarity), "a long, b long"))
         links = new if links is None else links.union(new)
         if sizes.filter("large").isEmpty():
             return links

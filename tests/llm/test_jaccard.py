@@ -66,6 +66,45 @@ def test_chains_and_dense_groups(spark):
     compare(spark, chain(40) + dense, task_shingles=2000, task_documents=20)
 
 
+def test_a_dense_region_is_joined_by_shared_shingles(monkeypatch):
+    """Sets that pivots cannot part are not compared with every other by pivots of their own."""
+    r = np.random.default_rng(7)
+    base = np.unique(r.integers(0, 1 << 62, 120).astype(np.uint64))
+    sets = []
+    for k in range(400):
+        own = base.copy()
+        own[r.choice(len(own), r.integers(4, 20), replace=False)] = r.integers(0, 1 << 62, 1).astype(np.uint64) + np.uint64(k)
+        sets.append(np.unique(own))
+    calls, compare_with = [], jaccard._to_pivot
+    monkeypatch.setattr(jaccard, "_to_pivot", lambda *x: calls.append(1) or compare_with(*x))
+    got = jaccard.join_region(sets)
+    known = jaccard._Labels(len(sets))
+    for k, s in enumerate(sets):
+        for m, t in enumerate(sets[:k]):
+            n = len(np.intersect1d(s, t))
+            if 100 * n >= 90 * (len(s) + len(t) - n):
+                known.join(k, m)
+    assert got == [known.find(k) for k in range(len(sets))] and len(set(got)) > 20
+    assert len(calls) < 40
+
+
+def test_spaces_are_parted_by_whole_sets(spark):
+    """Documents in one space that differ in nearly all shingles do not meet again."""
+    r = np.random.default_rng(9)
+    sets = [(0, k, np.unique(r.integers(0, 1 << 62, 100).astype(np.uint64))) for k in range(60)]
+    sets += [(s, 100 + k, np.delete(x, [k, k + 20])) for s, k, x in sets[:20]] + [(1, 1000, sets[0][2])]
+    rows = spark.createDataFrame([(s, k, len(x), bytearray(x.tobytes())) for s, k, x in sets], "space long, doc long, n long, shingles binary")
+    found = {x.doc: x.region for x in jaccard._parted(rows, jaccard.size_classes(100), jaccard.SIMILARITY).collect()}
+    assert found == {k + d: k for k in range(20) for d in (0, 100)}
+
+
+def test_only_likely_rows_move(spark):
+    rows = spark.createDataFrame([(k - 500, str(k)) for k in range(4000)] + [(None, "x"), (3, "again")], "doc long, text string")
+    wanted = spark.createDataFrame([(k,) for k in range(-500, 3500, 40)], "doc long")
+    got = sorted(tuple(x) for x in jaccard._likely(rows, wanted).collect())
+    assert {(k, str(k + 500)) for k in range(-500, 3500, 40)} <= set(got) and len(got) < 400
+
+
 def test_region_join_without_spark():
     rows = [x for x in corpus(6, 40) if x[1]]
     sets = jaccard.shingle_sets(pa.array([t for _, t in rows]))
