@@ -13,6 +13,8 @@ from ..sources.workspace import keep
 
 # Edges that a task holds before it contracts them.
 _HELD = 1 << 20
+# Partitions of edges for each core, at most.
+_TASKS = 4
 
 
 def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,10 +72,12 @@ def components(edges: DataFrame, stars: bool = False) -> DataFrame:
     not make a large task.  Edges with a null end or equal ends are left out.
     ``stars`` says that the edges are each partition's stars already, centres included.
     """
+    # Few partitions: a node has a row from each, and they agree the sooner.
+    tasks = _TASKS * edges.sparkSession.sparkContext.defaultParallelism
     edges = edges.toDF("node", "root") if stars else edges.toDF("a", "b").filter("a <> b")
     levels = []
     while True:
-        contracted = edges if stars and not levels else edges.mapInArrow(_contract, "node long, root long")
+        contracted = edges if stars and not levels else edges.coalesce(tasks).mapInArrow(_contract, "node long, root long")
         settled = keep(contracted.repartition("node").mapInArrow(_settle, "node long, root long, further boolean"))
         levels.append(settled.filter("not further").select("node", "root"))
         edges = settled.filter("further").select("node", "root")
