@@ -34,10 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.workspace import keep
+from ..sources.workspace import keep, passing
 from .arrow import slices, utf8
 from .graph import components, smallest_reachable
 
@@ -163,7 +163,7 @@ def common_shingles(rows: DataFrame, shingle: int, total: int, bits: int = BUCKE
 
     counted = rows.mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(add, "part int, flags binary")
     out = np.zeros((ranges, (1 << bits) // ranges), bool)
-    for row in counted.collect():
+    for row in passing(counted).collect():
         out[row.part] = np.unpackbits(np.frombuffer(row.flags, np.uint8)).astype(bool)
     return np.packbits(out.ravel())
 
@@ -439,19 +439,46 @@ def meet_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["a", "b"])
 
 
+def _place(key: str, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.col(key).cast("long")), 64 - bits)
+
+
+def _bitmaps(keys: DataFrame, key: str) -> tuple[int, DataFrame]:
+    """How many bits of a key's hash name its place, and the bitmaps (bucket, bitmap) of all places: 16 to 32 bits a key."""
+    bits = max(16, (32 * keys.count()).bit_length() - 1)
+    # Bitmaps count from 1; one has 2^15 bits.
+    place = _place(key, bits) + 1
+    return bits, keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")
+    )
+
+
+def parted(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` may be in ``keys`` (all that are, and few others), and the other rows.
+
+    So only the first ones move to a join with the keys.  A bitmap of the keys' hashes goes to every task.
+    """
+    bits, found = _bitmaps(keys, key)
+    place = _place(key, bits) + 1
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bitmap", (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    marked = (
+        rows.withColumn("_bucket", F.bitmap_bucket_number(place))
+        .join(F.broadcast(found.toDF("_bucket", "_bitmap")), "_bucket", "left")
+        .withColumn("_likely", F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False)))
+    )
+    return marked.filter("_likely").select(*rows.columns), marked.filter("not _likely").select(*rows.columns)
+
+
 def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of the wanted documents and few others, so that only their texts move to a join.
 
     A bit per hash of a document goes to every task, 16 to 32 bits for each wanted one.
     """
-    bits = max(16, (32 * wanted.count()).bit_length() - 1)
-    place = F.shiftrightunsigned(F.xxhash64("doc"), 64 - bits)
-    # Bitmaps count from 1; one has 2^15 bits.
-    found = wanted.groupBy(F.bitmap_bucket_number(place + 1).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bitmap")
-    )
+    bits, found = _bitmaps(wanted, "doc")
+    place = _place("doc", bits)
     named = np.zeros((1 << bits) >> 3, np.uint8)
-    for row in found.collect():
+    for row in passing(found).collect():
         at = (row.bucket - 1) << 12
         named[at : at + len(row.bitmap)] = np.frombuffer(row.bitmap, np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(named)
@@ -554,7 +581,8 @@ def _joined(sets: DataFrame, similarity: tuple[int, int], task_shingles: int, ta
         links = new if links is None else links.union(new)
         if sizes.filter("large").isEmpty():
             return links
-        large = sets.join(sizes.filter("large").select("region", "chunks"), "region")
+        # Few enough for every task: a large region has very many documents or shingles.
+        large = sets.join(F.broadcast(sizes.filter("large").select("region", "chunks")), "region")
         judged = keep(_to_pivots(large, similarity))
         links = links.union(judged.select(F.explode("linked").alias("a"), F.col("doc").alias("b")))
         # A region is cut by its pivots where that repeats few documents.  Else its documents, too much alike
@@ -582,7 +610,7 @@ def _to_pivots(large: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         large.select("region", "chunks", "doc").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= JOB_PIVOTS)
     )
     pivots = (
-        drawn.join(large.select("region", "doc", "shingles"), ["region", "doc"])
+        large.select("region", "doc", "shingles").join(F.broadcast(drawn), ["region", "doc"])
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("region", "chunk", "k", "doc", "shingles").toDF("in_region", "in_chunk", "k", "pivot", "pivot_shingles")
     )

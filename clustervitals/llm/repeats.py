@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.workspace import keep
 from .arrow import slices, utf8
 
 LENGTH = 100
@@ -480,11 +481,13 @@ def remove_repeats(
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = total // _RANGE + 1
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(rows, total, length, frequent))
-    firsts = (
+    # Kept, like the wanted anchors below: the texts and anchors moved to find them are off the disk before the runs are made.
+    firsts = keep(
         rows.groupBy(F.unhex(F.md5("text")).alias("same")).agg(F.min(F.struct("place", "tag")).alias("first"))
         .select(F.col("first.place").alias("place"), F.col("first.tag").alias("tag"), F.lit(True).alias("is_first"))
+        .distinct()
     )
-    rows = rows.join(firsts.distinct(), ["place", "tag"], "left")
+    rows = rows.join(firsts, ["place", "tag"], "left")
 
     def first_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per block and anchor hash its first place and count; further places under keys of their own."""
@@ -512,7 +515,7 @@ def remove_repeats(
 
     seen = rows.mapInArrow(first_occurrences, "hash long, place long, tag long, at int, n int")
     repeated = seen.withColumn("n", F.sum("n").over(Window.partitionBy("hash"))).filter("n > 1")
-    wanted = repeated.groupBy("place", "tag").agg(F.collect_list("at").alias("wanted"))
+    wanted = keep(repeated.groupBy("place", "tag").agg(F.collect_list("at").alias("wanted")))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,15 +21,32 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def passing(df: DataFrame) -> DataFrame:
+    """The same rows, for one action: its shuffle files go when it ends.
+
+    Else they stay until the driver happens to collect its garbage, which at size can be after all the work.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*")  # a data frame takes the setting when it is made
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Compute a result once and read it back from the shared folder from then on.
 
-    Later uses neither repeat the work nor depend on the executors that did it.
+    Later uses neither repeat the work nor depend on the executors that did it, and its shuffle files are gone.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    return passing(df).checkpoint()
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
